@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,9 +43,28 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps now; it waits for a collection of the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def pack(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(i long, t string, r struct): the id, the text, and every other column as it is."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id, text)]
+    return docs.select(F.col(id).cast("long").alias("i"), F.col(text).alias("t"), F.struct(*(rest or [F.lit(0).alias("_")])).alias("r"))
+
+
+def unpack(rows: DataFrame, docs: DataFrame, id: str, text: str, more: list[str]) -> DataFrame:
+    """The columns of `docs` in their order, with the id and the new text from (i, t, r), then the columns `more`."""
+    own = {id: F.col("i").cast(docs.schema[id].dataType).alias(id), text: F.col("t").alias(text)}
+    return rows.select(*[own.get(c, F.col(f"r.`{c}`").alias(c)) for c in docs.columns], *[m for m in more if m not in docs.columns])
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that the texts of each take at most `limit` bytes, or it has one row."""
     for batch in batches:
@@ -95,12 +115,17 @@ class Powers:
             self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inv, k, 1 << 64))])
         return self.up, self.down
 
+    def total(self, values: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(values * self.get(len(values) + 1)[0][: len(values)], out=total[1:])
+        return total
+
+    def between(self, total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((total[end] - total[start]) * self.get(len(total))[1][start] + (end - start).astype(np.uint64) * np.uint64(_INV))
+
     def spans(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A 64-bit polynomial hash of values[start:end] for each pair of bounds, the same wherever the span stands."""
-        up, down = self.get(len(values) + 1)
-        total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(_INV))
+        return self.between(self.total(values), start, end)
 
 
 _POWERS = Powers()

@@ -4,10 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from cellcast.llm import fm_index, pieces, queries, simhash, substrings, toxicity
+
+#: What SQL can't say: hashes of shingles, trained models and a tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity model, trained on all labelled ones, doesn't reject."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id, and documents without an id."""
+    gone = simhash.near_duplicates(docs).where("doc_id > component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 50 words and more that an earlier one has."""
+    return _measured(substrings.deduplicate(docs), docs)
+
+
+def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the words that lie in passages of the benchmark."""
+    return _measured(fm_index.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids and what they decode to."""
+    return pieces.encode(docs, queries._tokenizer("piece_bpe_32k.model"), keep_ids=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+
+
+def _measured(found: DataFrame, docs: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    kept = found.select(*docs.columns)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("substrings", drop_repeated_passages),
+    ("decontamination", drop_benchmark_passages),
+    ("sentencepiece", encode),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
