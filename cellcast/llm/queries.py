@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, fm_index, permutation_index, pieces, simhash, substrings, token_counts, toxicity, urls
+from . import chat, common, fm_index, language_model, permutation_index, pieces, simhash, substrings, token_counts, toxicity, urls
 
 #: URL rules (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -68,12 +68,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = common.crc() % 10
+    found = language_model.scores(_read(spark, sf_dir, "documents", "doc_id", "text"), learn=part != 0)
+    return found.select("doc_id", (part == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     return fm_index.decontaminate(docs, _read(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_substrings, op3_urls, op4_toxicity, op5_neighbours, op6_chat, op7_sentencepiece, op8_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_substrings, op3_urls, op4_toxicity, op5_neighbours, op6_chat, op7_sentencepiece, op8_token_counts, op9_language_model, op10_decontamination)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
