@@ -19,7 +19,9 @@ from . import common
 
 CACHE = "tokenizer string, digest string, n_tokens long"
 #: Distinct words whose counts a task remembers before it starts anew.
-MEMORY = 1_000_000
+MEMORY = 150_000
+#: Words encoded at a time: an encoding takes far more memory than its word.
+WORDS = 4000
 _TABLE = common.byte_table(common.SPACES, lower=False)
 
 
@@ -43,8 +45,9 @@ class WordCounter:
         if len(self.known) > MEMORY:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for w, e in zip(new, self.model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False) if new else [], strict=True):
-            self.known[w] = len(e)
+        for at in range(0, len(new), WORDS):
+            part = new[at : at + WORDS]
+            self.known.update(zip(part, map(len, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)), strict=True))
         each = np.fromiter((self.known[w] for w in words), np.int64, len(words))
         return np.bincount(row, each[inverse], len(column)).astype(np.int64)
 
