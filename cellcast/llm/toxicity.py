@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled documents of each label that the model is fitted on (those with the smallest hashes of ids), and their longest text.
-SAMPLE, TEXT = 2500, 12_000
+SAMPLE, TEXT = 1000, 8_000
 #: Weights of the chain; words stand in it by their hashes.
 WIDTH = 1 << 18
 #: A word or beginning is toxic if at least this share of toxic documents holds it, which exceeds the share of clean ones by so many standard errors and so many times.
@@ -124,11 +124,14 @@ class Chain:
         self.weights, self.edge, self.start = np.zeros(WIDTH), np.zeros(4), 0.0
         self.judge = np.array([-3.0, 0.0, 0.0, 0.0])
 
+    def unary(self, features: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(features))
+        for column in features.T:
+            out += self.weights[column]
+        return out
+
     def marginals(self, tokens: Tokens) -> np.ndarray:
-        unary = np.zeros(len(tokens.words))
-        for column in tokens.features().T:
-            unary += self.weights[column]
-        return marginals(unary, tokens.row, tokens.n, self.edge, self.start)[0]
+        return marginals(self.unary(tokens.features()), tokens.row, tokens.n, self.edge, self.start)[0]
 
     def fit_tokens(self, tokens: Tokens, states: np.ndarray, steps: int = 25, ridge: float = 1e-2) -> None:
         """Maximum likelihood by Adagrad on full gradients (observed less expected features)."""
@@ -143,8 +146,7 @@ class Chain:
         seen[k, (2 * state[k - 1] + state[k]).astype(int)] = 1
         power, power_edge = np.full(WIDTH, 1e-6), np.full(4, 1e-6)
         for _ in range(steps):
-            unary = self.weights[feature].sum(1)
-            one, pairs = marginals(unary, row, n, self.edge, self.start, layout)
+            one, pairs = marginals(self.unary(feature), row, n, self.edge, self.start, layout)
             error = state - one
             gradient = sum(np.bincount(column, error, WIDTH) for column in feature.T) - ridge * self.weights
             power += gradient**2
