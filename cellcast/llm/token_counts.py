@@ -7,7 +7,9 @@ each distinct key, and their counts are appended to the table.
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,8 +77,11 @@ class TextCounter:
         return np.array([len(x) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)], np.int64)
 
 
+@functools.lru_cache(maxsize=2)
 def counter(path: str):
-    """The counter that fits a tokenizer's file."""
+    """The counter that fits a tokenizer's file; a worker that serves many tasks keeps one."""
+    # threads of their own would each keep memory, and the tasks use all cores already
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path.endswith(".model"):
         return PieceCounter(path)
     import json
