@@ -21,9 +21,10 @@ def window(gates: DataFrame, lat: tuple[float, float], lon: tuple[float, float])
 def window_or_all(gates: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
     """As window, but an axis without any gate within its limits isn't limited."""
     inside = {"lat": F.col("lat").between(min(lat), max(lat)), "lon": F.col("lon").between(min(lon), max(lon))}
-    hits = gates.agg(*[F.coalesce(F.max(c), F.lit(False)).alias(f"any_{k}") for k, c in inside.items()])
-    keep = [~F.col(f"any_{k}") | c for k, c in inside.items()]
-    return gates.crossJoin(F.broadcast(hits)).where(keep[0] & keep[1]).drop("any_lat", "any_lon")  # one row
+    found = gates.agg(*[F.coalesce(F.max(c), F.lit(False)).alias(k) for k, c in inside.items()]).first()  # one row
+    for axis, within in inside.items():
+        gates = gates.where(within) if found[axis] else gates
+    return gates
 
 
 def polygons_in(polygons: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:

@@ -17,7 +17,7 @@ VIEWS = {
     # boxes and triangles around points of the grid, in index units
     "shapes": """SELECT CAST(s_suppkey AS INT) AS ordinal, CASE WHEN s_suppkey % 35 = 0 THEN 0 ELSE s_suppkey + 1 END AS id, s_suppkey / 5 % 2 >= 1 AS triangle,
         s_suppkey * 37 % 200 - (2 + s_suppkey % 7) - 503e-3 AS i0, s_suppkey * 53 % 100 - (2 + s_suppkey % 4) - 503e-3 AS j0, 2 * (2 + s_suppkey % 7) + 13e-1 AS hi, 2 * (2 + s_suppkey % 4) + 117e-2 AS hj
-        FROM {supplier} WHERE s_suppkey % 5 = 0""",
+        FROM {supplier} WHERE s_suppkey % 5 = 0 OR s_suppkey < 10""",
     "cells": """SELECT concat('s', CAST(c_custkey % 10 AS STRING)) AS scan, c_custkey AS id, c_custkey % 97 + 1 AS num_gates, 40e0 + c_custkey % 25 AS max_refl,
         25 + c_custkey * 7919 % 1000 * 1e-3 AS lat, 280 + c_custkey * 6271 % 1000 * 1e-3 AS lon FROM {customer}""",
     "history": """SELECT user_id AS cell_id, event_id AS seq, ts, CAST(event_id % 2 AS DOUBLE) AS max_refl, event_id % 2 AS num_gates, 25 + event_id * 31 % 500 * 1e-3 AS lat, 280 + event_id * 17 % 500 * 1e-3 AS lon, value FROM {events}""",
