@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .scalars import DEGREE_KM
+from .scalars import DEGREE_KM, EARTH_KM
 
 
 def bounds(ring: Column) -> tuple[Column, Column, Column, Column]:
@@ -26,9 +28,18 @@ def any_vertex_within(ring: Column, lat: tuple[float, float], lon: tuple[float,
     return F.exists(ring, lambda p: p["lat"].between(*lat) & p["lon"].between(*lon))
 
 
+def sides(rings: Column) -> Column:
+    """The edges (a, b) of all rings, the last of each closing it. Worth computing before a join, once for a polygon."""
+    return F.flatten(F.transform(rings, lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+
+
 def contains(rings: Column, lon: Column, lat: Column) -> Column:
     """Whether a point lies strictly inside: an odd number of crossings over all rings, and on no edge."""
-    sides = F.flatten(F.transform(rings, lambda r: F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))))
+    return within(sides(rings), lon, lat)
+
+
+def within(sides: Column, lon: Column, lat: Column) -> Column:
+    """`contains` by edges."""
 
     def turn(e: Column) -> Column:
         return (e["b"]["lon"] - e["a"]["lon"]) * (lat - e["a"]["lat"]) - (e["b"]["lat"] - e["a"]["lat"]) * (lon - e["a"]["lon"])
@@ -62,6 +73,19 @@ def area_km2(ring: Column) -> Column:
     return F.when(F.size(ring) >= 3, area).otherwise(0.0)
 
 
+def area_mixed(ring: Column) -> Column:
+    """An area in degrees times kilometres, for results that were stored in this unit; ratios of areas are the same.
+
+    Half the sum of lon * dy - lat * dx over the edges, with dx and dy in kilometres at the mean latitude.
+    """
+    km = EARTH_KM * math.pi / 180
+    after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    shrink = F.cos(F.radians(_mean_lat(ring)))
+    term = lambda a, b: a["lon"] * km * (b["lat"] - a["lat"]) - a["lat"] * km * shrink * (b["lon"] - a["lon"])
+    total = F.abs(F.aggregate(F.zip_with(ring, after, term), F.lit(0.0), lambda s, t: s + t)) / 2
+    return F.when(F.size(ring) >= 3, total).otherwise(0.0)
+
+
 def area_square_degrees(ring: Column) -> Column:
     return F.when(F.size(ring) >= 3, _shoelace(ring, lambda p: p["lon"], lambda p: p["lat"])).otherwise(0.0)
 

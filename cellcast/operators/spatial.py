@@ -64,21 +64,22 @@ def assign_gates(gates: DataFrame, polygons: DataFrame, keys: tuple[str, ...] =
     turned = F.transform("rings", lambda r: F.transform(r, lon))
     boxes = polygons.where("id <> 0 AND size(rings) > 0").select("ordinal", "id", turned.alias("rings"))
     limits = geometry.bounds(F.col("rings")[0])
-    boxes = boxes.select("*", *[c.alias(n) for c, n in zip(limits, ("lat_min", "lat_max", "lon_min", "lon_max"), strict=True)])
+    boxes = boxes.select("ordinal", "id", geometry.sides(F.col("rings")).alias("sides"), *[c.alias(n) for c, n in zip(limits, ("lat_min", "lat_max", "lon_min", "lon_max"), strict=True)])
     near = range_join(gates.select(*keys, "lat", "lon"), boxes)
-    hit = near.where(geometry.contains(F.col("rings"), F.col("lon"), F.col("lat")))
+    hit = near.where(geometry.within(F.col("sides"), F.col("lon"), F.col("lat")))
     return hit.groupBy(*keys).agg(F.min_by("id", "ordinal").alias("poly_id"))
 
 
-def footprint_max(cells: DataFrame, gates: DataFrame, products: list[str]) -> DataFrame:
+def footprint_max(cells: DataFrame, gates: DataFrame, products: list[str], unread: tuple[str, ...] = ()) -> DataFrame:
     """Of each cell (id, lat_min, lat_max, lon_min, lon_max) the largest value >= 0 of each product within its box.
 
-    One range join serves all products. A product without a value gives NULL and status N/A.
+    One range join serves all products. A product without a value gives NULL and status N/A,
+    one that couldn't be read NULL and DATASET_LOAD_ERROR.
     """
     hits = range_join(gates.where(F.col("value") >= 0).where(F.col("product").isin(products)).select("product", "lat", "lon", "value"), cells.select("id", "lat_min", "lat_max", "lon_min", "lon_max"))
     wide = hits.groupBy("id").agg(*[F.max(F.when(F.col("product") == p, F.col("value"))).alias(p) for p in products])
     out = cells.select("id").join(wide, "id", "left")
-    return out.select("id", *products, *[F.when(F.col(p).isNull(), "N/A").alias(f"{p}_status") for p in products])
+    return out.select("id", *products, *[F.when(F.col(p).isNull(), "DATASET_LOAD_ERROR" if p in unread else "N/A").alias(f"{p}_status") for p in products])
 
 
 def footprint(bbox: Column, lat: Column, lon: Column, half: float = 0.01) -> tuple[Column, Column, Column, Column]:

@@ -56,3 +56,23 @@ def detect_regions(gates: DataFrame, least: int = 25) -> DataFrame:
     )
     own = summary.join(points, ["scan", "region"]).select("scan", F.col("region").cast("int").alias("ordinal"), F.col("region").alias("id"), "num_gates", "lat", "lon", "lat_min", "lat_max", "lon_min", "lon_max", "max_refl", "ring")
     return match.covered(match.merge_cells(own))
+
+
+def match_scan(tracked: DataFrame, tracked_history: DataFrame, found: DataFrame, ts) -> tuple[DataFrame, DataFrame]:
+    """(cells, history with all vectors) after matching a scan's cells to tracked ones by position and size.
+
+    tracked: ordinal, id, num_gates, max_refl, lat, lon, one row for each copy of a cell; the copy with the longest
+    history counts. Tracked cells without a match stay, new ones are added. found has one scan and the same columns.
+    """
+    fields = ["num_gates", "max_refl", "lat", "lon"]
+    own = tracked.join(tracked_history.groupBy(F.col("cell_id").alias("id")).agg(F.count("*").alias("n_history")), "id", "left").fillna(0, ["n_history"])
+    own = cut(cells.longest_history(own).select("id", *fields))
+    last = history.latest_position(own.select(F.col("id").alias("cell_id")), tracked_history)
+    old = cut(last.select(F.lit("s").alias("scan"), F.col("cell_id").alias("id"), *fields))
+    new = cut(found.select(F.lit("s").alias("scan"), "id", *fields))
+    pairs = cut(match.best_matches(old, new).select("old_id", "new_id"))
+    after = match.apply_matches(own, old, new, pairs, fields)
+    at = F.lit(ts).cast("timestamp_ntz").alias("ts")
+    named = new.join(pairs.select(F.col("new_id").alias("id"), "old_id"), "id", "left").select(F.coalesce("old_id", "id").alias("cell_id"), at, *fields)
+    entries = history.upsert_entries(tracked_history.select("cell_id", "ts", *fields), named)
+    return after, history.vectors(entries, every=True, metres=history.scalars.LEGACY_DEGREE_M, order="ts")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellcast.operators import attributes, history, match, schedule
-from cellcast.plans import pipeline
+from cellcast.plans import config, pipeline
 from cellcast.sources import readers, writers
 from cellcast.streaming import jobs
 
@@ -57,6 +57,23 @@ def test_matches_beat_greedy(spark):
     assert best.old_id.is_unique and best.new_id.is_unique and total(best) <= total(greedy) + 1e-9
 
 
+def test_match_scan(spark):
+    schema = "ordinal int, id long, num_gates long, max_refl double, lat double, lon double"
+    tracked = spark.createDataFrame([(0, 1, 10, 50.0, 40.0, 280.0), (1, 2, 10, 50.0, 45.0, 285.0)], schema)
+    h = spark.createDataFrame([(i, 0, T[0], 50.0, 10, y, x) for i, y, x in ((1, 40.0, 280.0), (2, 45.0, 285.0))], "cell_id long, seq int, ts timestamp_ntz, max_refl double, num_gates long, lat double, lon double")
+    found = spark.createDataFrame([(0, 70, 12, 51.0, 40.02, 280.01), (1, 71, 5, 44.0, 30.0, 270.0)], schema)
+    cells, entries = pipeline.match_scan(tracked, h, found, T[1])
+    assert {(r.id, r.num_gates, r.source) for r in cells.collect()} == {(1, 12, "updated"), (2, 10, "kept"), (71, 5, "new")}
+    assert sorted((r.cell_id, r.dt) for r in entries.collect() if r.ts == T[1]) == [(1, 60.0), (71, None)]
+
+
+def test_settings():
+    assert config.Region.of([33.5, 35.7], [-79.3, 284.6]) == config.Region((33.5, 35.7), (280.7, 284.6))
+    for lat, lon in (([0, 0], [1, 2]), ([1, 2], [0, 0]), (None, [1, 2]), ([1], [1, 2])):
+        with pytest.raises(ValueError):
+            config.Region.of(lat, lon)
+
+
 def _boxes(spark, rows):
     out = [("s", k, i, n, (a + b) / 2, (a + b) / 2, a, b, a, b, [{"lon": x, "lat": y} for x, y in ((a, a), (a, b), (b, b), (b, a))]) for k, (i, n, a, b) in enumerate(rows)]
     return spark.createDataFrame(out, "scan string, ordinal int, id long, num_gates long, lat double, lon double, lat_min double, lat_max double, lon_min double, lon_max double, ring array<struct<lon:double,lat:double>>")

@@ -22,8 +22,9 @@ def test_point_in_polygon(spark):
 def test_areas_and_bounds(spark):
     r = ring(SQUARE)
     tenth = ring([(280.0, 40.0), (280.1, 40.0), (280.1, 40.1), (280.0, 40.1)])
-    row = spark.range(1).select(G.area_square_degrees(r).alias("a"), G.area_km2(tenth).alias("k"), G.area_km2(F.slice(r, 1, 2)).alias("two"), F.array(*G.bounds(r)).alias("b")).first()
+    row = spark.range(1).select(G.area_square_degrees(r).alias("a"), G.area_km2(tenth).alias("k"), G.area_km2(F.slice(r, 1, 2)).alias("two"), G.area_mixed(r).alias("m"), G.area_mixed(tenth).alias("n"), F.array(*G.bounds(r)).alias("b")).first()
     assert (row.a, row.two, row.b) == (1.0, 0.0, [0.0, 1.0, 0.0, 1.0])
+    assert abs(row.m - 111.1928096635) < 1e-6 and abs(row.n - 0.9815638821) < 1e-6
     assert abs(row.k - 111**2 * 0.01 * np.cos(np.radians(40.05))) < 1e-6
 
 
