@@ -26,7 +26,7 @@ from . import common
 PIVOTS, LENGTH = (16, 512), 64
 #: Files a vector is posted in, files a query reads, vectors of a block, and the share of a block that is reranked.
 #: Chosen for independent random directions, the hardest case for any index; measured recall is in the README.
-POSTED, READ, BLOCK, RERANK = 8, 32, 4096, 0.15
+POSTED, READ, BLOCK, RERANK = 8, 40, 4096, 0.3
 
 
 def permutations(vectors: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
