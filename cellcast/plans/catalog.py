@@ -399,9 +399,9 @@ def sweep_files(spark, sf_dir):
     return readers.sweep_files(read(spark, sf_dir, "lineitem").select(name.alias("url")), heights).select("url", "height")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in readers.DOWNLOADS) + ") t(suffix, folder)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {b not in readers.OPTIONAL})" for a, b in readers.DOWNLOADS) + ") t(suffix, folder, needed)")
 def source_catalog(spark, sf_dir):
-    return spark.createDataFrame(readers.DOWNLOADS, "suffix string, folder string")
+    return spark.createDataFrame([(*x, x in readers.CHECKED) for x in readers.DOWNLOADS], "suffix string, folder string, needed boolean")
 
 
 # --- history ---------------------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import attributes, cells, grow, history, match, shapes, spatial
+from ..sources.readers import INTEGRATED
 from ..sources.scratch import cut
 
 THRESHOLD, STEP, ROUNDS = 40.0, 8, 100
@@ -40,8 +41,12 @@ def track(old_cells: DataFrame, old_history: DataFrame, new_cells: DataFrame, ts
     return kept_cells, history.vectors(whole)
 
 
-def integrate(found: DataFrame, gates: DataFrame, polygons: DataFrame, products: list[str]) -> DataFrame:
-    """Cells (id, lat, lon, bbox, ...) with the footprint maxima of all products and the polygon attributes."""
+def integrate(found: DataFrame, gates: DataFrame, polygons: DataFrame, products: list[str] | None = None) -> DataFrame:
+    """Cells (id, lat, lon, bbox, ...) with the footprint maxima of all products and the polygon attributes.
+
+    By default the products are the keys of the integrated grids.
+    """
+    products = products or [key for *_, key in INTEGRATED]
     limits = spatial.footprint(F.col("bbox"), F.col("lat"), F.col("lon"))
     boxes = found.select("id", *[c.alias(n) for c, n in zip(limits, ("lat_min", "lat_max", "lon_min", "lon_max"), strict=True)])
     return attributes.attributes(found.join(spatial.footprint_max(boxes, gates, products), "id", "left"), polygons)

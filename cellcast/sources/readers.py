@@ -12,14 +12,38 @@ POLYGONS = "ordinal int, id long, rings array<array<struct<lon:double,lat:double
 HISTORY = "struct<timestamp:string,max_refl:double,num_gates:string,centroid:array<double>,dx:double,dy:double,dt:double>"
 CELLS = f"id string, num_gates string, centroid array<double>, bbox array<array<double>>, max_refl double, storm_history array<{HISTORY}>"
 
-#: Sources of a cycle and where they go, those that must be there for it to start, and the products integrated (fixed values).
+# The sources of a cycle (path below the server, folder), those that needn't be there for it to start,
+# the grids that are joined to cells (name, folder, key in the history), and the heights of a full stack of sweeps.
 DOWNLOADS = (
-    ("EchoTop_18_00.50/", "EchoTop18"), ("EchoTop_30_00.50/", "EchoTop30"), ("EchoTop_50_00.50/", "EchoTop50"), ("NLDN_CG_005min_AvgDensity_00.00/", "NLDN"),
-    ("PrecipRate_00.00/", "PrecipRate"), ("VIL_Density_00.50/", "VILDensity"), ("VII_00.50/", "VII"), ("RotationTrackML30min_00.50/", "RotationTrack30min"),
-    ("ReflectivityAtLowestAltitude_00.50/", "RALA"), ("RadarOnly_QPE_15M_00.00/", "QPE_15M"), ("MergedReflectivityQCComposite_00.50/", "CompRefQC"), ("PrecipFlag_00.00/", "PrecipFlag"),
-    ("MESH_00.50/", "MESH"), ("ProbSevere/", "ProbSevere"),
-)
-INTEGRATED = (("EchoTop18", "EchoTop18"), ("EchoTop30", "EchoTop30"), ("EchoTop50", "EchoTop50"), ("NLDN", "CGFlashDensity"), ("PrecipRate", "PrecipRate"), ("VII", "VII"), ("RALA", "RALA"))
+    ("2D/EchoTop_18/", "EchoTop18"),
+    ("2D/EchoTop_30/", "EchoTop30"),
+    ("2D/FLASH/QPE_FFG01H/", "FLASH"),
+    ("2D/NLDN_CG_005min_AvgDensity/", "NLDN"),
+    ("2D/PrecipRate/", "PrecipRate"),
+    ("2D/RadarOnly_QPE_01H/", "QPE_01H"),
+    ("2D/RotationTrack30min/", "RotationTrack30min"),
+    ("2D/VIL_Density/", "VILDensity"),
+    ("ProbSevere/PROBSEVERE/", "ProbSevere"),
+    ("2D/MergedRhoHV/", "RhoHV"),
+    ("2D/PrecipFlag/", "PrecipFlag"),
+    ("2D/ReflectivityAtLowestAltitude/", "RALA"),
+    ("2D/MergedReflectivityQCComposite/", "CompRefQC"),
+    ("2D/VII/", "VII"),
+)
+OPTIONAL = ("FLASH", "RhoHV")
+CHECKED = tuple(x for x in DOWNLOADS if x[1] not in OPTIONAL)
+INTEGRATED = (
+    ("NLDN", "NLDN", "CGFlashDensity"),
+    ("EchoTop18", "EchoTop18", "EchoTop18"),
+    ("EchoTop30", "EchoTop30", "EchoTop30"),
+    ("PrecipRate", "PrecipRate", "PrecipRate"),
+    ("VIL Density", "VILDensity", "VILDensity"),
+    ("Reflectivity at Lowest Altitude", "RALA", "RALA"),
+    ("VII", "VII", "VII"),
+)
+HEIGHTS = tuple(
+    "00.50 00.75 01.00 01.25 01.50 02.00 02.50 03.00 03.50 04.00 04.50 05.00 05.50 06.00 06.50 07.00 07.50 08.00 08.50 09.00 10.00 11.00 12.00 13.00 14.00 15.00".split()
+)
 
 
 def without_nan(df: DataFrame, *columns: str) -> DataFrame:
