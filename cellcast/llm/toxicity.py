@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled documents of each label that the model is fitted on (those with the smallest hashes of ids), and their longest text.
-SAMPLE, TEXT = 1000, 8_000
+SAMPLE, TEXT = 700, 8_000
 #: Weights of the chain; words stand in it by their hashes.
 WIDTH = 1 << 18
 #: A word or beginning is toxic if at least this share of toxic documents holds it, which exceeds the share of clean ones by so many standard errors and so many times.
