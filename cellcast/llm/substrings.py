@@ -163,7 +163,8 @@ def deduplicate(docs: DataFrame, window: int = 50, id: str = "doc_id", text: str
 
     known = rows.where("i IS NOT NULL").select("i", "t")
     seen = common.cut(known.mapInArrow(symbols, "s long, i long, whole boolean"))
-    several = seen.groupBy("whole", "s").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high")
+    # stored before they are joined: a join of two plain exchanges can split a very common symbol or window
+    several = common.cut(seen.groupBy("whole", "s").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high"))
     shared = seen.join(several, ["whole", "s"])
     # per document: its shared symbols, and its own hash if an earlier document has the very same words
     facts = common.cut(shared.where("NOT whole OR i > low").groupBy("i").agg(F.collect_set(F.when(~F.col("whole"), F.col("s"))).alias("s"), F.collect_set(F.when(F.col("whole"), F.col("s"))).alias("copy")))
@@ -192,7 +193,7 @@ def deduplicate(docs: DataFrame, window: int = 50, id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([_signed(value[keep]), pa.array(ids[row[start[keep]]] if len(start) else np.zeros(0, np.int64))], ["w", "i"])
 
     left = common.cut(known.join(facts, "i").select("i", "t", "s", "copy").mapInArrow(windows, "w long, i long"))
-    first = left.groupBy("w").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high").select("w", "low")
+    first = common.cut(left.groupBy("w").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high").select("w", "low"))
     later = left.join(first, "w").where("i > low").groupBy("i").agg(F.collect_set("w").alias("gone"))
     copies = facts.where(F.size("copy") > 0).select("i", "copy")
     gone = common.cut(later.join(copies, "i", "full"))
