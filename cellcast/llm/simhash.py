@@ -164,7 +164,7 @@ def links_of_sorted(group: np.ndarray, side: np.ndarray, fp: np.ndarray, tasks:
             bits = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             hit, lane = np.nonzero(bits)
             a, b = i[kept[hit]], 64 * block[kept[hit]] + lane
-            root = root[_forest(root[a], root[b], n)]
+            root = _forest(root[a], root[b], n)[root]
     moved = np.flatnonzero(root != np.arange(n))
     return fp[moved], fp[root[moved]]
 

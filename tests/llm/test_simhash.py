@@ -69,3 +69,23 @@ def test_bit_sliced_comparison():
         bits = np.zeros((len(stored), 64), bool)
         bits[kept] = np.unpackbits(found.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
         assert [i for i in range(300) if bits.ravel()[i]] == [i for i in range(300) if (int(fps[q]) ^ int(fps[i])).bit_count() <= 3]
+
+
+def test_links_found_in_several_pieces_connect_what_is_near():
+    rnd = np.random.default_rng(5)
+    for across in (False, True):
+        base = rnd.integers(0, 1 << 63, 12, dtype=np.uint64)
+        chain = [base]
+        for _ in range(24):  # each step moves away by two bits, so that groups are long chains
+            chain.append(chain[-1] ^ np.array([(1 << int(a)) | (1 << int(b)) for a, b in (rnd.choice(64, 2, replace=False) for _ in base)], np.uint64))
+        fp = np.unique(np.concatenate(chain))
+        fp = fp[rnd.permutation(len(fp))]
+        n = len(fp)
+        side = np.sort(rnd.integers(1, 3, n)) if across else np.zeros(n, np.int64)
+        near = [(i, j) for i in range(n) for j in range(i) if side[i] != side[j] or not across if (int(fp[i]) ^ int(fp[j])).bit_count() <= 3]
+        want = simhash._forest(*np.array(near).T, n)
+        for tasks in (4, 16, 1 << 18):
+            a, b = simhash.links_of_sorted(np.zeros(n, np.int64), side, fp, tasks)
+            at = {int(x): k for k, x in enumerate(fp)}
+            got = simhash._forest(np.array([at[int(x)] for x in a]), np.array([at[int(x)] for x in b]), n)
+            assert (got == want).all()
