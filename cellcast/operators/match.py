@@ -181,33 +181,49 @@ def merge_cells(cells: DataFrame, ratio: float = 0.9, km: float = 1.0) -> DataFr
             r["ring"] = np.array([(p["lon"], p["lat"]) for p in r["ring"]]).reshape(-1, 2)
         floor = ratio * max(r["num_gates"] for r in rows)
         large, small = [r for r in rows if r["num_gates"] >= floor], [r for r in rows if r["num_gates"] < floor]
+        spot = lambda r: [r[c] for c in ("lat_min", "lat_max", "lon_min", "lon_max", "lat", "lon")]
+        at = np.array([spot(r) for r in large], float)
         again = True
         while again and small:
             again, left = False, []
             for s in small:
                 dlat, dlon = km / scalars.DEGREE_KM, km / (scalars.DEGREE_KM * np.cos(np.radians(s["lat"])))
-                near = [b for b in large if s["lon_max"] + dlon >= b["lon_min"] and s["lon_min"] - dlon <= b["lon_max"] and s["lat_max"] + dlat >= b["lat_min"] and s["lat_min"] - dlat <= b["lat_max"]]
-                best = min(near, key=lambda b: np.hypot(b["lat"] - s["lat"], b["lon"] - s["lon"]), default=None)
-                if best is None or s["num_gates"] >= ratio * best["num_gates"]:
+                near = np.flatnonzero((s["lon_max"] + dlon >= at[:, 2]) & (s["lon_min"] - dlon <= at[:, 3]) & (s["lat_max"] + dlat >= at[:, 0]) & (s["lat_min"] - dlat <= at[:, 1]))
+                best = near[np.argmin(np.hypot(at[near, 4] - s["lat"], at[near, 5] - s["lon"]))] if len(near) else None
+                if best is None or s["num_gates"] >= ratio * large[best]["num_gates"]:
                     left.append(s)
                 else:
-                    join(best, s)
+                    join(large[best], s)
+                    at[best] = spot(large[best])
                     again = True
             small = left
         rest = large + small
         ring = lambda r: r["ring"] if len(r["ring"]) >= 3 else np.array([(r["lon_min"], r["lat_min"]), (r["lon_min"], r["lat_max"]), (r["lon_max"], r["lat_max"]), (r["lon_max"], r["lat_min"])])
-
-        def meet() -> tuple[int, int] | None:
-            for i in range(len(rest)):
-                for j in range(i + 1, len(rest)):
-                    if geometry.overlap_percent(ring(rest[i]), ring(rest[j]))[0] > 0:
-                        return i, j
-            return None
-
-        while (pair := meet()) is not None:
-            i, j = pair if rest[pair[0]]["num_gates"] >= rest[pair[1]]["num_gates"] else pair[::-1]
+        rings = [ring(r) for r in rest]
+        limits = np.array([(*r.min(0), *r.max(0)) for r in rings])
+        alive = np.ones(len(rest), bool)
+
+        def partner(k: int, low: int, high: int) -> int | None:
+            """The first cell from `low` to before `high` that overlaps k; only those whose boxes meet are compared."""
+            x0, y0, x1, y1 = limits[k]
+            meet = alive & (limits[:, 0] <= x1) & (limits[:, 2] >= x0) & (limits[:, 1] <= y1) & (limits[:, 3] >= y0)
+            meet[:low] = meet[high:] = meet[k] = False
+            return next((int(m) for m in np.flatnonzero(meet) if geometry.overlap_percent(rings[min(k, m)], rings[max(k, m)])[0] > 0), None)
+
+        def merge(i: int, j: int) -> int:
+            i, j = (i, j) if rest[i]["num_gates"] >= rest[j]["num_gates"] else (j, i)
             join(rest[i], rest[j])
-            del rest[j]
+            alive[j], rings[i] = False, ring(rest[i])
+            limits[i] = (*rings[i].min(0), *rings[i].max(0))
+            return i
+
+        # always the first pair that overlaps is merged: no cell before i overlaps another, and a merge changes one cell
+        for i in range(len(rest)):
+            while alive[i] and (j := partner(i, i + 1, len(rest))) is not None:
+                k = merge(i, j)
+                while (m := partner(k, 0, len(rest) if k < i else i)) is not None:
+                    k = merge(min(k, m), max(k, m))
+        rest = [r for r, here in zip(rest, alive, strict=True) if here]
         for r in rest:
             r["ring"] = [{"lon": float(x), "lat": float(y)} for x, y in r["ring"]]
         return pd.DataFrame(rest, columns=names)

@@ -576,7 +576,7 @@ def merged_groups(spark, sf_dir):
 
 @query()
 def merged_cells(spark, sf_dir):
-    return match.merge_cells(_boxed(spark, sf_dir).where("id % 7 = 0")).select("scan", "id", "num_gates")
+    return match.merge_cells(_boxed(spark, sf_dir)).select("scan", "id", "num_gates")
 
 
 @query(f"""WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM {_CB} WHERE id % 5 = 0), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.scan = b.scan AND a.id <> b.id AND a.lat_min < b.lat_max AND b.lat_min < a.lat_max AND a.lon_min < b.lon_max AND b.lon_min < a.lon_max),

@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellcast.functions import geometry
 from cellcast.operators import attributes, history, match, schedule
-from cellcast.plans import config, pipeline
+from cellcast.plans import catalog, config, pipeline, proxies
 from cellcast.sources import readers, writers
 from cellcast.streaming import jobs
 
+SF = "/root/testdata/sf0.001"
 T = [dt.datetime(2025, 10, 10, 12, m) for m in range(10)]
 
 
@@ -89,6 +91,27 @@ def test_small_cells_merge(spark):
     assert sorted((r.id, r.num_gates) for r in got) == [(1, 110), (3, 10), (4, 187)]
 
 
+def test_merging_takes_the_first_overlap_each_time(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(int(i), int(n), float(a), float(a + w)) for i, (n, a, w) in enumerate(zip(rnd.integers(1, 60, 60), rnd.random(60) * 4, rnd.random(60) * 0.04 + 0.01))] + [(90, 100, 9.0, 9.1)]
+    cells = _boxes(spark, rows)
+    rest = [[i, n, np.array([(a, a), (a, b), (b, b), (b, a)])] for i, n, a, b in rows[-1:] + rows[:-1]]
+    while True:
+        pair = next(((i, j) for i, j in itertools.combinations(range(len(rest)), 2) if geometry.overlap_percent(rest[i][2], rest[j][2])[0] > 0), None)
+        if pair is None:
+            break
+        i, j = pair if rest[pair[0]][1] >= rest[pair[1]][1] else pair[::-1]
+        rest[i][1:] = rest[i][1] + rest[j][1], geometry.convex_hull(np.concatenate([rest[i][2], rest[j][2]]))
+        del rest[j]
+    got = match.merge_cells(cells).collect()
+    assert len(rest) < 50 and sorted((r.id, r.num_gates) for r in got) == sorted((i, n) for i, n, _ in rest)
+
+
+def test_merged_cells_hold_the_gates_of_all_cells(spark):
+    total = proxies.view(spark, SF, "cells").agg(F.sum("num_gates")).first()[0]
+    assert catalog.QUERIES["merged_cells"](spark, SF).agg(F.sum("num_gates")).first()[0] == total
+
+
 def test_attributes(spark):
     cells = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     polys = spark.createDataFrame([(0, 1, {"MESH": "1"}), (1, 1, {"MESH": "12.5", "VIL": None, "LJA": "x", "SRW02KM": "3"}), (2, 2, {})], "ordinal int, id long, props map<string,string>")
