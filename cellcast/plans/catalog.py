@@ -639,7 +639,7 @@ def integrated_cells(spark, sf_dir):
 
 @query()
 def detected_regions(spark, sf_dir):
-    return pipeline.detect_regions(view(spark, sf_dir, "gates").where("value < 80")).select("scan", "id", "num_gates", "max_refl")
+    return pipeline.detect_regions(view(spark, sf_dir, "gates")).select("scan", "id", "num_gates", "max_refl")
 
 
 @query()

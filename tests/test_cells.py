@@ -112,6 +112,12 @@ def test_merged_cells_hold_the_gates_of_all_cells(spark):
     assert catalog.QUERIES["merged_cells"](spark, SF).agg(F.sum("num_gates")).first()[0] == total
 
 
+def test_regions_are_detected_on_all_gates(spark, tmp_path):
+    gates = [(k, 20 + k // 6, 30 + k % 6, 60.0) for k in range(36)]  # 6 x 6 gates of 90 dBZ
+    spark.createDataFrame(gates, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [(r.num_gates, r.max_refl) for r in catalog.QUERIES["detected_regions"](spark, str(tmp_path)).collect()] == [(36, 90.0)]
+
+
 def test_attributes(spark):
     cells = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     polys = spark.createDataFrame([(0, 1, {"MESH": "1"}), (1, 1, {"MESH": "12.5", "VIL": None, "LJA": "x", "SRW02KM": "3"}), (2, 2, {})], "ordinal int, id long, props map<string,string>")
