@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from ..sources.scratch import cut
 
 #: Seconds between polls, hours that late files count, minutes that inputs are kept.
 POLL, LATE, KEEP = "15 seconds", "1 hour", 20
+#: Scan times of a micro-batch that the tracker reads at once.
+BLOCK = 10_000
 
 
 def complete_windows(files: DataFrame, products: int, size: str = "1 minute", late: str = LATE) -> DataFrame:
@@ -66,6 +69,15 @@ def _stored(spark: SparkSession, path: str, number: int) -> DataFrame | None:
     return spark.read.parquet(f"{path}/batch={max(earlier)}") if earlier else None
 
 
+def _times(rows: DataFrame) -> Iterator[datetime.datetime]:
+    """All times of `rows` in order, read in blocks."""
+    times = rows.where("ts IS NOT NULL").select("ts").distinct()
+    rest = times
+    while block := [r.ts for r in rest.orderBy("ts").limit(BLOCK).collect()]:
+        yield from block
+        rest = times.where(F.col("ts") > F.lit(block[-1]).cast("timestamp_ntz"))
+
+
 def track(scans: DataFrame, path: str, checkpoint: str, every: str | None = POLL) -> StreamingQuery:
     """Keeps a history table of cells from a stream of whole scans (cell_id, ts, max_refl, num_gates, lat, lon).
 
@@ -78,8 +90,7 @@ def track(scans: DataFrame, path: str, checkpoint: str, every: str | None = POLL
         spark = rows.sparkSession
         state = _stored(spark, path, number)
         rows = cut(rows.select(*fields).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
-        times = [r.ts for r in rows.select("ts").distinct().orderBy("ts").limit(10_000).collect()]  # scans of one micro-batch
-        for t in times:
+        for t in _times(rows):
             now = rows.where(F.col("ts") == F.lit(t).cast("timestamp_ntz")).dropDuplicates(["cell_id"])
             if state is None:
                 state = now.withColumn("seq", F.lit(0))

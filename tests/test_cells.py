@@ -167,6 +167,17 @@ def test_tracker_stream(spark, tmp_path):
     assert sorted((r.cell_id, r.seq) for r in state.collect()) == [(2, 0), (2, 1), (2, 2)]
 
 
+def test_tracker_applies_every_scan_of_a_micro_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "BLOCK", 2)
+    folder = str(tmp_path / "in")
+    schema = "cell_id long, ts timestamp_ntz, max_refl double, num_gates long, lat double, lon double"
+    rows = [(1, T[t], 50.0 + t, 5, 40.0, 280.0) for t in range(5)] + [(2, T[4], 50.0, 5, 41.0, 280.0), (3, None, 50.0, 5, 41.0, 280.0)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    jobs.track(spark.readStream.schema(schema).parquet(folder), str(tmp_path / "state"), str(tmp_path / "cp"), every=None).awaitTermination()
+    state = jobs._stored(spark, str(tmp_path / "state"), 99)
+    assert sorted((r.cell_id, r.seq, r.ts) for r in state.collect()) == [(1, t, T[t]) for t in range(5)] + [(2, 0, T[4])]
+
+
 def test_poll_moves_forward_only(spark, tmp_path):
     folder, seen = str(tmp_path / "in"), []
     schema = "product string, ts timestamp_ntz"
