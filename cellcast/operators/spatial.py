@@ -55,6 +55,19 @@ def range_join(points: DataFrame, boxes: DataFrame, small: bool | None = None) -
     return joined.where(inside).drop("ty", "tx")
 
 
+def overlapping(boxes: DataFrame, keys: tuple[str, ...] = ("scan",)) -> DataFrame:
+    """(a, b), a < b, of boxes (keys..., id, lat_min, lat_max, lon_min, lon_max) of equal keys that share an area.
+
+    Boxes meet in the tiles that both cover; a pair counts in the tile of its common area's lowest corner only.
+    """
+    box = ("lat_min", "lat_max", "lon_min", "lon_max")
+    placed = boxes.select(*keys, "id", *box, F.explode(_tiles(*[F.col(c) for c in box])).alias("tile")).select(*keys, "id", *box, "tile.ty", "tile.tx")
+    first = placed.select(*keys, "ty", "tx", F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in box])
+    near = first.join(placed, [*keys, "ty", "tx"]).where("a < id AND a_lat_min < lat_max AND lat_min < a_lat_max AND a_lon_min < lon_max AND lon_min < a_lon_max")
+    corner = [F.floor(F.greatest(f"a_{c}", c) / TILE) for c in ("lat_min", "lon_min")]
+    return near.where((F.col("ty") == corner[0]) & (F.col("tx") == corner[1])).select("a", F.col("id").alias("b"))
+
+
 def assign_gates(gates: DataFrame, polygons: DataFrame, keys: tuple[str, ...] = ("i", "j")) -> DataFrame:
     """(keys..., poly_id) of the gates strictly inside a polygon; the first in file order (ordinal) wins.
 

@@ -582,11 +582,19 @@ def merged_cells(spark, sf_dir):
 @query(f"""WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM {_CB} WHERE id % 5 = 0), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.scan = b.scan AND a.id <> b.id AND a.lat_min < b.lat_max AND b.lat_min < a.lat_max AND a.lon_min < b.lon_max AND b.lon_min < a.lon_max),
   r(id, g) AS (SELECT id, id FROM c UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id) SELECT id, min(g) AS "group" FROM r GROUP BY id""")
 def overlap_groups(spark, sf_dir):
-    """Overlapping cells by box; the pairs come from the tile join of one cell's corners with the other's box."""
-    c = cut(_boxed(spark, sf_dir).where("id % 5 = 0").drop("ring"))
-    a, b = c.select(*[col(x).alias(f"a_{x}") for x in c.columns]), c
-    near = a.join(b, col("a_scan") == col("scan")).where("a_id < id AND a_lat_min < lat_max AND lat_min < a_lat_max AND a_lon_min < lon_max AND lon_min < a_lon_max")
-    return match.overlap_groups(near.select(col("a_id").alias("a"), col("id").alias("b")), c)
+    """Overlapping cells by box, of the cells that the SQL takes (ids divisible by 5); `all_overlap_groups` takes all."""
+    return _overlap_groups(_boxed(spark, sf_dir).where("id % 5 = 0"))
+
+
+@query()
+def all_overlap_groups(spark, sf_dir):
+    """Overlapping cells by box, of all cells."""
+    return _overlap_groups(_boxed(spark, sf_dir))
+
+
+def _overlap_groups(boxed: DataFrame) -> DataFrame:
+    c = cut(boxed.drop("ring"))
+    return match.overlap_groups(spatial.overlapping(c), c)
 
 
 @query()

@@ -91,6 +91,19 @@ def test_small_cells_merge(spark):
     assert sorted((r.id, r.num_gates) for r in got) == [(1, 110), (3, 10), (4, 187)]
 
 
+def test_overlap_groups_of_all_cells(spark, monkeypatch):
+    rnd = np.random.default_rng(6)
+    rows = [(i, 5, float(a), float(a + w)) for i, (a, w) in enumerate(zip(rnd.random(120) * 40, rnd.choice([0.02, 0.1, 0.6], 120)))]
+    group = {i: i for i, *_ in rows}
+    for _ in rows:  # the smallest id moves on by one overlap a round
+        for (i, _, a, b), (j, _, c, d) in itertools.combinations(rows, 2):
+            if a < d and c < b:
+                group[i] = group[j] = min(group[i], group[j])
+    monkeypatch.setattr(catalog, "_boxed", lambda *_: _boxes(spark, rows))
+    got = {r.id: r.group for r in catalog.QUERIES["all_overlap_groups"](spark, SF).collect()}
+    assert got == group and 10 < len(set(group.values())) < 100
+
+
 def test_merging_takes_the_first_overlap_each_time(spark):
     rnd = np.random.default_rng(4)
     rows = [(int(i), int(n), float(a), float(a + w)) for i, (n, a, w) in enumerate(zip(rnd.integers(1, 60, 60), rnd.random(60) * 4, rnd.random(60) * 0.04 + 0.01))] + [(90, 100, 9.0, 9.1)]
