@@ -40,9 +40,9 @@ _INSIDE = "g.i > s.i0 AND g.j > s.j0 AND g.i < s.i0 + s.hi AND g.j < s.j0 + s.hj
 _LABELS = f"(SELECT g.scan, g.i, g.j, arg_min(s.id, s.ordinal) AS poly_id FROM {G} g JOIN {SH} s ON s.id <> 0 AND {_INSIDE} GROUP BY ALL)"
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _labels(spark: SparkSession, sf_dir: str, shapes: str = "shapes") -> tuple[DataFrame, DataFrame]:
     gates = view(spark, sf_dir, "gates")
-    return gates, spatial.assign_gates(gates, proxies.polygons(spark, sf_dir), ("scan", "i", "j"))
+    return gates, spatial.assign_gates(gates, proxies.polygons(spark, sf_dir, shapes), ("scan", "i", "j"))
 
 
 # --- scans, filters, gates to polygons -------------------------------------------------------------------------------
@@ -129,7 +129,7 @@ def grown_labels_4_rounds(spark, sf_dir):
 
 @query()
 def grown_labels(spark, sf_dir):
-    gates, labels = _labels(spark, sf_dir)
+    gates, labels = _labels(spark, sf_dir, "all_shapes")
     return grow.expand(gates, labels).select("i", "j", "poly_id")
 
 
@@ -164,7 +164,7 @@ def label_extents(spark, sf_dir):
 
 @query()
 def label_outlines(spark, sf_dir):
-    gates, labels = _labels(spark, sf_dir)
+    gates, labels = _labels(spark, sf_dir, "all_shapes")
     return shapes.outlines(labels, gates).select("poly_id", "bbox")
 
 
@@ -636,13 +636,13 @@ def match_statistics(spark, sf_dir):
 @query()
 def detected_cells(spark, sf_dir):
     """Detection end to end: window, polygons, growth, outlines, summary."""
-    return pipeline.detect(view(spark, sf_dir, "gates"), proxies.polygons(spark, sf_dir), (25.0, 27.0), (280.0, 281.0))
+    return pipeline.detect(view(spark, sf_dir, "gates"), proxies.polygons(spark, sf_dir, "all_shapes"), (25.0, 27.0), (280.0, 281.0))
 
 
 @query()
 def integrated_cells(spark, sf_dir):
     found = view(spark, sf_dir, "cells").withColumn("bbox", F.expr("array()").cast("array<struct<lat:double,lon:double>>"))
-    return pipeline.integrate(found, view(spark, sf_dir, "products"), proxies.polygons(spark, sf_dir), ["p0", "p1"])
+    return pipeline.integrate(found, view(spark, sf_dir, "products"), proxies.polygons(spark, sf_dir, "all_shapes"), ["p0", "p1"])
 
 
 @query()

@@ -131,6 +131,17 @@ def test_regions_are_detected_on_all_gates(spark, tmp_path):
     assert [(r.num_gates, r.max_refl) for r in catalog.QUERIES["detected_regions"](spark, str(tmp_path)).collect()] == [(36, 90.0)]
 
 
+def test_queries_without_sql_take_every_supplier(spark, tmp_path):
+    gates = [(k, k // 100, k % 100, 30.0) for k in range(20_000)]
+    spark.createDataFrame(gates, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").selectExpr("*", "1 AS l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(9, 13).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.range(9, 16).selectExpr("id AS c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
+    for name, key in (("grown_labels", "poly_id"), ("label_outlines", "poly_id"), ("detected_cells", "id")):
+        assert {r[0] for r in run(name).select(key).collect()} == {10, 11, 12, 13}
+    assert {r.id for r in run("integrated_cells").where("MESH IS NOT NULL").collect()} == {10, 11, 12, 13}
+
+
 def test_attributes(spark):
     cells = spark.createDataFrame([(1,), (2,), (3,)], "id long")
     polys = spark.createDataFrame([(0, 1, {"MESH": "1"}), (1, 1, {"MESH": "12.5", "VIL": None, "LJA": "x", "SRW02KM": "3"}), (2, 2, {})], "ordinal int, id long, props map<string,string>")
