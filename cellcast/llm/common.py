@@ -10,26 +10,31 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: UTF-8 bytes of text that one Python step handles at a time; a longer text is a slice of its own.
 SLICE = 1 << 20
 
-_MULT = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MULT, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Start values and odd multipliers of hashes (fixed values).
+_SALT, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: Bytes up to which a span is hashed in lanes of eight; longer ones go through XXH64 one by one.
+LANES = 64
+_TAIL = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
 
 
 def scratch(spark: SparkSession) -> str:
     """This application's folder for intermediate tables, below the shared folder in spark.checkpoint.dir.
 
-    Only where that setting is empty (tests on one machine) a temporary folder is used and set as checkpoint folder.
-    The folder is removed when the driver's JVM ends.
+    Where that setting is empty, a temporary folder is used on a local master (tests), and anything else is an error:
+    executors don't share the driver's disk. The folder is removed when the driver's JVM ends.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cellcast-")
         context.setCheckpointDir(root)
     top = f"{root.rstrip('/')}/{context.applicationId}"
@@ -101,34 +106,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd multiplier modulo 2^64, and of its inverse, grown on demand."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of a pair of hashes, which depends on their order; for each `a` it is a bijection of `b`."""
+    return mix((mix(a + _SALT) ^ b) * _ODD)
 
-    def __init__(self, mult: int = _MULT):
-        self.mult, self.inv = mult, pow(mult, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.mult, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inv, k, 1 << 64))])
-        return self.up, self.down
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans data[start:end], the same wherever a span stands.
 
-    def total(self, values: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self.get(len(values) + 1)[0][: len(values)], out=total[1:])
-        return total
-
-    def between(self, total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((total[end] - total[start]) * self.get(len(total))[1][start] + (end - start).astype(np.uint64) * np.uint64(_INV))
-
-    def spans(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit polynomial hash of values[start:end] for each pair of bounds, the same wherever the span stands."""
-        return self.between(self.total(values), start, end)
-
-
-_POWERS = Powers()
+    Eight bytes at a time go through a non-linear mixer, so no algebraic pattern makes two spans meet; spans of equal
+    length of up to eight bytes never do.
+    """
+    size = end - start
+    value = mix(size.astype(np.uint64) ^ _SALT)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    on = np.flatnonzero((size > 0) & (size <= LANES))
+    for lane in range(0, LANES, 8):
+        on = on[size[on] > lane] if lane else on
+        if not len(on):
+            break
+        part = eight[start[on] + lane] & _TAIL[np.minimum(size[on] - lane, 8)]
+        value[on] = mix((value[on] ^ part) * _ODD)
+    for k in np.flatnonzero(size > LANES):
+        value[k] = xxhash.xxh64_intdigest(data[start[k] : end[k]].tobytes(), 42)
+    return value
 
 
 def byte_table(separators: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -163,7 +166,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray,
     after[first[1:]] = False
     end = np.flatnonzero(inside & ~after) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    return _POWERS.spans(_BYTE[folded], start, end), row, start, end
+    return span_hashes(folded, start, end), row, start, end
 
 
 def components(edges: DataFrame) -> DataFrame:

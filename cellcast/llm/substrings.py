@@ -1,14 +1,16 @@
 """Removal of long repeated passages by recompression.
 
 Every text is rewritten in rounds. A round names runs of equal symbols and then pairs of neighbours, a pair being
-named if its first symbol falls left and its second right in a random split of the alphabet. Names are hashes of what
-they stand for, so they are the same in every document and task without an exchange, and equal passages get equal
-symbols away from their ends. Symbols of at least GROWN words are finished. Each symbol carries the range of words
-that decided its existence: wherever these words stand, the symbol stands too.
+named if its first symbol falls left and its second right in a random split of the alphabet. A name is a fixed function
+of what it stands for, so every round names alike in all documents and tasks, without an exchange, and equal passages
+get equal symbols away from their ends. Symbols of at least GROWN words are finished. Each symbol carries the range of
+words that decided its existence: wherever these words stand, the symbol stands too.
 
 A window of words can only repeat in another document if each symbol whose range lies inside the window occurs in
 another document. The symbols of all documents are therefore counted, unshared symbols rule out the windows around
-them, and only the windows left (few outside real repeats) are compared, each by the hash of its words.
+them, and only the windows left (few outside real repeats) are compared. Names of 64 bits only choose what is compared:
+should two meet, a window more is compared, and none is lost. What is removed is decided by 128-bit digests of the
+windows' own bytes.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +31,6 @@ from .fm_index import remove
 GROWN, ROUNDS = 8, 8
 _U = np.uint64
 _TABLE = common.byte_table(common.SPACES, lower=False)
-_WINDOWS = common.Powers(0xD1342543DE82EF95)
 
 
 class Symbols:
@@ -112,16 +114,34 @@ def recompress(words: np.ndarray, row: np.ndarray, rounds: int = ROUNDS) -> Symb
     return symbols
 
 
-def window_hashes(words: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of every window of `width` words of one document."""
-    start = np.arange(max(0, len(words) - width + 1))
-    start = start[row[start] == row[start + width - 1]] if len(start) else start
-    return start, _WINDOWS.spans(words, start, start + width)
+def window_starts(row: np.ndarray, width: int) -> np.ndarray:
+    """The places where a window of `width` words of one document starts."""
+    start = np.arange(max(0, len(row) - width + 1))
+    return start[row[start] == row[start + width - 1]] if len(start) else start
+
+
+class Windows:
+    """128-bit digests of the windows of one document."""
+
+    def __init__(self, text: bytes):
+        self.words = text.split()
+        self.joined = b" ".join(self.words)
+        self.end = np.cumsum(np.fromiter(map(len, self.words), np.int64, len(self.words)) + 1) - 1
+
+    def whole(self) -> np.ndarray:
+        return np.frombuffer(xxhash.xxh3_128_digest(self.joined), "<i8")
+
+    def digests(self, start: np.ndarray, width: int) -> np.ndarray:
+        """[window, half] of the windows from each word in `start`."""
+        begin = np.where(start > 0, self.end[start - 1] + 1, 0).tolist()
+        digest, joined = xxhash.xxh3_128_digest, memoryview(self.joined)
+        found = [digest(joined[a:b]) for a, b in zip(begin, self.end[start + width - 1].tolist(), strict=True)]
+        return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
 
 
 def _unmarked(parse: Symbols, use: np.ndarray, row: np.ndarray, width: int) -> np.ndarray:
     """Starts of the windows that hold no usable symbol (long runs of one word). Their documents share symbol 0."""
-    start, _ = window_hashes(parse.words, row, width)
+    start = window_starts(row, width)
     edge = np.zeros(len(row) + 2, np.int64)
     first, last = np.maximum(parse.dr[use] - width, 0), np.minimum(parse.dl[use], len(row))
     ok = first <= last
@@ -140,7 +160,7 @@ def deduplicate(docs: DataFrame, window: int = 50, id: str = "doc_id", text: str
     All columns of `docs` come back, the text cut, followed by n_words, n_removed and kept_sha256 (for names that
     `docs` has already, its column stays). Windows are judged on the input. Null texts have no words and stay null.
     Rows without an id are left as they are and are no earlier copy of anything. Rows that repeat an id don't count
-    as earlier copies of each other. Words are compared by 64-bit hashes.
+    as earlier copies of each other. Windows are compared by 128-bit digests of their words.
     """
     rows = common.pack(docs, id, text)
 
@@ -152,20 +172,22 @@ def deduplicate(docs: DataFrame, window: int = 50, id: str = "doc_id", text: str
             # symbols without a window that holds all that decided them rule nothing out
             use = parse.dr - parse.dl <= window
             bound = np.searchsorted(row, np.arange(len(ids) + 1))
-            whole = _WINDOWS.spans(words, bound[:-1], bound[1:])
-            long = np.diff(bound) >= window
-            use &= long[parse.row] if len(parse.row) else use
+            long = np.flatnonzero(np.diff(bound) >= window)
+            use &= (np.diff(bound) >= window)[parse.row] if len(parse.row) else use
             bare = np.unique(row[_unmarked(parse, use, row, window)])
-            name = np.r_[parse.name[use], np.zeros(len(bare), _U), whole[long]]
-            owner = ids.astype(np.int64)[np.r_[parse.row[use], bare, np.flatnonzero(long)]]
-            kind = np.arange(len(name)) >= len(name) - int(long.sum())
-            yield pa.RecordBatch.from_arrays([_signed(name), pa.array(owner), pa.array(kind)], ["s", "i", "whole"])
+            texts = common.raw(batch.column(1))
+            whole = np.array([Windows(texts[k]).whole() for k in long], np.int64).reshape(-1, 2)
+            name = np.r_[parse.name[use].view(np.int64), np.zeros(len(bare), np.int64), whole[:, 0]]
+            more = np.r_[np.zeros(len(name) - len(long), np.int64), whole[:, 1]]
+            owner = ids.astype(np.int64)[np.r_[parse.row[use], bare, long]]
+            kind = np.arange(len(name)) >= len(name) - len(long)
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(more), pa.array(owner), pa.array(kind)], ["s", "x", "i", "whole"])
 
     known = rows.where("i IS NOT NULL").select("i", "t")
-    seen = common.cut(known.mapInArrow(symbols, "s long, i long, whole boolean"))
+    seen = common.cut(known.mapInArrow(symbols, "s long, x long, i long, whole boolean"))
     # stored before they are joined: a join of two plain exchanges can split a very common symbol or window
-    several = common.cut(seen.groupBy("whole", "s").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high"))
-    shared = seen.join(several, ["whole", "s"])
+    several = common.cut(seen.groupBy("whole", "s", "x").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high"))
+    shared = seen.join(several, ["whole", "s", "x"])
     # per document: its shared symbols, and its own hash if an earlier document has the very same words
     facts = common.cut(shared.where("NOT whole OR i > low").groupBy("i").agg(F.collect_set(F.when(~F.col("whole"), F.col("s"))).alias("s"), F.collect_set(F.when(F.col("whole"), F.col("s"))).alias("copy")))
 
@@ -183,18 +205,22 @@ def deduplicate(docs: DataFrame, window: int = 50, id: str = "doc_id", text: str
             np.add.at(edge, first[ok], 1)
             np.add.at(edge, last[ok] + 1, -1)
             ruled_out = np.cumsum(edge)[: len(words)] > 0
-            whole = _WINDOWS.spans(words, bound[:-1], bound[1:])
-            copies = np.zeros(n, bool)
-            for k, own in enumerate(batch.column(3).to_pylist()):
-                copies[k] = int(whole[k].view(np.int64)) in own
-            start, value = window_hashes(words, row, window)
-            keep = ~ruled_out[start] & ~copies[row[start]] if len(start) else np.zeros(0, bool)
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([_signed(value[keep]), pa.array(ids[row[start[keep]]] if len(start) else np.zeros(0, np.int64))], ["w", "i"])
-
-    left = common.cut(known.join(facts, "i").select("i", "t", "s", "copy").mapInArrow(windows, "w long, i long"))
-    first = common.cut(left.groupBy("w").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high").select("w", "low"))
-    later = left.join(first, "w").where("i > low").groupBy("i").agg(F.collect_set("w").alias("gone"))
+            start = window_starts(row, window)
+            start = start[~ruled_out[start]]
+            first, last = np.searchsorted(start, bound[:-1]), np.searchsorted(start, bound[1:])
+            texts, own, ids = common.raw(batch.column(1)), batch.column(3).to_pylist(), batch.column(0).to_pylist()
+            value, owner = [np.zeros((0, 2), np.int64)], []
+            for k in np.flatnonzero(last > first):
+                document = Windows(texts[k])
+                if int(document.whole()[0]) not in own[k]:  # a copy of an earlier document goes as a whole
+                    value.append(document.digests(start[first[k] : last[k]] - bound[k], window))
+                    owner.append(np.full(len(value[-1]), ids[k], np.int64))
+            value = np.concatenate(value)
+            yield pa.RecordBatch.from_arrays([pa.array(value[:, 0]), pa.array(value[:, 1]), pa.array(np.concatenate(owner) if owner else np.zeros(0, np.int64))], ["w", "x", "i"])
+
+    left = common.cut(known.join(facts, "i").select("i", "t", "s", "copy").mapInArrow(windows, "w long, x long, i long"))
+    first = common.cut(left.groupBy("w", "x").agg(F.min("i").alias("low"), F.max("i").alias("high")).where("low < high").select("w", "x", "low"))
+    later = left.join(first, ["w", "x"]).where("i > low").groupBy("i").agg(F.collect_set("w").alias("gone"))
     copies = facts.where(F.size("copy") > 0).select("i", "copy")
     gone = common.cut(later.join(copies, "i", "full"))
     schema = f"i long, t string, r {rows.schema['r'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string"
@@ -226,26 +252,25 @@ def _apply(batch: pa.RecordBatch, window: int) -> pa.RecordBatch:
     cut = batch.column(1).to_pylist()
     n_words, n_removed, kept = [], [], []
     for k, body in enumerate(texts):
-        words = body.split()
+        document = Windows(body)
+        words = document.words
         n_words.append(len(words))
-        taken = np.zeros(0, bool)
+        taken = np.zeros(len(words), bool)
         listed = gone[k].values
-        if len(words) >= window and (copy[k] or (listed is not None and len(listed))):
-            data = np.frombuffer(body, np.uint8)
-            hashes, row, start, end = common.word_hashes(data, np.array([0, len(data)]), _TABLE)
-            whole = int(_WINDOWS.spans(hashes, np.array([0]), np.array([len(hashes)])).view(np.int64)[0])
-            if whole in (copy[k] or ()):
-                taken = np.ones(len(words), bool)
-            elif listed is not None:
-                at, value = window_hashes(hashes, row, window)
-                hit = at[np.isin(value.view(np.int64), listed.to_numpy(zero_copy_only=False))]
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + window, -1)
-                taken = np.cumsum(edge)[: len(words)] > 0
+        if len(words) >= window and copy[k] and int(document.whole()[0]) in copy[k]:
+            taken[:] = True
+        elif len(words) >= window and listed is not None and len(listed):
+            value = document.digests(np.arange(len(words) - window + 1), window)[:, 0]
+            hit = np.flatnonzero(np.isin(value, listed.to_numpy(zero_copy_only=False)))
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, hit, 1)
+            np.add.at(edge, hit + window, -1)
+            taken = np.cumsum(edge)[:-1] > 0
         count = int(taken.sum())
         n_removed.append(count)
         if count:
+            data = np.frombuffer(body, np.uint8)
+            start = common.word_hashes(data, np.array([0, len(data)]), _TABLE)[2]
             cut[k] = remove(body, start, np.r_[start[1:], len(body)], taken).decode()
             words = [w for w, t in zip(words, taken.tolist(), strict=True) if not t]
         kept.append(hashlib.sha256(b" ".join(words)).hexdigest())

@@ -49,7 +49,7 @@ def features(host: pa.Array, path: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for n in GRAMS:
             start = np.arange(max(0, len(data) - n + 1))
             start = start[owner[start] == owner[start + n - 1]] if len(start) else start
-            value = common._POWERS.spans(common._BYTE[data], start, start + n)
+            value = common.span_hashes(data, start, start + n)
             found.append((common.mix(value + np.uint64(salt)) % np.uint64(WIDTH)).astype(np.int64))
             rows.append(owner[start])
     return np.concatenate(rows), np.concatenate(found)

@@ -73,28 +73,76 @@ def test_marginals_match_enumeration():
         at += n
 
 
-def test_toxic_documents_are_found_on_held_out_rows(spark):
-    import duckdb
+@pytest.mark.parametrize("size", [1, 3, 256])
+def test_marginals_by_stretches_match_one_pass(size, monkeypatch):
+    monkeypatch.setattr(toxicity, "SIZE", size)
+    rnd = np.random.default_rng(size)
+    sizes = [3, 0, 1, 50, 700, 7]
+    row = np.repeat(np.arange(6), sizes)
+    unary, edge, e = 3 * rnd.normal(size=len(row)), None, None
+    edge = 2 * rnd.normal(size=4)
+    e = np.exp(edge)
+    one, pairs = toxicity.marginals(unary, row, 6, edge, 0.4)
+    for d in range(6):
+        odds = np.exp(unary[row == d])
+        f, b = np.zeros(len(odds)), np.ones(len(odds))
+        for t in range(len(odds)):
+            f[t] = odds[t] * ((e[1] + e[3] * f[t - 1]) / (e[0] + e[2] * f[t - 1]) if t else math.exp(0.4))
+        for t in range(len(odds) - 1, 0, -1):
+            b[t - 1] = (e[2] + e[3] * odds[t] * b[t]) / (e[0] + e[1] * odds[t] * b[t])
+        assert np.allclose(one[row == d], f * b / (1 + f * b), atol=1e-12)
+        if len(odds):
+            assert np.allclose(pairs[row == d][1:].sum(1), 1) and np.allclose(pairs[row == d][1:, [1, 3]].sum(1), one[row == d][1:])
+
 
-    rows = duckdb.sql(f"SELECT doc_id, text, toxic FROM '{SF.replace('0.01', '0.1')}/documents.parquet' JOIN '{SF.replace('0.01', '0.1')}/labels.parquet' USING (doc_id) ORDER BY doc_id").fetchall()
-    held = [zlib.crc32(str(r[0]).encode()) % 3 == 1 for r in rows]
-    model = toxicity.fit([r[1] for r, h in zip(rows, held) if not h], [r[2] for r, h in zip(rows, held) if not h])
-    test = [r for r, h in zip(rows, held) if h]
-    score, spans = model.documents(pa.array([r[1] for r in test]))
-    y, said = np.array([r[2] for r in test]), score >= 0.7
-    assert said[y == 1].mean() > 0.85 and said[y == 0].mean() < 0.01
-    for (_, text, label), own in zip(test, spans):
-        assert all(0 <= a < b <= len(text.encode()) for a, b in own)
+def test_toxic_documents_are_found_on_held_out_rows(spark):
+    """The registered query: learnt from the other rows, judged on those held out."""
+    folder = SF.replace("0.01", "0.1")
+    got = queries.op4_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
+    said = {y: np.array([r.predicted for r in got if r.held_out and r.toxic == y]) for y in (0, 1)}
+    assert said[1].mean() > 0.85 and said[0].mean() < 0.01
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_long_documents_and_labels_without_documents(spark):
+    """Toxic words that only documents of over 8,000 bytes hold, and far more labels than documents."""
+    rnd = random.Random(8)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "en")]
+
+    def text(toxic):
+        own = rnd.choices(words, k=3000)
+        for _ in range(40 * toxic):
+            own.insert(rnd.randint(0, len(own)), rnd.choice(["zzrgh", "qqvex"]))
+        return " ".join(own)
+
+    rows = [(k, text(k % 2)) for k in range(160)]
+    assert min(len(t) for _, t in rows) > 8000
+    labels = spark.createDataFrame([(k, k % 2) for k in range(-20_000, 160)], "doc_id long, toxic int")
+    model = toxicity.train(_docs(spark, rows), labels, learn=F.col("doc_id") % 4 < 2)
+    got = toxicity.score(_docs(spark, rows[:]), model).where("doc_id % 4 >= 2").collect()
+    assert len(got) == 80 and all(r.predicted == r.doc_id % 2 for r in got)
+    text = dict(rows)
+    for r in got:
+        held = {text[r.doc_id].encode()[a:b].decode() for a, b in r.spans}
+        assert not r.predicted or {w for x in held for w in x.split()} & {"zzrgh", "qqvex"}
 
 
 def test_scores_of_odd_rows(spark):
-    model = toxicity.fit(["you idiot idiot fool", "a fine day", "idiot fool you", "the day is fine"] * 20, [1, 0, 1, 0] * 20)
+    texts = ["you idiot idiot fool", "a fine day", "idiot fool you", "the day is fine"]
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(80)] + [(None, 1), (3, None), (900, 1)], "doc_id long, toxic int")
+    model = toxicity.train(_docs(spark, [(k, f"{texts[k % 4]} n{k} m{k} o{k} p{k}") for k in range(80)] + [(None, "x"), (1, "a fine day"), (1, None)]), labels)
     rows = [(1, "such an IDIOT!", "x"), (2, "", "x"), (3, None, "x"), (None, "fine", "x"), (1, "such an IDIOT!", "x"), (4, "day " * 30_000, "x")]
     got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, spans string"), model).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 and r.spans == "x" for r in got)
     assert toxicity.score(spark.createDataFrame([], "doc_id long, text string"), model).count() == 0
     empty = toxicity.train(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, toxic int"))
     assert empty.documents(pa.array(["a"]))[0][0] < 0.7
+    one = toxicity.train(_docs(spark, [(1, "a b")]), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert one.documents(pa.array(["a", "", None]))[0].max() < 0.7
 
 
 # --- nearest neighbours ----------------------------------------------------------------------------------------------
