@@ -80,9 +80,11 @@ class Template:
 
 
 def format_turns(turns: DataFrame, tokenizer: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, turn, ids, mask) of every turn; a conversation's output is its turns' ids in the order (turn, ids).
+    """(conv, turn, role, text, ids, mask) of every turn; a conversation's output is its turns' ids in the order (turn, role, text).
 
-    Null roles and texts count as empty. Repeated turn numbers and repeated rows are turns of their own.
+    Null roles and texts count as empty. Repeated turn numbers and repeated rows are turns of their own, in the order
+    of their roles and texts by bytes, whatever the tokenizer; turns without a number come first. Role and text only
+    keep that order: what is read back comes from the ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,10 +93,10 @@ def format_turns(turns: DataFrame, tokenizer: str, conv: str = "conv_id", turn:
             roles, texts = ([x.decode() for x in common.raw(batch.column(k))] for k in (2, 3))
             ids, mask, bound = template.assemble(roles, texts)
             lists = [pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(x, t)) for x, t in ((ids, pa.int32()), (mask, pa.int8()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["conv", "turn", "ids", "mask"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], ["conv", "turn", "role", "text", "ids", "mask"])
 
-    plain = turns.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("r"), F.col(text).alias("t"))
-    return plain.mapInArrow(run, "conv long, turn long, ids array<int>, mask array<tinyint>")
+    plain = turns.select(F.col(conv).cast("long").alias("conv"), F.col(turn).cast("long").alias("turn"), *[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((role, "role"), (text, "text"))])
+    return plain.mapInArrow(run, "conv long, turn long, role string, text string, ids array<int>, mask array<tinyint>")
 
 
 def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
@@ -136,5 +138,5 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * 6
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    ordered = formatted.repartition("conv").sortWithinPartitions("conv", "turn", "ids").select("conv", "ids", "mask")
+    ordered = formatted.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text").select("conv", "ids", "mask")
     return ordered.mapInArrow(run, "conv long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: UTF-8 bytes of text that one Python step handles at a time; a longer text is a slice of its own.
 SLICE = 1 << 20
@@ -64,10 +65,15 @@ def pack(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).cast("long").alias("i"), F.col(text).alias("t"), F.struct(*(rest or [F.lit(0).alias("_")])).alias("r"))
 
 
+def extended(rows: DataFrame, more: str) -> StructType:
+    """The schema of `rows` and more columns; names may hold anything."""
+    return StructType([*rows.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def unpack(rows: DataFrame, docs: DataFrame, id: str, text: str, more: list[str]) -> DataFrame:
     """The columns of `docs` in their order, with the id and the new text from (i, t, r), then the columns `more`."""
     own = {id: F.col("i").cast(docs.schema[id].dataType).alias(id), text: F.col("t").alias(text)}
-    return rows.select(*[own.get(c, F.col(f"r.`{c}`").alias(c)) for c in docs.columns], *[m for m in more if m not in docs.columns])
+    return rows.select(*[own[c] if c in own else F.col(f"r.`{c}`").alias(c) for c in docs.columns], *[m for m in more if m not in docs.columns])
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = SLICE) -> Iterator[pa.RecordBatch]:

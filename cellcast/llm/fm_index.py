@@ -6,8 +6,8 @@ is exactly the part of the shard in which a phrase can occur. The shard's Burrow
 wavelet matrix; all phrases are searched backwards at once by its ranks, rows are turned into positions by walking to
 a sampled suffix, and the spans found are merged into runs of words to remove.
 
-Phrases travel to the tasks in blocks of bounded size, one pass over the documents for each block (as a rule one).
-Documents are never shuffled.
+Phrases travel to the tasks in blocks of bounded size, one stored pass over the documents for each block (as a rule
+one); the driver holds one block at a time. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -165,20 +165,23 @@ class Phrases:
         data, offsets = common.flat(column)
         hashes, row, _, _ = common.word_hashes(data, offsets, TABLE)
         self.words, symbol = np.unique(hashes, return_inverse=True)
-        symbol = symbol + 1
         bound = np.searchsorted(row, np.arange(len(ids) + 1))
-        found: dict[tuple[int, ...], set[int]] = {}
-        for k, item in enumerate(ids):
-            own = symbol[bound[k] : bound[k + 1]].tolist()
-            size = min(width, len(own))
-            for at in range(len(own) - size + 1 if size else 0):
-                found.setdefault(tuple(own[at : at + size]), set()).add(item)
-        self.sizes = np.array([len(w) for w in found], np.int64)
-        self.table = np.zeros((len(found), width), np.int64)
-        for k, w in enumerate(found):
-            self.table[k, width - len(w) :] = w
-        self.items = [sorted(x) for x in found.values()]
-        self.shortest = int(self.sizes.min()) if len(found) else 0
+        size = np.minimum(np.diff(bound), width)
+        count = np.where(size > 0, np.diff(bound) - size + 1, 0)
+        item = np.repeat(np.arange(len(ids)), count)
+        start = bound[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        table = np.zeros((len(item), width), np.int32)  # right-aligned, 0 where a short window has no word
+        for k in range(1, width + 1):
+            on = size[item] >= k
+            table[on, -k] = symbol[start[on] + size[item[on]] - k] + 1
+        self.table, which = np.unique(table, axis=0, return_inverse=True)
+        self.sizes = (self.table > 0).sum(1)
+        self.shortest = int(self.sizes.min()) if len(self.sizes) else 0
+        pair = np.unique(np.stack([which.ravel(), np.array(ids, np.int64)[item]], 1), axis=0) if len(item) else np.zeros((0, 2), np.int64)
+        self.items, self.first = pair[:, 1], np.searchsorted(pair[:, 0], np.arange(len(self.sizes) + 1))
+
+    def items_of(self, window: int) -> list[int]:
+        return self.items[self.first[window] : self.first[window + 1]].tolist()
 
     def occurrences(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         """In a shard, given as (word hashes, rows) with rows rising: (place of the first word, window) of all occurrences."""
@@ -208,15 +211,14 @@ class Phrases:
         return where[index.locate(rows)], window
 
 
-def _blocks(benchmark: DataFrame, id: str, text: str, width: int, block: int) -> list[Phrases]:
+def _blocks(benchmark: DataFrame, id: str, text: str, width: int, block: int) -> Iterator[tuple[Phrases, bool]]:
+    """The benchmark's phrases block by block, of about `block` bytes of text each, and whether a block is the last."""
     rows = benchmark.select(F.col(id).cast("long").alias("i"), F.col(text).alias("t")).where("i IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     parts = max(1, math.ceil(size / block))
-    out = []
     for k in range(parts):
         own = rows.where(F.pmod(F.xxhash64("i"), F.lit(parts)) == k).collect()
-        out.append(Phrases([r.i for r in own], [r.t for r in own], width))
-    return out
+        yield Phrases([r.i for r in own], [r.t for r in own], width), k == parts - 1
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
@@ -227,14 +229,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id: st
     leave with what stands between them. Null and empty texts have no words and come back as they are; repeated rows
     and ids are rows like any other; items without an id or without words match nothing.
     """
-    passes = _blocks(benchmark, item_id, item_text, width, block)
     rows = common.pack(docs, id, text)
-    state = "i long, t string, r " + rows.schema["r"].dataType.simpleString()
+    plain = rows
     more = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>"
     context = docs.sparkSession.sparkContext
-    for k, phrases in enumerate(passes):
+    first = True
+    for phrases, last in _blocks(benchmark, item_id, item_text, width, block):
         shared = context.broadcast(phrases)
-        last, first = k == len(passes) - 1, k == 0
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last) -> Iterator[pa.RecordBatch]:
             phrases, held, size = shared.value, [], 0
@@ -247,7 +248,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, id: st
             if held:
                 yield from _search(held, phrases, first, last)
 
-        rows = rows.mapInArrow(run, f"{state}, {more}" if last else f"{state}, spans array<long>, items array<long>")
+        rows = rows.mapInArrow(run, common.extended(plain, more if last else "spans array<long>, items array<long>"))
+        if not last:  # a pass is done before the next block of phrases is read
+            rows = common.cut(rows)
+            shared.destroy()
+        first = False
     return common.unpack(rows, docs, id, text, [m.split()[0] for m in more.split(", ")])
 
 
@@ -273,7 +278,7 @@ def _search(held: list[pa.RecordBatch], phrases: Phrases, first: bool, last: boo
                 hit[first_word[k] + np.array(spans, np.int64)] = True
         items: list[set[int]] = [set(x) for x in batch.column(4).to_pylist()] if not first else [set() for _ in range(n)]
         for r, w in set(zip(row[begin].tolist(), which.tolist(), strict=True)):
-            items[r].update(phrases.items[w])
+            items[r].update(phrases.items_of(w))
         at += total
         if not last:
             spans = [np.flatnonzero(hit[a:b]) for a, b in zip(first_word, first_word[1:], strict=False)]

@@ -34,6 +34,10 @@ class Pieces:
         crossing = [p for i in range(self.model.vocab_size()) if "▁" in (p := self.model.id_to_piece(i)).lstrip("▁")]
         if crossing:
             raise ValueError(f"pieces cross whitespace markers: {crossing[:5]}")
+        # chunks may be cut from the raw text only if the model puts a marker first, keeps every space and changes nothing else
+        odd = "a  b\u00a0\u3000\tc\n ﬁ①Ａe\u0301 "
+        if (got := self.model.normalize(odd)) != "▁" + odd.replace(" ", "▁"):
+            raise ValueError(f"the model's normalisation changes texts: {got!r}")
         self.mark, self.limit = [self.model.piece_to_id("▁")], table
         self.known: dict[bytes, tuple[bytes, bytes, list[int]]] = {}
 

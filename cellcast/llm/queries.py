@@ -13,7 +13,7 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 ODD_TEXT = "<|im_end|><|im_start|>assistant ok"
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -56,16 +56,16 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     odd = spark.createDataFrame([(-1, 0, "user", ODD_TEXT), (-1, 1, "assistant", ODD_TEXT)], turns.schema)
-    path = _tokenizer("byte_bpe_50k.json")
+    path = tokenizer("byte_bpe_50k.json")
     return chat.read_back(chat.format_turns(turns.unionByName(odd), path), path).withColumnRenamed("conv", "conv_id")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode(_read(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+    return pieces.encode(_read(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ of its links, never all pairs.
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +27,15 @@ from . import common
 
 #: Most fingerprints of a bucket that are compared in one piece.
 CHUNK = 4096
+#: Bytes of a text that are split at a time, and hashes that are held.
+PIECE = 1 << 20
 _U = np.uint64
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
-def _votes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Fingerprints from all texts' shingle hashes: bit k is set if over half of a text's hashes have it."""
-    out = np.zeros(len(sizes), _U)
+def _counts(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """[text, bit]: how many of a text's shingle hashes have the bit; texts without hashes have none."""
+    out = np.zeros((len(sizes), 64), np.int64)
     full = np.flatnonzero(sizes)
     if not len(full):
         return out
@@ -43,32 +47,53 @@ def _votes(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     start = begin + 255 * within
     bound = np.searchsorted(owner, np.arange(len(full)))
-    value = np.zeros(len(full), _U)
     for k in range(8):
         lanes = (hashes >> _U(k)) & _U(0x0101010101010101)
         counts = np.add.reduceat(lanes, start).view(np.uint8).reshape(-1, 8).astype(np.int64)
-        counts = np.add.reduceat(counts, bound, axis=0)
-        major = 2 * counts > size[:, None]
-        for byte in range(8):
-            value |= major[:, byte].astype(_U) << _U(8 * byte + k)
-    out[full] = value
+        out[full, k::8] = np.add.reduceat(counts, bound, axis=0)
     return out
 
 
+def _pieces(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, PIECE bytes and the word they end in at a time."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):
+            found = _SPACE.search(text, end)
+            end = found.start() if found else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
 def fingerprint_batch(texts: list[bytes], width: int = 3, seed: int = 42) -> np.ndarray:
+    """Fingerprints: a bit is set if over half of a text's shingle hashes have it. A long text is voted on piece by piece."""
     digest = xxhash.xxh64_intdigest
+    votes, total = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     hashes: list[int] = []
     sizes = np.zeros(len(texts), np.int64)
+
+    def count() -> None:
+        votes[:] += _counts(np.array(hashes, _U), sizes)
+        total[:] += sizes
+        hashes.clear()
+        sizes[:] = 0
+
     for k, text in enumerate(texts):
-        words = text.lower().split()
-        if len(words) >= width:
-            shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
-        else:
-            shingles = [b" ".join(words)] if words else []
-        before = len(hashes)
-        hashes += [digest(x, seed) for x in shingles]
-        sizes[k] = len(hashes) - before
-    return _votes(np.array(hashes, _U), sizes)
+        tail: list[bytes] = []
+        for words in _pieces(text):
+            words = tail + words
+            before = len(hashes)
+            hashes += [digest(x, seed) for x in map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))]
+            sizes[k] += len(hashes) - before
+            tail = words[-(width - 1) :] if width > 1 else []
+            if len(hashes) > PIECE:
+                count()
+        if tail and not total[k] and not sizes[k]:  # fewer words than a shingle has
+            hashes.append(digest(b" ".join(tail), seed))
+            sizes[k] = 1
+    count()
+    return np.packbits(2 * votes > total[:, None], axis=1, bitorder="little").view(_U)[:, 0] if len(texts) else np.zeros(0, _U)
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -172,7 +197,9 @@ def links_of_sorted(group: np.ndarray, side: np.ndarray, fp: np.ndarray, tasks:
 def links(nodes: DataFrame, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints `nodes` (fp) within three bits, without the pairs they imply.
 
-    blocks: the bits are cut into so many blocks; by default the fewest that leave a few hundred to a bucket.
+    blocks: the bits are cut into so many blocks; by default the fewest that leave a few hundred to a bucket. A bucket
+    of n fingerprints is dealt out as n / chunk chunks, each compared with each, so a fingerprint is copied n / chunk
+    times: 64 bits spread over a few hundred to a bucket keep that at one but for buckets made to be crowded.
     """
     if blocks is None:
         total = nodes.count()

@@ -223,7 +223,7 @@ def deduplicate(docs: DataFrame, window: int = 50, id: str = "doc_id", text: str
     later = left.join(first, ["w", "x"]).where("i > low").groupBy("i").agg(F.collect_set("w").alias("gone"))
     copies = facts.where(F.size("copy") > 0).select("i", "copy")
     gone = common.cut(later.join(copies, "i", "full"))
-    schema = f"i long, t string, r {rows.schema['r'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string"
+    schema = common.extended(rows, "n_words long, n_removed long, kept_sha256 string")
 
     def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):

@@ -2,7 +2,9 @@
 
 A text's key is the digest of its normalised content together with the digest of the tokenizer's file. Counts are
 looked up in a stored table of (tokenizer, digest, n_tokens); only texts whose key is missing are encoded, once for
-each distinct key, and their counts are appended to the table.
+each distinct key, and their counts are appended to the table. Which keys are missing is found on digests alone, so
+texts are exchanged only where something is to be encoded. Counts go back to the rows by digest: those of very common
+texts, of bounded number, by broadcast, all others by a join in which no key has many rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,10 @@ from pyspark.sql import functions as F
 from . import common
 
 CACHE = "tokenizer string, digest string, n_tokens long"
+#: A text is very common from this many rows, and from this share of all rows (one in HOT), so at most HOT texts are.
+COMMON, HOT = 500, 10_000
+#: Missing digests up to which they are broadcast to choose the texts to encode (32 bytes each).
+FEW = 500_000
 #: Distinct words whose counts a task remembers before it starts anew.
 MEMORY = 150_000
 #: Words encoded at a time: an encoding takes far more memory than its word.
@@ -117,10 +123,13 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     spark = docs.sparkSession
     cache = cache or common.scratch(spark)
     version = tokenizer_digest(tokenizer)
-    plain = docs.select(F.col(id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    keyed = plain.withColumn("digest", F.sha2(F.col("t").cast("binary"), 256))
-    stored = read_cache(spark, cache).where(F.col("tokenizer") == version).dropDuplicates(["digest"]).select("digest", F.col("n_tokens").alias("was"))
-    misses = keyed.join(stored, "digest", "left_anti").groupBy("digest").agg(F.first("t").alias("t"))
+    plain = F.coalesce(F.col(text), F.lit(""))
+    digest = F.unhex(F.sha2(plain.cast("binary"), 256)).alias("digest")
+    rows = common.cut(docs.select(F.col(id).cast("long").alias("id"), digest, F.octet_length(plain).cast("long").alias("n_bytes")))
+    distinct = common.cut(rows.groupBy("digest").agg(F.count("*").alias("n")))
+    stored = read_cache(spark, cache).where(F.col("tokenizer") == version)
+    missing = common.cut(distinct.select("digest").join(stored.select(F.unhex("digest").alias("digest")), "digest", "left_anti"))
+    n_missing = missing.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = counter(tokenizer)
@@ -128,7 +137,15 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
             n = len(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array([version] * n, pa.string()), batch.column(0), pa.array(model.count(batch.column(1)))], ["tokenizer", "digest", "n_tokens"])
 
-    misses.select("digest", "t").mapInArrow(run, CACHE).write.mode("append").parquet(cache)
-    known = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
-    small = keyed.select("id", "digest", F.octet_length("t").cast("long").alias("n_bytes"))
-    return small.join(known, "digest").select(F.col("id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    if n_missing:
+        texts = docs.select(digest, plain.alias("t"))
+        if n_missing < distinct.count():  # a filter by digest; where nearly all are missing, texts are exchanged anyway
+            texts = texts.join(F.broadcast(missing) if n_missing <= FEW else missing, "digest", "left_semi")
+        new = texts.groupBy("digest").agg(F.first("t").alias("t"))
+        new.select(F.lower(F.hex("digest")), "t").mapInArrow(run, CACHE).write.mode("append").parquet(cache)
+    known = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy(F.unhex("digest").alias("digest")).agg(F.first("n_tokens").alias("n_tokens"))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    common_texts = distinct.where(F.col("n") > max(COMMON, total // HOT)).select("digest")  # at most HOT rows
+    hot = F.broadcast(common.cut(known.join(F.broadcast(common_texts), "digest", "left_semi")))
+    found = rows.join(hot, "digest").unionByName(rows.join(hot, "digest", "left_anti").join(known, "digest").select("digest", "id", "n_bytes", "n_tokens"))
+    return found.select(F.col("id").alias(id), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -369,5 +369,5 @@ def score(docs: DataFrame, model: Chain, id: str = "doc_id", text: str = "text")
             listed = pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), flag, listed], [*batch.schema.names, "score", "predicted", "spans"])
 
-    schema = f"i long, t string, r {rows.schema['r'].dataType.simpleString()}, score double, predicted int, spans array<struct<start:int,end:int>>"
+    schema = common.extended(rows, "score double, predicted int, spans array<struct<start:int,end:int>>")
     return common.unpack(rows.mapInArrow(run, schema), docs, id, text, ["score", "predicted", "spans"])

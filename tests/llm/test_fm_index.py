@@ -63,6 +63,21 @@ def test_against_brute_force(spark, seed, block, shard):
         assert r.contaminated or r.text == docs[r.k][1]
 
 
+def swapped(n):
+    """Two words that polynomials modulo 2^64 can't tell apart, whatever their multiplier."""
+    text = "a"
+    for _ in range(n):
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomials_confuse(spark):
+    one, other = swapped(10)
+    docs = spark.createDataFrame([(1, one), (2, other), (3, "long words: " + "x y " * 50_000 + other)], "doc_id long, text string")
+    got = fm_index.decontaminate(docs, spark.createDataFrame([(5, one)], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_hit, r.contaminated) for r in got} == {1: (1, True), 2: (0, False), 3: (0, False)}
+
+
 def test_empty_tables(spark):
     docs, items = data(1)
     none = spark.createDataFrame([], "doc_id long, text string")

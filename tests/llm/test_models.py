@@ -209,6 +209,9 @@ def test_chat_round_trip(spark):
         chars = sum(len(chat.escape(r)) + len(chat.escape(t)) + sum(map(len, chat.CONTROLS)) for r, t in own)
         assert (got[c].n_turns, got[c].turns_sha256, got[c].loss_chars, got[c].loss_sha256, got[c].formatted_chars) == (len(own), hashlib.sha256(text.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
     assert (got[7].n_turns, got[7].loss_sha256) == (4, hashlib.sha256(b"caab").hexdigest())
+    # equal turn numbers: by role and text, not by token ids, in which zz comes before hello
+    tied = spark.createDataFrame([(8, 3, "assistant", t) for t in ("zz", "hello", "é", "a ")], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_turns(tied, path), path).first().loss_sha256 == hashlib.sha256("a hellozzé".encode()).hexdigest()
     assert chat.read_back(chat.format_turns(df.limit(0), path), path).count() == 0
     for t in odd:
         if t:

@@ -9,6 +9,7 @@ import sentencepiece
 sys.path.insert(0, str(Path(__file__).parent))
 
 import corpus_pipeline
+from cellcast.llm import toxicity
 from test_fm_index import slow as slow_decontamination
 from test_simhash import slow_components, slow_fingerprint
 from test_substrings import slow as slow_substrings
@@ -64,6 +65,33 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(tables[4])
 
 
+def test_each_text_is_scored_once_and_clashing_columns_decide_nothing(spark, tmp_path, monkeypatch):
+    """Documents that bring columns named like results, and names with dots; repeated and missing ids."""
+    scored, score = spark.sparkContext.accumulator(0), toxicity.score
+
+    def counted(docs, model, **more):
+        def count(batches):
+            for batch in batches:
+                scored.add(batch.num_rows)
+                yield batch
+
+        return score(docs.mapInArrow(count, docs.schema), model, **more)
+
+    monkeypatch.setattr(toxicity, "score", counted)
+    plain = ["a fine day", "the day is fine", "trees and stones", "rivers of stone"]
+    names = ["doc_id", "text", "predicted", "score", "fp", "n_removed", "items", "a.b", "i", "t", "r"]
+    rows = [(k if k % 9 else None, f"{plain[k % 4]} {k * k} {'idiot moron scum' if k % 5 == 0 else ''} n{k} m{k * 7}", 1, "s", 1, 1, "x", k, 1, 1, 1) for k in range(1, 200)]
+    spark.createDataFrame(rows, ", ".join(f"`{n}` {t}" for n, t in zip(names, ["long", "string", "int", "string", "int", "int", "string", "int", "int", "int", "int"]))).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], 1, int("idiot" in r[1])) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(5, "nothing of this")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()
+    assert {r["a.b"] for r in kept} == {r[7] for r in rows if "idiot" not in r[1]} and kept[0].__fields__ == names
+    done = scored.value
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(kept)
+    assert scored.value - done == len(rows)
+
+
 def test_empty_documents(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))

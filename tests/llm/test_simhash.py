@@ -89,3 +89,12 @@ def test_links_found_in_several_pieces_connect_what_is_near():
             at = {int(x): k for k, x in enumerate(fp)}
             got = simhash._forest(np.array([at[int(x)] for x in a]), np.array([at[int(x)] for x in b]), n)
             assert (got == want).all()
+
+
+def test_long_texts_are_voted_on_in_pieces(monkeypatch):
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("a bb ccc dddd é".split()) for _ in range(n)) for n in (0, 1, 2, 3, 4, 50, 900)] + ["w" * 300, "x " * 40, "  \n"]
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(simhash, "PIECE", piece)
+        assert simhash.fingerprint_batch([t.encode() for t in texts]).tolist() == [slow_fingerprint(t) for t in texts]
+    assert simhash.fingerprint_batch([]).tolist() == []

@@ -1,10 +1,15 @@
 import hashlib
 import random
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+sys.path.insert(0, str(Path(__file__).parent))
+
 from cellcast.llm import common, substrings
+from test_fm_index import swapped
 
 
 def slow(rows, width):
@@ -72,5 +77,15 @@ def test_symbols_stand_wherever_their_words_stand():
         assert seen[0] == seen[1]
 
 
+def test_words_and_texts_that_polynomials_confuse(spark):
+    """Words, and whole texts of two words, that differ as the Thue-Morse sequence and its opposite do."""
+    one, other = swapped(10)
+    around = " ".join(f"u{k}" for k in range(30))
+    rows = [(1, f"{around} {one} {around}"), (2, f"{around} {other} {around}")]
+    rows += [(3, " ".join(f"long{c}" for c in one)), (4, " ".join(f"long{c}" for c in other)), (5, "y " * 60_000)]
+    got = substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == slow(rows, 50)
+
+
 def test_empty_table(spark):
     assert substrings.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0

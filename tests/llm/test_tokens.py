@@ -61,6 +61,35 @@ def test_counts_match_the_library(spark, path, tmp_path):
     assert spark.read.parquet(cache).count() == n + 1
 
 
+def test_a_full_cache_encodes_nothing(spark, tmp_path, monkeypatch):
+    """A very common text among others; the second run finds all counts and writes nothing."""
+    monkeypatch.setattr(token_counts, "COMMON", 20)
+    rows = [(i, f"text {i} of many" if i % 3 else "the same text") for i in range(150)] + [(None, None), (7, ""), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    model, cache = Tokenizer.from_file(WORDS), str(tmp_path / "cache")
+    want = sorted((str(i), len((t or "").encode()), len(model.encode(t or "", add_special_tokens=False).ids)) for i, t in rows)
+    files = []
+    for _ in range(2):
+        got = token_counts.token_counts(df, WORDS, cache).collect()
+        assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in got) == want
+        files.append(sorted(x.name for x in (tmp_path / "cache").iterdir()))
+    assert files[0] == files[1]
+
+
+def test_a_model_that_changes_texts_is_refused():
+    class Changing:
+        vocab_size = lambda self: 0
+        normalize = lambda self, text: "▁" + " ".join(text.split()).replace(" ", "▁")
+
+    original = sentencepiece.SentencePieceProcessor
+    try:
+        sentencepiece.SentencePieceProcessor = lambda model_file: Changing()
+        with pytest.raises(ValueError, match="normalisation"):
+            pieces.Pieces(MODEL)
+    finally:
+        sentencepiece.SentencePieceProcessor = original
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pieces.encode(none, MODEL).count() == 0
