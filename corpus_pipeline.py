@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cellcast.llm import fm_index, pieces, queries, simhash, substrings, toxicity
+from cellcast.llm import common, fm_index, pieces, queries, simhash, substrings, toxicity
 
 #: What SQL can't say: hashes of shingles, trained models and a tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the toxicity model, trained on all labelled ones, doesn't reject."""
+    """The documents that the toxicity model, trained on all labelled ones, doesn't reject.
+
+    The model sees id and text only, under names of its own, so no column of the documents can stand for its verdict.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.col("doc_id"), F.col("text"), F.struct(*_all(docs)).alias("row"))
+    return toxicity.score(rows, model).where("predicted = 0").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id, and documents without an id."""
+    """Of each group of near-duplicates the document with the smallest id, and documents without an id.
+
+    Near-duplicates are those of op1: three-word shingles, fingerprints linked at three or fewer differing bits.
+    """
     gone = simhash.near_duplicates(docs).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*_all(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +41,18 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token ids and what they decode to."""
-    return pieces.encode(docs, queries._tokenizer("piece_bpe_32k.model"), keep_ids=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    """The documents' token ids and what they decode to, by doc_id; other columns end here."""
+    return pieces.encode(docs, queries.tokenizer("piece_bpe_32k.model"), keep_ids=True).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
 
 
-def _measured(found: DataFrame, docs: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
+def _all(docs: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col(f"`{c}`") for c in docs.columns]
 
-    kept = found.select(*docs.columns)
+
+def _measured(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of `docs` from `found`; a column n_chars follows the new text."""
+    kept = found.select(*_all(docs))
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
@@ -54,7 +66,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents, each one's rows stored before the next reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = common.cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
