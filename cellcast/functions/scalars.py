@@ -97,12 +97,13 @@ def name_minute(name: Column) -> Column:
     """The minute in a file's name; NULL if no pattern gives a valid date.
 
     Patterns in order, an invalid date going on to the next: 8-6 digits after the 3-D product's name, 8-6 digits
-    before `_renamed`, 8-6, 8_6, and a satellite's sYYYYDDDHHMMSSx by day of year.
+    before `_renamed`, 8-6, 8_6, and a satellite's sYYYYDDDHHMMSSx by day of year, which the year must have.
     """
     plain = [_of_two(name, p) for p in (r"MRMS_MergedReflectivityQC_3D_(\d{8})-(\d{6})", r"(\d{8})-(\d{6})_renamed", r"(\d{8})-(\d{6})", r"(\d{8})_(\d{6})", r".*(\d{8})-(\d{6}).*")]
     sat = r"s(\d{4})(\d{3})(\d{2})(\d{2})(\d{2})\d"
     year, day = _group(name, sat, 1).try_cast("int"), _group(name, sat, 2).try_cast("int")
     date = F.date_add(F.make_date(F.when(year >= 1, year), F.lit(1), F.lit(1)), day - 1)
+    date = F.when((day >= 1) & (F.year(date) == year), date)
     clock = F.concat(_group(name, sat, 3), _group(name, sat, 4), _group(name, sat, 5))
     satellite = _stamp(F.concat(F.date_format(date, "yyyyMMdd"), clock), "yyyyMMddHHmmss")
     return F.date_trunc("minute", F.coalesce(*plain, satellite)).cast("timestamp_ntz")
@@ -114,10 +115,16 @@ def name_second(name: Column) -> Column:
 
 
 def name_any(name: Column) -> Column:
-    """The timestamp in a product's name: 8 and 6 digits, 8 and 4, 8 alone, or 10 and more as seconds since 1970 (UTC)."""
-    unix = F.timestamp_seconds(_group(name, r"(\d{10,})", 1).try_cast("long")).cast("timestamp_ntz")
+    """The timestamp in a product's name; NULL if no pattern gives a valid one, and no name is an error.
+
+    Patterns in order: 8 and 6 digits, 8 and 4, just 10 as seconds since 1970 (UTC), 8 digits however many follow, then
+    of 10 and more digits 14 or 12 as a stamp, else the first 10 as seconds. A plain date so wins over a compact stamp.
+    """
+    run = _group(name, r"(\d{10,})", 1)
+    seconds = lambda text: F.timestamp_seconds(text.try_cast("long")).cast("timestamp_ntz")  # noqa: E731 - ten digits end in the year 2286
     day = _stamp(_group(name, r"(\d{8})", 1), "yyyyMMdd")
-    return F.coalesce(_of_two(name, r"(\d{8})[_.-](\d{6})"), _of_two(name, r"(\d{8})[_.-](\d{4})", "yyyyMMddHHmm"), F.when(_group(name, r"(\d{10,})", 1).isNotNull(), unix), day)
+    stamp = F.when(F.length(run) == 14, _stamp(run, "yyyyMMddHHmmss")).when(F.length(run) == 12, _stamp(run, "yyyyMMddHHmm")).otherwise(seconds(F.substring(run, 1, 10)))
+    return F.coalesce(_of_two(name, r"(\d{8})[_.-](\d{6})"), _of_two(name, r"(\d{8})[_.-](\d{4})", "yyyyMMddHHmm"), F.when(F.length(run) == 10, seconds(F.substring(run, 1, 10))), day, stamp)
 
 
 def parse_or_name(text: Column, name: Column) -> Column:

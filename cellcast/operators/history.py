@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,22 +18,26 @@ MAX_MOVE_M = 9000.0
 def kept_entries(history: DataFrame, same: list[str], id: str = "cell_id", ts: str = "ts", order: str = "seq") -> DataFrame:
     """Entries that an append keeps: those that differ from the last kept one in time and in any of `same`.
 
-    A fold over each cell's ordered entries, as the rule compares with the last kept entry, not with the last one.
-    A NULL never equals anything, so such entries are kept.
+    The rule compares with the last kept entry, not with the last one, so a cell's entries pass in order through a task
+    that remembers one entry only; a long history needs no more memory than a short one. A NULL never equals anything,
+    so such entries are kept. Of equal places in the order either may come first.
     """
-    fields = [order, *[c for c in history.columns if c not in (id, order)]]
-    entries = F.sort_array(F.collect_list(F.struct(*fields)))
-
-    def add(kept: Column, e: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        equal = F.lit(True)
-        for c in same:
-            equal = equal & F.coalesce(last[c] == e[c], F.lit(False))
-        repeats = F.coalesce(last[ts] == e[ts], F.lit(False)) | equal
-        return F.when(repeats, kept).otherwise(F.concat(kept, F.array(e)))
-
-    folded = history.groupBy(id).agg(entries.alias("e")).select(id, F.aggregate("e", F.slice("e", 1, 0), add).alias("e"))
-    return folded.select(id, F.explode("e").alias("e")).select(id, *[f"e.{c}" for c in history.columns if c != id])
+    columns = history.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None
+        fields = [id, ts, *same]
+        for batch in batches:
+            kept = []
+            for k, entry in enumerate(zip(*[batch.column(columns.index(c)).to_pylist() for c in fields], strict=True)):
+                # NaN equals NaN
+                equal = [x is not None and y is not None and (x == y or (x != x and y != y)) for x, y in zip(entry, last, strict=True)] if last else None
+                if last is None or entry[0] != last[0] or not (equal[1] or all(equal[2:])):
+                    kept.append(k)
+                    last = entry
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    return history.repartition(id).sortWithinPartitions(id, order).mapInArrow(keep, history.schema)
 
 
 def changed_entries(history: DataFrame, same: list[str], id: str = "cell_id", ts: str = "ts") -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import datetime
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -15,8 +15,17 @@ from ..sources.scratch import cut
 
 #: Seconds between polls, hours that late files count, minutes that inputs are kept.
 POLL, LATE, KEEP = "15 seconds", "1 hour", 20
-#: Scan times of a micro-batch that the tracker reads at once.
-BLOCK = 10_000
+#: Versions of a stream's table that are kept: the newest ones, as a restarted batch reads the one before.
+VERSIONS = 2
+
+
+def retained(files: DataFrame, minutes: int = KEEP, by: str = "ts") -> DataFrame:
+    """Files of a stream that are at most `minutes` older than the newest ones seen in earlier batches: the watermark drops others.
+
+    Rows of equal (product, url, time) count once, as state is kept for so long.
+    """
+    timed = files.where(F.col(by).isNotNull()).withColumn(by, F.col(by).cast("timestamp")).withWatermark(by, f"{minutes} minutes")
+    return timed.dropDuplicates(["product", "url", by])
 
 
 def complete_windows(files: DataFrame, products: int, size: str = "1 minute", late: str = LATE) -> DataFrame:
@@ -34,7 +43,8 @@ def poll(files: DataFrame, process: Callable[[SparkSession, object], None], chec
     """Calls `process(spark, minute)` when a newer minute is common to all products seen in the last hours.
 
     Seen files are kept as (product, minute) in a table below the checkpoint; progress only moves forward, also across
-    restarts. every=None processes what is there and stops.
+    restarts. `process` runs before that is stored: if the driver is lost in between, it is called again for the same
+    minute, so it must be safe to repeat. every=None processes what is there and stops.
     """
     state = f"{checkpoint.rstrip('/')}/minutes"
 
@@ -53,7 +63,7 @@ def poll(files: DataFrame, process: Callable[[SparkSession, object], None], chec
         if found is not None and (last is None or found > last):
             process(spark, found)
             known = known.withColumn("done", F.col("done") | (F.col("minute") <= F.lit(found).cast("timestamp_ntz")))
-        known.write.mode("overwrite").parquet(f"{state}/batch={number}")
+        _write(known, state, number)
 
     writer = files.writeStream.foreachBatch(batch).option("checkpointLocation", f"{checkpoint.rstrip('/')}/progress")
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
@@ -69,41 +79,50 @@ def _stored(spark: SparkSession, path: str, number: int) -> DataFrame | None:
     return spark.read.parquet(f"{path}/batch={max(earlier)}") if earlier else None
 
 
-def _times(rows: DataFrame) -> Iterator[datetime.datetime]:
-    """All times of `rows` in order, read in blocks."""
-    times = rows.where("ts IS NOT NULL").select("ts").distinct()
-    rest = times
-    while block := [r.ts for r in rest.orderBy("ts").limit(BLOCK).collect()]:
-        yield from block
-        rest = times.where(F.col("ts") > F.lit(block[-1]).cast("timestamp_ntz"))
+def _write(df: DataFrame, path: str, number: int) -> None:
+    """Stores a version of a table below `path` and removes those that no batch can read again."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+    context = df.sparkSession.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(context._jsc.hadoopConfiguration())
+    stored = sorted((int(s.getPath().getName().split("=")[1]), s.getPath()) for s in fs.listStatus(place) if s.getPath().getName().startswith("batch="))
+    for _, old in stored[:-VERSIONS]:
+        fs.delete(old, True)
 
 
 def track(scans: DataFrame, path: str, checkpoint: str, every: str | None = POLL) -> StreamingQuery:
     """Keeps a history table of cells from a stream of whole scans (cell_id, ts, max_refl, num_gates, lat, lon).
 
-    A micro-batch may hold several scans; they are applied in time order. A cell that the newest scan lacks ends with
-    its history; a repeated scan changes nothing. Versions of the table lie below `path`.
+    A micro-batch may hold any number of scans; they count in time order, all at once. A cell that a scan lacks ends
+    with its history there, and if it comes back it begins anew; scans that aren't newer than the table change nothing,
+    nor do entries without a time or cell. Of a cell's several entries of one scan one counts. The newest versions of
+    the table lie below `path`.
     """
     fields = ["cell_id", "ts", "max_refl", "num_gates", "lat", "lon"]
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         state = _stored(spark, path, number)
-        rows = cut(rows.select(*fields).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
-        for t in _times(rows):
-            now = rows.where(F.col("ts") == F.lit(t).cast("timestamp_ntz")).dropDuplicates(["cell_id"])
-            if state is None:
-                state = now.withColumn("seq", F.lit(0))
-                continue
-            last = state.agg(F.max("ts").alias("t")).first().t
-            if last is not None and t <= last:
-                continue
-            kept = state.join(now.select("cell_id"), "cell_id", "left_semi")
-            length = kept.groupBy("cell_id").agg((F.max("seq") + 1).alias("seq"))
-            added = now.join(length, "cell_id", "left").withColumn("seq", F.coalesce("seq", F.lit(0)))
-            state = cut(hist.kept_entries(kept.unionByName(added), ["max_refl", "num_gates", "lat", "lon"]).select(*fields, "seq"))
+        last = state.agg(F.max("ts").alias("t")).first().t if state is not None else None
+        rows = rows.select(*fields).withColumn("ts", F.col("ts").cast("timestamp_ntz")).where("ts IS NOT NULL AND cell_id IS NOT NULL")
+        fresh = cut((rows.where(F.col("ts") > F.lit(last).cast("timestamp_ntz")) if last else rows).dropDuplicates(["cell_id", "ts"]))
+        # scans numbered from the newest back: a row for each scan, as for the driver of a plain loop
+        scans = fresh.select("ts").distinct().withColumn("back", F.row_number().over(W.orderBy(F.desc("ts"))))
+        n = scans.count()
+        if not n:
+            if state is not None:
+                _write(state, path, number)
+            return
+        newest = W.partitionBy("cell_id").orderBy("back")
+        # of each cell the run of scans up to the newest without a gap
+        run = fresh.join(scans, "ts").withColumn("k", F.row_number().over(newest)).where("k = back").drop("k")
+        new = run.select(*fields, F.lit(None).cast("int").alias("seq"))
         if state is not None:
-            state.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+            whole = run.groupBy("cell_id").agg(F.count("*").alias("n")).where(F.col("n") == n).select("cell_id")
+            new = state.select(*fields, "seq").join(whole, "cell_id", "left_semi").unionByName(new)
+        kept = hist.kept_entries(new, ["max_refl", "num_gates", "lat", "lon"], order="ts")
+        numbered = kept.withColumn("seq", (F.row_number().over(W.partitionBy("cell_id").orderBy("ts")) - 1).cast("int"))
+        _write(numbered.select(*fields, "seq"), path, number)
 
     writer = scans.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -191,15 +191,45 @@ def test_tracker_stream(spark, tmp_path):
     assert sorted((r.cell_id, r.seq) for r in state.collect()) == [(2, 0), (2, 1), (2, 2)]
 
 
-def test_tracker_applies_every_scan_of_a_micro_batch(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(jobs, "BLOCK", 2)
-    folder = str(tmp_path / "in")
+def test_tracker_applies_every_scan_of_a_micro_batch(spark, tmp_path):
+    """More than ten thousand scans at once: one cell in all, one that misses one, one that comes last, one that ends."""
+    folder, n = str(tmp_path / "in"), 10_001
     schema = "cell_id long, ts timestamp_ntz, max_refl double, num_gates long, lat double, lon double"
-    rows = [(1, T[t], 50.0 + t, 5, 40.0, 280.0) for t in range(5)] + [(2, T[4], 50.0, 5, 41.0, 280.0), (3, None, 50.0, 5, 41.0, 280.0)]
+    at = [T[0] + dt.timedelta(seconds=30 * k) for k in range(n)]
+    rows = [(1, at[k], 50.0 + k % 2, 5, 40.0, 280.0) for k in range(n)] + [(2, at[k], 50.0 + k % 2, 5, 41.0, 280.0) for k in range(n) if k != n - 4]
+    rows += [(3, at[-1], 50.0, 5, 41.0, 280.0), (3, at[-1], 50.0, 5, 41.0, 280.0), (4, at[-2], 50.0, 5, 41.0, 280.0), (5, None, 50.0, 5, 41.0, 280.0), (None, at[-1], 50.0, 5, 41.0, 280.0)]
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
-    jobs.track(spark.readStream.schema(schema).parquet(folder), str(tmp_path / "state"), str(tmp_path / "cp"), every=None).awaitTermination()
-    state = jobs._stored(spark, str(tmp_path / "state"), 99)
-    assert sorted((r.cell_id, r.seq, r.ts) for r in state.collect()) == [(1, t, T[t]) for t in range(5)] + [(2, 0, T[4])]
+    run = lambda: jobs.track(spark.readStream.schema(schema).parquet(folder), str(tmp_path / "state"), str(tmp_path / "cp"), every=None).awaitTermination()
+    run()
+    state = jobs._stored(spark, str(tmp_path / "state"), 99).orderBy("cell_id", "seq").collect()
+    want = [(1, k, at[k]) for k in range(n)] + [(2, k, at[n - 3 + k]) for k in range(3)] + [(3, 0, at[-1])]
+    assert [(r.cell_id, r.seq, r.ts) for r in state] == want
+    for k in range(3):  # an old scan, and two new ones
+        spark.createDataFrame([(1, at[-1] + dt.timedelta(seconds=30 * k), 9.0, 5, 40.0, 280.0)], schema).coalesce(1).write.mode("append").parquet(folder)
+        run()
+    state = jobs._stored(spark, str(tmp_path / "state"), 99).orderBy("seq").collect()
+    assert [(r.cell_id, r.seq) for r in state] == [(1, k) for k in range(n + 1)] and state[-1].max_refl == 9.0
+    assert len(list((tmp_path / "state").glob("batch=*"))) == jobs.VERSIONS
+
+
+def test_streamed_files_are_kept_for_some_minutes(spark, tmp_path):
+    folder, found = str(tmp_path / "in"), []
+    schema = "product string, url string, ts timestamp_ntz"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: jobs.retained(spark.readStream.schema(schema).parquet(folder)).writeStream.foreachBatch(lambda df, n: found.extend(r.url for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    put([("A", "a", T[0]), ("A", "b", T[0] + dt.timedelta(hours=1)), ("A", "n", None)])
+    run()
+    put([("A", "c", T[0] + dt.timedelta(minutes=30)), ("A", "d", T[0] + dt.timedelta(minutes=50)), ("A", "b", T[0] + dt.timedelta(hours=1))])
+    run()
+    assert sorted(found) == ["a", "b", "d"]
+
+
+def test_kept_entries_compare_with_the_last_kept(spark):
+    h = lambda rows: spark.createDataFrame([(c, k, T[t], x, y) for k, (c, t, x, y) in enumerate(rows)], "cell_id long, seq int, ts timestamp_ntz, x double, y double").repartition(3)
+    rows = [(1, 1, 1.0, 1.0), (1, 1, 2.0, 1.0), (1, 2, 2.0, 1.0), (2, 1, 1.0, 1.0), (2, 2, 1.0, 1.0), (2, 2, 3.0, 1.0), (3, 1, None, 1.0), (3, 2, None, 1.0), (3, 3, float("nan"), 1.0), (3, 4, float("nan"), 1.0)]
+    assert sorted(r.seq for r in history.kept_entries(h(rows), ["x", "y"]).collect()) == [0, 2, 3, 5, 6, 7, 8]
+    long = h([(7, k % 5, float(k % 3), 1.0) for k in range(30_000)])
+    assert history.kept_entries(long, ["x", "y"]).count() > 10_000
 
 
 def test_poll_moves_forward_only(spark, tmp_path):

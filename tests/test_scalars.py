@@ -34,6 +34,7 @@ def test_goldens(spark, column, want):
     [
         ("MRMS_EchoTop_18_00.50_20251010-123456.grib2.gz", (12, 34)), ("MRMS_PROBSEVERE_20251010_120059.json", (12, 0)), ("s20252831234567", (12, 34)), ("x_20251399-123456", None),
         ("MRMS_MergedReflectivityQC_3D_20251010-010203.gz", (1, 2)), ("20251399-123456_20251010_010203", (1, 2)), ("plain", None), ("", None), (None, None),
+        ("s20259991234567", None), ("s20253661234567", None), ("s20250001234567", None), ("s20259991234567_20251010-010203", (1, 2)),
     ],
 )
 def test_minutes_of_names(spark, name, want):
@@ -46,6 +47,9 @@ def test_times_of_product_names(spark):
     assert value(spark, S.name_any(L("a_20251010_123456.nc"))) == datetime.datetime(2025, 10, 10, 12, 34, 56)
     assert value(spark, S.name_any(L("a_20251010.nc"))) == datetime.datetime(2025, 10, 10)
     assert value(spark, S.name_any(L("u1760099696"))) == datetime.datetime(2025, 10, 10, 12, 34, 56)
+    for name, want in (("x_20251010123456.nc", (2025, 10, 10)), ("202513991234567890123456789.nc", (2034, 3, 5, 2, 51, 52)), ("x_20251399123456.nc", None), ("x_202513991234.nc", None), ("99999999999999999999", (2286, 11, 20, 17, 46, 39)), (None, None), ("", None)):
+        got = value(spark, S.name_any(L(name).cast("string")))
+        assert got == (want and datetime.datetime(*want)), (name, got)
     assert value(spark, S.parse_or_name(L("bad"), L("20251010-123456"))) == datetime.datetime(2025, 10, 10, 12, 34, 56)
 
 
