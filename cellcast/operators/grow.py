@@ -105,26 +105,24 @@ def compete(pdf: pd.DataFrame, seed: float = 50.0, grow: float = 40.0, rounds: i
     key = _relaxed(np.where(core, np.arange(value.size).reshape(shape), _FAR), ~core, core, 0, _FAR)
     roots = np.unique(key[core])
     gate = np.flatnonzero(core)
-    pairs = {(int(np.searchsorted(roots, key.ravel()[g])) + 1, int(g)) for g in gate}
-    claimed, frontier = core.ravel().copy(), pairs.copy()
-    can = (value >= grow).ravel()
+    region = np.searchsorted(roots, key.ravel()[gate]) + 1
+    claimed, can = np.pad(core, 1), np.pad(value >= grow, 1)
+    wide = shape[1] + 2
+    gate = (gate // shape[1] + 1) * wide + gate % shape[1] + 1  # in the padded grid every gate has eight neighbours
+    found = [(region, gate)]
+    around = np.array([dy * wide + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
     for _ in range(rounds):
-        fresh = set()
-        for region, g in frontier:
-            y, x = divmod(g, shape[1])
-            for dy in (-1, 0, 1):
-                for dx in (-1, 0, 1):
-                    if 0 <= y + dy < shape[0] and 0 <= x + dx < shape[1]:
-                        other = (y + dy) * shape[1] + x + dx
-                        if can[other] and not claimed[other]:
-                            fresh.add((region, other))
-        if not fresh:
+        other = (gate[:, None] + around).ravel()
+        owner = np.repeat(region, len(around))
+        free = can.ravel()[other] & ~claimed.ravel()[other]
+        pairs = np.unique(np.stack([owner[free], other[free]], 1), axis=0)
+        if not len(pairs):
             break
-        pairs |= fresh
-        claimed[[g for _, g in fresh]] = True
-        frontier = fresh
-    region, gate = (np.array(x) for x in zip(*sorted(pairs), strict=True)) if pairs else (np.zeros(0, int),) * 2
-    return pd.DataFrame({"region": region, "i": gate // shape[1] + i0, "j": gate % shape[1] + j0})
+        region, gate = pairs.T
+        claimed.ravel()[gate] = True
+        found.append((region, gate))
+    region, gate = (np.concatenate(x) for x in zip(*found, strict=True))
+    return pd.DataFrame({"region": region, "i": gate // wide - 1 + i0, "j": gate % wide - 1 + j0})
 
 
 def per_scan(gates: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -139,5 +137,5 @@ def per_scan(gates: DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], sche
 
 
 def competing_regions(gates: DataFrame, seed: float = 50.0, grow: float = 40.0, rounds: int = 100) -> DataFrame:
-    """(scan, region, i, j) of every scan by `compete`."""
-    return per_scan(gates, lambda pdf: compete(pdf, seed, grow, rounds), "region long, i long, j long")
+    """(scan, region, i, j) of every scan by `compete`; only gates that can belong to a region are brought together."""
+    return per_scan(gates.where(F.col("value") >= min(seed, grow)), lambda pdf: compete(pdf, seed, grow, rounds), "region long, i long, j long")

@@ -1,7 +1,7 @@
 """Matching, merging and terminating cells.
 
 Assignment, termination and merging are sequential within a scan, so they run as one group for each scan (a few
-thousand cells at most); the pairs they start from come from band joins.
+thousand cells at most); the pairs they start from come from joins by bands and tiles.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
+from . import spatial
 
 
 def candidate_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -42,8 +43,11 @@ def assign(cost: np.ndarray) -> np.ndarray:
         out[back] = np.arange(cost.shape[1])
         return out
     n, m = cost.shape
-    u, v, owner = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)
-    for row in range(n):
+    # rows begin with their cheapest column if it is free; only the others need a path
+    u, v, owner, nearest = cost.min(1), np.zeros(m + 1), np.full(m + 1, -1), cost.argmin(1)
+    firsts = np.unique(nearest, return_index=True)
+    owner[firsts[0]] = firsts[1]
+    for row in np.setdiff1d(np.arange(n), firsts[1]):
         owner[m], at = row, m  # the virtual column m starts the path
         least, via, done = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
         while owner[at] >= 0:
@@ -69,22 +73,40 @@ def assign(cost: np.ndarray) -> np.ndarray:
 def best_matches(old: DataFrame, new: DataFrame) -> DataFrame:
     """(scan, old_id, new_id, cost) of the one-to-one assignment of least total cost.
 
-    Pairs that aren't candidates cost the penalty and count in the total; only pairs below it are returned.
+    Pairs that aren't candidates cost the penalty and count in the total; only pairs below it are returned. As no
+    candidate costs more than the penalty, cells that no chain of candidates connects never decide each other's match:
+    each connected part of a scan is solved on its own.
     """
-    ids = old.select("scan", F.col("id").alias("old_id"), F.lit(None).cast("long").alias("new_id"), F.lit(None).cast("double").alias("cost"))
-    ids = ids.unionByName(new.select("scan", F.lit(None).cast("long").alias("old_id"), F.col("id").alias("new_id"), F.lit(None).cast("double").alias("cost")))
-    rows = ids.unionByName(candidate_pairs(old, new))
 
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pairs = pdf[pdf.cost.notna()]
-        rows, cols = np.unique(pdf.old_id.dropna().astype("int64")), np.unique(pdf.new_id.dropna().astype("int64"))
-        cost = np.full((len(rows), len(cols)), scalars.MATCH_PENALTY)
-        cost[np.searchsorted(rows, pairs.old_id.astype("int64")), np.searchsorted(cols, pairs.new_id.astype("int64"))] = pairs.cost
-        col = assign(cost) if cost.size else np.full(len(rows), -1)
-        kept = [(key[0], rows[r], cols[c], cost[r, c]) for r, c in enumerate(col) if c >= 0 and cost[r, c] < scalars.MATCH_PENALTY]
+        rows, a = np.unique(pdf.old_id, return_inverse=True)
+        cols, b = np.unique(pdf.new_id, return_inverse=True)
+        part = connected(a, b + len(rows), len(rows) + len(cols))[a]
+        kept = []
+        for p in np.unique(part):
+            own = np.flatnonzero(part == p)
+            r, i = np.unique(a[own], return_inverse=True)
+            c, j = np.unique(b[own], return_inverse=True)
+            cost = np.full((len(r), len(c)), scalars.MATCH_PENALTY)
+            cost[i, j] = pdf.cost.to_numpy()[own]
+            kept += [(key[0], rows[r[k]], cols[c[m]], cost[k, m]) for k, m in enumerate(assign(cost)) if m >= 0 and cost[k, m] < scalars.MATCH_PENALTY]
         return pd.DataFrame(kept, columns=["scan", "old_id", "new_id", "cost"])
 
-    return rows.groupBy("scan").applyInPandas(solve, "scan string, old_id long, new_id long, cost double")
+    return candidate_pairs(old, new).groupBy("scan").applyInPandas(solve, "scan string, old_id long, new_id long, cost double")
+
+
+def connected(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of n nodes reaches over links (a, b)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
@@ -124,20 +146,18 @@ def covered(cells: DataFrame, percent: float = 67.0, order: str = "num_gates", s
     def rest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([order, "ordinal"], ascending=[False, True])
         rings = [np.array([(p["lon"], p["lat"]) for p in r]).reshape(-1, 2) for r in pdf.ring]
-        boxes = [(*r.min(0), *r.max(0)) if len(r) else None for r in rings]
-        alive: list[int] = []
+        nothing = (np.inf, np.inf, -np.inf, -np.inf)
+        boxes = np.array([(*r.min(0), *r.max(0)) if len(r) else nothing for r in rings]).reshape(-1, 4)
+        alive = np.ones(len(rings), bool)
         for k, box in enumerate(boxes):
-            hit = False
-            for m in alive:
-                other = boxes[m]
-                if box and other and box[0] <= other[2] and other[0] <= box[2] and box[1] <= other[3] and other[1] <= box[3]:
-                    share = geometry.overlap_percent(rings[k], rings[m])[1]
-                    hit = share > percent if strict else share >= percent
-                    if hit:
-                        break
-            if not hit:
-                alive.append(k)
-        return pdf.iloc[alive]
+            earlier = boxes[:k]
+            meet = alive[:k] & (earlier[:, 0] <= box[2]) & (earlier[:, 2] >= box[0]) & (earlier[:, 1] <= box[3]) & (earlier[:, 3] >= box[1])
+            for m in np.flatnonzero(meet):  # only cells whose boxes meet are compared
+                share = geometry.overlap_percent(rings[k], rings[m])[1]
+                if share > percent if strict else share >= percent:
+                    alive[k] = False
+                    break
+        return pdf[alive]
 
     return cells.groupBy("scan").applyInPandas(rest, cells.schema)
 
@@ -152,8 +172,7 @@ def nearest_large(cells: DataFrame, ratio: float = 0.9, km: float = 1.0) -> Data
     small = ranked.where("num_gates < floor")
     box = ("lat_min", "lat_max", "lon_min", "lon_max")
     large = ranked.where("num_gates >= floor").select("scan", *[F.col(c).alias(f"l_{c}") for c in ("id", "num_gates", "lat", "lon", *box)])
-    lat_buffer, lon_buffer = scalars.degree_buffer(F.col("lat"), km)
-    near = small.join(large, "scan").where(scalars.beside(tuple(F.col(c) for c in box), tuple(F.col(f"l_{c}") for c in box), lat_buffer, lon_buffer))
+    near = spatial.beside(small, large, km)
     distance = F.sqrt(F.pow(F.col("lat") - F.col("l_lat"), 2) + F.pow(F.col("lon") - F.col("l_lon"), 2))
     best = near.groupBy("scan", "id", "num_gates").agg(F.min(F.struct(distance.alias("d"), F.col("l_id").alias("large_id"), F.col("l_num_gates").alias("gates"))).alias("b"))
     return best.where(F.col("num_gates") < F.col("b.gates") * ratio).select("scan", "id", "b.large_id")

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions import geometry, scalars
 
-#: Rows up to which the polygon or cell side of a join is broadcast; beyond, both sides are exchanged by tile.
-BROADCAST_ROWS = 50_000
-#: Side of a tile in degrees.
-TILE = 0.25
+#: Bytes up to which the polygon or cell side of a join, dealt out by tile, is broadcast; beyond, both sides are exchanged by tile.
+BROADCAST_BYTES = 32 << 20
+#: Smallest side of a tile in degrees.
+LEAST_TILE = 1e-3
+_BOX = ("lat_min", "lat_max", "lon_min", "lon_max")
 
 
 def window(gates: DataFrame, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
-    """Gates within limits, both included, in either order; the predicate reaches the parquet scan."""
+    """Gates within limits, both included, in either order; the predicate reaches the scan of plain columns.
+
+    A file's own longitudes may need turning: `readers.grid` takes limits and filters before it does.
+    """
     return gates.where(F.col("lat").between(min(lat), max(lat)) & F.col("lon").between(min(lon), max(lon)))
 
 
@@ -33,23 +40,48 @@ def polygons_in(polygons: DataFrame, lat: tuple[float, float], lon: tuple[float,
     return polygons.where(geometry.any_vertex_within(F.col("rings")[0], tuple(sorted(lat)), tuple(sorted(limits))))
 
 
-def _tiles(lat_min: Column, lat_max: Column, lon_min: Column, lon_max: Column) -> Column:
-    """The tiles that a box covers."""
-    span = lambda a, b: F.sequence(F.floor(a / TILE), F.floor(b / TILE))
-    return F.flatten(F.transform(span(lat_min, lat_max), lambda y: F.transform(span(lon_min, lon_max), lambda x: F.struct(y.alias("ty"), x.alias("tx")))))
+def tile_side(boxes: DataFrame) -> float:
+    """A tile's side in degrees that fits `boxes`: their mean side, and at least the root of their mean area.
+
+    A box then covers four tiles on average at most, whatever the mixture of sizes, and candidates are few.
+    """
+    high, wide = F.col("lat_max") - F.col("lat_min"), F.col("lon_max") - F.col("lon_min")
+    r = boxes.agg(F.avg(high).alias("h"), F.avg(wide).alias("w"), F.sqrt(F.avg(high * wide)).alias("a")).first()  # one row
+    return max(LEAST_TILE, r.h or 0.0, r.w or 0.0, r.a or 0.0)
+
+
+def _tiles(box: tuple[Column, ...], tile: float) -> Column:
+    """The tiles that a box (lat_min, lat_max, lon_min, lon_max) covers."""
+    span = lambda a, b: F.sequence(F.floor(a / tile), F.floor(b / tile))
+    return F.flatten(F.transform(span(box[0], box[1]), lambda y: F.transform(span(box[2], box[3]), lambda x: F.struct(y.alias("ty"), x.alias("tx")))))
+
+
+def _dealt(boxes: DataFrame, box: tuple[Column, ...], tile: float) -> DataFrame:
+    """A row of `boxes` for each tile (ty, tx) that its box covers."""
+    return boxes.where(box[0] <= box[1]).where(box[2] <= box[3]).withColumn("tile", F.explode(_tiles(box, tile))).select("*", "tile.ty", "tile.tx").drop("tile")
+
+
+def _bytes(rows: DataFrame) -> int:
+    """About how many bytes rows take in memory, by their numbers of fields and of array elements."""
+    arrays = [f.name for f in rows.schema if isinstance(f.dataType, ArrayType)]
+    size = F.lit(16 * len(rows.columns))
+    for c in arrays:
+        size = size + 64 * F.coalesce(F.size(c), F.lit(0))
+    return rows.agg(F.sum(size)).first()[0] or 0
 
 
 def range_join(points: DataFrame, boxes: DataFrame, small: bool | None = None) -> DataFrame:
     """Points (lat, lon, ...) with the boxes (lat_min, lat_max, lon_min, lon_max, ...) around them, edges included.
 
-    An equi-join on tiles comes before the exact test, so the work follows the number of matches and of tiles, not the
-    product of both sides. The box side is broadcast only if it is known to be small.
+    An equi-join on tiles of about the boxes' size comes before the exact test, so the work follows the number of
+    matches and of tiles, not the product of both sides. The box side is broadcast only if it is small when dealt out
+    by tiles, edges of polygons included. Boxes with a missing or inverted limit hold nothing.
     """
+    tile = tile_side(boxes)
+    covered = _dealt(boxes, tuple(F.col(c) for c in _BOX), tile)
     if small is None:
-        small = boxes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    covered = boxes.withColumn("tile", F.explode(_tiles(F.col("lat_min"), F.col("lat_max"), F.col("lon_min"), F.col("lon_max"))))
-    covered = covered.select("*", "tile.ty", "tile.tx").drop("tile")
-    placed = points.withColumn("ty", F.floor(F.col("lat") / TILE)).withColumn("tx", F.floor(F.col("lon") / TILE))
+        small = _bytes(covered) <= BROADCAST_BYTES
+    placed = points.withColumn("ty", F.floor(F.col("lat") / tile)).withColumn("tx", F.floor(F.col("lon") / tile))
     joined = placed.join(F.broadcast(covered) if small else covered, ["ty", "tx"])
     inside = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max"))
     return joined.where(inside).drop("ty", "tx")
@@ -60,14 +92,28 @@ def overlapping(boxes: DataFrame, keys: tuple[str, ...] = ("scan",)) -> DataFram
 
     Boxes meet in the tiles that both cover; a pair counts in the tile of its common area's lowest corner only.
     """
-    box = ("lat_min", "lat_max", "lon_min", "lon_max")
-    placed = boxes.select(*keys, "id", *box, F.explode(_tiles(*[F.col(c) for c in box])).alias("tile")).select(*keys, "id", *box, "tile.ty", "tile.tx")
-    first = placed.select(*keys, "ty", "tx", F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in box])
+    tile = tile_side(boxes)
+    placed = _dealt(boxes.select(*keys, "id", *_BOX), tuple(F.col(c) for c in _BOX), tile)
+    first = placed.select(*keys, "ty", "tx", F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in _BOX])
     near = first.join(placed, [*keys, "ty", "tx"]).where("a < id AND a_lat_min < lat_max AND lat_min < a_lat_max AND a_lon_min < lon_max AND lon_min < a_lon_max")
-    corner = [F.floor(F.greatest(f"a_{c}", c) / TILE) for c in ("lat_min", "lon_min")]
+    corner = [F.floor(F.greatest(f"a_{c}", c) / tile) for c in ("lat_min", "lon_min")]
     return near.where((F.col("ty") == corner[0]) & (F.col("tx") == corner[1])).select("a", F.col("id").alias("b"))
 
 
+def beside(small: DataFrame, large: DataFrame, km: float, keys: tuple[str, ...] = ("scan",)) -> DataFrame:
+    """Rows of `small` (keys..., lat, a box) with those of `large` (keys..., l_ and the box's names) whose box is within `km` of theirs.
+
+    They meet in the tiles that the widened and the other box cover; a pair comes once for each tile that both cover.
+    """
+    lat_buffer, lon_buffer = scalars.degree_buffer(F.col("lat"), km)
+    wide = [F.col("lat_min") - lat_buffer, F.col("lat_max") + lat_buffer, F.col("lon_min") - lon_buffer, F.col("lon_max") + lon_buffer]
+    tile = tile_side(small.select(*[c.alias(n) for c, n in zip(wide, _BOX, strict=True)]))
+    other = tuple(F.col(f"l_{c}") for c in _BOX)
+    tile = max(tile, tile_side(large.select(*[c.alias(n) for c, n in zip(other, _BOX, strict=True)])))
+    near = _dealt(small, tuple(wide), tile).join(_dealt(large, other, tile), [*keys, "ty", "tx"])
+    return near.where(scalars.beside(tuple(F.col(c) for c in _BOX), other, lat_buffer, lon_buffer)).drop("ty", "tx")
+
+
 def assign_gates(gates: DataFrame, polygons: DataFrame, keys: tuple[str, ...] = ("i", "j")) -> DataFrame:
     """(keys..., poly_id) of the gates strictly inside a polygon; the first in file order (ordinal) wins.
 
@@ -83,16 +129,17 @@ def assign_gates(gates: DataFrame, polygons: DataFrame, keys: tuple[str, ...] =
     return hit.groupBy(*keys).agg(F.min_by("id", "ordinal").alias("poly_id"))
 
 
-def footprint_max(cells: DataFrame, gates: DataFrame, products: list[str], unread: tuple[str, ...] = ()) -> DataFrame:
+def footprint_max(cells: DataFrame, gates: DataFrame, products: list[str], unread: Mapping[str, str] | tuple[str, ...] = ()) -> DataFrame:
     """Of each cell (id, lat_min, lat_max, lon_min, lon_max) the largest value >= 0 of each product within its box.
 
-    One range join serves all products. A product without a value gives NULL and status N/A,
-    one that couldn't be read NULL and DATASET_LOAD_ERROR.
+    One range join serves all products. A product without a value gives NULL and status N/A. `unread` names products
+    that couldn't be used, with their status (see readers.grid_status); a plain tuple means DATASET_LOAD_ERROR.
     """
-    hits = range_join(gates.where(F.col("value") >= 0).where(F.col("product").isin(products)).select("product", "lat", "lon", "value"), cells.select("id", "lat_min", "lat_max", "lon_min", "lon_max"))
+    failed = dict(unread) if isinstance(unread, Mapping) else dict.fromkeys(unread, "DATASET_LOAD_ERROR")
+    hits = range_join(gates.where(F.col("value") >= 0).where(F.col("product").isin(products)).select("product", "lat", "lon", "value"), cells.select("id", *_BOX))
     wide = hits.groupBy("id").agg(*[F.max(F.when(F.col("product") == p, F.col("value"))).alias(p) for p in products])
     out = cells.select("id").join(wide, "id", "left")
-    return out.select("id", *products, *[F.when(F.col(p).isNull(), "DATASET_LOAD_ERROR" if p in unread else "N/A").alias(f"{p}_status") for p in products])
+    return out.select("id", *products, *[F.when(F.col(p).isNull(), failed.get(p, "N/A")).alias(f"{p}_status") for p in products])
 
 
 def footprint(bbox: Column, lat: Column, lon: Column, half: float = 0.01) -> tuple[Column, Column, Column, Column]:

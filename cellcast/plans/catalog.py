@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import datetime
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry, scalars
 from ..operators import attributes, cells, grow, history, match, schedule, shapes, spatial
 from ..sources import readers, writers
-from ..sources.scratch import cut
+from ..sources.scratch import cut, place
 from ..streaming import jobs
 from . import pipeline, proxies
 from .proxies import read, sql, view
@@ -40,9 +39,9 @@ _INSIDE = "g.i > s.i0 AND g.j > s.j0 AND g.i < s.i0 + s.hi AND g.j < s.j0 + s.hj
 _LABELS = f"(SELECT g.scan, g.i, g.j, arg_min(s.id, s.ordinal) AS poly_id FROM {G} g JOIN {SH} s ON s.id <> 0 AND {_INSIDE} GROUP BY ALL)"
 
 
-def _labels(spark: SparkSession, sf_dir: str, shapes: str = "shapes") -> tuple[DataFrame, DataFrame]:
+def _labels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     gates = view(spark, sf_dir, "gates")
-    return gates, spatial.assign_gates(gates, proxies.polygons(spark, sf_dir, shapes), ("scan", "i", "j"))
+    return gates, spatial.assign_gates(gates, proxies.polygons(spark, sf_dir), ("scan", "i", "j"))
 
 
 # --- scans, filters, gates to polygons -------------------------------------------------------------------------------
@@ -127,9 +126,9 @@ def grown_labels_4_rounds(spark, sf_dir):
     return grow.expand(gates, labels, rounds=4, tile=64).select("i", "j", "poly_id")
 
 
-@query()
+@query(_grown_sql(100))
 def grown_labels(spark, sf_dir):
-    gates, labels = _labels(spark, sf_dir, "all_shapes")
+    gates, labels = _labels(spark, sf_dir)
     return grow.expand(gates, labels).select("i", "j", "poly_id")
 
 
@@ -141,7 +140,19 @@ def strong_components(spark, sf_dir):
     return grow.components(view(spark, sf_dir, "gates"), 60.0, tile=64).select("i", "j", "root_i", "root_j")
 
 
-@query()
+def _competing_sql(rounds: int) -> str:
+    """Components of strong gates by recursion, then rounds of claims; a round without claims leaves the rest empty."""
+    parts = [f"WITH RECURSIVE g AS MATERIALIZED (SELECT i, j, value, CAST(i AS BIGINT) * 2097152 + j AS n FROM {G} WHERE value >= 40)"]
+    parts.append("s AS MATERIALIZED (SELECT * FROM g WHERE value >= 50), e AS MATERIALIZED (SELECT a.n AS a, b.n AS b FROM s a JOIN s b ON (b.i = a.i AND b.j IN (a.j - 1, a.j + 1)) OR (b.j = a.j AND b.i IN (a.i - 1, a.i + 1)))")
+    parts.append("c(n, root) AS (SELECT n, n FROM s UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.n AND c.root < e.b), k AS MATERIALIZED (SELECT n, min(root) AS root FROM c GROUP BY n)")
+    parts.append("r0 AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY root) AS region, n // 2097152 AS i, n % 2097152 AS j, 0 AS r FROM k)")
+    for t in range(1, rounds + 1):
+        near = f"SELECT DISTINCT o.region, o.i + d.x AS i, o.j + f.x AS j FROM r{t - 1} o, (VALUES (-1), (0), (1)) d(x), (VALUES (-1), (0), (1)) f(x) WHERE o.r = {t - 1}"
+        parts.append(f"r{t} AS MATERIALIZED (SELECT * FROM r{t - 1} UNION ALL SELECT n.region, n.i, n.j, {t} FROM ({near}) n JOIN g ON g.i = n.i AND g.j = n.j WHERE NOT EXISTS (SELECT 1 FROM r{t - 1} o WHERE o.i = n.i AND o.j = n.j))")
+    return ", ".join(parts) + f" SELECT region, i, j FROM r{rounds}"
+
+
+@query(_competing_sql(100))
 def competing_regions(spark, sf_dir):
     return grow.competing_regions(view(spark, sf_dir, "gates")).select("region", "i", "j")
 
@@ -164,7 +175,7 @@ def label_extents(spark, sf_dir):
 
 @query()
 def label_outlines(spark, sf_dir):
-    gates, labels = _labels(spark, sf_dir, "all_shapes")
+    gates, labels = _labels(spark, sf_dir)
     return shapes.outlines(labels, gates).select("poly_id", "bbox")
 
 
@@ -385,13 +396,37 @@ def scan_completeness(spark, sf_dir):
     return schedule.completeness(_stack(spark, sf_dir), 7)
 
 
-@query("""SELECT name, count(*) AS n FROM (SELECT regexp_extract(line, 'href="([^"]+)"', 1) AS name FROM (SELECT unnest(string_split(html, chr(10))) AS line FROM pages))
-  WHERE name <> '' AND name NOT LIKE '%/' AND name NOT LIKE '%?%' AND name NOT LIKE '%=%' AND lower(name) NOT LIKE '%latest%' AND name NOT LIKE '%..%' AND (regexp_matches(name, '\\.(gz|grib2|nc|json)$') OR regexp_matches(name, '\\d{8}-\\d{6}')) GROUP BY name""")
+# a listing's line for each order: data files of two kinds of names, and lines that are none
+_LINE = """CASE o_orderkey % 9 WHEN 0 THEN '<a href="../">parent</a>' WHEN 1 THEN '<a href="MRMS_latest.grib2.gz">x</a>' WHEN 2 THEN '<a href="sub/">sub</a>' WHEN 3 THEN '<a href="?C=N;O=D">N</a>'
+  WHEN 4 THEN concat('<a href="f', CAST(o_custkey AS STRING), '.nc">f</a> <a href="g.nc">g</a>') WHEN 5 THEN concat('<a href="e_20250110-', CAST(100000 + o_custkey % 100 AS STRING), '">e</a>')
+  WHEN 6 THEN '<a href="readme.txt">r</a>' WHEN 7 THEN 'no link.gz' ELSE concat('<a href="p', CAST(o_custkey % 50 AS STRING), '.json">p</a>') END"""
+
+
+@query("""SELECT name, count(*) AS n FROM (SELECT CASE o_orderkey % 9 WHEN 4 THEN 'f' || o_custkey || '.nc' WHEN 5 THEN 'e_20250110-' || (100000 + o_custkey % 100) WHEN 8 THEN 'p' || o_custkey % 50 || '.json' END AS name FROM orders)
+  WHERE name IS NOT NULL GROUP BY name""")
 def listing_names(spark, sf_dir):
-    lines = read(spark, sf_dir, "pages").select(F.explode(F.split("html", "\n")).alias("value"))
+    lines = read(spark, sf_dir, "orders").selectExpr(f"{_LINE} AS value")
     return readers.listing(lines).groupBy("name").agg(F.count("*").alias("n"))
 
 
+@query(SQL["listing_names"])
+def compressed_listing(spark, sf_dir):
+    """The same listing from a gzip file, which is read as it is."""
+    path = place(spark)
+    read(spark, sf_dir, "orders").selectExpr(f"{_LINE} AS value").write.option("compression", "gzip").text(path)
+    return readers.listing(spark.read.text(path)).groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT folder, needed, count(o_orderkey) AS n FROM (VALUES (0, 'EchoTop18', true), (1, 'EchoTop30', true), (2, 'FLASH', false), (3, 'NLDN', true), (4, 'PrecipRate', true), (5, 'QPE_01H', true), (6, 'RotationTrack30min', true), (7, 'VILDensity', true),
+  (8, 'ProbSevere', true), (9, 'RhoHV', false), (10, 'PrecipFlag', true), (11, 'RALA', true), (12, 'CompRefQC', true), (13, 'VII', true)) t(k, folder, needed) LEFT JOIN orders ON o_orderkey % 17 = k GROUP BY ALL""")
+def source_catalog(spark, sf_dir):
+    """Files by the source that the first part of their url names; urls of no source are left out."""
+    sources = spark.createDataFrame([(*x, x in readers.CHECKED) for x in readers.DOWNLOADS], "suffix string, folder string, needed boolean")
+    suffixes = F.array(*[F.lit(x) for x, _ in readers.DOWNLOADS], *[F.lit("2D/other/")] * 3)
+    urls = read(spark, sf_dir, "orders").select(F.concat(suffixes[(col("o_orderkey") % 17).cast("int")], F.lit("x_"), col("o_orderkey").cast("string")).alias("url"))
+    return sources.join(urls.select(F.regexp_extract("url", "^(.*/)", 1).alias("suffix"), "url"), "suffix", "left").groupBy("folder", "needed").agg(F.count("url").alias("n"))
+
+
 @query("SELECT url, height FROM (SELECT concat('/d/MRMS_MergedReflectivityQC_', lpad(CAST(l_linenumber AS VARCHAR), 2, '0'), '.00_', CAST(l_orderkey AS VARCHAR)) AS url, lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || '.00' AS height FROM lineitem) WHERE height IN ('01.00', '03.00')")
 def sweep_files(spark, sf_dir):
     name = F.concat(F.lit("/d/MRMS_MergedReflectivityQC_"), F.lpad(col("l_linenumber").cast("string"), 2, "0"), F.lit(".00_"), col("l_orderkey").cast("string"))
@@ -534,9 +569,14 @@ def best_matches(spark, sf_dir):
     return match.best_matches(*_scans(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS MATERIALIZED (SELECT scan, old_id, new_id, cost, row_number() OVER (PARTITION BY scan ORDER BY cost, old_id, new_id) AS k FROM ({_CAND}) WHERE cost < 1),
+  -- pairs that come first for both of their cells are taken, pairs that share a cell with them go, until none is left
+  t(scan, old_id, new_id, cost, k, taken) AS (SELECT *, k = min(k) OVER (PARTITION BY scan, old_id) AND k = min(k) OVER (PARTITION BY scan, new_id) FROM p UNION ALL
+  SELECT scan, old_id, new_id, cost, k, k = min(k) OVER (PARTITION BY scan, old_id) AND k = min(k) OVER (PARTITION BY scan, new_id) FROM
+  (SELECT *, bool_or(taken) OVER (PARTITION BY scan, old_id) OR bool_or(taken) OVER (PARTITION BY scan, new_id) AS gone FROM t) WHERE NOT gone)
+  SELECT scan, old_id, new_id, round(cost, 9) AS cost FROM t WHERE taken""")
 def greedy_matches(spark, sf_dir):
-    return match.greedy_matches(match.candidate_pairs(*_scans(spark, sf_dir)))
+    return match.greedy_matches(match.candidate_pairs(*_scans(spark, sf_dir))).withColumn("cost", F.round("cost", 9))
 
 
 _M = f"(SELECT c.old_id, c.new_id FROM (SELECT id AS old_id, id + 10 AS new_id FROM {_A}) c JOIN {_B} b ON b.id = c.new_id)"
@@ -579,17 +619,20 @@ def merged_cells(spark, sf_dir):
     return match.merge_cells(_boxed(spark, sf_dir)).select("scan", "id", "num_gates")
 
 
-@query(f"""WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM {_CB} WHERE id % 5 = 0), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.scan = b.scan AND a.id <> b.id AND a.lat_min < b.lat_max AND b.lat_min < a.lat_max AND a.lon_min < b.lon_max AND b.lon_min < a.lon_max),
-  r(id, g) AS (SELECT id, id FROM c UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id) SELECT id, min(g) AS "group" FROM r GROUP BY id""")
+_GROUPS = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM {_CB}), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.scan = b.scan AND a.id <> b.id AND a.lat_min < b.lat_max AND b.lat_min < a.lat_max AND a.lon_min < b.lon_max AND b.lon_min < a.lon_max),
+  r(id, g) AS (SELECT id, id FROM c UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id WHERE r.g < e.b) SELECT id, min(g) AS "group" FROM r GROUP BY id"""
+
+
+@query(_GROUPS)
 def overlap_groups(spark, sf_dir):
-    """Overlapping cells by box, of the cells that the SQL takes (ids divisible by 5); `all_overlap_groups` takes all."""
-    return _overlap_groups(_boxed(spark, sf_dir).where("id % 5 = 0"))
+    """Overlapping cells by box, of all cells; pairs come from a tile join."""
+    return _overlap_groups(_boxed(spark, sf_dir))
 
 
-@query()
+@query(_GROUPS)
 def all_overlap_groups(spark, sf_dir):
-    """Overlapping cells by box, of all cells."""
-    return _overlap_groups(_boxed(spark, sf_dir))
+    """The same as `overlap_groups`, which took a part of the cells once."""
+    return overlap_groups(spark, sf_dir)
 
 
 def _overlap_groups(boxed: DataFrame) -> DataFrame:
@@ -597,12 +640,26 @@ def _overlap_groups(boxed: DataFrame) -> DataFrame:
     return match.overlap_groups(spatial.overlapping(c), c)
 
 
-@query()
+_AREA = "(lat_max - lat_min) * (lon_max - lon_min)"
+
+
+def _uncovered_sql(share: str, order: str) -> str:
+    """Cells in their order one by one; a cell stays if none that stayed covers it."""
+    return f"""WITH RECURSIVE c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY {order} DESC, id) AS k FROM (SELECT *, {_AREA} AS area, {_AREA} * 12321 * cos(radians((lat_min + lat_max) / 2)) AS km2 FROM {_CB})),
+  o AS MATERIALIZED (SELECT a.scan, a.k, list(b.k) AS over FROM c a JOIN c b ON a.scan = b.scan AND b.k < a.k AND
+  100 * greatest(0, least(a.lat_max, b.lat_max) - greatest(a.lat_min, b.lat_min)) * greatest(0, least(a.lon_max, b.lon_max) - greatest(a.lon_min, b.lon_min)) / a.area {share} GROUP BY ALL),
+  w AS MATERIALIZED (SELECT c.scan, c.k, o.over FROM c LEFT JOIN o USING (scan, k)),
+  r(scan, k, alive) AS (SELECT scan, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM c GROUP BY scan UNION ALL
+  SELECT r.scan, w.k, CASE WHEN w.over IS NOT NULL AND list_has_any(w.over, r.alive) THEN r.alive ELSE list_append(r.alive, w.k) END FROM r JOIN w ON w.scan = r.scan AND w.k = r.k + 1),
+  f AS (SELECT scan, unnest(arg_max(alive, k)) AS k FROM r GROUP BY scan) SELECT scan, id FROM c JOIN f USING (scan, k)"""
+
+
+@query(_uncovered_sql(">= 67 - 1e-9", "num_gates"))
 def uncovered_cells(spark, sf_dir):
     return match.covered(_boxed(spark, sf_dir)).select("scan", "id")
 
 
-@query()
+@query(_uncovered_sql("> 80 + 1e-9", "km2"))
 def uncovered_by_area(spark, sf_dir):
     c = _boxed(spark, sf_dir).withColumn("area", geometry.area_km2(col("ring")))
     return match.covered(c, 80.0, order="area", strict=True).select("scan", "id")
@@ -636,13 +693,21 @@ def match_statistics(spark, sf_dir):
 @query()
 def detected_cells(spark, sf_dir):
     """Detection end to end: window, polygons, growth, outlines, summary."""
-    return pipeline.detect(view(spark, sf_dir, "gates"), proxies.polygons(spark, sf_dir, "all_shapes"), (25.0, 27.0), (280.0, 281.0))
+    return pipeline.detect(view(spark, sf_dir, "gates"), proxies.polygons(spark, sf_dir), (25.0, 27.0), (280.0, 281.0))
 
 
-@query()
+def _integrated_sql() -> str:
+    near = " ".join(f"LEFT JOIN (SELECT c.id, max(value) AS {p} FROM {CE} c JOIN {PR} g ON g.product = '{p}' AND g.value >= 0 AND g.lat BETWEEN c.lat - 1e-2 AND c.lat + 1e-2 AND g.lon BETWEEN c.lon - 1e-2 AND c.lon + 1e-2 GROUP BY c.id) {p} ON {p}.id = c.id" for p in ("p0", "p1"))
+    found = ", ".join(f"CASE WHEN s.id IS NOT NULL THEN {'CAST(s.id AS DOUBLE)' if name == 'MESH' else '0e0'} END AS \"{name}\", CASE WHEN s.id IS NULL THEN 'NO_MATCH' END AS \"{name}_status\"" for name in attributes.SOURCES)
+    status = ", ".join(f"{p}.{p}, CASE WHEN {p}.{p} IS NULL THEN 'N/A' END AS {p}_status" for p in ("p0", "p1"))
+    return f"SELECT c.id, c.scan, c.num_gates, c.max_refl, round(c.lat, 6) AS lat, round(c.lon, 6) AS lon, {status}, {found} FROM {CE} c {near} LEFT JOIN (SELECT DISTINCT id FROM {SH}) s ON s.id = c.id"
+
+
+@query(_integrated_sql())
 def integrated_cells(spark, sf_dir):
     found = view(spark, sf_dir, "cells").withColumn("bbox", F.expr("array()").cast("array<struct<lat:double,lon:double>>"))
-    return pipeline.integrate(found, view(spark, sf_dir, "products"), proxies.polygons(spark, sf_dir, "all_shapes"), ["p0", "p1"])
+    done = pipeline.integrate(found, view(spark, sf_dir, "products"), proxies.polygons(spark, sf_dir), ["p0", "p1"])
+    return done.drop("bbox").withColumns({"lat": F.round("lat", 6), "lon": F.round("lon", 6)})
 
 
 @query()
@@ -658,13 +723,19 @@ def tracked_history(spark, sf_dir):
     return pipeline.track(old.select("cell_id").distinct(), old.select(*columns), found.drop("ts", "seq", "value"), _NOW)[1]
 
 
-@query(f"SELECT cell_id, count(*) AS n FROM {HI} GROUP BY cell_id")
+@query(f"""SELECT cell_id, count(*) AS n, arg_max(num_gates, ts) AS num_gates, arg_max(max_refl, ts) AS max_refl, round(arg_max(lat, ts), 4) AS lat, round(arg_max(lon, ts), 4) AS lon, strftime(arg_min(ts, seq), '%Y-%m-%dT%H:%M:%S') AS first_timestamp,
+  round(arg_max(lon, seq), 4) AS last_lon, arg_max(max_refl, seq) AS last_refl FROM {HI} GROUP BY cell_id""")
 def exported_cells(spark, sf_dir):
-    """Cells written as JSON and read again: as many entries as went in."""
+    """Cells written as JSON and read again."""
     h = view(spark, sf_dir, "history")
     rows = writers.export(history.latest(h, order="ts"), h)
-    parsed = F.from_json("json", "struct<id:long,storm_history:array<struct<timestamp:string>>>")
-    return rows.select(parsed.alias("r")).select(col("r.id").alias("cell_id"), F.size("r.storm_history").cast("long").alias("n"))
+    entry = "struct<timestamp:string,max_refl:double,num_gates:long,centroid:array<double>>"
+    r = rows.select(F.from_json("json", f"struct<id:long,num_gates:long,max_refl:double,centroid:array<double>,storm_history:array<{entry}>>").alias("r")).select("r.*")
+    last = F.element_at("storm_history", -1)
+    return r.select(
+        col("id").alias("cell_id"), F.size("storm_history").cast("long").alias("n"), "num_gates", "max_refl", col("centroid")[0].alias("lat"), col("centroid")[1].alias("lon"),
+        col("storm_history")[0]["timestamp"].alias("first_timestamp"), last["centroid"][1].alias("last_lon"), last["max_refl"].alias("last_refl"),
+    )
 
 
 @query(f"SELECT h AS start FROM (SELECT DISTINCT product, date_trunc('hour', ts) AS h FROM {FI}) GROUP BY h HAVING count(*) = 5 AND h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM {FI})")
@@ -693,8 +764,7 @@ def _drained(stream: DataFrame) -> DataFrame:
     def keep(rows: DataFrame, number: int) -> None:
         parts.append(cut(rows))
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    run = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/stream-{len(parts)}-{datetime.datetime.now().timestamp()}").trigger(availableNow=True).start()
+    run = stream.writeStream.foreachBatch(keep).option("checkpointLocation", place(spark)).trigger(availableNow=True).start()
     run.awaitTermination()
     out = parts[0]
     for p in parts[1:]:
@@ -708,7 +778,6 @@ def geojson_polygons(spark, sf_dir):
     rows = read(spark, sf_dir, "nation").select("n_nationkey").orderBy("n_nationkey").collect()
     features = [{"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[-80, 25], [-79, 25], [-80, 26]]]}, "properties": {"ID": str(r.n_nationkey), "MESH": None}} for r in rows]
     table = spark.createDataFrame([(json.dumps({"features": features}),)], "value string")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{folder}/geojson-{datetime.datetime.now().timestamp()}"
+    path = place(spark)
     table.write.text(path)
     return readers.polygons(spark, path).select(col("id").cast("int").alias("id"), F.size(col("rings")[0]).alias("corners"))

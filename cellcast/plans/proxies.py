@@ -18,9 +18,7 @@ VIEWS = {
         FROM {lineitem} GROUP BY 1, 2, 3, 4""",
     # four products on the grid
     "products": """SELECT concat('p', CAST(l_linenumber % 4 AS STRING)) AS product, 25 + l_partkey % 200 * 1e-2 AS lat, 280 + l_suppkey % 100 * 1e-2 AS lon, CAST(l_quantity AS DOUBLE) - 10 AS value FROM {lineitem}""",
-    "all_shapes": _SHAPES,
-    # those that the SQL of queries takes
-    "shapes": f"{_SHAPES} WHERE s_suppkey % 5 = 0 OR s_suppkey < 10",
+    "shapes": _SHAPES,
     "cells": """SELECT concat('s', CAST(c_custkey % 10 AS STRING)) AS scan, c_custkey AS id, c_custkey % 97 + 1 AS num_gates, 40e0 + c_custkey % 25 AS max_refl,
         25 + c_custkey * 7919 % 1000 * 1e-3 AS lat, 280 + c_custkey * 6271 % 1000 * 1e-3 AS lon FROM {customer}""",
     "history": """SELECT user_id AS cell_id, event_id AS seq, ts, CAST(event_id % 2 AS DOUBLE) AS max_refl, event_id % 2 AS num_gates, 25 + event_id * 31 % 500 * 1e-3 AS lat, 280 + event_id * 17 % 500 * 1e-3 AS lon, value FROM {events}""",
@@ -40,9 +38,9 @@ def sql(name: str) -> str:
     return f"({VIEWS[name].format(**{t: t for t in TABLES})})"
 
 
-def polygons(spark: SparkSession, sf_dir: str, name: str = "shapes") -> DataFrame:
-    """The shapes (or all_shapes) as polygons (ordinal, id, rings, props), longitudes -180..180 as they come from files."""
-    s = view(spark, sf_dir, name)
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shapes as polygons (ordinal, id, rings, props), longitudes -180..180 as they come from files."""
+    s = view(spark, sf_dir, "shapes")
     point = lambda i, j: F.struct((280 + j * 1e-2 - 360).alias("lon"), (25 + i * 1e-2).alias("lat"))
     a, b, c, d = point(F.col("i0"), F.col("j0")), point(F.col("i0") + F.col("hi"), F.col("j0")), point(F.col("i0") + F.col("hi"), F.col("j0") + F.col("hj")), point(F.col("i0"), F.col("j0") + F.col("hj"))
     ring = F.when(F.col("triangle"), F.array(a, b, d)).otherwise(F.array(a, b, c, d))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType
 
 from ..functions import scalars
 
@@ -41,8 +43,9 @@ INTEGRATED = (
     ("Reflectivity at Lowest Altitude", "RALA", "RALA"),
     ("VII", "VII", "VII"),
 )
-HEIGHTS = tuple(
-    "00.50 00.75 01.00 01.25 01.50 02.00 02.50 03.00 03.50 04.00 04.50 05.00 05.50 06.00 06.50 07.00 07.50 08.00 08.50 09.00 10.00 11.00 12.00 13.00 14.00 15.00".split()
+HEIGHTS = (
+    "00.50", "00.75", "01.00", "01.25", "01.50", "02.00", "02.50", "03.00", "03.50", "04.00", "04.50", "05.00", "05.50",
+    "06.00", "06.50", "07.00", "07.50", "08.00", "08.50", "09.00", "10.00", "11.00", "12.00", "13.00", "14.00", "15.00",
 )
 
 
@@ -51,20 +54,67 @@ def without_nan(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
 
 
-def grid(spark: SparkSession, path: str, variables: tuple[str, ...] = ("value", "reflectivity_combined", "unknown"), lat: tuple[str, ...] = ("lat", "latitude", "y"), lon: tuple[str, ...] = ("lon", "longitude", "x")) -> DataFrame:
+#: Names under which a grid's values, coordinates and times may stand, in the order of preference (fixed values).
+VALUES, LATITUDES, LONGITUDES = ("value", "reflectivity_combined", "unknown"), ("lat", "latitude", "y"), ("lon", "longitude", "x")
+TIMES = ("time", "valid_time", "forecast_time", "reference_time")
+
+
+def _pick(columns: list[str], names: tuple[str, ...]) -> str | None:
+    by_lower = {c.lower(): c for c in columns}
+    return next((by_lower[n] for n in names if n in by_lower), None)
+
+
+def grid(
+    spark: SparkSession, path: str, variables: tuple[str, ...] = VALUES, lat: tuple[str, ...] = LATITUDES, lon: tuple[str, ...] = LONGITUDES,
+    lat_limits: tuple[float, float] | None = None, lon_limits: tuple[float, float] | None = None,
+) -> DataFrame:
     """Gates (.., lat, lon, value) from a long parquet table, under any of several column names, case-insensitively.
 
-    Longitudes become 0..360 and NaN NULL. The columns stay plain, so filters and pruning reach the scan where they can.
+    Longitudes become 0..360 and NaN NULL. Limits (both included, longitudes 0..360) are turned into the file's own
+    longitudes, of either convention, and so reach the scan. A table without such a column is an error: grid_status
+    tells in advance.
     """
     found = spark.read.parquet(path)
-    by_lower = {c.lower(): c for c in found.columns}
-    pick = lambda names: next(by_lower[n] for n in names if n in by_lower)
-    value, y, x = pick(variables), pick(lat), pick(lon)
-    rest = [c for c in found.columns if c not in (value, y, x)]
+    value, y, x = (_pick(found.columns, names) for names in (variables, lat, lon))
+    if None in (value, y, x):
+        raise ValueError(f"no column of {variables if value is None else lat if y is None else lon} in {path}")
+    if lat_limits:
+        found = found.where(F.col(y).between(min(lat_limits), max(lat_limits)))
+    if lon_limits:
+        a, b = min(lon_limits), max(lon_limits)
+        found = found.where(F.col(x).between(a, b) | (F.col(x).between(a - 360, b - 360) & (F.col(x) < 0)))
+    rest = [F.col(f"`{c}`") for c in found.columns if c not in (value, y, x)]
     plain = found.select(*rest, F.col(y).cast("double").alias("lat"), scalars.lon_360(F.col(x).cast("double")).alias("lon"), F.col(value).cast("double").alias("value"))
     return without_nan(plain, "value")
 
 
+def grid_status(spark: SparkSession, path: str, variables: tuple[str, ...] = VALUES) -> str | None:
+    """Why a grid can't be used, as the status that its cells get, or None if it can.
+
+    DATASET_LOAD_ERROR: not there or not readable; EMPTY_DATASET: no gates; VAR_NOT_FOUND: no column of values or of
+    coordinates. Grids too large for memory have no status here, as none is ever loaded whole.
+    """
+    try:
+        found = spark.read.parquet(path)
+        if found.isEmpty():
+            return "EMPTY_DATASET"
+    except PySparkException:
+        return "DATASET_LOAD_ERROR"
+    return None if all(_pick(found.columns, names) for names in (variables, LATITUDES, LONGITUDES)) else "VAR_NOT_FOUND"
+
+
+def grid_time(gates: DataFrame, name: str) -> DataFrame:
+    """(ts), one row: the time in a grid's name, or else the first of its time columns, as timestamps or nanoseconds since 1970."""
+    column = _pick(gates.columns, TIMES)
+    named = scalars.name_any(F.lit(name))
+    if column is None:
+        return gates.sparkSession.range(1).select(named.alias("ts"))
+    own = F.col(column)
+    if isinstance(gates.schema[column].dataType, (LongType, IntegerType, DoubleType)):
+        own = F.timestamp_micros((own / 1000).cast("long"))
+    return gates.agg(F.coalesce(named, F.min(own.cast("timestamp_ntz"))).alias("ts"))
+
+
 def dense_grid(axes: DataFrame) -> DataFrame:
     """(i, j, lat, lon) of every gate of a grid given by rows (lat0, lon0, step, n_lat, n_lon)."""
     rows = axes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_lat") - 1)))

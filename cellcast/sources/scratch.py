@@ -5,18 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` as a stored table: loops keep a short plan, and a lost executor costs no earlier round."""
-    spark, context = df.sparkSession, df.sparkSession.sparkContext
+def place(spark: SparkSession) -> str:
+    """A new name in the shared folder; what is stored there goes when the driver ends."""
+    context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:  # one machine, as in tests
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='cellcast-')}"
         context.setCheckpointDir(folder)
     path = f"{folder.rstrip('/')}/{context.applicationId}-{uuid.uuid4().hex}"
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    stored = context._jvm.org.apache.hadoop.fs.Path(path)
+    stored.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(stored)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` as a stored table: loops keep a short plan, and a lost executor costs no earlier round."""
+    path = place(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

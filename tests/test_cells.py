@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellcast.functions import geometry
-from cellcast.operators import attributes, history, match, schedule
+from cellcast.operators import attributes, history, match, schedule, spatial
 from cellcast.plans import catalog, config, pipeline, proxies
 from cellcast.sources import readers, writers
 from cellcast.streaming import jobs
@@ -131,7 +131,7 @@ def test_regions_are_detected_on_all_gates(spark, tmp_path):
     assert [(r.num_gates, r.max_refl) for r in catalog.QUERIES["detected_regions"](spark, str(tmp_path)).collect()] == [(36, 90.0)]
 
 
-def test_queries_without_sql_take_every_supplier(spark, tmp_path):
+def test_polygon_queries_take_every_supplier(spark, tmp_path):
     gates = [(k, k // 100, k % 100, 30.0) for k in range(20_000)]
     spark.createDataFrame(gates, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").selectExpr("*", "1 AS l_linenumber").write.parquet(str(tmp_path / "lineitem.parquet"))
     spark.range(9, 13).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
@@ -177,6 +177,75 @@ def test_cell_files(spark, tmp_path):
     assert sorted((r.lat, r.lon, r.value) for r in readers.grid(spark, str(tmp_path / "g")).collect()) == [(1.0, 285.0, None), (2.0, 10.0, 5.0)]
 
 
+def test_grids_limits_statuses_and_times(spark, tmp_path):
+    """Limits in 0..360 reach the scan of a file in either convention; what can't be used has a status."""
+    west, east = str(tmp_path / "w"), str(tmp_path / "e")
+    lons = [-180.0, -90.0, -80.0, -75.0, 0.0, 10.0, 179.0]
+    spark.createDataFrame([(float(k), x, 1.0, T[2]) for k, x in enumerate(lons)], "lat double, lon double, unknown double, valid_time timestamp_ntz").write.parquet(west)
+    spark.createDataFrame([(float(k), x % 360, 1.0, 1760099696_000_000_000) for k, x in enumerate(lons)], "lat double, lon double, unknown double, `time` long").write.parquet(east)
+    for limits, want in (((270.0, 285.0), [1, 2, 3]), ((0.0, 10.0), [4, 5]), ((200.0, 360.0), [1, 2, 3]), ((285.0, 180.0), [0, 3]), ((0.0, 360.0), list(range(7)))):
+        for path in (west, east):
+            inside = [k for k in want if min(limits) <= lons[k] % 360 <= max(limits)]
+            if limits == (285.0, 180.0):
+                inside = [k for k in range(7) if 180 <= lons[k] % 360 <= 285]
+            assert sorted(r.lat for r in readers.grid(spark, path, lon_limits=limits).collect()) == inside
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    plan = readers.grid(spark, west, lat_limits=(1.0, 3.0), lon_limits=(270.0, 285.0))._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters")[1].split("ReadSchema")[0]
+    assert "GreaterThanOrEqual(lon,-90.0)" in pushed and "GreaterThanOrEqual(lat,1.0)" in pushed and "LessThanOrEqual(lon,285.0)" in pushed
+    assert readers.grid_time(spark.read.parquet(west), "plain").first().ts == T[2]
+    assert readers.grid_time(spark.read.parquet(east), "plain").first().ts == dt.datetime(2025, 10, 10, 12, 34, 56)
+    assert readers.grid_time(spark.read.parquet(east), "x_20251010-010203").first().ts == dt.datetime(2025, 10, 10, 1, 2, 3)
+    assert readers.grid_time(spark.range(1), "plain").first().ts is None
+    spark.createDataFrame([], "lat double, lon double, unknown double").write.parquet(str(tmp_path / "none"))
+    spark.createDataFrame([(1.0, 2.0, 3.0)], "lat double, lon double, other double").write.parquet(str(tmp_path / "odd"))
+    status = {n: readers.grid_status(spark, str(tmp_path / n)) for n in ("w", "none", "odd", "gone")}
+    assert status == {"w": None, "none": "EMPTY_DATASET", "odd": "VAR_NOT_FOUND", "gone": "DATASET_LOAD_ERROR"}
+    with pytest.raises(ValueError, match="no column"):
+        readers.grid(spark, str(tmp_path / "odd"))
+    cells = spark.createDataFrame([(1, 0.0, 1.0, 0.0, 1.0)], "id long, lat_min double, lat_max double, lon_min double, lon_max double")
+    gates = spark.createDataFrame([("a", 0.5, 0.5, 7.0)], "product string, lat double, lon double, value double")
+    got = spatial.footprint_max(cells, gates, ["a", "b", "c", "d"], {"b": "EMPTY_DATASET", "c": "VAR_NOT_FOUND"}).first()
+    assert (got.a, got.a_status, got.b_status, got.c_status, got.d_status) == (7.0, None, "EMPTY_DATASET", "VAR_NOT_FOUND", "N/A")
+
+
+def test_joins_of_boxes_of_all_sizes(spark):
+    """Tiles follow the boxes: tiny ones, a huge one, one point, and limits that are missing or inverted."""
+    rnd = np.random.default_rng(2)
+    boxes = [(k, float(a), float(a + w), float(b), float(b + w)) for k, (a, b, w) in enumerate(zip(rnd.random(80) * 5, rnd.random(80) * 5, rnd.choice([0.001, 0.05, 0.4], 80)))]
+    boxes += [(90, 0.0, 60.0, 0.0, 60.0), (91, 1.0, 1.0, 1.0, 1.0), (92, 2.0, 1.0, 0.0, 5.0), (93, None, 1.0, 0.0, 1.0)]
+    points = [(k, float(a), float(b)) for k, (a, b) in enumerate(rnd.random((300, 2)) * 5)] + [(900, 1.0, 1.0)]
+    b = spark.createDataFrame(boxes, "id long, lat_min double, lat_max double, lon_min double, lon_max double")
+    p = spark.createDataFrame(points, "k long, lat double, lon double")
+    want = sorted((k, i) for k, y, x in points for i, a, c, d, e in boxes if None not in (a, c) and a <= y <= c and d <= x <= e)
+    for small in (None, False):
+        assert sorted((r.k, r.id) for r in spatial.range_join(p, b, small).collect()) == want
+    assert spatial.range_join(p, b.limit(0)).count() == 0 == spatial.range_join(p.limit(0), b).count()
+    scan = b.where("id < 92").selectExpr("'s' AS scan", "*")
+    real = [r for r in boxes if r[0] < 92]
+    meet = sorted((i, j) for (i, a, c, d, e), (j, f, g, h, m) in itertools.combinations(real, 2) if a < g and f < c and d < m and h < e)
+    assert sorted((r.a, r.b) for r in spatial.overlapping(scan).collect()) == meet
+
+
+def test_assignments_are_the_cheapest(spark):
+    rnd = np.random.default_rng(3)
+    for n, m in ((1, 1), (3, 5), (6, 4), (5, 5), (1, 4)):
+        for _ in range(30):
+            cost = np.round(rnd.random((n, m)), rnd.integers(1, 4))
+            got = match.assign(cost)
+            k = min(n, m)
+            assert (got >= 0).sum() == k == len(set(got[got >= 0]))
+            tall = cost if n <= m else cost.T
+            best = min(tall[range(k), list(p)].sum() for p in itertools.permutations(range(max(n, m)), k))
+            assert abs(cost[np.flatnonzero(got >= 0), got[got >= 0]].sum() - best) < 1e-9
+    place = lambda n: [("s", k, 40 + float(a), 280 + float(b), int(g), 50.0) for k, (a, b, g) in enumerate(zip(rnd.random(n) * 0.4, rnd.random(n) * 0.4, rnd.integers(1, 90, n)))]
+    old, new = (spark.createDataFrame(place(n), "scan string, id long, lat double, lon double, num_gates long, max_refl double") for n in (6, 7))
+    pairs = {(r.old_id, r.new_id): r.cost for r in match.candidate_pairs(old, new).collect()}
+    total = min(sum(pairs.get((k, q), 1.0) for k, q in enumerate(p)) for p in itertools.permutations(range(7), 6))
+    found = match.best_matches(old, new).collect()
+    assert abs(sum(r.cost for r in found) + 6 - len(found) - total) < 1e-9
+
+
 def test_tracker_stream(spark, tmp_path):
     folder = str(tmp_path / "in")
     schema = "cell_id long, ts timestamp_ntz, max_refl double, num_gates long, lat double, lon double"
