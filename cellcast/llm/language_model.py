@@ -1,21 +1,27 @@
 """Language-model scores: exact smoothed word counts as a base, and a log-bilinear model.
 
 Counts. Every task counts its words by 64-bit hash and packs the counts into one binary row for each bucket of
-hashes; a bucket's rows are merged by one task. The most frequent words (a bounded number) travel to the tasks that
-score; the counts of all other words are looked up bucket by bucket: a task packs (text, word) pairs by bucket, the
-bucket's task turns them into sums for each text of the pack, and the sums go back packed. No word and no text ever
-gathers more than its own share in a task.
-
-Model. Two context vectors predict the next word's vector (vector log-bilinear, VOCAB frequent words, one class for
-all others, one end). It is trained by noise-contrastive estimation with noise words shared by a minibatch: each task
-takes one pass over its own texts, and the parameters are averaged by words seen. Scores are normalised: a softmax
-over the vocabulary by one matrix product for each distinct context of a slice. A word outside of the vocabulary has its
-class's probability times its smoothed share of the class.
+hashes; a bucket's rows are merged by one task. Buckets grow in number with the text. The most frequent words (a
+bounded number) travel to the tasks that score; the counts of all other words are looked up bucket by bucket: a task
+packs (text, word) pairs by bucket, the bucket's task turns them into sums for each text of the pack, and the sums go
+back packed. No word and no text ever gathers more than its own share in a task.
+
+Model. Two context vectors predict the next word's vector (vector log-bilinear). The prediction has two levels: first
+the end, any word outside of the vocabulary, or a group of words of similar frequency; then the word within its group.
+Both are trained by noise-contrastive estimation, the first with noise shared by a minibatch, the second with noise
+words of the same group. Scores are normalised: softmaxes over the groups and over one group's words, by batched matrix
+products. A word outside of the vocabulary has the probability of all such words times its smoothed share of them.
+
+Training texts, as numbers of words, are dealt by their hashes to fixed groups of about TOKENS tokens (at most PARTS)
+and pass through in the order of their hashes. One group goes ahead, so that all others begin with vectors of the same
+meaning; then every group learns on its own, and their parameters are averaged, each row by how often a group has seen
+it. So the model doesn't depend on how the input is split.
 """
 
 from __future__ import annotations
 
 import copy
+import functools
 import math
 from collections.abc import Iterator
 
@@ -27,12 +33,18 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of the model's vocabulary; length of word vectors; words before that a word depends on.
-VOCAB, SIZE, CONTEXT = 510, 16, 2
+#: Words of the model's vocabulary and of one of its groups; length of word vectors; words before that a word depends on.
+VOCAB, GROUP, SIZE, CONTEXT = 16_384, 128, 31, 2
 #: Frequent words whose counts travel to the scoring tasks (12 bytes each), and slices of text to a pack.
-FREQUENT, PACK = 1 << 17, 8
-#: Noise words of a minibatch, its tokens, and the learning rate (Adagrad).
-NOISE, BATCH, RATE = 48, 2048, 0.1
+FREQUENT, PACK = 1 << 17, 64
+#: Distinct words that a task counts before it sends them on, bytes of text to a bucket of words, and most buckets.
+HELD, BUCKET, BUCKETS = 2_000_000, 64 << 20, 1 << 14
+#: Tokens of a minibatch (a divisor of CHUNK); its noise among groups, noise words of a token, and words of a group they are drawn from.
+BATCH, NOISE, WORDS, POOL = 2048, 32, 4, 1024
+#: Learning rates (Adagrad) of the first part and of all parts, and the first sum of squared gradients.
+FIRST, RATE, POWER = 0.3, 0.1, 0.1
+#: Training tokens to a group of texts, most groups, tokens that a group learns from at a time, and slices of the parameters.
+TOKENS, PARTS, CHUNK, SLICES = 1 << 20, 1 << 14, 1 << 16, 16
 _TABLE = common.byte_table(common.SPACES, lower=True)
 _END = np.uint64(0x5E17E0FD0C000000)
 _U = np.uint64
@@ -71,21 +83,27 @@ def count_words(texts: DataFrame, buckets: int, top: int = FREQUENT) -> DataFram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
 
-        def emit() -> pa.RecordBatch:
-            h, c = _sum(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            return _sum(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
+
+        def emit(h: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
             parts = _packed(h, buckets)
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in parts], pa.int32()), pa.array([h[s].tobytes() for _, s in parts], pa.binary()), pa.array([c[s].tobytes() for _, s in parts], pa.binary())], ["b", "h", "c"])
 
         for batch in common.slices(batches, text=0):
             hashes, _ = words(batch.column(0))
-            h, c = np.unique(hashes, return_counts=True)
-            held.append((h, c))
-            if len(held) == PACK:
-                yield emit()
-                held = []
+            held.append(np.unique(hashes, return_counts=True))
+            size += len(held[-1][0])
+            if size > HELD:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield emit(*held[0])
+                    held, size = [], 0
         if held:
-            yield emit()
+            yield emit(*merged())
 
     own = math.ceil(2 * top / buckets)
 
@@ -115,23 +133,53 @@ def count_words(texts: DataFrame, buckets: int, top: int = FREQUENT) -> DataFram
     return common.cut(packs.mapInArrow(merge, "b int, h binary, c binary, n long, v long, top array<struct<h:long,c:long>>"))
 
 
+def _by(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct indices, sums of their rows, how many they are)."""
+    order = np.argsort(index.astype(np.int16) if index.max() < 1 << 15 else index, kind="stable")  # short keys sort faster
+    index = index[order]
+    start = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+    return index[start], np.add.reduceat(rows.take(order, axis=0), start, axis=0), np.diff(np.r_[start, len(index)])
+
+
+def _pull(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(np.clip(x, -30, 30)))
+
+
+def _log_share(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log of each row's softmax at its target."""
+    own = np.take_along_axis(scores, target[:, None], 1)[:, 0]
+    top = scores.max(1, keepdims=True)
+    scores -= top
+    return own - top[:, 0] - np.log(np.exp(scores, out=scores).sum(1))
+
+
 class LogBilinear:
-    """Word vectors for contexts and for targets, one diagonal for each place of the context, and biases.
+    """Word vectors for contexts; for targets, vectors and biases of groups and of words; one diagonal for each place of the context.
 
-    Classes: 0 the end (also what stands before a text), 1 every other word, then the vocabulary.
+    Classes: 0 the end (also what stands before a text), 1 every word outside of the vocabulary, then the vocabulary by
+    falling frequency. Outcomes of the first level: 0, 1, then the groups.
     """
 
-    def __init__(self, vocabulary: np.ndarray, shares: np.ndarray, size: int = SIZE, seed: int = 7):
+    TABLES = ("context", "top", "word", "place")
+
+    def __init__(self, vocabulary: np.ndarray, counts: np.ndarray, size: int = SIZE, group: int = GROUP, seed: int = 7):
+        """vocabulary: hashes of words; counts: of the end, of all words outside, of the vocabulary's words."""
         rnd = np.random.default_rng(seed)
         order = np.argsort(vocabulary)
         self.vocabulary, self.ids = vocabulary[order], np.arange(len(vocabulary))[order] + 2
-        n = len(vocabulary) + 2
-        self.shares = shares / shares.sum()  # of each class, the noise distribution
-        self.context = rnd.normal(0, 0.1, (n, size)).astype(np.float32)
-        self.target = rnd.normal(0, 0.1, (n, size)).astype(np.float32)
-        self.place = np.ones((CONTEXT, size), np.float32)
-        self.bias = np.log(self.shares).astype(np.float32)
-        self.power: dict = {}
+        counts, n = counts + 0.1, len(vocabulary)
+        self.group, self.starts = group, np.arange(0, n, group)
+        self.sums = np.r_[0, np.cumsum(counts[2:])]  # for drawing noise words of a group
+        mass = np.diff(self.sums[np.r_[self.starts, n]]) if n else np.zeros(0)
+        share = np.r_[counts[:2], mass] / counts.sum()
+        self.drawn = np.cumsum(share)
+        self.log_group, self.log_word = np.log(share).astype(np.float32), np.log(counts[2:] / np.repeat(mass, group)[:n]).astype(np.float32)
+        start = lambda rows, bias: np.c_[rnd.normal(0, 0.1, (rows, size)), bias].astype(np.float32)
+        self.context, self.top, self.word = start(n + 2, np.zeros(n + 2)), start(len(share), self.log_group), start(n, self.log_word)
+        self.place = np.c_[np.ones((CONTEXT, size)), np.zeros(CONTEXT)].astype(np.float32)
+        # of each table's rows, their sums of squared gradients and how often they were seen
+        self.power: dict[str, np.ndarray] = {}
+        self.seen: dict[str, np.ndarray] = {}
 
     def classes(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
@@ -139,6 +187,9 @@ class LogBilinear:
         near = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(hashes == _END, 0, np.where(self.vocabulary[near] == hashes, self.ids[near], 1))
 
+    def outcomes(self, classes: np.ndarray) -> np.ndarray:
+        return np.where(classes < 2, classes, 2 + (classes - 2) // self.group)
+
     @staticmethod
     def contexts(classes: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The classes before each token, nearest first; 0 before a text."""
@@ -149,91 +200,149 @@ class LogBilinear:
         return out
 
     def predict(self, context: np.ndarray) -> np.ndarray:
-        return sum(self.place[k] * self.context[context[k]] for k in range(CONTEXT))
+        """Predicted vectors, and a last column of ones for biases."""
+        q = sum(self.place[k] * self.context[context[k]] for k in range(CONTEXT))
+        q[:, -1] = 1
+        return q
+
+    def _grow(self, name: str, index: np.ndarray, rows: np.ndarray, rate: float) -> None:
+        """Adagrad on the rows of a table that gradients belong to."""
+        table = getattr(self, name)
+        if name not in self.power:
+            self.power[name], self.seen[name] = np.full_like(table, POWER), np.zeros(len(table))
+        power, seen = self.power[name], self.seen[name]
+        index, rows, count = _by(index, rows)
+        seen[index] += count
+        power[index] += rows * rows
+        table[index] += rate * rows / np.sqrt(power[index])
 
     def learn(self, classes: np.ndarray, row: np.ndarray, rnd: np.random.Generator, rate: float = RATE) -> None:
         """One pass of noise-contrastive estimation in minibatches."""
-        context, log_noise = self.contexts(classes, row), np.log(NOISE * self.shares).astype(np.float32)
-        for at in rnd.permutation(np.arange(0, len(classes), BATCH)):
-            own, target = context[:, at : at + BATCH], classes[at : at + BATCH]
-            noise = rnd.choice(len(self.shares), NOISE, p=self.shares)
+        context, outcome = self.contexts(classes, row), self.outcomes(classes)
+        low, high = self.sums[self.starts, None], self.sums[np.minimum(self.starts + self.group, len(self.word)), None]
+        last = np.minimum(self.starts + self.group, len(self.word))[:, None] - 1
+        for at in range(0, len(classes), BATCH):
+            if at % CHUNK == 0:  # of each group's words as many as they are drawn from, for some minibatches
+                pool = np.searchsorted(self.sums, low + rnd.random((len(self.starts), POOL)) * (high - low), "right") - 1
+                pool = np.clip(pool, self.starts[:, None], last)
+            own, target = context[:, at : at + BATCH], outcome[at : at + BATCH]
+            noise = np.minimum(np.searchsorted(self.drawn, rnd.random(NOISE)), len(self.drawn) - 1)
             q = self.predict(own)
-            t, w = self.target[target], self.target[noise]
-            positive = (q * t).sum(1) + self.bias[target] - log_noise[target]
-            negative = q @ w.T + self.bias[noise] - log_noise[noise]
-            up = 1 / (1 + np.exp(positive))  # pull of the data
-            down = 1 / (1 + np.exp(-negative))  # push of the noise
-            n = len(self.shares)
+            t, w = self.top[target], self.top[noise]
+            up = _pull((q * t).sum(1) - self.log_group[target] - np.float32(math.log(NOISE)))  # pull of the data
+            down = _pull(self.log_group[noise] + np.float32(math.log(NOISE)) - q @ w.T)  # push of the noise
             dq = up[:, None] * t - down @ w
-            grow = {"target": _gather(target, up[:, None] * q, n) - _gather(noise, down.T @ q, n), "bias": np.bincount(target, up, n) - np.bincount(noise, down.sum(0), n)}
-            grow["context"], grow["place"] = np.zeros_like(self.context), np.zeros_like(self.place)
-            for k in range(CONTEXT):
-                grow["context"] += _gather(own[k], dq * self.place[k], n)
-                grow["place"][k] = (dq * self.context[own[k]]).sum(0)
-            for name, gradient in grow.items():
-                self.power[name] = self.power.get(name, 1.0) + gradient**2
-                setattr(self, name, (getattr(self, name) + rate * gradient / np.sqrt(self.power[name])).astype(np.float32))
+            self._grow("top", np.r_[target, noise], np.concatenate([up[:, None] * q, -(down.T @ q)]), rate)
+            inside = np.flatnonzero(target >= 2)
+            if len(inside):
+                q, target = q[inside], classes[at + inside] - 2
+                own_group = target // self.group
+                noise = pool[own_group[:, None], rnd.integers(0, POOL, (len(target), WORDS))]
+                t, w = self.word.take(target, axis=0), self.word.take(noise, axis=0)
+                up = _pull((q * t).sum(1) - self.log_word[target] - np.float32(math.log(WORDS)))
+                down = _pull(self.log_word[noise] + np.float32(math.log(WORDS)) - np.einsum("nd,nkd->nk", q, w))
+                dq[inside] += up[:, None] * t - np.einsum("nk,nkd->nd", down, w)
+                self._grow("word", np.r_[target, noise.ravel()], np.concatenate([up[:, None] * q, -(down[:, :, None] * q[:, None]).reshape(-1, q.shape[1])]), rate)
+            dq[:, -1] = 0
+            places = np.stack([(dq * self.context[own[k]]).sum(0) for k in range(CONTEXT)])
+            self._grow("context", own.ravel(), np.concatenate([dq * self.place[k] for k in range(CONTEXT)]), rate)
+            self._grow("place", np.arange(CONTEXT), places, rate)
 
     def log_probabilities(self, classes: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Natural log of each token's normalised class probability."""
-        context = self.contexts(classes, row)
-        key = context[0] * len(self.shares) + context[1]
-        unique, inverse = np.unique(key, return_inverse=True)
-        order = np.argsort(inverse, kind="stable")
-        bound = np.searchsorted(inverse[order], np.arange(len(unique) + 1))
-        out = np.zeros(len(classes))
-        for at in range(0, len(unique), 4096):
-            part = unique[at : at + 4096]
-            scores = self.predict(np.stack([part // len(self.shares), part % len(self.shares)])) @ self.target.T + self.bias
-            top = scores.max(1)
-            norm = top + np.log(np.exp(scores - top[:, None]).sum(1))
-            own = order[bound[at] : bound[min(at + 4096, len(unique))]]
-            local = inverse[own] - at
-            out[own] = scores[local, classes[own]] - norm[local]
+        context, outcome, out = self.contexts(classes, row), self.outcomes(classes), np.zeros(len(classes))
+        for at in range(0, len(classes), 1 << 18):  # vectors of so many tokens at a time
+            part = slice(at, at + (1 << 18))
+            q, target = self.predict(context[:, part]), outcome[part]
+            own = out[part]
+            for k in range(0, len(q), 4096):
+                own[k : k + 4096] = _log_share(q[k : k + 4096] @ self.top.T, target[k : k + 4096])
+            order = np.argsort(target, kind="stable")
+            bound = np.searchsorted(target[order], np.arange(2, len(self.starts) + 3))
+            word = classes[part] - 2
+            for g, start in enumerate(self.starts):
+                for k in range(bound[g], bound[g + 1], 4096):
+                    some = order[k : min(k + 4096, bound[g + 1])]
+                    own[some] += _log_share(q[some] @ self.word[start : start + self.group].T, word[some] - start)
         return out
 
-    def pack(self) -> bytes:
-        return np.concatenate([x.ravel() for x in (self.context, self.target, self.place, self.bias)]).astype(np.float64).tobytes()
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        """All tables under each other, and how often each row was seen."""
+        seen = [self.seen[n] if n in self.seen else np.zeros(len(getattr(self, n))) for n in self.TABLES]
+        return np.concatenate([getattr(self, n) for n in self.TABLES]), np.concatenate(seen)
 
-    def unpack(self, values: np.ndarray) -> None:
-        for name in ("context", "target", "place", "bias"):
-            old = getattr(self, name)
-            setattr(self, name, values[: old.size].reshape(old.shape).astype(np.float32))
-            values = values[old.size :]
+    def take(self, rows: np.ndarray) -> None:
+        for name in self.TABLES:
+            size = len(getattr(self, name))
+            setattr(self, name, rows[:size].astype(np.float32))
+            rows = rows[size:]
 
 
-def _gather(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sums of rows by index."""
-    return np.stack([np.bincount(index, column, n) for column in rows.T], 1)
-
-
-def train(texts: DataFrame, model: LogBilinear, fan: int = 32) -> LogBilinear:
-    """`model` after one pass over `texts` (t), averaged over the tasks by their numbers of tokens."""
+def train(texts: DataFrame, model: LogBilinear, tokens: int) -> LogBilinear:
+    """`model` after a pass over a part of `texts` (i, t), which hold about `tokens` tokens, and a pass over all."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(model)
+    parts = max(1, min(PARTS, math.ceil(tokens / TOKENS)))
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen, rnd = copy.deepcopy(shared.value), 0, np.random.default_rng(TaskContext.get().partitionId())
-        for batch in common.slices(batches, text=0):
-            hashes, row = words(batch.column(0))
-            own.learn(own.classes(hashes), row, rnd)
-            seen += len(hashes)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % fan], pa.int32()), pa.array([own.pack()], pa.binary()), pa.array([seen], pa.int64())], ["g", "p", "n"])
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            hashes, row = words(batch.column(1))
+            bound = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            lists = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(shared.value.classes(hashes), pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["h", "w"])
+
+    def learn(batches: Iterator[pa.RecordBatch], shared, rate: float) -> Iterator[pa.RecordBatch]:
+        now, own, rnd, held, size = None, None, None, [], 0
+
+        def step() -> None:
+            own.learn(np.concatenate(held), np.repeat(np.arange(len(held)), [len(x) for x in held]), rnd, rate)
+
+        def emit() -> pa.RecordBatch:
+            if held:
+                step()
+            rows, seen = own.rows()
+            pieces = np.array_split(np.arange(len(rows)), SLICES)
+            weighted = (rows * seen[:, None]).astype(np.float32)
+            return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([now] * SLICES, pa.int32()), pa.array([weighted[p].tobytes() for p in pieces], pa.binary()), pa.array([seen[p].tobytes() for p in pieces], pa.binary())], ["s", "g", "p", "n"])
+
+        for batch in batches:
+            column = batch.column(1)
+            at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            for k, g in enumerate(batch.column(0).to_pylist()):
+                if g != now:
+                    if own is not None:
+                        yield emit()
+                    now, own, rnd, held, size = g, copy.deepcopy(shared.value), np.random.default_rng(g), [], 0
+                held.append(values[at[k] : at[k + 1]].astype(np.int64))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    step()
+                    held, size = [], 0
+        if own is not None:
+            yield emit()
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = None, 0
+        total: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for p, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                value = np.frombuffer(p) * n
-                total, seen = value if total is None else total + value, seen + n
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([(total / seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["p", "n"])
-
-    parts = texts.mapInArrow(learn, "g int, p binary, n long").repartition(fan, "g").select("p", "n").mapInArrow(average, "p binary, n long").collect()
-    if parts:
-        seen = sum(r.n for r in parts)
-        model.unpack(sum(np.frombuffer(r.p) * (r.n / seen) for r in parts))
+            for s, _, p, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                p, n = np.frombuffer(p, np.float32).astype(float), np.frombuffer(n)
+                total[s] = [total[s][0] + p, total[s][1] + n] if s in total else [p, n]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *(pa.array([x[k].tobytes() for x in total.values()], pa.binary()) for k in (0, 1))], ["s", "p", "n"])
+
+    key = F.xxhash64("i", "t").alias("h")  # rows that repeat a text are dealt by their ids
+    numbers = texts.select(key, "t").mapInArrow(number, "h long, w array<int>").withColumn("g", F.pmod("h", F.lit(parts)).cast("int"))
+    numbers = common.cut(numbers)
+    for rows, rate in ((numbers.where("g = 0"), FIRST), (numbers, RATE)):
+        shared = spark.sparkContext.broadcast(model)
+        ordered = rows.repartition(parts, "g").sortWithinPartitions("g", "h", F.size("w"), "w").select("g", "w")
+        learnt = ordered.mapInArrow(functools.partial(learn, shared=shared, rate=rate), "s int, g int, p binary, n binary")
+        found = sorted(learnt.repartition(SLICES, "s").sortWithinPartitions("s", "g").mapInArrow(average, "s int, p binary, n binary").collect())  # the model's size, whatever the input
+        if found:
+            old, _ = model.rows()
+            seen = np.concatenate([np.frombuffer(r.n) for r in found])
+            sums = np.concatenate([np.frombuffer(r.p) for r in found]).reshape(old.shape)
+            model.take(np.where(seen[:, None] > 0, sums / np.maximum(seen, 1)[:, None], old))
+        shared.unpersist()
     return model
 
 
@@ -245,20 +354,24 @@ def scores(docs: DataFrame, learn: F.Column, id: str = "doc_id", text: str = "te
     columns aren't read. Words are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id).cast("long").alias("i"), F.col(text).alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    training = rows.where("learn").select("t")
-    counts = count_words(training, buckets, frequent)
+    training = rows.where("learn").select("i", "t")
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        buckets = min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET)))
+    counts = count_words(training.select("t"), buckets, frequent)
     total = counts.agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, v_train = total.n or 0, total.v or 0
     top = counts.select(F.explode("top").alias("x")).select("x.h", "x.c").orderBy(F.desc("c"), "h").limit(frequent).toPandas()
     known, often = top.h.to_numpy(np.int64).view(_U), top.c.to_numpy(np.int64)
-    chosen = np.flatnonzero(known != _END)[:vocabulary]
-    ends = int(often[known == _END].sum())
+    ends = training.count()  # one in each text, and always among the known
+    plain = known != _END
+    known, often = (np.r_[x[plain], np.array([y] if ends else [], x.dtype)] for x, y in ((known, _END), (often, ends)))
+    chosen = np.arange(len(known) - (ends > 0))[:vocabulary]
     others = n_train - ends - int(often[chosen].sum())
-    model = LogBilinear(known[chosen], np.r_[ends, others, often[chosen]] + 0.1)
+    model = LogBilinear(known[chosen], np.r_[ends, others, often[chosen]])
     if n_train:
-        model = train(training, model)
+        model = train(training, model, n_train)
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((model, known[order], often[order]))
     # a word of the class of others has its smoothed share of the class, one unseen word included

@@ -277,12 +277,70 @@ def test_the_model_is_normalised_and_learns_order(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = language_model.scores(df, F.col("doc_id") % 10 != 0).where("doc_id % 10 = 0").agg(F.sum("score").alias("a"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert got.a > got.b + 0.3 * got.n  # half of a decade a token at best, as two words follow of twelve
-    model = language_model.LogBilinear(np.arange(9, dtype=np.uint64) * np.uint64(77), np.ones(11))
-    classes = np.array([3, 4, 5, 6, 0])
+    model = language_model.LogBilinear(np.arange(9, dtype=np.uint64) * np.uint64(77), np.arange(11) + 1.0, size=5, group=4)
+    model.learn(np.arange(3000) % 11, np.arange(3000) // 100, np.random.default_rng(1))
+    classes = np.array([3, 4, 5, 10, 0])
     each = [np.exp(model.log_probabilities(np.r_[classes[:k], c], np.zeros(k + 1, int))[-1]) for k in (0, 1, 4) for c in range(11)]
     assert np.allclose(np.array(each).reshape(3, 11).sum(1), 1, atol=1e-5)
 
 
+def test_scores_are_the_models_probabilities(spark, monkeypatch):
+    """Every score from the trained model's own tables, word by word."""
+    models = []
+    trained = language_model.train
+    monkeypatch.setattr(language_model, "train", lambda *a: models.append(trained(*a)) or models[-1])
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choices([f"w{k}" for k in range(40)], range(40, 0, -1), k=rnd.randint(0, 60))) for _ in range(120)] + [None, "", "UNSEEN w1 w39"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in language_model.scores(df, F.col("doc_id") % 10 != 0, vocabulary=20, frequent=6, buckets=3).collect()}
+    m, count = models[0], {}
+    for k, t in enumerate(texts):
+        for w in [*(t or "").lower().split(), "\n"] if k % 10 else []:
+            count[w] = count.get(w, 0) + 1
+    hashed = lambda w: common.word_hashes(*common.flat(pa.array([w])), language_model._TABLE)[0][0]
+    place = dict(zip(m.vocabulary.tolist(), m.ids.tolist()))
+    classes = {w: 0 if w == "\n" else place.get(int(hashed(w)), 1) for w in [*count, "unseen"]}
+    assert sorted(c for c in classes.values() if c > 1) == list(range(2, 8))  # as many as travel to the tasks
+    others = sum(n for w, n in count.items() if classes[w] == 1)
+    types = sum(classes[w] == 1 for w in count)
+
+    def soft(scores, k):
+        e = np.exp(scores - scores.max())
+        return math.log10(e[k] / e.sum())
+
+    for k, t in enumerate(texts):
+        total, before = 0.0, [0, 0]
+        for w in [*(t or "").lower().split(), "\n"]:
+            c = classes[w]
+            q = sum(m.place[j] * m.context[before[j]] for j in range(2)).astype(float)
+            q[-1] = 1
+            total += soft(m.top.astype(float) @ q, c if c < 2 else 2 + (c - 2) // m.group)
+            if c >= 2:
+                g = (c - 2) // m.group * m.group
+                total += soft(m.word[g : g + m.group].astype(float) @ q, c - 2 - g)
+            if c == 1:
+                total += math.log10((count.get(w, 0) + 0.1) / (others + 0.1 * (types + 1)))
+            before = [c, before[0]]
+        assert abs(total - got[k]) < 1e-3, (k, total, got[k])
+
+
+def test_the_model_does_not_depend_on_the_split_of_its_input(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "TOKENS", 3000)
+    rnd = random.Random(7)
+    rows = [(k, " ".join(f"w{rnd.randint(0, 30) ** 2}" for _ in range(rnd.randint(0, 200)))) for k in range(200)]
+    rows += [(500 + k, rows[3][1]) for k in range(20)]
+    run = lambda df: {r.doc_id: r.score for r in language_model.scores(df, F.col("doc_id") % 10 != 0, buckets=4).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = run(df.coalesce(1)), run(df.orderBy(F.desc("doc_id")).repartition(7))
+    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 * abs(one[k]) for k in one)
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    """The registered query on the larger table."""
+    r = queries.op9_language_model(spark, SF.replace("0.01", "0.1")).where("held_out").agg(F.sum("score").alias("a"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert r.a > r.b + 0.3 * r.n
+
+
 # --- shared helpers ----------------------------------------------------------------------------------------------------------
 
 
