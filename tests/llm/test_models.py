@@ -332,7 +332,7 @@ def test_the_model_does_not_depend_on_the_split_of_its_input(spark, monkeypatch)
     run = lambda df: {r.doc_id: r.score for r in language_model.scores(df, F.col("doc_id") % 10 != 0, buckets=4).collect()}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     one, two = run(df.coalesce(1)), run(df.orderBy(F.desc("doc_id")).repartition(7))
-    assert one.keys() == two.keys() and all(abs(one[k] - two[k]) < 1e-9 * abs(one[k]) for k in one)
+    assert one.keys() == two.keys() and max(abs(one[k] - two[k]) / abs(one[k]) for k in one) < 1e-6  # single precision, in other batches
 
 
 def test_held_out_texts_score_above_the_base(spark):
