@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,6 +186,26 @@ def test_few_and_no_candidates(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(20, 1, 3, 0.5)]
 
 
+@pytest.mark.parametrize("n,clusters", [(5_000, 0), (20_000, 0), (20_000, 50)])
+def test_recall_on_generated_tables(spark, tmp_path, n, clusters):
+    """Independent directions, the hardest case for any index, and clusters; a crowded pivot is split on both sides."""
+    rnd = np.random.default_rng(n + clusters)
+    x = rnd.normal(size=(n, 64))
+    if clusters:
+        x = 0.3 * x + rnd.normal(size=(clusters, 64))[(rnd.random(n) ** 3 * clusters).astype(int)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    got = permutation_index.nearest(spark.read.parquet(str(tmp_path / "e.parquet")), F.col("vec_id") % 20 == 0, block=500, asked=100).toPandas()
+    ask = np.arange(0, n, 20)
+    score = x[ask].astype(float) @ x.T.astype(float)
+    score[np.arange(len(ask)), ask] = -np.inf
+    want = np.argpartition(-score, 20, axis=1)[:, :20]
+    found = set(zip(got.query_id.tolist(), got.vec_id.tolist()))
+    assert len(got) == len(found) == 20 * len(ask)
+    recall = np.mean([(q, v) in found for q, own in zip(ask.tolist(), want.tolist()) for v in own])
+    assert recall >= 0.95, recall
+
+
 def test_recall_on_the_whole_table(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     want = brute([(r.vec_id, r.embedding) for r in df.collect()])
