@@ -7,17 +7,45 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 
-#: Attributes of a cell (fixed values: target, and source where it differs).
-SAME = (
-    "MLCAPE", "MUCAPE", "MLCIN", "DCAPE", "CAPE_M10M30", "LCL", "LLLR", "MLLR", "LJA", "MESH", "H50_Above_0C", "VIL", "MaxFED", "MaxFCD",
-    "AccumFCD", "MinFlashArea", "TE@MaxFCD", "ICP", "PWAT",
-)
-RENAMED = {
-    "Wetbulb_0C_Hgt": "WETBULB_0C_HGT", "EBShear": "EBSHEAR", "SRH01km": "SRH01KM", "SRH02km": "SRW02KM", "SRW46km": "SRW46KM", "MeanWind_1-3kmAGL": "MEANWIND_1-3kmAGL",
-    "CompRef": "COMPREF", "Ref10": "REF10", "Ref20": "REF20", "EchoTop50": "EchoTop_50", "FlashRate": "FLASH_RATE", "FlashDensity": "FLASH_DENSITY", "MaxLLAz": "MAXLLAZ",
-    "p98LLAz": "P98LLAZ", "p98MLAz": "P98MLAZ", "MaxRC_Emiss": "MAXRC_EMISS", "avg_beam_hgt": "AVG_BEAM_HGT",
-}
-SOURCES = {name: name for name in SAME} | RENAMED
+#: Attributes of a cell and the polygon properties they come from (fixed values).
+SOURCES = {
+    "MLCAPE": "MLCAPE",
+    "MUCAPE": "MUCAPE",
+    "MLCIN": "MLCIN",
+    "DCAPE": "DCAPE",
+    "CAPE_M10M30": "CAPE_M10M30",
+    "LCL": "LCL",
+    "Wetbulb_0C_Hgt": "WETBULB_0C_HGT",
+    "LLLR": "LLLR",
+    "MLLR": "MLLR",
+    "EBShear": "EBSHEAR",
+    "SRH01km": "SRH01KM",
+    "SRH02km": "SRW02KM",
+    "SRW46km": "SRW46KM",
+    "MeanWind_1-3kmAGL": "MEANWIND_1-3kmAGL",
+    "LJA": "LJA",
+    "CompRef": "COMPREF",
+    "Ref10": "REF10",
+    "Ref20": "REF20",
+    "MESH": "MESH",
+    "H50_Above_0C": "H50_Above_0C",
+    "EchoTop50": "EchoTop_50",
+    "VIL": "VIL",
+    "MaxFED": "MaxFED",
+    "MaxFCD": "MaxFCD",
+    "AccumFCD": "AccumFCD",
+    "MinFlashArea": "MinFlashArea",
+    "TE@MaxFCD": "TE@MaxFCD",
+    "FlashRate": "FLASH_RATE",
+    "FlashDensity": "FLASH_DENSITY",
+    "MaxLLAz": "MAXLLAZ",
+    "p98LLAz": "P98LLAZ",
+    "p98MLAz": "P98MLAZ",
+    "MaxRC_Emiss": "MAXRC_EMISS",
+    "ICP": "ICP",
+    "PWAT": "PWAT",
+    "avg_beam_hgt": "AVG_BEAM_HGT",
+}
 
 
 def attributes(cells: DataFrame, polygons: DataFrame, sources: dict[str, str] = SOURCES, id: str = "id") -> DataFrame:

@@ -715,12 +715,23 @@ def detected_regions(spark, sf_dir):
     return pipeline.detect_regions(view(spark, sf_dir, "gates")).select("scan", "id", "num_gates", "max_refl")
 
 
-@query()
+_OLDER, _NEWER = f"(SELECT * FROM {HI} WHERE ts < {_T})", f"(SELECT * FROM {HI} WHERE ts >= {_T})"
+
+
+@query(f"""WITH n AS (SELECT cell_id, arg_max(max_refl, ts) AS max_refl, arg_max(num_gates, ts) AS num_gates, arg_max(lat, ts) AS lat, arg_max(lon, ts) AS lon FROM {_NEWER} GROUP BY cell_id),
+  e AS (SELECT cell_id, seq, ts, max_refl, num_gates, lat, lon FROM {_OLDER} WHERE cell_id IN (SELECT cell_id FROM n)
+  UNION ALL SELECT n.cell_id, coalesce(o.seq, 0), {_T}, max_refl, num_gates, lat, lon FROM n LEFT JOIN (SELECT cell_id, max(seq) + 1 AS seq FROM {_OLDER} GROUP BY cell_id) o USING (cell_id)),
+  k AS (SELECT *, coalesce(max_refl = lag(max_refl) OVER w AND num_gates = lag(num_gates) OVER w AND lat = lag(lat) OVER w AND lon = lag(lon) OVER w, false) AS same FROM e WINDOW w AS (PARTITION BY cell_id ORDER BY seq)),
+  v AS (SELECT *, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lag(ts) OVER w AS lt, lead(seq) OVER w IS NULL AS last FROM k WHERE NOT same WINDOW w AS (PARTITION BY cell_id ORDER BY seq))
+  SELECT cell_id, seq, ts, max_refl, num_gates, round(lat, 6) AS lat, round(lon, 6) AS lon, CASE WHEN last THEN round((lon - lo) * 111000 * cos(radians((lat + la) / 2)), 4) END AS dx, CASE WHEN last THEN round((lat - la) * 111000, 4) END AS dy,
+  CASE WHEN last THEN round(epoch_us(ts) / 1e6 - epoch_us(lt) / 1e6, 6) END AS dt FROM v""")
 def tracked_history(spark, sf_dir):
+    """Tracking end to end: older histories go on with one entry for each cell of the newest scan, and get their last motion."""
     old, new = _halves(spark, sf_dir)
     columns = ["cell_id", "seq", "ts", "max_refl", "num_gates", "lat", "lon"]
     found = history.latest(new, order="ts").withColumnRenamed("cell_id", "id")
-    return pipeline.track(old.select("cell_id").distinct(), old.select(*columns), found.drop("ts", "seq", "value"), _NOW)[1]
+    done = pipeline.track(old.select("cell_id").distinct(), old.select(*columns), found.drop("ts", "seq", "value"), _NOW)[1]
+    return done.select("cell_id", "seq", "ts", "max_refl", "num_gates", *[F.round(c, n).alias(c) for c, n in (("lat", 6), ("lon", 6), ("dx", 4), ("dy", 4), ("dt", 6))])
 
 
 @query(f"""SELECT cell_id, count(*) AS n, arg_max(num_gates, ts) AS num_gates, arg_max(max_refl, ts) AS max_refl, round(arg_max(lat, ts), 4) AS lat, round(arg_max(lon, ts), 4) AS lon, strftime(arg_min(ts, seq), '%Y-%m-%dT%H:%M:%S') AS first_timestamp,

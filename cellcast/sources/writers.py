@@ -19,7 +19,8 @@ def export(cells: DataFrame, history: DataFrame, digits: int = 4) -> DataFrame:
         F.array(r("lat"), r("lon")).alias("centroid"), *[r(c).alias(c) for c in ("dx", "dy", "dt") if c in history.columns],
         *[c for c in ("metrics",) if c in history.columns],
     )
-    entries = history.groupBy("cell_id").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e.dropFields("seq")).alias("storm_history"))
+    by_seq = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)  # noqa: E731 - a map of metrics has no order
+    entries = history.groupBy("cell_id").agg(F.transform(F.array_sort(F.collect_list(entry), by_seq), lambda e: e.dropFields("seq")).alias("storm_history"))
     joined = cells.join(entries, "cell_id", "left")
     row = F.struct(F.col("cell_id").alias("id"), "num_gates", r("max_refl").alias("max_refl"), F.array(r("lat"), r("lon")).alias("centroid"), F.coalesce("storm_history", F.expr("array()").cast(entries.schema["storm_history"].dataType)).alias("storm_history"))
     return joined.select("cell_id", F.to_json(row).alias("json"))

@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import itertools
 import json
 
@@ -173,6 +174,17 @@ def test_cell_files(spark, tmp_path):
     out = {r.cell_id: json.loads(r.json) for r in writers.export(cells, entries).collect()}
     assert out[7]["storm_history"][0]["centroid"] == [40.0, 280.0] and out[7]["max_refl"] == 50.1234 and out[8]["storm_history"] == []
     assert readers.cells(spark, str(tmp_path / "none.json"))[0].count() == 0
+    # written cells: statuses stand beside numbers, numbers are rounded half to even, entries keep their order, other columns stay out
+    found = spark.createDataFrame([(9, 7, 50.00005, 40.00015, 280.0, "ring")], "cell_id long, num_gates long, max_refl double, lat double, lon double, alpha_shape string")
+    steps = spark.createDataFrame([(9, k, T[k], 1.0, 7, 40.0, 280.0, 0.12345, -0.00005, 60.0, {"max_flash_density": v}) for k, v in ((1, "2.5"), (0, "N/A"))], "cell_id long, seq int, ts timestamp_ntz, max_refl double, num_gates long, lat double, lon double, dx double, dy double, dt double, metrics map<string,string>")
+    cell = json.loads(writers.export(found, steps).first().json)
+    assert list(cell) == ["id", "num_gates", "max_refl", "centroid", "storm_history"] and (cell["id"], cell["max_refl"], cell["centroid"]) == (9, 50.0, [40.0002, 280.0])
+    assert [(e["timestamp"], e["dx"], e["dy"], e["metrics"]["max_flash_density"]) for e in cell["storm_history"]] == [("2025-10-10T12:00:00", 0.1234, 0.0, "N/A"), ("2025-10-10T12:01:00", 0.1234, 0.0, "2.5")]
+    # compressed files are read as they are
+    (tmp_path / "c.json.gz").write_bytes(gzip.compress(json.dumps(rows).encode()))
+    assert readers.cells(spark, str(tmp_path / "c.json.gz"))[0].count() == 2
+    (tmp_path / "p.json.gz").write_bytes(gzip.compress(json.dumps({"features": [{"id": 4, "geometry": {"type": "Polygon", "coordinates": [[[1, 2], [3, 4], [1, 4]]]}, "properties": {"VIL": "3"}}]}).encode()))
+    assert [(r.id, len(r.rings[0]), r.props["VIL"]) for r in readers.polygons(spark, str(tmp_path / "p.json.gz")).collect()] == [(4, 3, "3")]
     spark.createDataFrame([(1.0, -75.0, float("nan")), (2.0, 10.0, 5.0)], "Latitude double, longitude double, unknown double").write.parquet(str(tmp_path / "g"))
     assert sorted((r.lat, r.lon, r.value) for r in readers.grid(spark, str(tmp_path / "g")).collect()) == [(1.0, 285.0, None), (2.0, 10.0, 5.0)]
 
