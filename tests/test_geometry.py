@@ -3,6 +3,9 @@ from pyspark.sql import functions as F
 
 from cellcast.functions import geometry as G
 from cellcast.operators import shapes
+from cellcast.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 SQUARE = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
 
@@ -75,3 +78,54 @@ def test_outline_or_box(spark):
     fine = F.array(p(0.0, 0.0), p(0.0, 1.0), p(1.0, 1.0))
     row = spark.range(1).select(*[F.size(shapes.cell_polygon(b, F.lit(40.0), F.lit(280.0))).alias(n) for b, n in ((bow, "a"), (fine, "b"), (F.slice(fine, 1, 2), "c"))], shapes.cell_polygon(F.slice(fine, 1, 2), F.lit(None).cast("double"), F.lit(1.0)).alias("d"), shapes.hull(F.array(*[F.struct(F.lit(float(x)).alias("lon"), F.lit(float(y)).alias("lat")) for x, y in [*SQUARE, (0.5, 0.5)]])).alias("h"), shapes.overlap(ring(SQUARE), ring(SQUARE)).alias("o")).first()
     assert (row.a, row.b, row.c, row.d, len(row.h), row.o.percent_a) == (4, 3, 4, None, 4, 100.0)
+
+
+def test_contours_run_between_all_gates_inside_and_outside():
+    """Unions of boxes: the outline's points are the middles of all pairs of a gate inside and one of the outside around."""
+    rnd = np.random.default_rng(12)
+    done = 0
+    while done < 60:
+        mask = np.zeros((16, 18), bool)
+        for _ in range(rnd.integers(1, 5)):
+            r, c, h, w = rnd.integers(1, 10), rnd.integers(1, 12), rnd.integers(1, 6), rnd.integers(1, 6)
+            mask[r : r + h, c : c + w] = True
+        corner = mask[:-1, :-1] & mask[1:, 1:] & ~mask[1:, :-1] & ~mask[:-1, 1:] | mask[1:, :-1] & mask[:-1, 1:] & ~mask[:-1, :-1] & ~mask[1:, 1:]
+        outside, inside = _reached(~mask, (0, 0)), _reached(mask, tuple(np.argwhere(mask)[0]))
+        if corner.any() or (inside != mask).any():  # one piece, whose gates touch at sides
+            continue
+        around = lambda r, c: [(r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)]
+        want = {((r + y) / 2, (c + x) / 2) for r, c in np.argwhere(mask).tolist() for y, x in around(r, c) if outside[y, x]}
+        line = [tuple(p) for p in shapes.contour(*np.nonzero(mask), mask.shape).tolist()]
+        holes = (~outside & ~mask).any()
+        if not holes or len(want) > 40:
+            assert set(line) == want and line[0] == line[-1] and len(line) == len(want) + 1
+            assert all(abs(a - c) + abs(b - d) <= 1.0 for (a, b), (c, d) in zip(line, line[1:]))
+            done += 1
+
+
+def _reached(open_, start):
+    seen, todo = np.zeros(open_.shape, bool), [start]
+    while todo:
+        r, c = todo.pop()
+        if 0 <= r < open_.shape[0] and 0 <= c < open_.shape[1] and open_[r, c] and not seen[r, c]:
+            seen[r, c] = True
+            todo += [(r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)]
+    return seen
+
+
+def test_outlines_of_all_labels(spark):
+    """The registered query's outlines are every eighth point of each label's contour, at the gates that hold them."""
+    gates, labels = catalog._labels(spark, SF)
+    gate = {(r.i, r.j): (r.lat, r.lon) for r in gates.collect()}
+    size = (max(i for i, _ in gate) + 1, max(j for _, j in gate) + 1)
+    own = {}
+    for r in labels.collect():
+        own.setdefault(r.poly_id, []).append((r.i, r.j))
+    want = {}
+    for p, places in own.items():
+        line = shapes.contour(*np.array(places).T, size)[::8].astype(int).tolist()
+        points = [gate[i, j] for i, j in line if (i, j) in gate]
+        if points:
+            want[p] = points
+    got = {r.poly_id: [(p.lat, p.lon) for p in r.bbox] for r in catalog.QUERIES["label_outlines"](spark, SF).collect()}
+    assert got == want and got
