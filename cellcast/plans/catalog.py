@@ -112,8 +112,8 @@ def composite(spark, sf_dir):
 # --- growth and shapes ------------------------------------------------------------------------------------------------
 
 
-def _grown_sql(rounds: int) -> str:
-    parts = [f"WITH g AS MATERIALIZED (SELECT i, j, value FROM {G}), r0 AS MATERIALIZED (SELECT i, j, poly_id, 0 AS r FROM {_LABELS})"]
+def _grown_sql(rounds: int, labels: str = _LABELS) -> str:
+    parts = [f"WITH g AS MATERIALIZED (SELECT i, j, value FROM {G}), r0 AS MATERIALIZED (SELECT i, j, poly_id, 0 AS r FROM {labels})"]
     for k in range(1, rounds + 1):
         near = " UNION ALL ".join(f"SELECT i {di} AS i, j {dj} AS j, poly_id FROM r{k - 1} WHERE r = {k - 1} AND poly_id > 0" for di, dj in (("+ 1", ""), ("- 1", ""), ("", "+ 1"), ("", "- 1")))
         parts.append(f"r{k} AS MATERIALIZED (SELECT * FROM r{k - 1} UNION ALL SELECT n.i, n.j, max(n.poly_id), {k} FROM ({near}) n JOIN g ON g.i = n.i AND g.j = n.j AND g.value >= 40 WHERE NOT EXISTS (SELECT 1 FROM r{k - 1} o WHERE o.i = n.i AND o.j = n.j) GROUP BY n.i, n.j)")
@@ -690,6 +690,18 @@ def match_statistics(spark, sf_dir):
 # --- whole flows, export, streams -------------------------------------------------------------------------------------------
 
 
+# polygons with a corner in the window of detection, which holds the whole grid
+_CORNERS = ("i0, j0", "i0 + hi, j0", "i0, j0 + hj", "CASE WHEN NOT triangle THEN i0 + hi END, j0 + hj")
+_SEEN = f"(SELECT * FROM {SH} WHERE " + " OR ".join("({} BETWEEN 0 AND 200 AND {} BETWEEN 0 AND 100)".format(*c.split(", ")) for c in _CORNERS) + ")"
+
+
+@query(_SUMMARY.format(key="poly_id", rows=f"({_grown_sql(100, _LABELS.replace(SH, _SEEN))}) JOIN {G} USING (i, j)"))
+def detected_summary(spark, sf_dir):
+    """Detection end to end but for the outlines: window, polygons, growth, summary."""
+    found = pipeline.detect(view(spark, sf_dir, "gates"), proxies.polygons(spark, sf_dir), (25.0, 27.0), (280.0, 281.0), outline=False)
+    return found.select("id", "num_gates", "max_refl", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
 @query()
 def detected_cells(spark, sf_dir):
     """Detection end to end: window, polygons, growth, outlines, summary."""
