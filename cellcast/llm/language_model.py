@@ -44,7 +44,7 @@ BATCH, NOISE, WORDS, POOL = 2048, 32, 4, 1024
 #: Learning rates (Adagrad) of the first part and of all parts, and the first sum of squared gradients.
 FIRST, RATE, POWER = 0.3, 0.1, 0.1
 #: Training tokens to a group of texts, most groups, tokens that a group learns from at a time, and slices of the parameters.
-TOKENS, PARTS, CHUNK, SLICES = 1 << 20, 1 << 14, 1 << 16, 16
+TOKENS, PARTS, CHUNK, SLICES = 1 << 20, 1 << 14, 1 << 16, 128
 _TABLE = common.byte_table(common.SPACES, lower=True)
 _END = np.uint64(0x5E17E0FD0C000000)
 _U = np.uint64
@@ -133,12 +133,15 @@ def count_words(texts: DataFrame, buckets: int, top: int = FREQUENT) -> DataFram
     return common.cut(packs.mapInArrow(merge, "b int, h binary, c binary, n long, v long, top array<struct<h:long,c:long>>"))
 
 
-def _by(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct indices, sums of their rows, how many they are)."""
+def _by(index: np.ndarray, rows: np.ndarray, of: np.ndarray | None = None, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct indices, sums of their rows, how many they are); the row of an index is rows[of] * times, if given."""
     order = np.argsort(index.astype(np.int16) if index.max() < 1 << 15 else index, kind="stable")  # short keys sort faster
     index = index[order]
-    start = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-    return index[start], np.add.reduceat(rows.take(order, axis=0), start, axis=0), np.diff(np.r_[start, len(index)])
+    start = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    rows = rows.take(order if of is None else of[order], axis=0)
+    if times is not None:
+        rows *= times[order, None]
+    return index[start], np.add.reduceat(rows, start, axis=0), np.diff(start, append=len(index))
 
 
 def _pull(x: np.ndarray) -> np.ndarray:
@@ -148,9 +151,11 @@ def _pull(x: np.ndarray) -> np.ndarray:
 def _log_share(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log of each row's softmax at its target."""
     own = np.take_along_axis(scores, target[:, None], 1)[:, 0]
-    top = scores.max(1, keepdims=True)
-    scores -= top
-    return own - top[:, 0] - np.log(np.exp(scores, out=scores).sum(1))
+    top = 0.0
+    if scores.max() > 40 or scores.min() < -40:  # beyond this a plain sum could leave the range of single precision
+        top = scores.max(1)
+        scores -= top[:, None]
+    return own - top - np.log(np.exp(scores, out=scores).sum(1))
 
 
 class LogBilinear:
@@ -201,20 +206,26 @@ class LogBilinear:
 
     def predict(self, context: np.ndarray) -> np.ndarray:
         """Predicted vectors, and a last column of ones for biases."""
-        q = sum(self.place[k] * self.context[context[k]] for k in range(CONTEXT))
+        q = self.place[0] * self.context.take(context[0], axis=0)
+        for k in range(1, CONTEXT):
+            q += self.place[k] * self.context.take(context[k], axis=0)
         q[:, -1] = 1
         return q
 
-    def _grow(self, name: str, index: np.ndarray, rows: np.ndarray, rate: float) -> None:
-        """Adagrad on the rows of a table that gradients belong to."""
+    def _grow(self, name: str, rate: float, index: np.ndarray, *rows: np.ndarray) -> None:
+        """Adagrad on the rows of a table that gradients (as for _by) belong to."""
         table = getattr(self, name)
         if name not in self.power:
             self.power[name], self.seen[name] = np.full_like(table, POWER), np.zeros(len(table))
         power, seen = self.power[name], self.seen[name]
-        index, rows, count = _by(index, rows)
+        index, gradient, count = _by(index, *rows)
         seen[index] += count
-        power[index] += rows * rows
-        table[index] += rate * rows / np.sqrt(power[index])
+        now = power.take(index, axis=0) + gradient * gradient
+        power[index] = now
+        np.sqrt(now, out=now)
+        gradient *= rate
+        gradient /= now
+        table[index] += gradient
 
     def learn(self, classes: np.ndarray, row: np.ndarray, rnd: np.random.Generator, rate: float = RATE) -> None:
         """One pass of noise-contrastive estimation in minibatches."""
@@ -232,7 +243,7 @@ class LogBilinear:
             up = _pull((q * t).sum(1) - self.log_group[target] - np.float32(math.log(NOISE)))  # pull of the data
             down = _pull(self.log_group[noise] + np.float32(math.log(NOISE)) - q @ w.T)  # push of the noise
             dq = up[:, None] * t - down @ w
-            self._grow("top", np.r_[target, noise], np.concatenate([up[:, None] * q, -(down.T @ q)]), rate)
+            self._grow("top", rate, np.concatenate([target, noise]), np.concatenate([up[:, None] * q, -(down.T @ q)]))
             inside = np.flatnonzero(target >= 2)
             if len(inside):
                 q, target = q[inside], classes[at + inside] - 2
@@ -242,11 +253,12 @@ class LogBilinear:
                 up = _pull((q * t).sum(1) - self.log_word[target] - np.float32(math.log(WORDS)))
                 down = _pull(self.log_word[noise] + np.float32(math.log(WORDS)) - np.einsum("nd,nkd->nk", q, w))
                 dq[inside] += up[:, None] * t - np.einsum("nk,nkd->nd", down, w)
-                self._grow("word", np.r_[target, noise.ravel()], np.concatenate([up[:, None] * q, -(down[:, :, None] * q[:, None]).reshape(-1, q.shape[1])]), rate)
+                own_token = np.arange(len(target))
+                self._grow("word", rate, np.concatenate([target, noise.ravel()]), q, np.concatenate([own_token, np.repeat(own_token, WORDS)]), np.concatenate([up, -down.ravel()]))
             dq[:, -1] = 0
             places = np.stack([(dq * self.context[own[k]]).sum(0) for k in range(CONTEXT)])
-            self._grow("context", own.ravel(), np.concatenate([dq * self.place[k] for k in range(CONTEXT)]), rate)
-            self._grow("place", np.arange(CONTEXT), places, rate)
+            self._grow("context", rate, own.ravel(), np.concatenate([dq * self.place[k] for k in range(CONTEXT)]))
+            self._grow("place", rate, np.arange(CONTEXT), places)
 
     def log_probabilities(self, classes: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Natural log of each token's normalised class probability."""
