@@ -381,3 +381,14 @@ def test_word_hashes_are_words():
     assert row.tolist() == [0, 0, 3, 3, 3, 3, 4] and hashes[0] == hashes[5] == hashes[6] and hashes[1] == hashes[4] and len(set(hashes.tolist())) == 4
     part = column.slice(3, 2)
     assert common.word_hashes(*common.flat(part), common.byte_table(common.SPACES, lower=True))[0].tolist() == hashes[2:].tolist()
+
+
+def test_words_that_polynomials_confuse_are_told_apart():
+    one = "a"
+    for _ in range(10):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    hashes, row = language_model.words(pa.array([one, other, one]))
+    assert row.tolist() == [0, 0, 1, 1, 2, 2] and hashes[0] == hashes[4] != hashes[2]
+    tokens = toxicity.Tokens(pa.array([one[:700], other[:700]]))
+    assert tokens.words[0] != tokens.words[1]
