@@ -49,13 +49,14 @@ SOURCES = {
 
 
 def attributes(cells: DataFrame, polygons: DataFrame, sources: dict[str, str] = SOURCES, id: str = "id") -> DataFrame:
-    """Cells with a value and a status for each attribute of the polygon with their id.
+    """Cells with a value and a status for each attribute of the polygon with their id (and scan, where both have one).
 
     Of polygons that repeat an id the last in file order counts; one without properties is no match. Without a match
     values are NULL and statuses NO_MATCH; a missing property is 0, one that isn't a number NULL with MATCH_ERROR.
     """
-    last = polygons.where(F.size("props") > 0).groupBy(F.col("id").cast("long").alias(id)).agg(F.max_by("props", "ordinal").alias("props"))
-    joined = cells.join(last, id, "left")
+    by = [c for c in ("scan",) if c in cells.columns and c in polygons.columns]
+    last = polygons.where(F.size("props") > 0).groupBy(*by, F.col("id").cast("long").alias(id)).agg(F.max_by("props", "ordinal").alias("props"))
+    joined = cells.join(last, [*by, id], "left")
     columns = []
     for target, source in sources.items():
         value, status = scalars.number_of(F.col("props"), source)

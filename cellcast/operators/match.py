@@ -1,33 +1,43 @@
 """Matching, merging and terminating cells.
 
-Assignment, termination and merging are sequential within a scan, so they run as one group for each scan (a few
-thousand cells at most); the pairs they start from come from joins by bands and tiles.
+Rules that are sequential within a scan run without bringing a scan together. Termination and greedy matches are decided
+in rounds over tables of pairs; assignment and merging are solved in parts that can't touch each other: the connected
+parts of candidate pairs, and groups of cells whose boxes, grown as far as merging could take them, never meet.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
-from . import spatial
+from ..sources.scratch import cut
+from . import graph, shapes, spatial
 
 
 def candidate_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
     """(scan, old_id, new_id, cost) of pairs within 10 km in x and in y. Inputs: scan, id, lat, lon, num_gates, max_refl.
 
-    Differences are divided by the largest value of either side, at least 1. The pairs come from an equi-join on
-    latitude bands of 10 km, so neither side meets all of the other.
+    Differences are divided by the largest value of either side, at least 1. The pairs come from an equi-join on tiles:
+    latitude bands of 10 km, and in each stretches of longitude that are 10 km at the band's narrower edge or more.
     """
     top = old.select("scan", "num_gates", "max_refl").unionByName(new.select("scan", "num_gates", "max_refl")).groupBy("scan")
     most = top.agg(F.greatest(F.lit(1.0), F.max("num_gates")).alias("top_gates"), F.greatest(F.lit(1.0), F.max("max_refl")).alias("top_refl"))
     band = scalars.MATCH_KM / scalars.DEGREE_KM
     a = old.select("scan", *[F.col(c).alias(f"{c}0") for c in ("id", "lat", "lon", "num_gates", "max_refl")])
-    a = a.withColumn("band", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: F.floor(F.col("lat0") / band) + k)))
     b = new.select("scan", *[F.col(c).alias(f"{c}1") for c in ("id", "lat", "lon", "num_gates", "max_refl")]).withColumn("band", F.floor(F.col("lat1") / band))
-    pairs = a.join(b, ["scan", "band"]).join(most, "scan")
+    # a pair's middle latitude is up to half a band poleward of the new cell's band, where 10 km are more degrees
+    edge = (F.greatest(F.abs("band"), F.abs(F.col("band") + 1)) + 1) * band
+    width = F.least(F.lit(360.0), band / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-6)))
+    around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: k.cast("long"))
+    a = a.withColumn("band", F.explode(F.transform(around, lambda k: F.floor(F.col("lat0") / band) + k)))
+    a = a.withColumn("part", F.explode(F.transform(around, lambda k: F.floor(F.col("lon0") / width) + k)))
+    b = b.withColumn("part", F.floor(F.col("lon1") / width))
+    pairs = a.join(b, ["scan", "band", "part"]).join(most, "scan")
     dlat, dlon = F.abs(F.col("lat0") - F.col("lat1")), F.abs(F.col("lon0") - F.col("lon1"))
     dx = dlon * scalars.DEGREE_KM * F.cos(F.radians((F.col("lat0") + F.col("lat1")) / 2))
     near = pairs.where((dx <= scalars.MATCH_KM) & (dlat * scalars.DEGREE_KM <= scalars.MATCH_KM))
@@ -70,59 +80,87 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
+def assign_sparse(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, alone: float) -> np.ndarray:
+    """Which of the pairs (row, column, cost <= alone) make up the cheapest assignment if a row without one costs `alone`.
+
+    Shortest augmenting paths over the pairs that exist, nearest first: memory follows the pairs, and a path only visits
+    what lies closer than its end, so a large part of local pairs is many short searches.
+    """
+    n, m = int(rows.max(initial=-1)) + 1, int(cols.max(initial=-1)) + 1
+    order = np.argsort(rows, kind="stable")
+    bound = np.searchsorted(rows[order], np.arange(n + 1))
+    # each row has a column of its own behind the m shared ones, where it stays alone
+    near = [[(int(cols[k]), float(cost[k]), int(k)) for k in order[bound[r] : bound[r + 1]]] + [(m + r, alone, -1)] for r in range(n)]
+    u, v = np.zeros(n), np.zeros(m + n)
+    owner, taken = np.full(m + n, -1), np.full(n, -1)
+    for start in range(n):
+        done: dict[int, float] = {}
+        entered: dict[int, int] = {}  # the column by which a row was reached
+        best: dict[int, tuple[float, int, int]] = {}  # column: (distance, from row, pair)
+        queue: list[tuple[float, int]] = []
+        row, base = start, 0.0
+        while True:
+            for c, w, k in near[row]:
+                d = base + w - u[row] - v[c]
+                if c not in done and d < best.get(c, (np.inf,))[0]:
+                    best[c] = (d, row, k)
+                    heapq.heappush(queue, (d, c))
+            while queue[0][1] in done or queue[0][0] > best[queue[0][1]][0]:
+                heapq.heappop(queue)
+            base, c = heapq.heappop(queue)
+            done[c] = base
+            if owner[c] < 0:
+                break
+            row = int(owner[c])
+            entered[row] = c
+        u[start] += base
+        for x, d in done.items():
+            if x != c:
+                u[owner[x]] += base - d
+                v[x] -= base - d
+        while True:  # along the path, each row takes the column it was reached from
+            _, row, k = best[c]
+            owner[c], taken[row] = row, k
+            if row == start:
+                break
+            c = entered[row]
+    return np.sort(taken[taken >= 0])
+
+
 def best_matches(old: DataFrame, new: DataFrame) -> DataFrame:
     """(scan, old_id, new_id, cost) of the one-to-one assignment of least total cost.
 
     Pairs that aren't candidates cost the penalty and count in the total; only pairs below it are returned. As no
     candidate costs more than the penalty, cells that no chain of candidates connects never decide each other's match:
-    each connected part of a scan is solved on its own.
+    each connected part is solved by itself, as a group of its own, whatever its scan.
     """
+    pairs = cut(candidate_pairs(old, new))
+    side = lambda k, id: F.struct("scan", F.lit(k).alias("side"), F.col(id).alias("id"))
+    parts = graph.parts(pairs.select(side(0, "old_id").alias("a"), side(1, "new_id").alias("b")))
+    named = pairs.withColumn("node", side(0, "old_id")).join(parts, "node").select("root", "scan", "old_id", "new_id", "cost")
 
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, a = np.unique(pdf.old_id, return_inverse=True)
-        cols, b = np.unique(pdf.new_id, return_inverse=True)
-        part = connected(a, b + len(rows), len(rows) + len(cols))[a]
-        kept = []
-        for p in np.unique(part):
-            own = np.flatnonzero(part == p)
-            r, i = np.unique(a[own], return_inverse=True)
-            c, j = np.unique(b[own], return_inverse=True)
-            cost = np.full((len(r), len(c)), scalars.MATCH_PENALTY)
-            cost[i, j] = pdf.cost.to_numpy()[own]
-            kept += [(key[0], rows[r[k]], cols[c[m]], cost[k, m]) for k, m in enumerate(assign(cost)) if m >= 0 and cost[k, m] < scalars.MATCH_PENALTY]
-        return pd.DataFrame(kept, columns=["scan", "old_id", "new_id", "cost"])
-
-    return candidate_pairs(old, new).groupBy("scan").applyInPandas(solve, "scan string, old_id long, new_id long, cost double")
-
-
-def connected(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node that each of n nodes reaches over links (a, b)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        new = root.copy()
-        np.minimum.at(new, root[a], low)
-        np.minimum.at(new, root[b], low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf.cost < scalars.MATCH_PENALTY].sort_values(["old_id", "new_id"])
+        a, b = np.unique(pdf.old_id, return_inverse=True)[1], np.unique(pdf.new_id, return_inverse=True)[1]
+        return pdf.iloc[assign_sparse(a, b, pdf.cost.to_numpy(), scalars.MATCH_PENALTY)][["scan", "old_id", "new_id", "cost"]]
 
+    return named.groupBy("root").applyInPandas(solve, pairs.schema)
 
-def greedy_matches(pairs: DataFrame) -> DataFrame:
-    """Pairs (scan, old_id, new_id, cost) taken by rising cost, each id once."""
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used: tuple[set, set] = (set(), set())
-        kept = []
-        for k, a, b in pdf.sort_values(["cost", "old_id", "new_id"])[["old_id", "new_id"]].itertuples():
-            if a not in used[0] and b not in used[1]:
-                used[0].add(a)
-                used[1].add(b)
-                kept.append(k)
-        return pdf.loc[kept]
+def greedy_matches(pairs: DataFrame) -> DataFrame:
+    """Pairs (scan, old_id, new_id, cost) taken by rising cost (equal costs by ids), each id once.
 
-    return pairs.where(F.col("cost") < scalars.MATCH_PENALTY).groupBy("scan").applyInPandas(take, pairs.schema)
+    In rounds: a pair that comes first for both of its cells is taken, whatever comes later, and pairs that share a
+    cell with it go. Each round's pairs are stored; none needs a scan together.
+    """
+    rest = cut(pairs.where(F.col("cost") < scalars.MATCH_PENALTY).distinct())
+    taken = None
+    while not rest.isEmpty():
+        first = lambda id: rest.groupBy("scan", id).agg(F.min(F.struct("cost", "old_id", "new_id")).alias("p")).select("scan", "p.*")  # noqa: B023, E731
+        now = cut(first("old_id").join(first("new_id"), ["scan", "cost", "old_id", "new_id"], "left_semi"))
+        taken = now if taken is None else taken.unionByName(now)
+        rest = cut(rest.join(now.select("scan", "old_id"), ["scan", "old_id"], "left_anti").join(now.select("scan", "new_id"), ["scan", "new_id"], "left_anti"))
+    return (taken if taken is not None else rest).select(*pairs.columns)
 
 
 def apply_matches(tracked: DataFrame, old: DataFrame, new: DataFrame, matches: DataFrame, fields: list[str]) -> DataFrame:
@@ -137,29 +175,41 @@ def apply_matches(tracked: DataFrame, old: DataFrame, new: DataFrame, matches: D
     return kept.unionByName(added).unionByName(fresh)
 
 
-def covered(cells: DataFrame, percent: float = 67.0, order: str = "num_gates", strict: bool = False) -> DataFrame:
+def _ring_boxes(cells: DataFrame) -> DataFrame:
+    """(scan, id, lat_min, ..., ring) by the row key `_k`, of cells with a ring."""
+    limits = geometry.bounds(F.col("ring"))
+    return cells.where(F.size("ring") > 0).select("scan", F.col("_k").alias("id"), *[c.alias(n) for c, n in zip(limits, ("lat_min", "lat_max", "lon_min", "lon_max"), strict=True)])
+
+
+def covered(cells: DataFrame, percent: float = 67.0, order: str = "num_gates", strict: bool = False, rounds: list[int] | None = None) -> DataFrame:
     """Cells (scan, ordinal, id, ring, order) that a larger one doesn't cover by `percent` (more than it, if strict).
 
-    Cells are compared from the largest down, equals in their given order; one that has gone covers nothing.
+    Cells are compared from the largest down, equals in their given order; one that has gone covers nothing. Which cell
+    covers which is a table of pairs of cells whose boxes meet. It is peeled in rounds: cells that nothing covers stay,
+    those they cover go, and neither decides anything after that. Rounds are as many as the longest chain of cells each
+    of which covers the next; their sizes are added to the list `rounds`, if there is one. Rows that repeat are cells of
+    their own; cells without a ring neither cover nor are covered.
     """
-
-    def rest(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, "ordinal"], ascending=[False, True])
-        rings = [np.array([(p["lon"], p["lat"]) for p in r]).reshape(-1, 2) for r in pdf.ring]
-        nothing = (np.inf, np.inf, -np.inf, -np.inf)
-        boxes = np.array([(*r.min(0), *r.max(0)) if len(r) else nothing for r in rings]).reshape(-1, 4)
-        alive = np.ones(len(rings), bool)
-        for k, box in enumerate(boxes):
-            earlier = boxes[:k]
-            meet = alive[:k] & (earlier[:, 0] <= box[2]) & (earlier[:, 2] >= box[0]) & (earlier[:, 1] <= box[3]) & (earlier[:, 3] >= box[1])
-            for m in np.flatnonzero(meet):  # only cells whose boxes meet are compared
-                share = geometry.overlap_percent(rings[k], rings[m])[1]
-                if share > percent if strict else share >= percent:
-                    alive[k] = False
-                    break
-        return pdf[alive]
-
-    return cells.groupBy("scan").applyInPandas(rest, cells.schema)
+    if percent < 0 or (percent == 0 and not strict):
+        raise ValueError("percent must be above 0")
+    rows = cut(cells.withColumn("_k", F.monotonically_increasing_id()))
+    met = spatial.overlapping(_ring_boxes(rows))
+    one = lambda side: rows.select("scan", F.col("_k").alias(side), F.struct((-F.col(order)).alias("order"), "ordinal", F.col("_k").alias("k")).alias(f"{side}_rank"), F.col("ring").alias(f"{side}_ring"))
+    both = met.join(one("a"), ["scan", "a"]).join(one("b"), ["scan", "b"])
+    first = F.col("a_rank") < F.col("b_rank")
+    pick = lambda x, y: F.when(first, x).otherwise(y)
+    pairs = both.select(pick(F.col("a"), F.col("b")).alias("over"), pick(F.col("b"), F.col("a")).alias("under"), shapes.overlap(pick(F.col("b_ring"), F.col("a_ring")), pick(F.col("a_ring"), F.col("b_ring")))["percent_a"].alias("share"))
+    rest = cut(pairs.where(F.col("share") > percent if strict else F.col("share") >= percent).select("over", "under"))
+    gone = None
+    while not rest.isEmpty():
+        if rounds is not None:
+            rounds.append(rest.count())
+        stays = rest.select("over").distinct().join(rest.select(F.col("under").alias("over")), "over", "left_anti")
+        now = cut(rest.join(stays, "over", "left_semi").select("under").distinct())
+        gone = now if gone is None else gone.unionByName(now)
+        rest = cut(rest.join(now, "under", "left_anti").join(now.select(F.col("under").alias("over")), "over", "left_anti"))
+    left = rows if gone is None else rows.join(gone.select(F.col("under").alias("_k")), "_k", "left_anti")
+    return left.select(*cells.columns)
 
 
 def nearest_large(cells: DataFrame, ratio: float = 0.9, km: float = 1.0) -> DataFrame:
@@ -178,12 +228,39 @@ def nearest_large(cells: DataFrame, ratio: float = 0.9, km: float = 1.0) -> Data
     return best.where(F.col("num_gates") < F.col("b.gates") * ratio).select("scan", "id", "b.large_id")
 
 
+def separate(cells: DataFrame, km: float) -> DataFrame:
+    """(_k, part) of cells (scan, _k, a box, ring): cells of different parts can never be merged, whatever is merged before.
+
+    Whatever comes of a part lies in its cells' common box. Parts begin as cells, and those whose boxes, widened by
+    `km`, meet become one with their common box, until none meet.
+    """
+    limits = geometry.bounds(F.col("ring"))
+    ends = [F.least, F.greatest, F.least, F.greatest]
+    box = dict(zip(("lat_min", "lat_max", "lon_min", "lon_max"), [f(F.col(n), F.coalesce(c, F.col(n))) for f, n, c in zip(ends, ("lat_min", "lat_max", "lon_min", "lon_max"), limits, strict=True)], strict=True))
+    names = cells.select("_k", F.col("_k").alias("part"))
+    boxes = cut(cells.select("scan", F.col("_k").alias("id"), *[c.alias(n) for n, c in box.items()]))
+    while True:
+        edge = F.least(F.greatest(F.abs("lat_min"), F.abs("lat_max")) + km / scalars.DEGREE_KM, F.lit(89.9))
+        lat, lon = F.lit(km / scalars.DEGREE_KM + 1e-9), km / (scalars.DEGREE_KM * F.cos(F.radians(edge))) + 1e-9
+        wide = boxes.select("scan", "id", (F.col("lat_min") - lat).alias("lat_min"), (F.col("lat_max") + lat).alias("lat_max"), (F.col("lon_min") - lon).alias("lon_min"), (F.col("lon_max") + lon).alias("lon_max"))
+        found = graph.parts(spatial.overlapping(wide).select("a", "b"))
+        if found.isEmpty():
+            return names
+        names = cut(names.join(found.select(F.col("node").alias("part"), "root"), "part", "left").select("_k", F.coalesce("root", "part").alias("part")))
+        named = boxes.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("id", F.coalesce("root", "id"))
+        boxes = cut(named.groupBy("scan", "id").agg(*[f(n).alias(n) for n, f in zip(box, (F.min, F.max, F.min, F.max), strict=True)]))
+
+
 def merge_cells(cells: DataFrame, ratio: float = 0.9, km: float = 1.0) -> DataFrame:
     """Cells of each scan after small ones joined large neighbours, repeatedly, and overlapping ones were merged.
 
     Cells: scan, ordinal, id, num_gates, lat, lon, a box and ring (lon, lat). The hull of both rings is the merged ring.
+    Small and large go by the most gates of the whole scan; the rest is done part by part (see `separate`).
     """
     names = [f.name for f in cells.schema]
+    rows = cut(cells.withColumn("_k", F.monotonically_increasing_id()))
+    floors = cells.groupBy("scan").agg((F.max("num_gates") * ratio).alias("_floor"))
+    placed = rows.join(separate(rows, km), "_k").join(floors, "scan")
 
     def join(a: dict, b: dict) -> None:
         n = a["num_gates"] + b["num_gates"]
@@ -195,15 +272,16 @@ def merge_cells(cells: DataFrame, ratio: float = 0.9, km: float = 1.0) -> DataFr
         a["ring"] = geometry.convex_hull(np.concatenate([a["ring"], b["ring"]]))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("ordinal").to_dict("records")
+        if len(pdf) == 1:
+            return pdf[names]
+        rows = pdf.sort_values(["ordinal", "_k"]).to_dict("records")
         for r in rows:
             r["ring"] = np.array([(p["lon"], p["lat"]) for p in r["ring"]]).reshape(-1, 2)
-        floor = ratio * max(r["num_gates"] for r in rows)
-        large, small = [r for r in rows if r["num_gates"] >= floor], [r for r in rows if r["num_gates"] < floor]
+        large, small = [r for r in rows if r["num_gates"] >= r["_floor"]], [r for r in rows if r["num_gates"] < r["_floor"]]
         spot = lambda r: [r[c] for c in ("lat_min", "lat_max", "lon_min", "lon_max", "lat", "lon")]
-        at = np.array([spot(r) for r in large], float)
+        at = np.array([spot(r) for r in large], float).reshape(-1, 6)
         again = True
-        while again and small:
+        while again and small and large:
             again, left = False, []
             for s in small:
                 dlat, dlon = km / scalars.DEGREE_KM, km / (scalars.DEGREE_KM * np.cos(np.radians(s["lat"])))
@@ -247,18 +325,14 @@ def merge_cells(cells: DataFrame, ratio: float = 0.9, km: float = 1.0) -> DataFr
             r["ring"] = [{"lon": float(x), "lat": float(y)} for x, y in r["ring"]]
         return pd.DataFrame(rest, columns=names)
 
-    return cells.groupBy("scan").applyInPandas(run, cells.schema)
+    return placed.groupBy("scan", "part").applyInPandas(run, cells.schema)
 
 
-def overlap_groups(pairs: DataFrame, cells: DataFrame) -> DataFrame:
-    """(id, group) by connected overlap pairs (a, b): the smallest id that is reached. Rounds contract the graph."""
-    from ..sources.scratch import cut
+def overlap_groups(pairs: DataFrame, cells: DataFrame, keys: tuple[str, ...] = ("scan",)) -> DataFrame:
+    """(keys..., id, group) by connected overlap pairs (keys..., a, b) of equal keys: the smallest id that is reached.
 
-    rest = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    names = cells.select("id", F.col("id").alias("group"))
-    while not rest.isEmpty():
-        low = rest.unionByName(rest.selectExpr("b AS a", "a AS b")).groupBy("a").agg(F.min("b").alias("low"))
-        step = cut(low.select(F.col("a").alias("node"), F.least("a", "low").alias("root")))
-        names = names.join(step.selectExpr("node AS group", "root"), "group", "left").select("id", F.coalesce("root", "group").alias("group"))
-        rest = cut(rest.join(step.selectExpr("node AS a", "root AS ra"), "a").join(step.selectExpr("node AS b", "root AS rb"), "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    return names
+    Ids repeat from scan to scan; a group never reaches over two of them. keys=() takes all cells together.
+    """
+    node = lambda id: F.struct(*keys, F.col(id).alias("id"))
+    found = graph.parts(pairs.select(node("a").alias("a"), node("b").alias("b"))).select(*[F.col(f"node.{c}").alias(c) for c in (*keys, "id")], F.col("root.id").alias("group"))
+    return cells.select(*keys, "id").join(found, [*keys, "id"], "left").select(*keys, "id", F.coalesce("group", "id").alias("group"))

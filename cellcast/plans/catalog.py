@@ -25,6 +25,8 @@ col = F.col
 
 def query(text: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if text:
             SQL[f.__name__] = text
@@ -434,11 +436,6 @@ def sweep_files(spark, sf_dir):
     return readers.sweep_files(read(spark, sf_dir, "lineitem").select(name.alias("url")), heights).select("url", "height")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {b not in readers.OPTIONAL})" for a, b in readers.DOWNLOADS) + ") t(suffix, folder, needed)")
-def source_catalog(spark, sf_dir):
-    return spark.createDataFrame([(*x, x in readers.CHECKED) for x in readers.DOWNLOADS], "suffix string, folder string, needed boolean")
-
-
 # --- history ---------------------------------------------------------------------------------------------------------------
 
 
@@ -619,25 +616,22 @@ def merged_cells(spark, sf_dir):
     return match.merge_cells(_boxed(spark, sf_dir)).select("scan", "id", "num_gates")
 
 
-_GROUPS = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM {_CB}), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON a.scan = b.scan AND a.id <> b.id AND a.lat_min < b.lat_max AND b.lat_min < a.lat_max AND a.lon_min < b.lon_max AND b.lon_min < a.lon_max),
+_GROUPS = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM {_CB}), e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM c a JOIN c b ON {{same}} a.id <> b.id AND a.lat_min < b.lat_max AND b.lat_min < a.lat_max AND a.lon_min < b.lon_max AND b.lon_min < a.lon_max),
   r(id, g) AS (SELECT id, id FROM c UNION SELECT e.b, r.g FROM r JOIN e ON e.a = r.id WHERE r.g < e.b) SELECT id, min(g) AS "group" FROM r GROUP BY id"""
 
 
-@query(_GROUPS)
+@query(_GROUPS.format(same="a.scan = b.scan AND"))
 def overlap_groups(spark, sf_dir):
-    """Overlapping cells by box, of all cells; pairs come from a tile join."""
-    return _overlap_groups(_boxed(spark, sf_dir))
+    """Overlapping cells by box, within each scan; pairs come from a tile join."""
+    c = cut(_boxed(spark, sf_dir).drop("ring"))
+    return match.overlap_groups(spatial.overlapping(c), c).select("id", "group")
 
 
-@query(_GROUPS)
+@query(_GROUPS.format(same=""))
 def all_overlap_groups(spark, sf_dir):
-    """The same as `overlap_groups`, which took a part of the cells once."""
-    return overlap_groups(spark, sf_dir)
-
-
-def _overlap_groups(boxed: DataFrame) -> DataFrame:
-    c = cut(boxed.drop("ring"))
-    return match.overlap_groups(spatial.overlapping(c), c)
+    """Overlapping cells by box, whatever their scan: where storms have been."""
+    c = cut(_boxed(spark, sf_dir).drop("ring"))
+    return match.overlap_groups(spatial.overlapping(c, ()), c, ())
 
 
 _AREA = "(lat_max - lat_min) * (lon_max - lon_min)"
@@ -774,6 +768,32 @@ def streamed_once(spark, sf_dir):
     return _drained(jobs.once(stream)).select("cell_id", col("ts").cast("timestamp_ntz").alias("ts"))
 
 
+# scans by the hour, of each cell its newest entry of the hour
+_SCANS = f"(SELECT cell_id, date_trunc('hour', ts) AS ts, arg_max(max_refl, ts) AS max_refl, arg_max(num_gates, ts) AS num_gates, arg_max(lat, ts) AS lat, arg_max(lon, ts) AS lon FROM {HI} GROUP BY ALL)"
+
+
+@query(f"""WITH s AS (SELECT *, dense_rank() OVER (ORDER BY ts) AS n FROM {_SCANS}), t AS (SELECT max(n) AS top FROM s),
+  l AS (SELECT *, n - row_number() OVER (PARTITION BY cell_id ORDER BY n) AS island FROM s),
+  f AS (SELECT *, min(ts) OVER w AS life, max(n) OVER w = n AND n < (SELECT top FROM t) AS ends FROM l WINDOW w AS (PARTITION BY cell_id, island)),
+  k AS (SELECT *, coalesce(max_refl = lag(max_refl) OVER w AND num_gates = lag(num_gates) OVER w AND lat = lag(lat) OVER w AND lon = lag(lon) OVER w, false) AS same FROM f WINDOW w AS (PARTITION BY cell_id, life ORDER BY ts)),
+  v AS (SELECT *, row_number() OVER w - 1 AS seq, lag(lat) OVER w AS la, lag(lon) OVER w AS lo, lag(ts) OVER w AS lt FROM k WHERE NOT same WINDOW w AS (PARTITION BY cell_id, life ORDER BY ts))
+  SELECT cell_id, life, seq, ts, max_refl, num_gates, round(lat, 6) AS lat, round(lon, 6) AS lon, round((lon - lo) * 111000 * cos(radians((lat + la) / 2)), 4) AS dx, round((lat - la) * 111000, 4) AS dy, epoch(ts - lt)::DOUBLE AS dt, false AS ended FROM v
+  UNION ALL SELECT cell_id, life, NULL, ts, max_refl, num_gates, round(lat, 6), round(lon, 6), NULL, NULL, NULL, true FROM k WHERE ends""")
+def streamed_tracks(spark, sf_dir):
+    """The tracker as a stream of hourly scans, stopped half-way and started again from its checkpoint."""
+    newest = lambda c: F.max_by(c, "ts").alias(c)
+    fields = ["max_refl", "num_gates", "lat", "lon"]
+    scans = cut(view(spark, sf_dir, "history").groupBy("cell_id", scalars.to_hour(col("ts")).alias("hour")).agg(*[newest(c) for c in fields]).withColumnRenamed("hour", "ts"))
+    folder, path, checkpoint = place(spark), place(spark), place(spark)
+    middle = scans.agg(F.timestamp_micros(F.avg(F.unix_micros(col("ts").cast("timestamp"))).cast("long")).cast("timestamp_ntz")).first()[0]
+    for part in (col("ts") < F.lit(middle).cast("timestamp_ntz"), col("ts") >= F.lit(middle).cast("timestamp_ntz")):
+        scans.where(part).write.mode("append").parquet(folder)
+        jobs.start_tracks(jobs.marked(spark.readStream.schema(scans.schema).parquet(folder)), path, checkpoint, every=None).awaitTermination()
+    found = spark.read.parquet(path)
+    ntz = lambda c: col(c).cast("timestamp_ntz").alias(c)
+    return found.select("cell_id", ntz("life"), F.when(~col("ended"), col("seq")).cast("long").alias("seq"), ntz("ts"), "max_refl", "num_gates", *[F.round(c, n).alias(c) for c, n in (("lat", 6), ("lon", 6), ("dx", 4), ("dy", 4))], "dt", "ended")
+
+
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)

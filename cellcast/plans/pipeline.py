@@ -42,14 +42,16 @@ def track(old_cells: DataFrame, old_history: DataFrame, new_cells: DataFrame, ts
 
 
 def integrate(found: DataFrame, gates: DataFrame, polygons: DataFrame, products: list[str] | None = None) -> DataFrame:
-    """Cells (id, lat, lon, bbox, ...) with the footprint maxima of all products and the polygon attributes.
+    """Cells ([scan,] id, lat, lon, bbox, ...) with the footprint maxima of all products and the polygon attributes.
 
-    By default the products are the keys of the integrated grids.
+    By default the products are the keys of the integrated grids. Where cells have a scan, as `detect` returns them, it
+    is part of their key; gates and polygons that have one count for cells of their scan only.
     """
     products = products or [key for *_, key in INTEGRATED]
     limits = spatial.footprint(F.col("bbox"), F.col("lat"), F.col("lon"))
-    boxes = found.select("id", *[c.alias(n) for c, n in zip(limits, ("lat_min", "lat_max", "lon_min", "lon_max"), strict=True)])
-    return attributes.attributes(found.join(spatial.footprint_max(boxes, gates, products), "id", "left"), polygons)
+    ids = [c for c in ("scan", "id") if c in found.columns]
+    boxes = found.select(*ids, *[c.alias(n) for c, n in zip(limits, ("lat_min", "lat_max", "lon_min", "lon_max"), strict=True)])
+    return attributes.attributes(found.join(spatial.footprint_max(boxes, gates, products), ids, "left"), polygons)
 
 
 def detect_regions(gates: DataFrame, least: int = 25) -> DataFrame:
