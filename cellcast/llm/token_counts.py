@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ class WordCounter:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
         self.known: dict[bytes, int] = {}
 
     def count(self, column: pa.Array) -> np.ndarray:
@@ -77,12 +80,46 @@ class TextCounter:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        self.model.no_truncation()
+        self.model.no_padding()
 
     def count(self, column: pa.Array) -> np.ndarray:
         texts = [x.decode() for x in common.raw(column)]
         return np.array([len(x) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)], np.int64)
 
 
+#: Normalisers that treat the characters of a word alike whatever words stand beside it.
+_PLAIN = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+#: Parts of patterns that may match white space, or look at what stands beside a match.
+_LOOSE = re.compile(r"\\[sSWDPhHRNXvbBAzZGK]|\\p\{Z|\\p\{\^|\[\^|\(\?|[\s.^$]")
+
+
+def _normal(spec: dict | None) -> bool:
+    """Whether a normaliser treats words one by one; white space may become one space."""
+    if spec is None or spec["type"] in _PLAIN:
+        return True
+    if spec["type"] == "Sequence":
+        return all(map(_normal, spec["normalizers"]))
+    return spec["type"] == "Replace" and spec["pattern"] == {"Regex": r"\s+"} and spec["content"] == " "
+
+
+def words_apart(spec: dict) -> bool:
+    """Whether a tokenizer (the JSON of its file) encodes words that white space parts independently of each other.
+
+    So it does if its first splitter keeps nothing but the matches of a pattern that can't match white space nor look
+    beyond a match, no normaliser works across words, and no added token holds or takes in white space. Whatever isn't
+    known to be so counts as not so.
+    """
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    first = parts[0] if parts else {}
+    if first.get("type") != "Split" or first["behavior"] != "Removed" or not first["invert"] or "Regex" not in first["pattern"]:
+        return False
+    pattern = re.sub(r"\\[^A-Za-z0-9]", "", first["pattern"]["Regex"])  # escaped signs
+    pattern = re.sub(r"\[\^[^\[\]]*\\s[^\[\]]*\]", "", pattern)  # classes that leave out white space
+    tokens = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in spec["added_tokens"])
+    return not _LOOSE.search(pattern) and _normal(spec.get("normalizer")) and tokens
+
+
 @functools.lru_cache(maxsize=2)
 def counter(path: str):
     """The counter that fits a tokenizer's file; a worker that serves many tasks keeps one."""
@@ -94,10 +131,7 @@ def counter(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
-    # whole words may be encoded apart if the first splitter throws away what its pattern, which holds no white space, leaves
-    apart = bool(parts) and parts[0]["type"] == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and r"[^\s" in parts[0]["pattern"].get("Regex", "")
-    return WordCounter(path) if apart and all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"]) else TextCounter(path)
+    return WordCounter(path) if words_apart(spec) else TextCounter(path)
 
 
 def tokenizer_digest(path: str) -> str:

@@ -94,3 +94,33 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert pieces.encode(none, MODEL).count() == 0
     assert token_counts.token_counts(none, WORDS).count() == 0
+
+
+def test_tokenizers_that_keep_white_space_count_whole_texts(tmp_path):
+    """A small tokenizer with each kind of splitter, normaliser and added token: counts are always the library's."""
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import AddedToken, Regex, Tokenizer, models, normalizers, pre_tokenizers
+
+    from cellcast.llm import token_counts
+
+    letters = {c: k for k, c in enumerate("abcdefghijklmnopqrstuvwxyz \n'!?")}
+    texts = ["a  b", "ab \n c", "", "  a b  ", "it's  a!", "a\n\n\nb ? c", None, "hello  world \n"]
+    words = r"'s|[\p{L}]+|[^\s\p{L}]+"
+    cases = [(words, None, None, True), (words + r"|\s+(?!\S)|\s+", None, None, False), (r"[^\s]+|.", None, None, False), (r" ?[\p{L}]+|[^\s\p{L}]+", None, None, False), (r"\S+", None, None, False), (r"[^a]+|[^\s]", None, None, False)]
+    cases += [(words, normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex(r"\s+"), " "), normalizers.Lowercase()]), None, True), (words, normalizers.Replace(" ", "a"), None, False), (words, normalizers.Strip(), None, False), (words, None, "a b", False)]
+    for k, (pattern, normalizer, token, apart) in enumerate(cases):
+        model = Tokenizer(models.BPE(letters, []))
+        model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "removed", invert=True)])
+        if normalizer is not None:
+            model.normalizer = normalizer
+        if token:
+            model.add_tokens([AddedToken(token)])
+        model.enable_truncation(2)
+        path = str(tmp_path / f"{k}.json")
+        model.save(path)
+        model.no_truncation()
+        found = token_counts.counter(path)
+        assert isinstance(found, token_counts.WordCounter) == apart, pattern
+        assert found.count(pa.array(texts, pa.string())).tolist() == [len(model.encode(t or "", add_special_tokens=False).ids) for t in texts], pattern
+    assert isinstance(token_counts.counter(public_tokenizers.path("word_bpe_49k.json")), token_counts.WordCounter)
