@@ -83,7 +83,7 @@ class Vocabularies:
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
             self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.int32)])
             self.bound = np.concatenate([self.bound, self.bound[-1] + np.cumsum([len(x) for x in found])])
-            self.n_bytes = np.concatenate([self.n_bytes, [len(x) for x in self.bytes.encode_ordinary_batch([f" {t}" for t in texts], num_threads=1)]])
+            self.n_bytes = np.concatenate([self.n_bytes, [len(self.bytes.encode_ordinary(f" {t}")) for t in texts]])
         return np.fromiter((self.known[w] for w in words), np.int64, len(words))
 
 
@@ -125,13 +125,14 @@ def repeated_lines(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> n
 def scripts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The most frequent script among each row's characters, by number ("Other" only where no letter is known)."""
     n = len(offsets) - 1
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    latin = np.concatenate([[0], np.cumsum(((data | 0x20) - 0x61) < 26, dtype=np.int64)])  # ASCII letters; bytes wrap around
+    lead = np.flatnonzero(data >= 0xC0)
     one = data[lead].astype(np.int64)
-    padded = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64) & 0x3F
-    two, three = padded[lead + 1], padded[lead + 2]
-    point = np.where(one < 0x80, one, np.where(one < 0xE0, (one & 0x1F) << 6 | two, np.where(one < 0xF0, (one & 0x0F) << 12 | two << 6 | three, 0xD7B0)))
+    two, three = (data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F for k in (1, 2))
+    point = np.where(one < 0xE0, (one & 0x1F) << 6 | two, np.where(one < 0xF0, (one & 0x0F) << 12 | two << 6 | three, 0xD7B0))
     script = _NAME[np.searchsorted(_FIRST, point, "right") - 1]
     count = np.bincount((np.searchsorted(offsets, lead, "right") - 1) * len(_NAMES) + script, minlength=n * len(_NAMES)).reshape(n, len(_NAMES))
+    count[:, _NAMES.index("Latin")] += latin[offsets[1:]] - latin[offsets[:-1]]
     count[:, _NAMES.index("Other")] = 0
     return np.where(count.any(1), count.argmax(1), _NAMES.index("Other"))
 
