@@ -50,17 +50,26 @@ def latest_common(files: DataFrame, unit: str = "minute") -> DataFrame:
     return common_minutes(files, unit).agg(F.max("minute").alias("minute"))
 
 
-def as_of(files: DataFrame, times: DataFrame, back: timedelta = timedelta(hours=6)) -> DataFrame:
+def as_of(files: DataFrame, times: DataFrame, back: timedelta = timedelta(hours=6), parts: int = 16) -> DataFrame:
     """(product, t, url, ts): for each time the newest file of each product not after it and not older than `back`.
 
-    An exact match is the newest possible, so it wins. Files and times meet by buckets of `back`, two to a time.
+    An exact match is the newest possible, so it wins; of files of one time the last url does. Time is cut into buckets,
+    `parts` to a span of `back`. Within a bucket of a product files and times stand in one order and the last file is
+    carried along; what came in earlier buckets is each bucket's newest file, handed on to the buckets it can reach. So
+    the work follows the files and the answers, not files by times, and a product with most files is many buckets.
     """
-    span = int(back.total_seconds())
-    bucket = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / span)
-    placed = files.where("ts IS NOT NULL").withColumn("k", bucket(F.col("ts")))
-    asked = times.select("t", F.explode(F.array(bucket(F.col("t")), bucket(F.col("t")) - 1)).alias("k"))
-    near = placed.join(asked, "k").where(F.col("ts").between(F.col("t") - F.lit(back), F.col("t")))
-    return near.groupBy("product", "t").agg(F.max(F.struct("ts", "url")).alias("b")).select("product", "t", "b.url", "b.ts")
+    span = max(1, int(back.total_seconds() * 1e6) // parts)
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    bucket = lambda c: ((micros(c) - F.pmod(micros(c), F.lit(span))) / span).cast("long")
+    placed = files.where("ts IS NOT NULL").select("product", bucket("ts").alias("k"), micros("ts").alias("at"), F.struct("ts", "url").alias("file"))
+    newest = placed.groupBy("product", "k").agg(F.max("file").alias("file"))
+    reach = newest.select("product", F.col("k").alias("k0"), F.explode(F.sequence(F.col("k"), F.col("k") + parts + 1)).alias("k"), "file")
+    carried = reach.groupBy("product", "k").agg(F.max(F.when(F.col("k0") < F.col("k"), F.col("file"))).alias("before"))
+    asked = times.where("t IS NOT NULL").select("t").distinct().select("t", bucket("t").alias("k"), micros("t").alias("at")).join(carried, "k")
+    both = placed.withColumn("asks", F.lit(False)).unionByName(asked.withColumn("asks", F.lit(True)), allowMissingColumns=True)
+    so_far = W.partitionBy("product", "k").orderBy("at", "asks", "file").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("own", F.last("file", ignorenulls=True).over(so_far)).where("asks").withColumn("b", F.coalesce("own", "before"))
+    return found.where(F.col("b.ts") >= F.col("t") - F.lit(back)).select("product", "t", "b.url", "b.ts")
 
 
 def hour_or_before(files: DataFrame, times: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
 from ..operators import attributes, cells, grow, history, match, schedule, shapes, spatial
-from ..sources import readers, writers
+from ..sources import gridfiles, readers, writers
 from ..sources.scratch import cut, place
 from ..streaming import jobs
 from . import pipeline, proxies
@@ -54,6 +54,20 @@ def gates_window(spark, sf_dir):
     return spatial.window(view(spark, sf_dir, "gates"), LAT, LON).where("value >= 40").select("i", "j", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "value")
 
 
+@query(f"SELECT kind, TIMESTAMP '2024-01-20 12:00:00' AS ts, i, j, round(lat, 6) AS lat, round(lon, 6) AS lon, value FROM {G}, (VALUES ('grib'), ('grib-png'), ('netcdf')) k(kind) WHERE lat BETWEEN {LAT[0]} AND {LAT[1]} AND lon BETWEEN {LON[0]} AND {LON[1]} AND value IS NOT NULL")
+def grid_files(spark, sf_dir):
+    """The grid written as GRIB2, packed and as pictures, and as NetCDF, and a window of each file read back."""
+    out = None
+    for kind in ("grib", "grib-png", "netcdf"):
+        path = place(spark)
+        gridfiles.write(view(spark, sf_dir, "gates"), path, kind, 25.0, 280.0, 0.01, _NOW).count()
+        # limits a hair wider than the window, as axes come from steps
+        found = gridfiles.read(spark, path, (LAT[0] - 1e-7, LAT[1] + 1e-7), (LON[0] - 1e-7, LON[1] + 1e-7)).where("value IS NOT NULL")
+        found = found.select(F.lit(kind).alias("kind"), "ts", "i", "j", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("value", 1).alias("value"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query(f"SELECT count(*) AS n FROM {G} WHERE lat BETWEEN {LAT[0]} AND {LAT[1]}")
 def gates_window_or_all(spark, sf_dir):
     return spatial.window_or_all(view(spark, sf_dir, "gates"), LAT, (10.0, 20.0)).agg(F.count("*").alias("n"))
@@ -156,7 +170,7 @@ def _competing_sql(rounds: int) -> str:
 
 @query(_competing_sql(100))
 def competing_regions(spark, sf_dir):
-    return grow.competing_regions(view(spark, sf_dir, "gates")).select("region", "i", "j")
+    return grow.competing_regions(view(spark, sf_dir, "gates"), tile=64).select("region", "i", "j")
 
 
 @query(f"""WITH l AS (SELECT i, j, value, i // 10 * 10 + j // 10 AS region FROM {G} WHERE value IS NOT NULL),

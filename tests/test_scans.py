@@ -266,3 +266,44 @@ def test_tracks_survive_a_restart_and_forget_what_ended(spark, tmp_path):
     moved = spark.read.parquet(path).where("cell_id = 2 AND seq = 2 AND NOT ended").first()
     assert abs(moved.dy - 0.1 * scalars.DEGREE_M) < 1e-6 and abs(moved.dx) < 1e-6
     assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2 * 3 + 2 + 3  # a time for each shard, and two living cells
+
+
+# --- growth and picks in time ------------------------------------------------------------------------------------------------------------
+
+
+def test_competing_regions_by_tiles_equal_whole_scans(spark):
+    from cellcast.operators import grow
+
+    rnd = np.random.default_rng(12)
+    rows = [(f"s{s}", i, j, v) for s in range(2) for i in range(40) for j in range(37) if (v := float(rnd.choice([20, 42, 45, 55], p=[0.25, 0.35, 0.32, 0.08]))) > 20 or rnd.random() < 0.5]
+    gates = spark.createDataFrame([*rows, ("s0", 99, 99, None), ("s1", -7, -5, 60.0), ("s1", -8, -6, 44.0)], "scan string, i int, j int, value double")
+    for rounds, tile in ((100, 8), (2, 8), (100, 16)):
+        got = {tuple(r) for r in grow.competing_regions(gates, rounds=rounds, tile=tile).collect()}
+        want = set()
+        for s in ("s0", "s1"):
+            pdf = gates.where(f"scan = '{s}' AND value IS NOT NULL").toPandas()
+            want |= {(s, *map(int, r)) for r in grow.compete(pdf, rounds=rounds).itertuples(index=False)}
+        assert got == want and len({(s, i, j) for s, _, i, j in want}) < len(want)
+    assert grow.competing_regions(gates.where("value < 50")).count() == 0
+
+
+def test_as_of_picks_carry_over_buckets(spark):
+    from cellcast.operators import schedule
+
+    rnd = np.random.default_rng(13)
+    start = dt.datetime(2025, 1, 1)
+    at = lambda s: start + dt.timedelta(seconds=int(s))
+    files = [("hot", f"h{k}", at(s)) for k, s in enumerate(rnd.integers(0, 90_000, 600))] + [("rare", f"r{k}", at(s)) for k, s in enumerate(rnd.integers(0, 90_000, 6))]
+    files += [("hot", "tie a", at(500)), ("hot", "tie b", at(500)), ("none", "x", None), ("far", "f", at(0))]
+    times = [at(s) for s in (*rnd.integers(-5000, 100_000, 80), 0, 500, 21_600, 21_601, 500)]
+    for hours in (6, 1):
+        back = dt.timedelta(hours=hours)
+        want = set()
+        for t in times:
+            for product in ("hot", "rare", "none", "far"):
+                found = [(ts, url) for p, url, ts in files if p == product and ts is not None and t - back <= ts <= t]
+                if found:
+                    want.add((product, t, max(found)[1], max(found)[0]))
+        got = schedule.as_of(spark.createDataFrame(files, "product string, url string, ts timestamp_ntz"), spark.createDataFrame([(t,) for t in times] + [(None,)], "t timestamp_ntz"), back)
+        rows = [tuple(r) for r in got.collect()]
+        assert set(rows) == want and len(rows) == len(want)
