@@ -221,10 +221,10 @@ def dense_grid(spark, sf_dir):
     return readers.dense_grid(axes).select(col("i").cast("long"), col("j").cast("long"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
-@query(f"SELECT cell_id, count(*) AS n FROM (SELECT cell_id, row_number() OVER (PARTITION BY cell_id ORDER BY seq) - 1 AS k FROM {HI}) WHERE k % 8 = 0 GROUP BY cell_id")
+@query(f"SELECT cell_id, seq FROM (SELECT cell_id, seq, row_number() OVER (PARTITION BY cell_id ORDER BY seq) - 1 AS k FROM {HI}) WHERE k % 8 = 0")
 def every_eighth(spark, sf_dir):
-    points = view(spark, sf_dir, "history").groupBy("cell_id").agg(F.collect_list("seq").alias("p"))
-    return points.select("cell_id", F.size(shapes.thinned(col("p"))).cast("long").alias("n"))
+    points = view(spark, sf_dir, "history").groupBy("cell_id").agg(F.sort_array(F.collect_list("seq")).alias("p"))
+    return points.select("cell_id", F.explode(shapes.thinned(col("p"))).alias("seq"))
 
 
 # --- scalars -----------------------------------------------------------------------------------------------------------
@@ -390,7 +390,7 @@ def product_updates(spark, sf_dir):
     return schedule.updates(f.where("product <> 'click'"), f.where(col("product").isin("click", "view") & (col("ts") < _now())), f)
 
 
-@query(f"SELECT count(DISTINCT product) = 0 AS all_available FROM {FI}")
+@query(f"SELECT coalesce(bool_and(has_update), true) AS all_available FROM ({SQL['product_updates']})")
 def all_available(spark, sf_dir):
     return schedule.all_available(product_updates(spark, sf_dir))
 
@@ -542,10 +542,11 @@ def cell_lookup(spark, sf_dir):
     return view(spark, sf_dir, "cells").where("id = 77").select("id", "num_gates", "max_refl")
 
 
-@query("SELECT event_id, 'k' AS missing FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '' ELSE 'k,' END || CASE WHEN event_id % 3 = 0 THEN 'm' ELSE 'n' END AS missing FROM events WHERE json_exists(props, '$.k')")
 def missing_keys(spark, sf_dir):
-    a = F.from_json("props", "map<string,string>")
-    b = F.create_map(F.lit("z"), F.lit("1"))
+    one = lambda k: F.create_map(F.lit(k), F.lit("1"))
+    a = F.map_concat(F.from_json("props", "map<string,string>"), F.when(col("event_id") % 3 == 0, one("m")).otherwise(one("n")))
+    b = F.when(col("event_id") % 2 == 0, one("k")).otherwise(one("z"))
     return read(spark, sf_dir, "events").select("event_id", F.array_join(history.missing_keys(a, b), ",").alias("missing"))
 
 
