@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geometry
+from . import contours
 
 
 # types as objects: texts of types can only be read where a session runs
@@ -16,59 +17,13 @@ _RING = T.ArrayType(T.StructType().add("lon", "double").add("lat", "double"))
 _OVERLAP = T.StructType().add("area", "double").add("percent_a", "double").add("percent_b", "double")
 
 
-def contour(rows: np.ndarray, cols: np.ndarray, shape: tuple[int, int] | None = None) -> np.ndarray:
-    """The longest boundary at half height around a set of gates, as (row, col) points, closed.
-
-    The line runs through the middles between gates inside and outside, keeping the inside on its left; where two
-    gates touch at a corner only, the line separates them. It isn't drawn beyond `shape`, so a set that fills the
-    grid has none, and a set that meets the rim has an open line.
-    """
-    if not len(rows):
-        return np.zeros((0, 2))
-    r0, c0 = rows.min() - 1, cols.min() - 1
-    mask = np.zeros((rows.max() - r0 + 2, cols.max() - c0 + 2), bool)
-    mask[rows - r0, cols - c0] = True
-    follow: dict[tuple[float, float], list[tuple[float, float]]] = {}
-    for r, c in np.argwhere(mask[:-1, :-1] | mask[1:, :-1] | mask[:-1, 1:] | mask[1:, 1:]):
-        if shape and not (0 <= r + r0 and r + r0 + 1 < shape[0] and 0 <= c + c0 and c + c0 + 1 < shape[1]):
-            continue
-        a, b, d, e = mask[r, c], mask[r, c + 1], mask[r + 1, c + 1], mask[r + 1, c]  # clockwise corners
-        middle = [(r, c + 0.5), (r + 0.5, c + 1.0), (r + 1.0, c + 0.5), (r + 0.5, float(c))]  # top, right, bottom, left
-        corner = [a, b, d, e]
-        # each inside-to-outside change along the clockwise corners is where a line enters, the next change is where it leaves
-        enter = [k for k in range(4) if corner[k] and not corner[(k + 1) % 4]]
-        leave = [k for k in range(4) if not corner[k] and corner[(k + 1) % 4]]
-        for k in enter:
-            other = min(leave, key=lambda m: (k - m) % 4)  # around the inside corner just passed
-            follow.setdefault(middle[k], []).append(middle[other])
-    starts = set(follow) - {q for x in follow.values() for q in x}
-    best: list[tuple[float, float]] = []
-    for start in [*sorted(starts), *sorted(follow)]:
-        line = [start]
-        while follow.get(line[-1]):
-            line.append(follow[line[-1]].pop(0))
-        if len(line) > len(best):
-            best = line
-    return np.array(best) + [r0, c0] if len(best) > 1 else np.zeros((0, 2))
-
-
 def outlines(labels: DataFrame, gates: DataFrame, step: int = 8) -> DataFrame:
     """(scan, poly_id, bbox) of labels (scan, i, j, poly_id): every step-th point of the contour as (lat, lon).
 
-    Points are taken at the gate that holds them. A label without a contour (it fills the grid) has no row.
+    Points are taken at the gate that holds them, and left out where there is none. A label without a contour (it
+    fills the grid) has no row.
     """
-    size = gates.groupBy("scan").agg(F.max("i").alias("max_i"), F.max("j").alias("max_j"))
-    rows = labels.where("poly_id <> 0").join(gates.select("scan", "i", "j", "lat", "lon"), ["scan", "i", "j"]).join(size, "scan")
-
-    def draw(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        line = contour(pdf.i.to_numpy(), pdf.j.to_numpy(), (int(pdf.max_i.iloc[0]) + 1, int(pdf.max_j.iloc[0]) + 1))[::step]
-        if not len(line):
-            return pd.DataFrame({"scan": [], "poly_id": [], "k": [], "pi": [], "pj": []}).astype({"scan": str, "poly_id": "int64", "k": "int32", "pi": "int32", "pj": "int32"})
-        whole = line.astype(int)
-        return pd.DataFrame({"scan": key[0], "poly_id": key[1], "k": np.arange(len(line)), "pi": whole[:, 0], "pj": whole[:, 1]})
-
-    points = rows.groupBy("scan", "poly_id").applyInPandas(draw, "scan string, poly_id long, k int, pi int, pj int")
-    placed = points.join(gates.select("scan", F.col("i").alias("pi"), F.col("j").alias("pj"), "lat", "lon"), ["scan", "pi", "pj"])
+    placed = contours.points(labels, gates, step).join(gates.select("scan", "i", "j", "lat", "lon"), ["scan", "i", "j"])
     ordered = F.sort_array(F.collect_list(F.struct("k", "lat", "lon")))
     return placed.groupBy("scan", "poly_id").agg(F.transform(ordered, lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))).alias("bbox"))
 

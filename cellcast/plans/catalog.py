@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
-from ..operators import attributes, cells, grow, history, match, schedule, shapes, spatial
+from ..operators import attributes, cells, contours, grow, history, match, schedule, shapes, spatial
 from ..sources import gridfiles, readers, writers
 from ..sources.scratch import cut, place
 from ..streaming import jobs
@@ -195,6 +195,28 @@ def label_outlines(spark, sf_dir):
     return shapes.outlines(labels, gates).select("poly_id", "bbox")
 
 
+def _outline_sql(step: int) -> str:
+    """Segments of all squares of gates, then a walk along them from every node that ends where it meets a smaller one."""
+    corners = " UNION ALL ".join(f"SELECT poly_id, i - {di} AS r, j - {dj} AS c, {bit} AS bit FROM l" for di, dj, bit in ((0, 0, 1), (0, 1, 2), (1, 1, 4), (1, 0, 8)))
+    side = "(VALUES (0, 0, 1), (1, 1, 2), (2, 2, 1), (3, 1, 0))"
+    return f"""WITH RECURSIVE l AS MATERIALIZED (SELECT * FROM {_LABELS} WHERE poly_id <> 0), z AS (SELECT max(i) AS mi, max(j) AS mj FROM {G}),
+  q AS (SELECT poly_id, r, c, sum(bit)::INT AS m FROM ({corners}), z WHERE r >= 0 AND c >= 0 AND r < mi AND c < mj GROUP BY poly_id, r, c),
+  s AS MATERIALIZED (SELECT poly_id, (2 * r + a.dr) * 2097152 + 2 * c + a.dc AS f, arg_min((2 * r + b.dr) * 2097152 + 2 * c + b.dc, (a.k - b.k + 4) % 4) AS t
+    FROM q, {side} a(k, dr, dc), {side} b(k, dr, dc) WHERE (m >> a.k) & 1 = 1 AND (m >> ((a.k + 1) % 4)) & 1 = 0 AND (m >> b.k) & 1 = 0 AND (m >> ((b.k + 1) % 4)) & 1 = 1 GROUP BY poly_id, r, c, a.k, a.dr, a.dc),
+  w(poly_id, start, free, node, k) AS (SELECT poly_id, f, NOT EXISTS (SELECT 1 FROM s o WHERE o.poly_id = s.poly_id AND o.t = s.f), f, 0 FROM s
+    UNION ALL SELECT w.poly_id, w.start, w.free, s.t, w.k + 1 FROM w JOIN s ON s.poly_id = w.poly_id AND s.f = w.node WHERE (w.k = 0 OR w.node <> w.start) AND (w.free OR w.node >= w.start)),
+  n AS (SELECT poly_id, start, free, max(k) AS n FROM w GROUP BY ALL HAVING free OR arg_max(node, k) = start AND max(k) > 0),
+  b AS (SELECT poly_id, start FROM n QUALIFY row_number() OVER (PARTITION BY poly_id ORDER BY n DESC, free DESC, start) = 1)
+  SELECT poly_id, CAST(k AS BIGINT) AS k, CAST(node // 2097152 // 2 AS INT) AS i, CAST(node % 2097152 // 2 AS INT) AS j FROM w JOIN b USING (poly_id, start) WHERE k % {step} = 0"""
+
+
+@query(_outline_sql(2))
+def outline_points(spark, sf_dir):
+    """Every second point of all labels' contours, by tiles so small that most lines cross some."""
+    gates, labels = _labels(spark, sf_dir)
+    return contours.points(labels, gates, 2, tile=8).select("poly_id", "k", "i", "j")
+
+
 @query(f"SELECT id, CASE WHEN triangle THEN round(hi * hj / 2 * 1e-4, 9) ELSE round(hi * hj * 1e-4, 9) END AS square_degrees FROM {SH}")
 def polygon_areas(spark, sf_dir):
     return proxies.polygons(spark, sf_dir).select("id", F.round(geometry.area_square_degrees(col("rings")[0]), 9).alias("square_degrees"))

@@ -2,11 +2,48 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cellcast.functions import geometry as G
-from cellcast.operators import shapes
+from cellcast.operators import contours, graph, shapes
 from cellcast.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
+
+def contour(rows: np.ndarray, cols: np.ndarray, shape: tuple[int, int] | None = None) -> np.ndarray:
+    """In plain Python: the longest boundary at half height around a set of gates, as (row, col) points, closed.
+
+    The line runs through the middles between gates inside and outside, keeping the inside on its left; where two
+    gates touch at a corner only, the line separates them. It isn't drawn beyond `shape`, so a set that fills the
+    grid has none, and a set that meets the rim has an open line.
+    """
+    if not len(rows):
+        return np.zeros((0, 2))
+    r0, c0 = rows.min() - 1, cols.min() - 1
+    mask = np.zeros((rows.max() - r0 + 2, cols.max() - c0 + 2), bool)
+    mask[rows - r0, cols - c0] = True
+    follow: dict[tuple[float, float], list[tuple[float, float]]] = {}
+    for r, c in np.argwhere(mask[:-1, :-1] | mask[1:, :-1] | mask[:-1, 1:] | mask[1:, 1:]):
+        if shape and not (0 <= r + r0 and r + r0 + 1 < shape[0] and 0 <= c + c0 and c + c0 + 1 < shape[1]):
+            continue
+        a, b, d, e = mask[r, c], mask[r, c + 1], mask[r + 1, c + 1], mask[r + 1, c]  # clockwise corners
+        middle = [(r, c + 0.5), (r + 0.5, c + 1.0), (r + 1.0, c + 0.5), (r + 0.5, float(c))]  # top, right, bottom, left
+        corner = [a, b, d, e]
+        # each inside-to-outside change along the clockwise corners is where a line enters, the next change is where it leaves
+        enter = [k for k in range(4) if corner[k] and not corner[(k + 1) % 4]]
+        leave = [k for k in range(4) if not corner[k] and corner[(k + 1) % 4]]
+        for k in enter:
+            other = min(leave, key=lambda m: (k - m) % 4)  # around the inside corner just passed
+            follow.setdefault(middle[k], []).append(middle[other])
+    starts = set(follow) - {q for x in follow.values() for q in x}
+    best: list[tuple[float, float]] = []
+    for start in [*sorted(starts), *sorted(follow)]:
+        line = [start]
+        while follow.get(line[-1]):
+            line.append(follow[line[-1]].pop(0))
+        if len(line) > len(best):
+            best = line
+    return np.array(best) + [r0, c0] if len(best) > 1 else np.zeros((0, 2))
+
+
 SQUARE = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
 
 
@@ -65,11 +102,11 @@ def test_hull_and_contour():
     assert len(G.convex_hull([(1, 1)])) == 1 and len(G.convex_hull([(0, 0), (1, 1), (2, 2)])) == 2
     mask = np.zeros((10, 12), bool)
     mask[2:6, 3:9] = True
-    line = shapes.contour(*np.nonzero(mask), mask.shape)
+    line = contour(*np.nonzero(mask), mask.shape)
     assert (line[0] == line[-1]).all() and len(line) == 21
     assert line.min(0).tolist() == [1.5, 2.5] and line.max(0).tolist() == [5.5, 8.5]
-    assert len(shapes.contour(*np.nonzero(np.ones((4, 4), bool)), (4, 4))) == 0
-    assert len(shapes.contour(np.array([3]), np.array([3]), (9, 9))) == 5
+    assert len(contour(*np.nonzero(np.ones((4, 4), bool)), (4, 4))) == 0
+    assert len(contour(np.array([3]), np.array([3]), (9, 9))) == 5
 
 
 def test_outline_or_box(spark):
@@ -95,7 +132,7 @@ def test_contours_run_between_all_gates_inside_and_outside():
             continue
         around = lambda r, c: [(r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)]
         want = {((r + y) / 2, (c + x) / 2) for r, c in np.argwhere(mask).tolist() for y, x in around(r, c) if outside[y, x]}
-        line = [tuple(p) for p in shapes.contour(*np.nonzero(mask), mask.shape).tolist()]
+        line = [tuple(p) for p in contour(*np.nonzero(mask), mask.shape).tolist()]
         holes = (~outside & ~mask).any()
         if not holes or len(want) > 40:
             assert set(line) == want and line[0] == line[-1] and len(line) == len(want) + 1
@@ -123,9 +160,65 @@ def test_outlines_of_all_labels(spark):
         own.setdefault(r.poly_id, []).append((r.i, r.j))
     want = {}
     for p, places in own.items():
-        line = shapes.contour(*np.array(places).T, size)[::8].astype(int).tolist()
+        line = contour(*np.array(places).T, size)[::8].astype(int).tolist()
         points = [gate[i, j] for i, j in line if (i, j) in gate]
         if points:
             want[p] = points
     got = {r.poly_id: [(p.lat, p.lon) for p in r.bbox] for r in catalog.QUERIES["label_outlines"](spark, SF).collect()}
     assert got == want and got
+
+
+def test_contours_by_tiles(spark):
+    """Random labels of two scans with shared ids, holes, corners that touch and open lines at the rim, on tiles of 3 to 50 gates."""
+    rnd = np.random.default_rng(5)
+    rows, want = [], set()
+    for scan in ("a", "b"):
+        grid = np.zeros((34, 29), int)
+        for _ in range(14):
+            r, c, h, w = rnd.integers(0, 30), rnd.integers(0, 25), rnd.integers(1, 14), rnd.integers(1, 14)
+            grid[r : r + h, c : c + w] = rnd.integers(0, 6)
+        grid[rnd.random(grid.shape) < 0.06] = 2
+        rows += [(scan, int(r), int(c), int(grid[r, c])) for r in range(34) for c in range(29)]
+        for p in set(grid.ravel().tolist()) - {0}:
+            line = contour(*np.nonzero(grid == p), grid.shape)
+            want |= {(scan, p, k, int(r), int(c)) for k, (r, c) in enumerate(line.tolist()) if k % 2 == 0}
+    # a scan that one label fills has no line, and one without labels no row
+    rows += [("full", r, c, 1) for r in range(3) for c in range(3)] + [("none", r, c, 0) for r in range(3) for c in range(3)] + [("none", 0, 1, None)]
+    gates = spark.createDataFrame(rows, "scan string, i int, j int, poly_id long").cache()
+    for tile in (3, 8, 50):
+        got = [tuple(r) for r in contours.points(gates.unionByName(gates.limit(40)), gates, 2, tile).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert contours.points(gates.where("false"), gates).count() == 0
+
+
+def test_lists_are_ranked():
+    before = np.array([0, 0, 1, 5, 3, 4, 6])  # 0-1-2, the ring 3-4-5, 6
+    first, rank = contours.ranked(before)
+    assert first.tolist() == [0, 0, 0, 3, 3, 3, 6] and rank.tolist() == [0, 1, 2, 0, 1, 2, 0]
+    assert [x.tolist() for x in contours.ranked(np.zeros(0, int))] == [[], []]
+
+
+def test_a_long_line_runs_through_many_tiles(spark, monkeypatch):
+    """A comb of 20 teeth: one line of a thousand segments, which crosses tiles a hundred times; rounds stay few."""
+    mask = np.zeros((42, 50), bool)
+    mask[1:41, 2] = True
+    mask[1:41:2, 2:48] = True
+    gates = spark.createDataFrame([("s", r, c, int(mask[r, c])) for r in range(42) for c in range(50)], "scan string, i int, j int, poly_id long")
+    line = contour(*np.nonzero(mask), mask.shape)
+    assert len(line) > 1_500
+    stored = []
+    for module in (contours, graph):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: stored.append(1) or cut(df))
+    got = {(r.k, r.i, r.j) for r in contours.points(gates, gates, 1, 12).collect()}
+    assert got == {(k, int(r), int(c)) for k, (r, c) in enumerate(line.tolist())}
+    assert len(stored) < 50
+
+
+def test_parts_of_rising_chains_take_few_rounds(spark, monkeypatch):
+    """Chains of 400 and 3 nodes that rise from link to link, a star, a repeated link and one to itself."""
+    links = [(k, k + 1) for k in range(399)] + [(1000, 1001), (1002, 1001)] + [(2000, k) for k in range(2001, 2020)] + [(2000, 2001), (5, 5), (7000, 7000)]
+    stored = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: stored.append(1) or cut(df))
+    got = {r.node: r.root for r in graph.parts(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1003)} | {k: 2000 for k in range(2000, 2020)}
+    assert len(stored) < 40
