@@ -392,3 +392,11 @@ def test_words_that_polynomials_confuse_are_told_apart():
     assert row.tolist() == [0, 0, 1, 1, 2, 2] and hashes[0] == hashes[4] != hashes[2]
     tokens = toxicity.Tokens(pa.array([one[:700], other[:700]]))
     assert tokens.words[0] != tokens.words[1]
+
+
+def test_components_of_rising_chains_take_few_rounds(spark, monkeypatch):
+    """Ids that rise along a chain of 300: rounds follow the logarithm of its length."""
+    stored = []
+    monkeypatch.setattr(common, "cut", lambda df, cut=common.cut: stored.append(1) or cut(df))
+    got = {r.node: r.root for r in common.components(spark.range(299).selectExpr("id AS a", "id + 1 AS b")).collect()}
+    assert got == dict.fromkeys(range(300), 0) and len(stored) < 40
