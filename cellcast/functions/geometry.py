@@ -133,24 +133,88 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     return np.array(chain(p)[:-1] + chain(p[::-1])[:-1])
 
 
-def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Area of the intersection of two simple polygons, holes none.
-
-    Both are cut into slabs at every corner and every crossing of their edges; within a slab edges don't cross, so
-    the intersection is a row of trapezoids whose area the middle of the slab gives exactly.
-    """
-    rings = [np.asarray(r, float) for r in (a, b)]
-    sides = [np.stack([r, np.roll(r, -1, 0)], 1) for r in rings]
-    cuts = [r[:, 0] for r in rings]
-    (p, q), (r, s) = (x.transpose(1, 0, 2) for x in sides)
+def _crossings(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(t, hit) of all edges p-q against all edges r-s: where along p-q they meet, and whether they do; parallel ones don't."""
     d, e = (q - p)[:, None, :], (s - r)[None, :, :]
     cross = d[..., 0] * e[..., 1] - d[..., 1] * e[..., 0]
     gap = r[None, :, :] - p[:, None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
         t = (gap[..., 0] * e[..., 1] - gap[..., 1] * e[..., 0]) / cross
         u = (gap[..., 0] * d[..., 1] - gap[..., 1] * d[..., 0]) / cross
-        hit = (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-        cuts.append((p[:, None, 0] + t * d[..., 0])[hit])
+        return t, (cross != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+
+
+def _winding(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How often the edges p-q of closed lines wind around the points, counter-clockwise."""
+    up, down = (p[:, 1] <= y[:, None]) & (q[:, 1] > y[:, None]), (p[:, 1] > y[:, None]) & (q[:, 1] <= y[:, None])
+    left = (q[:, 0] - p[:, 0]) * (y[:, None] - p[:, 1]) - (q[:, 1] - p[:, 1]) * (x[:, None] - p[:, 0])
+    return (up & (left > 0)).sum(1) - (down & (left < 0)).sum(1)
+
+
+def repaired(points: np.ndarray) -> list[np.ndarray]:
+    """Rings that don't cross, of all that a ring of (x, y) winds around: parts counter-clockwise, their holes clockwise.
+
+    The ring is split where its edges meet; pieces with an inside on one side only are its border, joined by the
+    sharpest left turn, so parts that touch at a point are apart. A ring without area has no parts.
+    """
+    p = np.asarray(points, float).reshape(-1, 2)
+    p = p[np.any(p != np.roll(p, 1, 0), axis=1)] if len(p) else p  # without repeats and a closing point
+    if len(p) < 3:
+        return []
+    q, size = np.roll(p, -1, 0), float(np.ptp(p, axis=0).max())
+    t, hit = _crossings(p, q, p, q)
+    span = ((q - p) ** 2).sum(1)
+    pieces: list[tuple[tuple[float, float], tuple[float, float]]] = []
+    snap = lambda x: tuple((np.round((x - p.min(0)) / size * 1e9) / 1e9 * size + p.min(0)).tolist())
+    for k in range(len(p)):
+        # corners that lie on the edge count too: edges on one line have no crossing
+        on = ((p - p[k]) @ (q[k] - p[k])) / span[k]
+        flat = np.abs((q[k] - p[k])[0] * (p - p[k])[:, 1] - (q[k] - p[k])[1] * (p - p[k])[:, 0]) <= 1e-12 * size * size
+        at = np.unique(np.concatenate([[0.0, 1.0], t[k][hit[k]], on[flat & (on > 0) & (on < 1)]]))
+        nodes = [snap(p[k] + x * (q[k] - p[k])) for x in at]
+        pieces += [(a, b) for a, b in zip(nodes, nodes[1:]) if a != b]
+    if not pieces:
+        return []
+    a, b = (np.array(x) for x in zip(*pieces, strict=True))
+    unique = sorted({(min(x), max(x)) for x in pieces})
+    u, v = (np.array(x) for x in zip(*unique, strict=True))
+    normal = np.stack([u[:, 1] - v[:, 1], v[:, 0] - u[:, 0]], 1) * 1e-4
+    near = np.minimum(1.0, 1e-6 * size / np.maximum(np.hypot(*normal.T), 1e-300))[:, None] * normal
+    sides = [_winding(*((u + v) / 2 + sign * near).T, a, b) != 0 for sign in (1, -1)]
+    leaving: dict[tuple[float, float], list[tuple[float, float]]] = {}
+    for (x, y), left, right in zip(unique, *sides, strict=True):
+        if left != right:
+            leaving.setdefault(x if left else y, []).append(y if left else x)
+    rings = []
+    while leaving:
+        line = [next(iter(leaving))]
+        before = None
+        while (ends := leaving.get(line[-1])) and (before is None or line[-1] != line[0]):
+            here = line[-1]
+            turn = lambda z: math.remainder(math.atan2(z[1] - here[1], z[0] - here[0]) - math.atan2(here[1] - before[1], here[0] - before[0]), 2 * math.pi)  # noqa: B023, E731
+            best = ends[0] if before is None or len(ends) == 1 else max(ends, key=turn)
+            ends.remove(best)
+            if not ends:
+                del leaving[here]
+            before = here
+            line.append(best)
+        if len(line) > 3 and line[0] == line[-1]:
+            rings.append(np.array(line[:-1]))
+    return rings
+
+
+def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
+    """Area of the intersection of what two rings wind around, whether they cross themselves or not.
+
+    Both are cut into slabs at every corner and every crossing of edges; within a slab edges don't cross, so the
+    intersection is a row of trapezoids whose area the middle of the slab gives exactly.
+    """
+    rings = [np.asarray(r, float) for r in (a, b)]
+    sides = [np.stack([r, np.roll(r, -1, 0)], 1) for r in rings]
+    cuts = [r[:, 0] for r in rings]
+    for one, other in [(sides[0], sides[1]), *[(x, x) for x, r in zip(sides, rings, strict=True) if not is_simple(r)]]:
+        t, hit = _crossings(one[:, 0], one[:, 1], other[:, 0], other[:, 1])
+        cuts.append((one[:, None, 0, 0] + np.where(hit, t, 0) * (one[:, 1, 0] - one[:, 0, 0])[:, None])[hit])
     x = np.unique(np.concatenate(cuts))
     total = 0.0
     for left, right in zip(x[:-1], x[1:], strict=True):
@@ -158,8 +222,11 @@ def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
         for side in sides:
             lo, hi = np.minimum(side[:, 0, 0], side[:, 1, 0]), np.maximum(side[:, 0, 0], side[:, 1, 0])
             own = side[(lo < middle) & (middle < hi)]
-            y = np.sort(own[:, 0, 1] + (own[:, 1, 1] - own[:, 0, 1]) * (middle - own[:, 0, 0]) / (own[:, 1, 0] - own[:, 0, 0]))
-            spans.append(y[: len(y) // 2 * 2].reshape(-1, 2))
+            y = own[:, 0, 1] + (own[:, 1, 1] - own[:, 0, 1]) * (middle - own[:, 0, 0]) / (own[:, 1, 0] - own[:, 0, 0])
+            order = np.argsort(y, kind="stable")
+            within = np.cumsum(np.sign(own[order, 1, 0] - own[order, 0, 0]))[:-1] != 0
+            y = y[order]
+            spans.append(np.stack([y[:-1][within], y[1:][within]], 1) if len(y) else np.zeros((0, 2)))
         low = np.maximum(spans[0][:, None, 0], spans[1][None, :, 0])
         high = np.minimum(spans[0][:, None, 1], spans[1][None, :, 1])
         total += float(np.maximum(high - low, 0).sum()) * (right - left)
@@ -167,9 +234,12 @@ def overlap_area(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def overlap_percent(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
-    """(overlap in square degrees, percent of a, percent of b); polygons that aren't simple count as their hulls, without area as 0."""
-    shapes = [p if is_simple(p) else convex_hull(p) for p in (np.asarray(a, float).reshape(-1, 2), np.asarray(b, float).reshape(-1, 2))]
-    if any(len(p) < 3 or area(p) == 0 for p in shapes):
+    """(overlap in square degrees, percent of a, percent of b); a ring that crosses itself counts with all it winds around, without area as 0."""
+    rings = [np.asarray(r, float).reshape(-1, 2) for r in (a, b)]
+    if any(len(r) < 3 for r in rings):
+        return 0.0, 0.0, 0.0
+    areas = [area(r) if is_simple(r) else overlap_area(r, r) for r in rings]
+    if min(areas) == 0:
         return 0.0, 0.0, 0.0
-    common = overlap_area(*shapes)
-    return common, 100 * common / area(shapes[0]), 100 * common / area(shapes[1])
+    common = overlap_area(*rings)
+    return common, 100 * common / areas[0], 100 * common / areas[1]

@@ -58,6 +58,13 @@ def hull(points: pd.Series) -> pd.Series:
     return pd.Series([[{"lon": float(x), "lat": float(y)} for x, y in geometry.convex_hull(np.array([(p["lon"], p["lat"]) for p in r]).reshape(-1, 2))] for r in points])
 
 
+@F.pandas_udf(T.ArrayType(_RING))
+def repair(rings: pd.Series) -> pd.Series:
+    """Rings that don't cross of a ring of (lon, lat) that may: parts counter-clockwise, holes clockwise; NULL and no area: none."""
+    corners = lambda r: np.array([(p["lon"], p["lat"]) for p in r]).reshape(-1, 2)
+    return pd.Series([[] if r is None else [[{"lon": float(x), "lat": float(y)} for x, y in part] for part in geometry.repaired(corners(r))] for r in rings])
+
+
 @F.pandas_udf(_OVERLAP)
 def overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Overlap of two rings of (lon, lat): square degrees and the percentages of both."""

@@ -237,6 +237,21 @@ def cell_outlines(spark, sf_dir):
     return view(spark, sf_dir, "cells").select("id", F.size(shapes.cell_polygon(bbox, col("lat"), col("lon"))).alias("corners"))
 
 
+_TIE = "(1 + id % 5) * 1e-2 AS w, (1 + id % 7) * 1e-2 AS h, 1 - id % 3 * 5e-1 AS f"
+
+
+@query(f"SELECT id, 2 AS parts, round(w * h / 2, 9) AS whole, round(w * h / 4 * (1 + f * f), 9) AS common, round(50 * (1 + f * f), 4) AS percent_a, round(25 * (1 + f * f), 4) AS percent_b FROM (SELECT id, {_TIE} FROM {CE})")
+def crossed_rings(spark, sf_dir):
+    """Bow ties at all cells, repaired, and their overlaps with boxes that begin at their left side, a quarter or the middle."""
+    c = view(spark, sf_dir, "cells").selectExpr("id", "lat", "lon", *_split(_TIE))
+    p = lambda x, y: F.struct((col("lon") + col("w") * x).alias("lon"), (col("lat") + col("h") * y).alias("lat"))
+    shift = (1 - col("f")) / 2
+    c = c.select("id", F.array(p(0, 0), p(1, 1), p(1, 0), p(0, 1)).alias("tie"), F.array(p(shift, 0), p(shift + 1, 0), p(shift + 1, 1), p(shift, 1)).alias("box"))
+    c = c.select("id", shapes.repair("tie").alias("parts"), shapes.overlap("tie", "box").alias("o"))
+    whole = F.aggregate(F.transform("parts", geometry.area_square_degrees), F.lit(0.0), lambda s, x: s + x)
+    return c.select("id", F.size("parts").alias("parts"), F.round(whole, 9).alias("whole"), F.round("o.area", 9).alias("common"), F.round("o.percent_a", 4).alias("percent_a"), F.round("o.percent_b", 4).alias("percent_b"))
+
+
 @query("SELECT i.x AS i, j.x AS j, round(25 + i.x * 5e-1, 6) AS lat, round(280 + j.x * 5e-1, 6) AS lon FROM (SELECT unnest(range(40)) AS x) i, (SELECT unnest(range(30)) AS x) j")
 def dense_grid(spark, sf_dir):
     axes = spark.createDataFrame([(25.0, 280.0, 0.5, 40, 30)], "lat0 double, lon0 double, step double, n_lat int, n_lon int")

@@ -222,3 +222,33 @@ def test_parts_of_rising_chains_take_few_rounds(spark, monkeypatch):
     got = {r.node: r.root for r in graph.parts(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1003)} | {k: 2000 for k in range(2000, 2020)}
     assert len(stored) < 40
+
+
+def test_rings_that_cross_are_repaired(spark):
+    """Bow tie, star, a ring run twice, a spike, a hole by a bridge, and random rings against windings on a raster."""
+    signed = lambda r: float((r[:, 0] * np.roll(r[:, 1], -1) - np.roll(r[:, 0], -1) * r[:, 1]).sum()) / 2
+    bow = [(0, 0), (1, 1), (1, 0), (0, 1)]
+    assert sorted(sorted(map(tuple, np.round(r, 6).tolist())) for r in G.repaired(bow)) == [[(0, 0), (0, 1), (0.5, 0.5)], [(0.5, 0.5), (1, 0), (1, 1)]]
+    assert all(abs(signed(r) - 0.25) < 1e-6 for r in G.repaired(bow))
+    assert np.allclose(G.overlap_percent(bow, SQUARE), (0.5, 100, 50))
+    assert [len(r) for r in G.repaired(SQUARE * 2)] == [4] and np.allclose(G.overlap_percent(SQUARE * 2, SQUARE), (1, 100, 100))
+    assert np.allclose(G.overlap_percent([*SQUARE, (0, 3), (0, 1)], SQUARE), (1, 100, 100))
+    assert G.repaired([]) == G.repaired([(0, 0), (1, 1)]) == G.repaired([(0, 0), (1, 1), (2, 2)]) == []
+    bridge = [(0, 0), (3, 0), (3, 3), (0, 3), (0, 0), (1, 1), (1, 2), (2, 2), (2, 1), (1, 1)]
+    assert sorted(round(signed(r), 6) for r in G.repaired(bridge)) == [-1, 9]
+    rnd = np.random.default_rng(3)
+    at = (np.stack(np.meshgrid(np.arange(150), np.arange(150)), -1).reshape(-1, 2) + 0.5) / 150
+
+    def windings(ring):
+        p = np.array(ring, float) - at[:, None, :]
+        angle = np.arctan2(p[..., 1], p[..., 0])
+        return np.round(((np.roll(angle, -1, 1) - angle + np.pi) % (2 * np.pi) - np.pi).sum(1) / (2 * np.pi))
+
+    for n in (4, 5, 6, 8, 12) * 4:
+        a, b = rnd.random((n, 2)), rnd.random((5, 2))
+        in_a, in_b = windings(a) != 0, windings(b) != 0
+        assert abs(G.overlap_area(a, b) - (in_a & in_b).mean()) < 0.01
+        parts = G.repaired(a)
+        assert abs(sum(map(signed, parts)) - G.overlap_area(a, a)) < 1e-6 and all(G.is_simple(r) for r in parts)
+    got = spark.range(1).select(shapes.repair(ring(bow)).alias("r"), shapes.repair(F.lit(None).cast("array<struct<lon:double,lat:double>>")).alias("none")).first()
+    assert [len(r) for r in got.r] == [3, 3] and got.none == []
