@@ -11,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import corpus_pipeline
 from cellcast.llm import toxicity
 from test_fm_index import slow as slow_decontamination
-from test_simhash import slow_components, slow_fingerprint
+from test_near_copies import slow_named
 from test_substrings import slow as slow_substrings
 
 BAD = ["idiot", "moron", "scum"]
@@ -50,8 +50,7 @@ def test_stages_against_brute_force(spark, tmp_path):
         tables.append([tuple(r) for r in docs.orderBy("doc_id").collect()])
     clean = {r[0] for r in rows if not r[5]}
     assert {r[0] for r in tables[0]} == clean
-    named = slow_components([(r[0], slow_fingerprint(r[1])) for r in tables[0]])
-    assert {r[0] for r in tables[1]} == {i for i, _, low in named if i == low}
+    assert {r[0] for r in tables[1]} == {i for i, low in slow_named([(r[0], r[1]) for r in tables[0]]) if i == low}
     texts = {r[0]: r[1] for r in tables[1]}
     digest = lambda t: hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest()
     assert sorted((i, h) for i, _, _, h in slow_substrings(list(texts.items()), 50)) == sorted((r[0], digest(r[1])) for r in tables[2])
