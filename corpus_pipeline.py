@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellcast.llm import common, fm_index, pieces, queries, simhash, substrings, toxicity
+from cellcast.llm import common, fm_index, near_copies, pieces, queries, substrings, toxicity
 
 #: What SQL can't say: hashes of shingles, trained models and a tokenizer; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -24,10 +24,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one document with the smallest id, and documents without an id.
 
-    Near-duplicates are those of op1: three-word shingles, fingerprints linked at three or fewer differing bits. Where
-    an id repeats, each of its texts is judged by its own fingerprint: a text that nothing duplicates stays.
+    Near-duplicates have five-word shingles of a Jaccard similarity of 0.8 or more, or are linked by such texts. Where an
+    id repeats, each of its texts is judged by its own shingles: a text that nothing duplicates stays.
     """
-    found = common.cut(simhash.near_duplicates(docs))
+    found = common.cut(near_copies.near_copies(docs))
     repeats = common.cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     gone = found.where("doc_id > component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
@@ -35,8 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         return kept.select(*_all(docs))
     single = kept.join(repeats, "doc_id", "left_anti").select(*_all(docs))
     odd = common.cut(docs.join(repeats, "doc_id", "left_semi").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.col("text"), F.struct(*_all(docs)).alias("doc")))
-    prints = simhash.fingerprints(odd.select("row", "text"), "row", "text").select(F.col("id").alias("row"), "fp")
-    named = odd.select("row", F.col("doc_id").cast("long").alias("doc_id")).join(prints, "row").join(found.select("doc_id", "fp", "component_id").distinct(), ["doc_id", "fp"])
+    prints = near_copies.sketches(odd.select("row", "text"), "row", "text").select(F.col("id").alias("row"), "sig")
+    named = odd.select("row", F.col("doc_id").cast("long").alias("doc_id")).join(prints, "row").join(found.select("doc_id", "sig", "component_id").distinct(), ["doc_id", "sig"])
     first = named.where("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("row")).select("row")
     return single.unionByName(odd.join(first, "row", "left_semi").select("doc.*"))
 
