@@ -215,9 +215,12 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
         pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= radius)
         salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 1024)).alias("salt")
         pairs = common.cut(pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b"), salt).groupBy("a", "b").agg(F.min("salt").alias("salt")))
+        members = members.where("size > 2")  # of two members, one is the pivot
         if pairs.isEmpty():
             break
         new = common.cut(_verified(pairs, nodes, similarity))
+        if new.isEmpty():
+            break
         links = new if links is None else links.unionByName(new)
         roots = common.cut(common.components(links).select("node", "root"))
     new = common.cut(_rest(rooted(), nodes, similarity, radius, chunk))
