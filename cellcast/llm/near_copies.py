@@ -4,8 +4,9 @@ At that similarity fingerprints of 64 bits differ in ten bits on average, so tab
 bits, find few of them. Here bands of MinHash values make the buckets, fingerprints of the same shingles screen a
 bucket's members bit-sliced with wider counters, and the similarity of the whole sets decides.
 
-Texts with one set of shingles are one node. A bucket's members are first compared with one pivot of the bucket, another
-one each round, and linked parts are found after each: a group of near copies costs a comparison a member. Only members
+Texts with one set of shingles are one node. A bucket's members are first compared with one pivot of the bucket, those
+of large buckets with another one each round, and linked parts are found after each: a group of near copies costs a
+comparison a member. Only members
 that are still in different parts are then compared with each other, chunk against chunk, and what leaves a task is a
 spanning forest of its links. So no cap is put on a bucket and no pair within a group is written.
 """
@@ -210,8 +211,9 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
 
     for turn in range(rounds):
         place = F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("at"), "node", "root", "n", "fp")
-        pivot = rooted().groupBy("k", "key").agg(F.min(place).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "key", "p")
-        pairs = rooted().join(pivot, ["k", "key"]).where(F.col("root") != F.col("p.root")).where(_sizes_fit("n", "p.n", similarity))
+        asked = rooted() if turn == 0 else rooted().where(F.col("size") > chunk)  # smaller buckets are one task's work below
+        pivot = asked.groupBy("k", "key").agg(F.min(place).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "key", "p")
+        pairs = asked.join(pivot, ["k", "key"]).where(F.col("root") != F.col("p.root")).where(_sizes_fit("n", "p.n", similarity))
         pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= radius)
         salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 1024)).alias("salt")
         pairs = common.cut(pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b"), salt).groupBy("a", "b").agg(F.min("salt").alias("salt")))
