@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +41,21 @@ def thinned(points: Column, step: int = 8) -> Column:
     return F.filter(points, lambda p, k: k % step == 0)
 
 
-@F.pandas_udf(T.BooleanType())
-def _simple(rings: pd.Series) -> pd.Series:
-    return pd.Series([r is not None and geometry.is_simple(np.array([(p["lon"], p["lat"]) for p in r]).reshape(-1, 2)) for r in rings])
+def _points(rings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The points (lon, lat) of all rings, where each ring begins and how many it has; NULL has none."""
+    size = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rings.flatten()
+    xy = np.stack([pc.struct_field(flat, c).to_numpy(zero_copy_only=False).astype(float) for c in ("lon", "lat")], 1)
+    return xy, np.cumsum(size) - size, size
+
+
+@F.arrow_udf(T.BooleanType())
+def _simple(rings: pa.Array) -> pa.Array:
+    xy, first, size = _points(rings)
+    out = np.zeros(len(size), bool)
+    for group in geometry.same_sizes(size):
+        out[group] = geometry.are_simple(geometry.rings_at(xy, first[group], int(size[group[0]])))
+    return pa.array(out)
 
 
 def cell_polygon(bbox: Column, lat: Column, lon: Column, min_size: float = 0.0) -> Column:
@@ -58,15 +72,19 @@ def hull(points: pd.Series) -> pd.Series:
     return pd.Series([[{"lon": float(x), "lat": float(y)} for x, y in geometry.convex_hull(np.array([(p["lon"], p["lat"]) for p in r]).reshape(-1, 2))] for r in points])
 
 
-@F.pandas_udf(T.ArrayType(_RING))
-def repair(rings: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(_RING))
+def repair(rings: pa.Array) -> pa.Array:
     """Rings that don't cross of a ring of (lon, lat) that may: parts counter-clockwise, holes clockwise; NULL and no area: none."""
-    corners = lambda r: np.array([(p["lon"], p["lat"]) for p in r]).reshape(-1, 2)
-    return pd.Series([[] if r is None else [[{"lon": float(x), "lat": float(y)} for x, y in part] for part in geometry.repaired(corners(r))] for r in rings])
+    found = geometry.all_repaired(*_points(rings))
+    parts = [r for ring in found for r in ring]
+    at = lambda x: pa.array(np.concatenate([[0], np.cumsum([len(y) for y in x], dtype=np.int64)]).astype(np.int32))
+    xy = np.array([p for r in parts for p in r], float).reshape(-1, 2)
+    points = pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["lon", "lat"])
+    return pa.ListArray.from_arrays(at(found), pa.ListArray.from_arrays(at(parts), points))
 
 
-@F.pandas_udf(_OVERLAP)
-def overlap(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_OVERLAP)
+def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     """Overlap of two rings of (lon, lat): square degrees and the percentages of both."""
-    ring = lambda r: np.array([(p["lon"], p["lat"]) for p in r]) if r is not None else np.zeros((0, 2))
-    return pd.DataFrame([geometry.overlap_percent(ring(x), ring(y)) for x, y in zip(a, b, strict=True)], columns=["area", "percent_a", "percent_b"])
+    found = geometry.overlap_percents(*_points(a), *_points(b))
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], _OVERLAP.names)

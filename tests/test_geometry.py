@@ -252,3 +252,19 @@ def test_rings_that_cross_are_repaired(spark):
         assert abs(sum(map(signed, parts)) - G.overlap_area(a, a)) < 1e-6 and all(G.is_simple(r) for r in parts)
     got = spark.range(1).select(shapes.repair(ring(bow)).alias("r"), shapes.repair(F.lit(None).cast("array<struct<lon:double,lat:double>>")).alias("none")).first()
     assert [len(r) for r in got.r] == [3, 3] and got.none == []
+
+
+def test_rings_many_at_a_time_equal_one_by_one(spark):
+    rnd = np.random.default_rng(3)
+    rings = [rnd.integers(0, 5, (k, 2)).astype(float) if k % 2 else rnd.random((k, 2)) for k in rnd.integers(0, 8, 600)] + [rnd.random((30, 2))]
+    rings = [np.concatenate([r, r[:1]]) if len(r) > 2 and n % 5 == 0 else r for n, r in enumerate(rings)]
+    size, xy = np.array([len(r) for r in rings]), np.concatenate(rings)
+    first, other = np.cumsum(size) - size, rnd.permutation(len(rings))
+    got = G.overlap_percents(xy, first, size, xy, first[other], size[other])
+    assert np.allclose(got, [G.overlap_percent(rings[a], rings[b]) for a, b in enumerate(other)], rtol=1e-9, atol=1e-9)
+    assert G.all_repaired(xy, first, size) == [[[tuple(p) for p in part.tolist()] for part in G.repaired(r)] for r in rings]
+    for group in G.same_sizes(size):
+        assert G.are_simple(G.rings_at(xy, first[group], size[group[0]])).tolist() == [G.is_simple(rings[k]) for k in group]
+    rows = spark.createDataFrame([([{"lon": 0.0, "lat": 0.0}, {"lon": 1.0, "lat": 1.0}, {"lon": 1.0, "lat": 0.0}, {"lon": 0.0, "lat": 1.0}],), (None,)], "r array<struct<lon:double,lat:double>>")
+    assert sorted(len(r[0]) for r in rows.select(shapes.repair("r")).collect()) == [0, 2]
+    assert sorted(r[0] for r in rows.select(shapes.overlap("r", "r")["percent_a"]).collect()) == [0.0, 100.0]
