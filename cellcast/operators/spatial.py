@@ -134,6 +134,22 @@ def overlapping(boxes: DataFrame, keys: tuple[str, ...] = ("scan",)) -> DataFram
     return near.where((F.col("ty") == corner[0]) & (F.col("tx") == corner[1])).select(*keys, F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b"))
 
 
+def linked(boxes: DataFrame, keys: tuple[str, ...] = ("scan",)) -> DataFrame:
+    """(keys..., a, b) that connect exactly what the pairs of `overlapping` connect, without a pair for every two copies.
+
+    Of boxes with the same keys and limits the one with the smallest id meets the others, and its copies hang on it.
+    Boxes without area, which their own copies don't overlap, stay by themselves.
+    """
+    wide = (F.col("lat_min") < F.col("lat_max")) & (F.col("lon_min") < F.col("lon_max")) & ~F.isnan("lat_max") & ~F.isnan("lon_max")
+    same = [*keys, *_BOX]
+    rows = boxes.select("id", *same)
+    solid = rows.where(wide)
+    first = solid.groupBy(*same).agg(F.min("id").alias("a"))
+    copies = solid.join(first, same).where("a <> id").select(*keys, "a", F.col("id").alias("b"))
+    alone = rows.where(~F.coalesce(wide, F.lit(False)))
+    return overlapping(first.withColumnRenamed("a", "id").unionByName(alone), keys).unionByName(copies)
+
+
 def beside(small: DataFrame, large: DataFrame, km: float, keys: tuple[str, ...] = ("scan",)) -> DataFrame:
     """Rows of `small` (keys..., lat, a box) with those of `large` (keys..., l_ and the box's names) whose box is within `km` of theirs.
 

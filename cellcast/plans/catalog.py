@@ -674,16 +674,16 @@ _GROUPS = f"""WITH RECURSIVE c AS MATERIALIZED (SELECT * FROM {_CB}), e AS MATER
 
 @query(_GROUPS.format(same="a.scan = b.scan AND"))
 def overlap_groups(spark, sf_dir):
-    """Overlapping cells by box, within each scan; pairs come from a tile join."""
+    """Overlapping cells by box, within each scan; links come from a tile join of distinct boxes."""
     c = cut(_boxed(spark, sf_dir).drop("ring"))
-    return match.overlap_groups(spatial.overlapping(c), c).select("id", "group")
+    return match.overlap_groups(spatial.linked(c), c).select("id", "group")
 
 
 @query(_GROUPS.format(same=""))
 def all_overlap_groups(spark, sf_dir):
     """Overlapping cells by box, whatever their scan: where storms have been."""
     c = cut(_boxed(spark, sf_dir).drop("ring"))
-    return match.overlap_groups(spatial.overlapping(c, ()), c, ())
+    return match.overlap_groups(spatial.linked(c, ()), c, ())
 
 
 _AREA = "(lat_max - lat_min) * (lon_max - lon_min)"

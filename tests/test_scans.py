@@ -307,3 +307,17 @@ def test_as_of_picks_carry_over_buckets(spark):
         got = schedule.as_of(spark.createDataFrame(files, "product string, url string, ts timestamp_ntz"), spark.createDataFrame([(t,) for t in times] + [(None,)], "t timestamp_ntz"), back)
         rows = [tuple(r) for r in got.collect()]
         assert set(rows) == want and len(rows) == len(want)
+
+
+# --- copies ------------------------------------------------------------------------------------------------------------------------
+
+
+def test_copies_of_boxes_are_linked_once(spark):
+    rows = [("s", 100 * c + k, 5, float(k), k + 1.2, 0.0, 1.0) for k in range(4) for c in range(50)]
+    rows += [("s", 900 + k, 5, 20.0, 20.0, 0.0, 1.0) for k in range(3)] + [("s", 950 + k, 5, 30.0, 30.0, 0.5, 0.5) for k in range(2)] + [("s", 960, 5, 29.0, 31.0, 0.0, 1.0)]
+    cells = boxes(spark, rows)
+    links = spatial.linked(cells)
+    # lines without area overlap boxes around them, but not their own copies
+    assert links.count() == 4 * 49 + 3 + 2
+    groups = lambda pairs: sorted((r.id, r.group) for r in match.overlap_groups(pairs, cells).collect())
+    assert groups(links) == groups(spatial.overlapping(cells))
