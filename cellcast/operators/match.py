@@ -188,18 +188,31 @@ def covered(cells: DataFrame, percent: float = 67.0, order: str = "num_gates", s
     covers which is a table of pairs of cells whose boxes meet. It is peeled in rounds: cells that nothing covers stay,
     those they cover go, and neither decides anything after that. Rounds are as many as the longest chain of cells each
     of which covers the next; their sizes are added to the list `rounds`, if there is one. Rows that repeat are cells of
-    their own; cells without a ring neither cover nor are covered.
+    their own, but only the first of cells of equal ring and order is paired with others; cells without a ring neither
+    cover nor are covered.
     """
     if percent < 0 or (percent == 0 and not strict):
         raise ValueError("percent must be above 0")
-    rows = cut(cells.withColumn("_k", F.monotonically_increasing_id()))
+    whole = cut(cells.withColumn("_k", F.monotonically_increasing_id()))
+    enough = F.col("share") > percent if strict else F.col("share") >= percent
+    # of copies the first one stands for all: it covers the others, and what covers it comes before them and covers them
+    named = whole.where("scan IS NOT NULL AND size(ring) > 0").select("scan", "ring", F.col(order).alias("order"), "ordinal", "_k")
+    first = named.groupBy("scan", "ring", "order").agg(F.min(F.struct("ordinal", "_k"))["_k"].alias("stands"), F.count("*").alias("n")).where("n > 1")
+    first = first.withColumn("share", shapes.overlap("ring", "ring")["percent_a"]).where(enough).select(F.col("scan").alias("s"), F.col("ring").alias("r"), F.col("order").alias("o"), "stands")
+    copies = named.join(first, (F.col("scan") == F.col("s")) & (F.col("ring") == F.col("r")) & F.col("order").eqNullSafe(F.col("o")) & (F.col("_k") != F.col("stands")), "left_semi")
+    rows = cut(whole.join(copies.select("_k"), "_k", "left_anti"))
     met = spatial.overlapping(_ring_boxes(rows))
-    one = lambda side: rows.select("scan", F.col("_k").alias(side), F.struct((-F.col(order)).alias("order"), "ordinal", F.col("_k").alias("k")).alias(f"{side}_rank"), F.col("ring").alias(f"{side}_ring"))
+    limits = lambda ring: geometry.bounds(F.col(ring))
+    one = lambda side: rows.select("scan", F.col("_k").alias(side), F.struct((-F.col(order)).alias("order"), "ordinal", F.col("_k").alias("k")).alias(f"{side}_rank"), F.col("ring").alias(f"{side}_ring"), F.array(*limits("ring")).alias(f"{side}_box"), geometry.least_area(F.col("ring")).alias(f"{side}_least"))
     both = met.join(one("a"), ["scan", "a"]).join(one("b"), ["scan", "b"])
-    first = F.col("a_rank") < F.col("b_rank")
-    pick = lambda x, y: F.when(first, x).otherwise(y)
-    pairs = both.select(pick(F.col("a"), F.col("b")).alias("over"), pick(F.col("b"), F.col("a")).alias("under"), shapes.overlap(pick(F.col("b_ring"), F.col("a_ring")), pick(F.col("a_ring"), F.col("b_ring")))["percent_a"].alias("share"))
-    rest = cut(pairs.where(F.col("share") > percent if strict else F.col("share") >= percent).select("over", "under"))
+    before = F.col("a_rank") < F.col("b_rank")
+    pick = lambda x, y: F.when(before, x).otherwise(y)
+    # what both boxes share bounds what the rings share, so most pairs need no ring
+    side = lambda k: F.least(F.col("a_box")[k + 1], F.col("b_box")[k + 1]) - F.greatest(F.col("a_box")[k], F.col("b_box")[k])
+    most = 100 * side(0) * side(2) / pick(F.col("b_least"), F.col("a_least")) * (1 + 1e-9) + 1e-9
+    near = both.where(F.coalesce(most >= percent, F.lit(True)))
+    pairs = near.select(pick(F.col("a"), F.col("b")).alias("over"), pick(F.col("b"), F.col("a")).alias("under"), shapes.overlap(pick(F.col("b_ring"), F.col("a_ring")), pick(F.col("a_ring"), F.col("b_ring")))["percent_a"].alias("share"))
+    rest = cut(pairs.where(enough).select("over", "under"))
     gone = None
     while not rest.isEmpty():
         if rounds is not None:

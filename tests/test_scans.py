@@ -321,3 +321,11 @@ def test_copies_of_boxes_are_linked_once(spark):
     assert links.count() == 4 * 49 + 3 + 2
     groups = lambda pairs: sorted((r.id, r.group) for r in match.overlap_groups(pairs, cells).collect())
     assert groups(links) == groups(spatial.overlapping(cells))
+
+
+def test_copies_are_terminated_by_their_first(spark):
+    rows = [("s", k, 50, 0.0, 1.0, 0.0, 1.0) for k in range(60)] + [("s", 100 + k, 40, 0.0, 1.0, 0.2, 1.2) for k in range(60)] + [("s", 200 + k, 30, 5.0, 5.0, 0.0, 1.0) for k in range(3)]
+    rounds = []
+    got = {(r.scan, r.id) for r in match.covered(boxes(spark, rows), 60.0, rounds=rounds).collect()}
+    assert got == {("s", 0), ("s", 200), ("s", 201), ("s", 202)}  # without area nothing covers
+    assert sum(rounds) == 1
