@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions import geometry, scalars
+from ..sources.scratch import cut
 
 #: Bytes up to which the polygon or cell side of a join, dealt out by tile, is broadcast; beyond, both sides are exchanged by tile.
 BROADCAST_BYTES = 32 << 20
@@ -186,16 +187,21 @@ def footprint_max(cells: DataFrame, gates: DataFrame, products: list[str], unrea
     """Of each cell ([scan,] id, lat_min, lat_max, lon_min, lon_max) the largest value >= 0 of each product within its box.
 
     Ids repeat from scan to scan, so where cells have a scan it is part of their key and comes back; where gates have
-    one too, only gates of a cell's own scan count. One range join serves all products. A product without a value gives
+    one too, only gates of a cell's own scan count. One range join of distinct places with distinct boxes serves all products. A product without a value gives
     NULL and status N/A. `unread` names products that couldn't be used, with their status (see readers.grid_status); a
     plain tuple means DATASET_LOAD_ERROR.
     """
     failed = dict(unread) if isinstance(unread, Mapping) else dict.fromkeys(unread, "DATASET_LOAD_ERROR")
     ids = [c for c in ("scan", "id") if c in cells.columns]
     by = tuple(c for c in ("scan",) if c in cells.columns and c in gates.columns)
-    hits = range_join(gates.where(F.col("value") >= 0).where(F.col("product").isin(products)).select(*by, "product", "lat", "lon", "value"), cells.select(*ids, *_BOX), by=by)
-    wide = hits.groupBy(*ids).agg(*[F.max(F.when(F.col("product") == p, F.col("value"))).alias(p) for p in products])
-    out = cells.select(*ids).join(wide, ids, "left")
+    # one row for each place and one for each box, however many values and cells are there
+    tops = [F.max(F.when(F.col("product") == p, F.col("value"))).alias(p) for p in products]
+    most = gates.where(F.col("value") >= 0).where(F.col("product").isin(products)).groupBy(*by, "lat", "lon").agg(*tops)
+    known = cells.select(*ids, *_BOX)
+    boxes = cut(known.select(*by, *_BOX).distinct())
+    hits = range_join(most, boxes, by=by)
+    wide = hits.groupBy(*by, *_BOX).agg(*[F.max(p).alias(p) for p in products])
+    out = known.join(wide, [*by, *_BOX], "left")
     return out.select(*ids, *products, *[F.when(F.col(p).isNull(), failed.get(p, "N/A")).alias(f"{p}_status") for p in products])
 
 

@@ -89,3 +89,13 @@ def test_footprint_skips_negative_values(spark):
     assert (got[1].p, got[1].p_status, got[1].q, got[1].q_status) == (7.0, None, None, "N/A") and got[2].p_status == "N/A"
     both = [spatial.range_join(gates, cells_, small=s).count() for s in (True, False)]
     assert both == [5, 5]
+
+
+def test_footprints_join_distinct_places_with_distinct_boxes(spark, monkeypatch):
+    gates = spark.createDataFrame([(p, float(k % 5), 1.0, float(k)) for p in ("p", "q") for k in range(500)], "product string, lat double, lon double, value double")
+    cells_ = spark.createDataFrame([(k, float(k % 3), float(k % 3) + 1, 0.0, 1.0) for k in range(90)] + [(900, None, 1.0, 0.0, 1.0)], "id long, lat_min double, lat_max double, lon_min double, lon_max double")
+    sizes, join = [], spatial.range_join
+    monkeypatch.setattr(spatial, "range_join", lambda points, boxes, **k: sizes.append((points.count(), boxes.count())) or join(points, boxes, **k))
+    got = {r.id: (r.p, r.q) for r in spatial.footprint_max(cells_, gates, ["p", "q"]).collect()}
+    assert sizes == [(5, 4)]
+    assert got == {k: (496.0 + k % 3, 496.0 + k % 3) for k in range(90)} | {900: (None, None)}
