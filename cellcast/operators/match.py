@@ -256,7 +256,7 @@ def separate(cells: DataFrame, km: float) -> DataFrame:
         edge = F.least(F.greatest(F.abs("lat_min"), F.abs("lat_max")) + km / scalars.DEGREE_KM, F.lit(89.9))
         lat, lon = F.lit(km / scalars.DEGREE_KM + 1e-9), km / (scalars.DEGREE_KM * F.cos(F.radians(edge))) + 1e-9
         wide = boxes.select("scan", "id", (F.col("lat_min") - lat).alias("lat_min"), (F.col("lat_max") + lat).alias("lat_max"), (F.col("lon_min") - lon).alias("lon_min"), (F.col("lon_max") + lon).alias("lon_max"))
-        found = graph.parts(spatial.overlapping(wide).select("a", "b"))
+        found = graph.parts(spatial.linked(wide).select("a", "b"))
         if found.isEmpty():
             return names
         names = cut(names.join(found.select(F.col("node").alias("part"), "root"), "part", "left").select("_k", F.coalesce("root", "part").alias("part")))

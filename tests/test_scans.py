@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellcast.functions import geometry, scalars
-from cellcast.operators import match, spatial
+from cellcast.operators import graph, match, spatial
 from cellcast.plans import catalog, pipeline
 from cellcast.sources import scratch
 from cellcast.streaming import jobs
@@ -329,3 +329,12 @@ def test_copies_are_terminated_by_their_first(spark):
     got = {(r.scan, r.id) for r in match.covered(boxes(spark, rows), 60.0, rounds=rounds).collect()}
     assert got == {("s", 0), ("s", 200), ("s", 201), ("s", 202)}  # without area nothing covers
     assert sum(rounds) == 1
+
+
+def test_parts_of_copies_are_found_without_all_pairs(spark, monkeypatch):
+    rows = [("s", 100 * c + k, 5, 2.0 * k, 2.0 * k + 1, 0.0, 1.0) for k in range(3) for c in range(40)]
+    links, parts = [], graph.parts
+    monkeypatch.setattr(graph, "parts", lambda pairs: links.append(pairs.count()) or parts(pairs))
+    cells = boxes(spark, rows).withColumn("_k", F.col("id"))
+    named = {r._k: r.part for r in match.separate(cells, 1.0).collect()}
+    assert named == {100 * c + k: k for k in range(3) for c in range(40)} and links[0] == 3 * 39
