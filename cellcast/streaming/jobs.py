@@ -178,18 +178,22 @@ def _tracker() -> StatefulProcessor:
             last = self.last.get()[0] if self.last.exists() else None
             fields = ["cell_id", "ts", "max_refl", "num_gates", "lat", "lon"]
             batch = batch.sort_values(["ts", *fields[2:]], kind="stable", na_position="last")
-            out = []
-            for ts, scan in batch.groupby("ts", sort=True):
-                ts = ts.to_pydatetime()
-                if last is not None and ts <= last:
-                    continue  # a scan counts once, and none that is older
-                last = ts
-                here = scan[scan.cell_id.notna()].drop_duplicates("cell_id")
-                here = {int(r[0]): [None if x != x else x for x in r] for r in here[fields].itertuples(index=False, name=None)}
+            if last is not None:
+                batch = batch[batch.ts > last]  # a scan counts once, and none that is older
+            own = batch[batch.cell_id.notna()].drop_duplicates(["ts", "cell_id"])
+            times = batch.ts.drop_duplicates()
+            ends = own.ts.searchsorted(times, side="right").tolist()
+            # plain values, once for the whole batch
+            values = [own[c].astype(object).where(own[c].notna(), None).tolist() for c in fields[2:]]
+            entries = list(zip(own.cell_id.astype("int64").tolist(), *values, strict=True))
+            out, start = [], 0
+            for ts, end in zip(times, ends, strict=True):
+                last = ts = ts.to_pydatetime()
+                here, start = {e[0]: e for e in entries[start:end]}, end
                 for id in [c for c in alive if c not in here]:
                     c = alive.pop(id)
                     out.append((id, c[6], c[7], c[1], *c[2:6], None, None, None, True))
-                for id, (_, _, refl, gates, lat, lon) in here.items():
+                for id, (_, refl, gates, lat, lon) in here.items():
                     new = [refl, None if gates is None else int(gates), lat, lon]
                     c = alive.get(id)
                     if c is None:
