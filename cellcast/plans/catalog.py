@@ -243,7 +243,8 @@ _TIE = "(1 + id % 5) * 1e-2 AS w, (1 + id % 7) * 1e-2 AS h, 1 - id % 3 * 5e-1 AS
 @query(f"SELECT id, 2 AS parts, round(w * h / 2, 9) AS whole, round(w * h / 4 * (1 + f * f), 9) AS common, round(50 * (1 + f * f), 4) AS percent_a, round(25 * (1 + f * f), 4) AS percent_b FROM (SELECT id, {_TIE} FROM {CE})")
 def crossed_rings(spark, sf_dir):
     """Bow ties at all cells, repaired, and their overlaps with boxes that begin at their left side, a quarter or the middle."""
-    c = view(spark, sf_dir, "cells").selectExpr("id", "lat", "lon", *_split(_TIE))
+    # a small file is read by few tasks, but its rings are work for all
+    c = view(spark, sf_dir, "cells").selectExpr("id", "lat", "lon", *_split(_TIE)).repartition(4 * spark.sparkContext.defaultParallelism, "id")
     p = lambda x, y: F.struct((col("lon") + col("w") * x).alias("lon"), (col("lat") + col("h") * y).alias("lat"))
     shift = (1 - col("f")) / 2
     c = c.select("id", F.array(p(0, 0), p(1, 1), p(1, 0), p(0, 1)).alias("tie"), F.array(p(shift, 0), p(shift + 1, 0), p(shift + 1, 1), p(shift, 1)).alias("box"))
