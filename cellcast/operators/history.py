@@ -37,7 +37,9 @@ def kept_entries(history: DataFrame, same: list[str], id: str = "cell_id", ts: s
                     last = entry
             yield batch.take(pa.array(kept, pa.int64()))
 
-    return history.repartition(id).sortWithinPartitions(id, order).mapInArrow(keep, history.schema)
+    # dealt out by a hash of the id: a plain repartition by the id is dropped where a join below has dealt rows out by it,
+    # and that join may still be changed at run time to one that leaves a cell's entries in several tasks
+    return history.repartition(F.xxhash64(id)).sortWithinPartitions(id, order).mapInArrow(keep, history.schema)
 
 
 def changed_entries(history: DataFrame, same: list[str], id: str = "cell_id", ts: str = "ts") -> DataFrame:

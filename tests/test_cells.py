@@ -325,3 +325,19 @@ def test_poll_moves_forward_only(spark, tmp_path):
     put([("B", T[3])])
     run()
     assert seen == [T[1], T[3]]
+
+
+def test_histories_are_dealt_out_by_cell_also_behind_a_join(spark, tmp_path):
+    """A join by the cell may still become a broadcast at run time, so its dealing out can't replace that of the appends."""
+    schema = "cell_id long, seq int, ts timestamp_ntz, v string"
+    spark.createDataFrame([(i, k, T[k], "a") for k in range(6) for i in range(40)], schema).write.parquet(str(tmp_path / "h"))
+    h = spark.read.schema(schema).parquet(str(tmp_path / "h"))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+        kept = history.kept_entries(h.join(h.select("cell_id").distinct(), "cell_id", "left_semi"), ["v"])
+        assert sorted((r.cell_id, r.seq) for r in kept.collect()) == [(i, 0) for i in range(40)]
+        assert "REPARTITION_BY_COL" in kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
