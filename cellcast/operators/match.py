@@ -12,6 +12,7 @@ import heapq
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry, scalars
@@ -19,9 +20,57 @@ from ..sources.scratch import cut
 from . import graph, shapes, spatial
 
 
-def candidate_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+#: What decides a pair's cost, and how many ids of cells that are alike in it stand in one row.
+_LIKE, _CHUNK = ("lat", "lon", "num_gates", "max_refl"), 256
+
+
+def _ranked(cells: DataFrame) -> DataFrame:
+    """Cells that differ as (scan, id, lat, lon, num_gates, max_refl, kind, rank, n).
+
+    Cells of a scan that are alike in place and size are one kind: its smallest id, a cell's rank by id (from 0) and its size.
+    """
+    w = W.partitionBy("scan", *_LIKE)
+    return cells.select("scan", "id", *_LIKE).distinct().select("*", F.min("id").over(w).alias("kind"), (F.row_number().over(w.orderBy("id")) - 1).alias("rank"), F.count("*").over(w).alias("n"))
+
+
+def _kinds(ranked: DataFrame) -> DataFrame:
+    """One cell for each kind, named by it."""
+    return ranked.where("rank = 0").select("scan", F.col("kind").alias("id"), *_LIKE)
+
+
+def _named(runs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(scan, old_id, new_id, cost) of runs (scan, a, b, cost, a_from, b_from, q): q cells of either kind, rank by rank."""
+    each = runs.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1))).select("scan", "a", "b", "cost", (F.col("a_from") + F.col("k")).alias("ra"), (F.col("b_from") + F.col("k")).alias("rb"))
+    a = old.select("scan", F.col("kind").alias("a"), F.col("rank").cast("long").alias("ra"), F.col("id").alias("old_id"))
+    b = new.select("scan", F.col("kind").alias("b"), F.col("rank").cast("long").alias("rb"), F.col("id").alias("new_id"))
+    return each.join(a, ["scan", "a", "ra"]).join(b, ["scan", "b", "rb"]).select("scan", "old_id", "new_id", "cost")
+
+
+def candidate_pairs(old: DataFrame, new: DataFrame, digits: int | None = None) -> DataFrame:
     """(scan, old_id, new_id, cost) of pairs within 10 km in x and in y. Inputs: scan, id, lat, lon, num_gates, max_refl.
 
+    Place, size and cost are compared once for all cells of a scan that are alike in them; their pairs are then listed
+    from rows of ids, some hundreds at a time. Rows that repeat give their pairs as often. `digits` rounds the cost.
+    """
+    kind = F.struct(*_LIKE)
+    one = lambda cells: cells.select("scan", kind.alias("id"), *_LIKE).distinct()
+    pairs = _kind_pairs(one(old), one(new))
+    if digits is not None:
+        pairs = pairs.withColumn("cost", F.round("cost", digits))
+
+    def listed(cells: DataFrame, side: str) -> DataFrame:
+        chunk = F.floor(F.row_number().over(W.partitionBy("scan", *_LIKE).orderBy("id")) / _CHUNK)
+        placed = cells.select("scan", kind.alias(f"{side}_id"), F.struct("id").alias("one"), chunk.alias("chunk"))
+        return placed.groupBy("scan", f"{side}_id", "chunk").agg(F.collect_list("one").alias(f"{side}s")).drop("chunk")
+
+    both = cut(pairs).join(listed(old, "old"), ["scan", "old_id"]).join(listed(new, "new"), ["scan", "new_id"])
+    listing = both.select("scan", "news", "cost", F.explode("olds").alias("a")).select("scan", "a", F.explode("news").alias("b"), "cost")
+    return listing.select("scan", F.col("a.id").alias("old_id"), F.col("b.id").alias("new_id"), "cost")
+
+
+def _kind_pairs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """As candidate_pairs, cell by cell.
+
     Differences are divided by the largest value of either side, at least 1. The pairs come from an equi-join on tiles:
     latitude bands of 10 km, and in each stretches of longitude that are 10 km at the band's narrower edge or more.
     """
@@ -127,24 +176,114 @@ def assign_sparse(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, alone: f
     return np.sort(taken[taken >= 0])
 
 
+def transport(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray, alone: float, supply: np.ndarray, demand: np.ndarray) -> np.ndarray:
+    """How often each of the pairs (row, column, cost <= alone) is used in the cheapest assignment of `supply` copies of rows to `demand` ones of columns.
+
+    As assign_sparse, which this equals where all copies are single: a copy without a column costs `alone`. A search
+    hands on as many copies as its path carries, so work follows the kinds of cells, not their copies.
+    """
+    n, m = len(supply), len(demand)
+    order = np.argsort(rows, kind="stable")
+    bound = np.searchsorted(rows[order], np.arange(n + 1))
+    to, price = cols[order], cost[order].astype(float)
+    u, v = np.zeros(n), np.zeros(m)
+    room, flow = demand.astype(np.int64).copy(), np.zeros(len(to), np.int64)
+    users: list[dict[int, int]] = [{} for _ in range(m)]  # of each column the rows in it, and their pairs
+    best, via = np.full(m, np.inf), np.full(m, -1)
+    for start in range(n):
+        left = int(supply[start])
+        while left:
+            reached, entered = {start: 0.0}, {}  # rows and their distances, and the columns by which they were reached
+            done: dict[int, float] = {}
+            touched: list[np.ndarray] = []
+            queue: list[tuple[float, int]] = []
+            limit, end, last = np.inf, -1, start  # the nearest place with room so far: a column's, or alone (-1)
+            fresh = [start]
+            while True:
+                for r in fresh:
+                    near = slice(bound[r], bound[r + 1])
+                    c, base = to[near], reached[r]
+                    if base + alone - u[r] < limit:
+                        limit, end, last = base + alone - u[r], -1, r
+                    d = base + np.maximum(price[near] - u[r] - v[c], 0.0)
+                    on = np.flatnonzero((d < best[c]) & (d < limit))
+                    best[c[on]], via[c[on]] = d[on], bound[r] + on
+                    touched.append(c[on])
+                    free = on[room[c[on]] > 0]
+                    if len(free):
+                        k = free[np.argmin(d[free])]
+                        limit, end = d[k], int(c[k])
+                    for k in on[(room[c[on]] == 0) & (d[on] < limit)].tolist():
+                        heapq.heappush(queue, (float(d[k]), int(c[k])))
+                while queue and (queue[0][1] in done or queue[0][0] > best[queue[0][1]]):
+                    heapq.heappop(queue)
+                if not queue or queue[0][0] >= limit:
+                    break
+                base, c = heapq.heappop(queue)
+                done[c] = base
+                fresh = [r for r in users[c] if r not in reached]
+                for r in fresh:
+                    reached[r], entered[r] = base, c
+            taken, given = [], []  # pairs that get copies, and pairs that give them up
+            row, c = last, end
+            if end >= 0:
+                taken.append(int(via[end]))
+                row = int(np.searchsorted(bound, via[end], "right")) - 1
+            while row != start:
+                c = entered[row]
+                given.append((c, row))
+                taken.append(int(via[c]))
+                row = int(np.searchsorted(bound, via[c], "right")) - 1
+            many = min([left, *([int(room[end])] if end >= 0 else []), *[int(flow[users[c][r]]) for c, r in given]])
+            for c, r in given:
+                k = users[c][r]
+                flow[k] -= many
+                if not flow[k]:
+                    del users[c][r]
+            for k in taken:
+                flow[k] += many
+                users[int(to[k])][int(np.searchsorted(bound, k, "right")) - 1] = k
+            if end >= 0:
+                room[end] -= many
+            left -= many
+            for r, d in reached.items():
+                u[r] += limit - d
+            for c, d in done.items():
+                v[c] -= limit - d
+            for c in touched:
+                best[c] = np.inf
+    out = np.zeros(len(to), np.int64)
+    out[order] = flow
+    return out
+
+
 def best_matches(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(scan, old_id, new_id, cost) of the one-to-one assignment of least total cost.
+    """(scan, old_id, new_id, cost) of the one-to-one assignment of least total cost; (scan, id) is a cell's key on either side.
 
     Pairs that aren't candidates cost the penalty and count in the total; only pairs below it are returned. As no
     candidate costs more than the penalty, cells that no chain of candidates connects never decide each other's match:
-    each connected part is solved by itself, as a group of its own, whatever its scan.
+    each connected part is solved by itself, as a group of its own, whatever its scan. Cells that are alike in place and
+    size are one node with as many copies, so neither pairs nor parts grow with the copies.
     """
-    pairs = cut(candidate_pairs(old, new))
+    a, b = cut(_ranked(old)), cut(_ranked(new))
+    pairs = cut(_kind_pairs(_kinds(a), _kinds(b)).where(F.col("cost") < scalars.MATCH_PENALTY))
     side = lambda k, id: F.struct("scan", F.lit(k).alias("side"), F.col(id).alias("id"))
     parts = graph.parts(pairs.select(side(0, "old_id").alias("a"), side(1, "new_id").alias("b")))
-    named = pairs.withColumn("node", side(0, "old_id")).join(parts, "node").select("root", "scan", "old_id", "new_id", "cost")
+    size = lambda ranked, id, n: ranked.where("rank = 0").select("scan", F.col("kind").alias(id), F.col("n").alias(n))
+    named = pairs.withColumn("node", side(0, "old_id")).join(parts, "node").join(size(a, "old_id", "na"), ["scan", "old_id"]).join(size(b, "new_id", "nb"), ["scan", "new_id"])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf.cost < scalars.MATCH_PENALTY].sort_values(["old_id", "new_id"])
-        a, b = np.unique(pdf.old_id, return_inverse=True)[1], np.unique(pdf.new_id, return_inverse=True)[1]
-        return pdf.iloc[assign_sparse(a, b, pdf.cost.to_numpy(), scalars.MATCH_PENALTY)][["scan", "old_id", "new_id", "cost"]]
+        pdf = pdf.sort_values(["old_id", "new_id"]).reset_index(drop=True)
+        (_, at, x), (_, to, y) = (np.unique(pdf[c], return_index=True, return_inverse=True) for c in ("old_id", "new_id"))
+        pdf["q"] = transport(x, y, pdf.cost.to_numpy(), scalars.MATCH_PENALTY, pdf.na.to_numpy()[at], pdf.nb.to_numpy()[to])
+        pdf = pdf[pdf.q > 0]
+        before = lambda c: pdf.groupby(c).q.cumsum() - pdf.q
+        return pdf.assign(a=pdf.old_id, b=pdf.new_id, a_from=before("old_id"), b_from=before("new_id"))[["scan", "a", "b", "cost", "a_from", "b_from", "q"]]
 
-    return named.groupBy("root").applyInPandas(solve, pairs.schema)
+    ids = [pairs.schema[c].dataType.simpleString() for c in ("scan", "old_id", "new_id")]
+    schema = f"scan {ids[0]}, a {ids[1]}, b {ids[2]}, cost double, a_from long, b_from long, q long"
+    dealt = named.select("root", "scan", "old_id", "new_id", "cost", "na", "nb")
+    return _named(cut(dealt.groupBy("root").applyInPandas(solve, schema)), a, b)
 
 
 def greedy_matches(pairs: DataFrame) -> DataFrame:
@@ -163,6 +302,45 @@ def greedy_matches(pairs: DataFrame) -> DataFrame:
     return (taken if taken is not None else rest).select(*pairs.columns)
 
 
+def greedy_cells(old: DataFrame, new: DataFrame) -> DataFrame:
+    """greedy_matches of candidate_pairs, without listing them: (scan, id) is a cell's key on either side.
+
+    Cells that are alike in place and size are one kind, of which those with the smallest ids go first. In rounds: where
+    two kinds come first for each other and nothing else costs them the same, as many cells are matched, rank by rank,
+    as both have left; among equal costs, the pair of cells that comes first for both kinds.
+    """
+    ranked = {"a": cut(_ranked(old)), "b": cut(_ranked(new))}
+    pairs = _kind_pairs(_kinds(ranked["a"]), _kinds(ranked["b"])).where(F.col("cost") < scalars.MATCH_PENALTY).select("scan", F.col("old_id").alias("a"), F.col("new_id").alias("b"), "cost")
+    # of each kind: how many there are, how many are matched, and the first of the others
+    for s in ("a", "b"):
+        size = ranked[s].where("rank = 0").select("scan", F.col("kind").alias(s), F.col("n").alias(f"{s}_n"))
+        pairs = pairs.join(size, ["scan", s]).withColumns({f"{s}_from": F.lit(0).cast("long"), f"{s}_head": F.col(s)})
+    rest = cut(pairs)
+    runs = None
+    while not rest.isEmpty():
+
+        def first(own: str, other: str) -> DataFrame:
+            """Of each kind the pair that comes first, how many cost the same, and what it has left."""
+            same = rest.groupBy("scan", own, "cost").agg(F.min(F.struct(f"{other}_head", other)).alias("p"), F.count("*").alias("k"), F.min(f"{own}_n").alias("n"), F.min(f"{own}_from").alias("from"))  # noqa: B023
+            one = same.groupBy("scan", own).agg(F.min(F.struct("cost", "p", "k", "n", "from")).alias("m"))
+            return one.select("scan", own, "m.cost", F.col(f"m.p.{other}").alias(other), F.col("m.k").alias(f"{own}_k"), (F.col("m.n") - F.col("m.from")).alias(f"{own}_left"), F.col("m.from").alias(f"{own}_from"))
+
+        both = first("a", "b").join(first("b", "a"), ["scan", "a", "b", "cost"])
+        many = F.when((F.col("a_k") == 1) & (F.col("b_k") == 1), F.least("a_left", "b_left")).otherwise(1)
+        now = cut(both.select("scan", "a", "b", "cost", "a_from", "b_from", many.cast("long").alias("q")))
+        runs = now if runs is None else runs.unionByName(now)
+        for s in ("a", "b"):
+            rest = rest.join(now.select("scan", s, F.col("q").alias("more")), ["scan", s], "left").withColumn(f"{s}_from", F.col(f"{s}_from") + F.coalesce("more", F.lit(0))).drop("more")
+        rest = rest.where("a_from < a_n AND b_from < b_n").drop("a_head", "b_head")
+        for s in ("a", "b"):
+            head = ranked[s].select("scan", F.col("kind").alias(s), F.col("rank").cast("long").alias(f"{s}_from"), F.col("id").alias(f"{s}_head"))
+            rest = rest.join(head, ["scan", s, f"{s}_from"])
+        rest = cut(rest)
+    if runs is None:
+        return rest.select("scan", F.col("a").alias("old_id"), F.col("b").alias("new_id"), "cost")
+    return _named(runs, ranked["a"], ranked["b"])
+
+
 def apply_matches(tracked: DataFrame, old: DataFrame, new: DataFrame, matches: DataFrame, fields: list[str]) -> DataFrame:
     """Tracked cells after a scan: matched ones take the new fields, matched but untracked old ones and unmatched new ones are added.
 

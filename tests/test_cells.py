@@ -341,3 +341,60 @@ def test_histories_are_dealt_out_by_cell_also_behind_a_join(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def _copies(rnd, n, step):
+    """Cells at few places and of few sizes, so that many are alike."""
+    return [(f"s{k % 2}", k * step % 997, 40 + int(rnd.integers(4)) * 0.04, 280 + int(rnd.integers(3)) * 0.05, int(rnd.integers(1, 4)), float(rnd.integers(2))) for k in range(n)]
+
+
+CELL = "scan string, id long, lat double, lon double, num_gates long, max_refl double"
+
+
+def test_transport_equals_single_copies():
+    rnd = np.random.default_rng(4)
+    for _ in range(150):
+        n, m = rnd.integers(1, 6, 2)
+        r, c = np.nonzero(rnd.random((n, m)) < rnd.random())
+        cost, supply, demand = np.round(rnd.random(len(r)), int(rnd.integers(1, 4))), rnd.integers(1, 5, n), rnd.integers(1, 5, m)
+        used = match.transport(r, c, cost, 1.0, supply, demand)
+        assert (used >= 0).all() and (np.bincount(r, used, minlength=n) <= supply).all() and (np.bincount(c, used, minlength=m) <= demand).all()
+        pairs = [(i, j, x) for a, b, x in zip(r, c, cost) for i in range(supply[:a].sum(), supply[: a + 1].sum()) for j in range(demand[:b].sum(), demand[: b + 1].sum())]
+        i, j, x = (np.array(k, t) for k, t in zip(zip(*pairs), (int, int, float))) if pairs else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        assert abs((used * (cost - 1)).sum() - (x[match.assign_sparse(i, j, x, 1.0)] - 1).sum()) < 1e-9
+
+
+def test_matches_of_copies(spark, monkeypatch):
+    """Cells that are alike cost one pair for all of them, and are matched as if each had its own."""
+    rnd = np.random.default_rng(8)
+    old, new = (spark.createDataFrame(_copies(rnd, n, step), CELL) for n, step in ((180, 7), (150, 11)))
+    rows = {(r.scan, r.old_id, r.new_id): r.cost for r in match.candidate_pairs(old, new).collect()}
+    listed = {(r.scan, r.old_id, r.new_id): r.cost for r in match._kind_pairs(old, new).collect()}
+    assert rows == listed and len(rows) > 3000
+    compared, plain = [], match._kind_pairs
+    monkeypatch.setattr(match, "_kind_pairs", lambda a, b: compared.append(plain(a, b).count()) or plain(a, b))
+    taken, used = {}, set()
+    for (s, i, j), c in sorted(rows.items(), key=lambda x: (x[1], x[0][1], x[0][2])):
+        if c < 1 and not {(s, 0, i), (s, 1, j)} & used:
+            used |= {(s, 0, i), (s, 1, j)}
+            taken[s, i, j] = c
+    assert {(r.scan, r.old_id, r.new_id): r.cost for r in match.greedy_cells(old, new).collect()} == taken
+    best = match.best_matches(old, new).collect()
+    assert all(rows[r.scan, r.old_id, r.new_id] == r.cost for r in best)
+    assert len({(r.scan, r.old_id) for r in best}) == len(best) == len({(r.scan, r.new_id) for r in best})
+    total = 0.0
+    for s in ("s0", "s1"):
+        a, b = (sorted({k[n] for k in rows if k[0] == s}) for n in (1, 2))
+        cost = np.array([[rows.get((s, i, j), 1.0) for j in b] for i in a])
+        got = match.assign(cost)
+        total += (cost[np.flatnonzero(got >= 0), got[got >= 0]] - 1).sum()
+    assert abs(sum(r.cost - 1 for r in best) - total) < 1e-9
+    assert len(compared) == 2 and max(compared) < len(rows) / 2
+
+
+def test_candidates_of_repeated_rows_and_ids(spark):
+    a = [("s", 5, 40.0, 280.0, 3, 1.0), ("s", 5, 40.0, 280.0, 3, 1.0), ("s", 5, 40.05, 280.0, 3, 1.0), ("s", None, 40.0, 280.0, 3, 1.0), ("s", 6, 40.0, 280.0, None, 1.0), (None, 7, 40.0, 280.0, 3, 1.0)]
+    b = [("s", 5, 40.0, 280.0, 3, 1.0), ("s", None, 40.01, 280.0, 2, 1.0), ("s", 8, 40.01, 280.0, 2, None)]
+    old, new = spark.createDataFrame(a, CELL), spark.createDataFrame(b, CELL)
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows(match.candidate_pairs(old, new)) == rows(match._kind_pairs(old, new)) and len(rows(match._kind_pairs(old, new))) == 15
