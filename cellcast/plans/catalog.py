@@ -626,7 +626,7 @@ def best_matches(spark, sf_dir):
   (SELECT *, bool_or(taken) OVER (PARTITION BY scan, old_id) OR bool_or(taken) OVER (PARTITION BY scan, new_id) AS gone FROM t) WHERE NOT gone)
   SELECT scan, old_id, new_id, round(cost, 9) AS cost FROM t WHERE taken""")
 def greedy_matches(spark, sf_dir):
-    return match.greedy_matches(match.candidate_pairs(*_scans(spark, sf_dir))).withColumn("cost", F.round("cost", 9))
+    return match.greedy_cells(*_scans(spark, sf_dir)).withColumn("cost", F.round("cost", 9))
 
 
 _M = f"(SELECT c.old_id, c.new_id FROM (SELECT id AS old_id, id + 10 AS new_id FROM {_A}) c JOIN {_B} b ON b.id = c.new_id)"
