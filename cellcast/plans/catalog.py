@@ -611,7 +611,7 @@ def _scans(spark, sf_dir):
 
 @query(f"SELECT scan, old_id, new_id, round(cost, 9) AS cost FROM ({_CAND})")
 def candidate_pairs(spark, sf_dir):
-    return match.candidate_pairs(*_scans(spark, sf_dir)).withColumn("cost", F.round("cost", 9))
+    return match.candidate_pairs(*_scans(spark, sf_dir), digits=9)
 
 
 @query()
