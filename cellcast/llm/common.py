@@ -18,6 +18,9 @@ from pyspark.sql.types import StructType
 #: UTF-8 bytes of text that one Python step handles at a time; a longer text is a slice of its own.
 SLICE = 1 << 20
 
+#: Most bits of a bitmap that goes to all tasks (16 MB).
+BITS = 1 << 27
+
 #: Start values and odd multipliers of hashes (fixed values).
 _SALT, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Bytes up to which a span is hashed in lanes of eight; longer ones go through XXH64 one by one.
@@ -59,6 +62,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sifted(rows: DataFrame, column: str, among: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`rows` in two parts: those whose `column` may be one of the values `among` (a stored table's column), and the rest.
+
+    Tasks get a bitmap of the values' hashes, 16 bits to a value and BITS at most. So a join with a small part of a wide
+    table needs to exchange this part and one row in 16 of the others, whose values only look alike. Values are whole
+    numbers; null is a value like any other.
+    """
+    bits = min(BITS, 1 << max(15, (16 * among.count()).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    values = among.select(place(among.columns[0]).alias("place"))
+    maps = values.groupBy(F.bitmap_bucket_number("place").alias("sift_k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("sift_map"))
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring("sift_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    both = rows.withColumn("sift_k", F.bitmap_bucket_number(place(column))).join(F.broadcast(maps), "sift_k", "left")
+    hit = F.coalesce(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1, F.lit(False))
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    return both.where(hit).select(*own), both.where(~hit).select(*own)
+
+
 def pack(docs: DataFrame, id: str, text: str) -> DataFrame:
     """(i long, t string, r struct): the id, the text, and every other column as it is."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id, text)]

@@ -146,17 +146,17 @@ def _rest(members: DataFrame, nodes: DataFrame, similarity: float, radius: int,
 
     The largest part of a bucket is compared with the others only, the others with all.
     """
-    parts = members.groupBy("k", "key", "root").agg(F.count("*").alias("c"))
-    buckets = parts.groupBy("k", "key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+    parts = members.groupBy("key", "root").agg(F.count("*").alias("c"))
+    buckets = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("total"), F.count("*").alias("parts")).where("parts > 1")
     pieces = lambda c: F.ceil(c / chunk).cast("int")
     minor = F.col("root") != F.col("top.root")
     spread = lambda c: F.pmod(F.xxhash64("node"), c).cast("int")
-    rows = members.join(buckets, ["k", "key"]).withColumns({"pm": pieces(F.col("total") - F.col("top.c")), "pt": pieces(F.col("top.c")), "minor": minor})
+    rows = members.join(buckets, "key").withColumns({"pm": pieces(F.col("total") - F.col("top.c")), "pt": pieces(F.col("top.c")), "minor": minor})
     rows = rows.withColumn("c", F.when(F.col("minor"), spread("pm")).otherwise(F.col("pm") + spread("pt")))
-    rows = rows.select("k", "key", "node", "root", "fp", "c", "minor", "pm", "pt").join(nodes.select("node", "vals"), "node")
+    rows = rows.select("key", "node", "root", "fp", "c", "minor", "pm", "pt").join(nodes.select("node", "vals"), "node")
     rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), F.col("pm") + F.col("pt") - 1).otherwise(F.col("pm") - 1))))
     side = F.when(F.col("c") == F.col("d"), 0).when(F.col("c") < F.col("d"), 1).otherwise(2)
-    rows = rows.select("k", "key", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), side.alias("side"), "node", "root", "fp", "vals")
+    rows = rows.select("key", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), side.alias("side"), "node", "root", "fp", "vals")
 
     def links(table: pa.Table) -> pa.Table:
         node, root, fp, which = (table.column(c).to_numpy() for c in ("node", "root", "fp", "side"))
@@ -185,7 +185,7 @@ def _rest(members: DataFrame, nodes: DataFrame, similarity: float, radius: int,
                 found.append((int(node[i]), int(node[j])))
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    return rows.groupBy("k", "key", "lo", "hi").applyInArrow(links, "a long, b long")
+    return rows.groupBy("key", "lo", "hi").applyInArrow(links, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int = RADIUS, rounds: int = ROUNDS, chunk: int = CHUNK) -> DataFrame:
@@ -197,12 +197,14 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
     task. Shingles are told apart by 32 bits.
     """
     rows = common.cut(sketches(docs, id, text))
-    first = common.cut(rows.groupBy("sig").agg(F.min("row").alias("node")))
-    nodes = rows.withColumnRenamed("row", "node").join(first.select("node"), "node", "left_semi")
-    posted = nodes.select("node", "n", "fp", F.posexplode("bands").alias("k", "key"))
-    crowded = posted.groupBy("k", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = common.cut(posted.join(crowded, ["k", "key"]))
-    nodes = common.cut(nodes.select("node", "vals").join(members.select("node").distinct(), "node", "left_semi"))
+    own = F.min(F.struct(F.col("row").alias("node"), "n", "fp", "bands")).alias("own")
+    first = common.cut(rows.groupBy("sig").agg(own).select("sig", "own.*"))
+    posted = first.where("n > 0").select("node", "n", "fp", F.explode("bands").alias("key"))  # a key tells its band
+    crowded = common.cut(posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    members = common.cut(common.sifted(posted, "key", crowded.select("key"))[0].join(crowded, "key"))
+    asked = common.cut(members.select("node").distinct())
+    nodes = common.sifted(rows.select(F.col("row").alias("node"), "vals"), "node", asked)[0]
+    nodes = common.cut(nodes.join(asked, "node", "left_semi"))
     links: DataFrame | None = None
     roots: DataFrame | None = None
 
@@ -212,8 +214,8 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
     for turn in range(rounds):
         place = F.struct(F.xxhash64(F.lit(turn), F.col("node")).alias("at"), "node", "root", "n", "fp")
         asked = rooted() if turn == 0 else rooted().where(F.col("size") > chunk)  # smaller buckets are one task's work below
-        pivot = asked.groupBy("k", "key").agg(F.min(place).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "key", "p")
-        pairs = asked.join(pivot, ["k", "key"]).where(F.col("root") != F.col("p.root")).where(_sizes_fit("n", "p.n", similarity))
+        pivot = asked.groupBy("key").agg(F.min(place).alias("p"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key", "p")
+        pairs = asked.join(pivot, "key").where(F.col("root") != F.col("p.root")).where(_sizes_fit("n", "p.n", similarity))
         pairs = pairs.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= radius)
         salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / 1024)).alias("salt")
         pairs = common.cut(pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b"), salt).groupBy("a", "b").agg(F.min("salt").alias("salt")))
@@ -229,7 +231,7 @@ def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", similar
     if links is None or not new.isEmpty():
         links = new if links is None else links.unionByName(new)
         roots = common.components(links).select("node", "root")
-    named = first.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
+    named = first.select("sig", "node").join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("root"))
     mine = common.cut(rows.select("id", "sig").groupBy("sig").agg(F.min("id").alias("id")).join(named, "sig"))
     least = mine.groupBy("root").agg(F.min("id").alias("component_id"))
     return rows.select("id", "sig").join(mine.join(least, "root").select("sig", "component_id"), "sig").select(F.col("id").alias(id), "sig", "component_id")

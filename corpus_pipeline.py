@@ -29,8 +29,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     found = common.cut(near_copies.near_copies(docs))
     repeats = common.cut(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    gone = found.where("doc_id > component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = common.cut(found.where("doc_id > component_id").select("doc_id").distinct())
+    some, others = common.sifted(docs, "doc_id", gone)
+    kept = some.join(gone, "doc_id", "left_anti").select(*_all(docs)).unionByName(others)
     if repeats.isEmpty():
         return kept.select(*_all(docs))
     single = kept.join(repeats, "doc_id", "left_anti").select(*_all(docs))

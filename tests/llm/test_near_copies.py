@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from cellcast.llm import near_copies, simhash
+from cellcast.llm import common, near_copies, simhash
 
 
 def slow_set(text):
@@ -104,3 +104,15 @@ def test_sets_are_those_of_the_words():
             assert len(np.intersect1d(held[i], held[j])) == len(slow_set(many[i]) & slow_set(many[j]))
     fp, bands = near_copies.sketch(values, sizes)
     assert fp[many.index("")] == 0 and (bands[many.index("")] == 0).all()
+
+
+def test_sifting_loses_no_row(spark):
+    rows = spark.createDataFrame([(k * 7 - 20000 if k % 50 else None, str(k)) for k in range(6000)], "x long, t string")
+    among = spark.createDataFrame([(k,) for k in range(-20000, 9000, 63)] + [(0,)], "v long")
+    some, others = common.sifted(rows, "x", among)
+    assert sorted(r.t for r in some.unionByName(others).collect()) == sorted(r.t for r in rows.collect())
+    assert others.join(among, others.x == among.v).count() == 0
+    wanted = rows.join(among, rows.x == among.v, "left_semi").count()
+    assert wanted > 400 and some.count() < wanted + 6000 / 8
+    some, others = common.sifted(rows, "x", among.where("false"))
+    assert some.count() == 0 and others.count() == 6000

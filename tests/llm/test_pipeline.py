@@ -105,3 +105,27 @@ def test_near_duplicates_with_repeated_ids(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, row string").repartition(3)
     kept = {r["row"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept in ({"a", "c", "d", "g", "h"}, {"a", "c", "e", "g", "h"})
+
+
+def test_texts_without_near_copies_are_not_exchanged(spark, tmp_path):
+    rnd = random.Random(8)
+    draw = lambda: [f"w{rnd.randrange(10**6)}" for _ in range(2000)]
+    rows = [(k, " ".join(draw())) for k in range(300)]
+    rows += [(k + 300, f"{rows[k][1]} more") for k in range(6)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    bridge = spark.sparkContext._jvm.java.util.ArrayList
+
+    def exchanged():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(bridge(), False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), bridge())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(k) for k in range(stages.size()))}
+
+    before, old = exchanged(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as on tables too large to be sent to all tasks
+        got = sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert got == list(range(300))
+    sets = 4 * sum(len(t.split()) - 4 for _, t in rows)
+    assert sum(n for k, n in exchanged().items() if k not in before) < sets / 2
