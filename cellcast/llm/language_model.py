@@ -43,6 +43,8 @@ HELD, BUCKET, BUCKETS = 2_000_000, 64 << 20, 1 << 14
 BATCH, NOISE, WORDS, POOL = 2048, 32, 4, 1024
 #: Learning rates (Adagrad) of the first part and of all parts, and the first sum of squared gradients.
 FIRST, RATE, POWER = 0.3, 0.1, 0.1
+#: Rows of one index that are added side by side.
+FEW = 8
 #: Training tokens to a group of texts, most groups, tokens that a group learns from at a time, and slices of the parameters.
 TOKENS, PARTS, CHUNK, SLICES = 1 << 20, 1 << 14, 1 << 16, 128
 _TABLE = common.byte_table(common.SPACES, lower=True)
@@ -138,24 +140,41 @@ def _by(index: np.ndarray, rows: np.ndarray, of: np.ndarray | None = None, times
     order = np.argsort(index.astype(np.int16) if index.max() < 1 << 15 else index, kind="stable")  # short keys sort faster
     index = index[order]
     start = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
-    rows = rows.take(order if of is None else of[order], axis=0)
-    if times is not None:
-        rows *= times[order, None]
-    return index[start], np.add.reduceat(rows, start, axis=0), np.diff(start, append=len(index))
+    count = np.diff(start, append=len(index))
+
+    def some(at: np.ndarray) -> np.ndarray:
+        at = order[at]
+        out = rows.take(at if of is None else of[at], axis=0)
+        if times is not None:
+            out *= times[at, None]
+        return out
+
+    # most indices occur a few times: their first rows are added side by side, a sum by segments costs a call for each number
+    by = np.argsort((-count).astype(np.int16) if len(order) < 1 << 15 else -count, kind="stable")
+    start, count = start[by], count[by]
+    index, out, last = index[start], some(start), np.searchsorted(-count, -np.arange(1, FEW + 1))
+    for k, n in enumerate(last[:-1].tolist(), 1):
+        if n:
+            out[:n] += some(start[:n] + k)
+    if n := int(last[-1]):
+        left = count[:n] - FEW
+        first = np.cumsum(left) - left
+        out[:n] += np.add.reduceat(some(np.arange(left.sum()) + np.repeat(start[:n] + FEW - first, left)), first, axis=0)
+    return index, out, count
 
 
 def _pull(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(np.clip(x, -30, 30)))
 
 
-def _log_share(scores: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The log of each row's softmax at its target."""
-    own = np.take_along_axis(scores, target[:, None], 1)[:, 0]
-    top = 0.0
+def _log_share(scores: np.ndarray, row: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The logs of the rows' softmaxes at targets; a row may have several."""
+    own = scores[row, target]
+    top = np.float32(0)
     if scores.max() > 40 or scores.min() < -40:  # beyond this a plain sum could leave the range of single precision
         top = scores.max(1)
         scores -= top[:, None]
-    return own - top - np.log(np.exp(scores, out=scores).sum(1))
+    return own - (top + np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype)))[row]
 
 
 class LogBilinear:
@@ -239,43 +258,57 @@ class LogBilinear:
             own, target = context[:, at : at + BATCH], outcome[at : at + BATCH]
             noise = np.minimum(np.searchsorted(self.drawn, rnd.random(NOISE)), len(self.drawn) - 1)
             q = self.predict(own)
-            t, w = self.top[target], self.top[noise]
-            up = _pull((q * t).sum(1) - self.log_group[target] - np.float32(math.log(NOISE)))  # pull of the data
+            t, w = self.top.take(target, axis=0), self.top.take(noise, axis=0)
+            up = _pull(np.einsum("nd,nd->n", q, t) - self.log_group[target] - np.float32(math.log(NOISE)))  # pull of the data
             down = _pull(self.log_group[noise] + np.float32(math.log(NOISE)) - q @ w.T)  # push of the noise
             dq = up[:, None] * t - down @ w
             self._grow("top", rate, np.concatenate([target, noise]), np.concatenate([up[:, None] * q, -(down.T @ q)]))
             inside = np.flatnonzero(target >= 2)
             if len(inside):
-                q, target = q[inside], classes[at + inside] - 2
+                q, target = q.take(inside, axis=0), classes[at + inside] - 2
                 own_group = target // self.group
-                noise = pool[own_group[:, None], rnd.integers(0, POOL, (len(target), WORDS))]
+                noise = pool.ravel().take(own_group[:, None] * POOL + rnd.integers(0, POOL, (len(target), WORDS)))
                 t, w = self.word.take(target, axis=0), self.word.take(noise, axis=0)
-                up = _pull((q * t).sum(1) - self.log_word[target] - np.float32(math.log(WORDS)))
+                up = _pull(np.einsum("nd,nd->n", q, t) - self.log_word[target] - np.float32(math.log(WORDS)))
                 down = _pull(self.log_word[noise] + np.float32(math.log(WORDS)) - np.einsum("nd,nkd->nk", q, w))
                 dq[inside] += up[:, None] * t - np.einsum("nk,nkd->nd", down, w)
                 own_token = np.arange(len(target))
                 self._grow("word", rate, np.concatenate([target, noise.ravel()]), q, np.concatenate([own_token, np.repeat(own_token, WORDS)]), np.concatenate([up, -down.ravel()]))
             dq[:, -1] = 0
-            places = np.stack([(dq * self.context[own[k]]).sum(0) for k in range(CONTEXT)])
+            places = np.stack([np.einsum("nd,nd->d", dq, self.context.take(own[k], axis=0)) for k in range(CONTEXT)])
             self._grow("context", rate, own.ravel(), np.concatenate([dq * self.place[k] for k in range(CONTEXT)]))
             self._grow("place", rate, np.arange(CONTEXT), places)
 
     def log_probabilities(self, classes: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Natural log of each token's normalised class probability."""
-        context, outcome, out = self.contexts(classes, row), self.outcomes(classes), np.zeros(len(classes))
+        context, out, m = self.contexts(classes, row), np.zeros(len(classes)), len(self.context)
+        assert m ** (CONTEXT + 1) < 1 << 63, "a context and a class are one number"
         for at in range(0, len(classes), 1 << 18):  # vectors of so many tokens at a time
             part = slice(at, at + (1 << 18))
-            q, target = self.predict(context[:, part]), outcome[part]
-            own = out[part]
-            for k in range(0, len(q), 4096):
-                own[k : k + 4096] = _log_share(q[k : k + 4096] @ self.top.T, target[k : k + 4096])
-            order = np.argsort(target, kind="stable")
+            # a class in the same context has the same probability, and contexts share their sums: each is found once
+            key = context[0, part]
+            for k in range(1, CONTEXT):
+                key = key * m + context[k, part]
+            key, again = np.unique(key * m + classes[part], return_inverse=True)
+            word, before = key % m, key // m
+            new = np.concatenate([[True], before[1:] != before[:-1]])
+            of, before = np.cumsum(new) - 1, before[new]
+            places = []
+            for _ in range(CONTEXT):
+                places.insert(0, before % m)
+                before = before // m
+            q, target, own = self.predict(np.stack(places)), self.outcomes(word), np.zeros(len(key))
+            bound = np.searchsorted(of, np.arange(0, len(q) + 4096, 4096))
+            for k, (low, high) in enumerate(zip(bound[:-1], bound[1:], strict=True)):
+                own[low:high] = _log_share(q[4096 * k : 4096 * (k + 1)] @ self.top.T, of[low:high] - 4096 * k, target[low:high])
+            order = np.argsort(target.astype(np.int16) if len(self.starts) < 1 << 14 else target, kind="stable")
             bound = np.searchsorted(target[order], np.arange(2, len(self.starts) + 3))
-            word = classes[part] - 2
             for g, start in enumerate(self.starts):
                 for k in range(bound[g], bound[g + 1], 4096):
                     some = order[k : min(k + 4096, bound[g + 1])]
-                    own[some] += _log_share(q[some] @ self.word[start : start + self.group].T, word[some] - start)
+                    first = np.concatenate([[True], of[some[1:]] != of[some[:-1]]])
+                    own[some] += _log_share(q[of[some[first]]] @ self.word[start : start + self.group].T, np.cumsum(first) - 1, word[some] - 2 - start)
+            out[part] = own[again]
         return out
 
     def rows(self) -> tuple[np.ndarray, np.ndarray]:

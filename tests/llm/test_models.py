@@ -400,3 +400,35 @@ def test_components_of_rising_chains_take_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(common, "cut", lambda df, cut=common.cut: stored.append(1) or cut(df))
     got = {r.node: r.root for r in common.components(spark.range(299).selectExpr("id AS a", "id + 1 AS b")).collect()}
     assert got == dict.fromkeys(range(300), 0) and len(stored) < 40
+
+
+def test_contexts_that_repeat_are_scored_once(monkeypatch):
+    rnd = np.random.default_rng(5)
+    model = language_model.LogBilinear(np.arange(40, dtype=np.uint64) * np.uint64(77), np.arange(42) + 1.0, size=5, group=8)
+    model.top[:, :-1] += rnd.normal(0, 1, (len(model.top), 5))
+    classes, row = np.minimum(rnd.geometric(0.3, 3000) - 1, 41), np.repeat(np.arange(30), 100)
+    context, outcome = model.contexts(classes, row), model.outcomes(classes)
+    q, want = model.predict(context).astype(float), []
+    for vector, c, o in zip(q, classes, outcome, strict=True):
+        share = np.exp(vector @ model.top.T)
+        want.append(np.log(share[o] / share.sum()))
+        if o >= 2:
+            share = np.exp(vector @ model.word[8 * (o - 2) : 8 * (o - 1)].T)
+            want[-1] += np.log(share[(c - 2) % 8] / share.sum())
+    predicted, seen = model.predict, []
+    monkeypatch.setattr(model, "predict", lambda context: seen.append(context.shape[1]) or predicted(context))
+    assert np.allclose(model.log_probabilities(classes, row), want, atol=1e-4)
+    assert sum(seen) == len({tuple(c) for c in context.T}) < 1500
+
+
+def test_sums_of_rows_by_index():
+    rnd = np.random.default_rng(6)
+    for n, top in ((1, 1), (50, 50), (3000, 90), (5000, 40_000), (40_000, 3)):
+        index, rows, times = rnd.integers(0, top, n), rnd.normal(size=(n, 4)).astype(np.float32), rnd.normal(size=n).astype(np.float32)
+        of = rnd.permutation(n)
+        for more, each in (((), rows), ((of, times), rows[of] * times[:, None])):
+            keys, sums, count = language_model._by(index, rows, *more)
+            want = np.zeros((top, 4))
+            np.add.at(want, index, each)
+            assert sorted(keys) == sorted(set(index.tolist())) and np.allclose(sums, want[keys], atol=1e-2)
+            assert (count == np.bincount(index, minlength=top)[keys]).all()
