@@ -2,9 +2,12 @@
 
 Counts. Every task counts its words by 64-bit hash and packs the counts into one binary row for each bucket of
 hashes; a bucket's rows are merged by one task. Buckets grow in number with the text. The most frequent words (a
-bounded number) travel to the tasks that score; the counts of all other words are looked up bucket by bucket: a task
-packs (text, word) pairs by bucket, the bucket's task turns them into sums for each text of the pack, and the sums go
-back packed. No word and no text ever gathers more than its own share in a task.
+bounded number) travel to the tasks that number the texts; the counts of all other words are looked up bucket by bucket:
+a task packs (text, word) pairs by bucket, the bucket's task turns them into sums for each text of the pack, and the
+sums go back packed. No word and no text ever gathers more than its own share in a task.
+
+Numbers. One pass looks up the words of every text and stores them as numbers of classes, with the sums over the
+frequent words. The model learns from these numbers and scores them; texts aren't read or hashed again.
 
 Model. Two context vectors predict the next word's vector (vector log-bilinear). The prediction has two levels: first
 the end, any word outside of the vocabulary, or a group of words of similar frequency; then the word within its group.
@@ -43,8 +46,10 @@ HELD, BUCKET, BUCKETS = 2_000_000, 64 << 20, 1 << 14
 BATCH, NOISE, WORDS, POOL = 2048, 32, 4, 1024
 #: Learning rates (Adagrad) of the first part and of all parts, and the first sum of squared gradients.
 FIRST, RATE, POWER = 0.3, 0.1, 0.1
-#: Rows of one index that are added side by side.
-FEW = 8
+#: Rows of one index that are added side by side, and rows that change at a time (they stay near the CPU).
+FEW, NEAR = 8, 1024
+#: Tokens that are scored at a time, and rows of scores that a product has.
+SCORED, BLOCK = 1 << 19, 1024
 #: Training tokens to a group of texts, most groups, tokens that a group learns from at a time, and slices of the parameters.
 TOKENS, PARTS, CHUNK, SLICES = 1 << 20, 1 << 14, 1 << 16, 128
 _TABLE = common.byte_table(common.SPACES, lower=True)
@@ -164,14 +169,22 @@ def _by(index: np.ndarray, rows: np.ndarray, of: np.ndarray | None = None, times
 
 
 def _pull(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(np.clip(x, -30, 30)))
+    """1 / (1 + exp(x)), in place."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.divide(1, x, out=x)
+
+
+def _longest(rows: np.ndarray) -> float:
+    return math.sqrt(np.einsum("nd,nd->n", rows, rows).max(initial=0))
 
 
-def _log_share(scores: np.ndarray, row: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The logs of the rows' softmaxes at targets; a row may have several."""
+def _log_share(scores: np.ndarray, row: np.ndarray, target: np.ndarray, small: bool) -> np.ndarray:
+    """The logs of the rows' softmaxes at targets; a row may have several. small: no score is beyond 80."""
     own = scores[row, target]
     top = np.float32(0)
-    if scores.max() > 40 or scores.min() < -40:  # beyond this a plain sum could leave the range of single precision
+    if not small and (scores.max() > 40 or scores.min() < -40):  # a plain sum could leave the range of single precision
         top = scores.max(1)
         scores -= top[:, None]
     return own - (top + np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype)))[row]
@@ -205,6 +218,11 @@ class LogBilinear:
         self.power: dict[str, np.ndarray] = {}
         self.seen: dict[str, np.ndarray] = {}
 
+    @property
+    def kind(self) -> type:
+        """The type that holds a class."""
+        return np.int16 if len(self.context) <= 1 << 15 else np.int32
+
     def classes(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.vocabulary):
             return np.where(hashes == _END, 0, 1)
@@ -225,70 +243,86 @@ class LogBilinear:
 
     def predict(self, context: np.ndarray) -> np.ndarray:
         """Predicted vectors, and a last column of ones for biases."""
-        q = self.place[0] * self.context.take(context[0], axis=0)
+        return self._sum(self.context.take(context, axis=0))
+
+    def _sum(self, before: np.ndarray) -> np.ndarray:
+        q = before[0] * self.place[0]
         for k in range(1, CONTEXT):
-            q += self.place[k] * self.context.take(context[k], axis=0)
+            q += before[k] * self.place[k]
         q[:, -1] = 1
         return q
 
-    def _grow(self, name: str, rate: float, index: np.ndarray, *rows: np.ndarray) -> None:
-        """Adagrad on the rows of a table that gradients (as for _by) belong to."""
+    def _grow(self, name: str, rate: float, index: np.ndarray, gradient: np.ndarray, count: np.ndarray) -> None:
+        """Adagrad on the rows of a table: distinct indices, their gradients, and how often they were seen."""
         table = getattr(self, name)
         if name not in self.power:
             self.power[name], self.seen[name] = np.full_like(table, POWER), np.zeros(len(table))
         power, seen = self.power[name], self.seen[name]
-        index, gradient, count = _by(index, *rows)
         seen[index] += count
-        now = power.take(index, axis=0) + gradient * gradient
-        power[index] = now
-        np.sqrt(now, out=now)
-        gradient *= rate
-        gradient /= now
-        table[index] += gradient
+        for at in range(0, len(index), NEAR):
+            some, of = gradient[at : at + NEAR], index[at : at + NEAR]
+            now = np.square(some)
+            now += power.take(of, axis=0)
+            power[of] = now
+            np.sqrt(now, out=now)
+            some *= rate
+            some /= now
+            some += table.take(of, axis=0)
+            table[of] = some
 
     def learn(self, classes: np.ndarray, row: np.ndarray, rnd: np.random.Generator, rate: float = RATE) -> None:
         """One pass of noise-contrastive estimation in minibatches."""
         context, outcome = self.contexts(classes, row), self.outcomes(classes)
         low, high = self.sums[self.starts, None], self.sums[np.minimum(self.starts + self.group, len(self.word)), None]
         last = np.minimum(self.starts + self.group, len(self.word))[:, None] - 1
+        log_group, log_word = self.log_group + np.float32(math.log(NOISE)), self.log_word + np.float32(math.log(WORDS))
         for at in range(0, len(classes), BATCH):
             if at % CHUNK == 0:  # of each group's words as many as they are drawn from, for some minibatches
-                pool = np.searchsorted(self.sums, low + rnd.random((len(self.starts), POOL)) * (high - low), "right") - 1
+                pool = np.searchsorted(self.sums, low + np.sort(rnd.random((len(self.starts), POOL)), axis=1) * (high - low), "right") - 1
                 pool = np.clip(pool, self.starts[:, None], last)
             own, target = context[:, at : at + BATCH], outcome[at : at + BATCH]
             noise = np.minimum(np.searchsorted(self.drawn, rnd.random(NOISE)), len(self.drawn) - 1)
-            q = self.predict(own)
+            before = self.context.take(own, axis=0)
+            q = self._sum(before)
             t, w = self.top.take(target, axis=0), self.top.take(noise, axis=0)
-            up = _pull(np.einsum("nd,nd->n", q, t) - self.log_group[target] - np.float32(math.log(NOISE)))  # pull of the data
-            down = _pull(self.log_group[noise] + np.float32(math.log(NOISE)) - q @ w.T)  # push of the noise
-            dq = up[:, None] * t - down @ w
-            self._grow("top", rate, np.concatenate([target, noise]), np.concatenate([up[:, None] * q, -(down.T @ q)]))
+            up = _pull(np.einsum("nd,nd->n", q, t) - log_group[target])  # pull of the data
+            w[:, -1] -= log_group[noise]  # a prediction ends in 1
+            down = _pull(np.negative(x := q @ w.T, out=x))  # push of the noise
+            t *= up[:, None]
+            dq = np.subtract(t, down @ w, out=t)
+            self._grow("top", rate, *_by(np.concatenate([target, noise]), np.concatenate([q * up[:, None], -(down.T @ q)])))
             inside = np.flatnonzero(target >= 2)
             if len(inside):
-                q, target = q.take(inside, axis=0), classes[at + inside] - 2
-                own_group = target // self.group
-                noise = pool.ravel().take(own_group[:, None] * POOL + rnd.integers(0, POOL, (len(target), WORDS)))
-                t, w = self.word.take(target, axis=0), self.word.take(noise, axis=0)
-                up = _pull(np.einsum("nd,nd->n", q, t) - self.log_word[target] - np.float32(math.log(WORDS)))
-                down = _pull(self.log_word[noise] + np.float32(math.log(WORDS)) - np.einsum("nd,nkd->nk", q, w))
-                dq[inside] += up[:, None] * t - np.einsum("nk,nkd->nd", down, w)
-                own_token = np.arange(len(target))
-                self._grow("word", rate, np.concatenate([target, noise.ravel()]), q, np.concatenate([own_token, np.repeat(own_token, WORDS)]), np.concatenate([up, -down.ravel()]))
+                # each token's word, then its noise words, one below the other
+                q, own_group = q.take(inside, axis=0), target.take(inside) - 2
+                words = np.empty((1 + WORDS, len(inside)), np.int64)
+                words[0] = classes[at + inside] - 2
+                words[1:] = pool.ravel().take((own_group[:, None] * POOL + rnd.integers(0, POOL, (len(inside), WORDS))).T)
+                w = self.word.take(words, axis=0)
+                force = np.einsum("nd,knd->kn", q, w)
+                force -= log_word.take(words)
+                np.negative(force[1:], out=force[1:])
+                _pull(force)
+                np.negative(force[1:], out=force[1:])
+                w *= force[:, :, None]
+                dq[inside] += w.sum(0)
+                self._grow("word", rate, *_by(words.ravel(), q, np.tile(np.arange(len(inside)), 1 + WORDS), force.ravel()))
             dq[:, -1] = 0
-            places = np.stack([np.einsum("nd,nd->d", dq, self.context.take(own[k], axis=0)) for k in range(CONTEXT)])
-            self._grow("context", rate, own.ravel(), np.concatenate([dq * self.place[k] for k in range(CONTEXT)]))
-            self._grow("place", rate, np.arange(CONTEXT), places)
+            places = np.einsum("nd,knd->kd", dq, before)
+            np.multiply(dq, self.place[:, None], out=before)
+            self._grow("context", rate, *_by(own.ravel(), before.reshape(-1, before.shape[2])))
+            self._grow("place", rate, np.arange(CONTEXT), places, np.ones(CONTEXT))
 
     def log_probabilities(self, classes: np.ndarray, row: np.ndarray) -> np.ndarray:
         """Natural log of each token's normalised class probability."""
-        context, out, m = self.contexts(classes, row), np.zeros(len(classes)), len(self.context)
+        before_each, out, m = self.contexts(classes, row), np.zeros(len(classes)), len(self.context)
         assert m ** (CONTEXT + 1) < 1 << 63, "a context and a class are one number"
-        for at in range(0, len(classes), 1 << 18):  # vectors of so many tokens at a time
-            part = slice(at, at + (1 << 18))
+        for at in range(0, len(classes), SCORED):
+            part = slice(at, at + SCORED)
             # a class in the same context has the same probability, and contexts share their sums: each is found once
-            key = context[0, part]
+            key = before_each[0, part]
             for k in range(1, CONTEXT):
-                key = key * m + context[k, part]
+                key = key * m + before_each[k, part]
             key, again = np.unique(key * m + classes[part], return_inverse=True)
             word, before = key % m, key // m
             new = np.concatenate([[True], before[1:] != before[:-1]])
@@ -298,16 +332,18 @@ class LogBilinear:
                 places.insert(0, before % m)
                 before = before // m
             q, target, own = self.predict(np.stack(places)), self.outcomes(word), np.zeros(len(key))
-            bound = np.searchsorted(of, np.arange(0, len(q) + 4096, 4096))
+            small = _longest(q) * max(_longest(self.top), _longest(self.word)) < 80
+            bound = np.searchsorted(of, np.arange(0, len(q) + BLOCK, BLOCK))
             for k, (low, high) in enumerate(zip(bound[:-1], bound[1:], strict=True)):
-                own[low:high] = _log_share(q[4096 * k : 4096 * (k + 1)] @ self.top.T, of[low:high] - 4096 * k, target[low:high])
+                own[low:high] = _log_share(q[BLOCK * k : BLOCK * (k + 1)] @ self.top.T, of[low:high] - BLOCK * k, target[low:high], small)
             order = np.argsort(target.astype(np.int16) if len(self.starts) < 1 << 14 else target, kind="stable")
             bound = np.searchsorted(target[order], np.arange(2, len(self.starts) + 3))
             for g, start in enumerate(self.starts):
-                for k in range(bound[g], bound[g + 1], 4096):
-                    some = order[k : min(k + 4096, bound[g + 1])]
-                    first = np.concatenate([[True], of[some[1:]] != of[some[:-1]]])
-                    own[some] += _log_share(q[of[some[first]]] @ self.word[start : start + self.group].T, np.cumsum(first) - 1, word[some] - 2 - start)
+                for k in range(bound[g], bound[g + 1], BLOCK):
+                    some = order[k : min(k + BLOCK, bound[g + 1])]
+                    context = of.take(some)
+                    first = np.concatenate([[True], context[1:] != context[:-1]])
+                    own[some] += _log_share(q.take(context[first], axis=0) @ self.word[start : start + self.group].T, np.cumsum(first) - 1, word.take(some) - (2 + start), small)
             out[part] = own[again]
         return out
 
@@ -323,18 +359,37 @@ class LogBilinear:
             rows = rows[size:]
 
 
-def train(texts: DataFrame, model: LogBilinear, tokens: int) -> LogBilinear:
-    """`model` after a pass over a part of `texts` (i, t), which hold about `tokens` tokens, and a pass over all."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(model)
-    parts = max(1, min(PARTS, math.ceil(tokens / TOKENS)))
+class Lookup:
+    """Places of hashes in a sorted array, by a table that leaves gaps: a hash stands where its first bits say, or soon after."""
 
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            hashes, row = words(batch.column(1))
-            bound = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(shared.value.classes(hashes), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["h", "w"])
+    def __init__(self, known: np.ndarray):
+        bits = max(1, (4 * len(known)).bit_length())
+        self.shift = _U(64 - bits)
+        first = (known >> self.shift).astype(np.int64)
+        at = np.maximum.accumulate(first - np.arange(len(known))) + np.arange(len(known))
+        size = max(1 << bits, int(at[-1]) + 1 if len(at) else 0) + 1
+        self.place = np.full(size, -1, np.int32)
+        self.hash = np.full(size, np.iinfo(np.uint64).max, _U)  # a gap is not smaller than any hash
+        self.place[at], self.hash[at] = np.arange(len(known)), known
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        """-1: not known."""
+        at = (hashes >> self.shift).astype(np.int64)
+        on = np.flatnonzero(self.hash.take(at) < hashes)
+        while len(on):
+            at[on] += 1
+            on = on[self.hash.take(at[on]) < hashes[on]]
+        return np.where(self.hash.take(at) == hashes, self.place.take(at), np.int32(-1))
+
+
+def train(numbers: DataFrame, model: LogBilinear, tokens: int) -> LogBilinear:
+    """`model` after a pass over a part of `numbers` (h long, w binary), and a pass over all.
+
+    h: a hash of the row; w: its classes, as the model holds them; in all they are `tokens` classes, more or less.
+    """
+    spark = numbers.sparkSession
+    parts = max(1, min(PARTS, math.ceil(tokens / TOKENS)))
+    kind = model.kind
 
     def learn(batches: Iterator[pa.RecordBatch], shared, rate: float) -> Iterator[pa.RecordBatch]:
         now, own, rnd, held, size = None, None, None, [], 0
@@ -351,14 +406,12 @@ def train(texts: DataFrame, model: LogBilinear, tokens: int) -> LogBilinear:
             return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([now] * SLICES, pa.int32()), pa.array([weighted[p].tobytes() for p in pieces], pa.binary()), pa.array([seen[p].tobytes() for p in pieces], pa.binary())], ["s", "g", "p", "n"])
 
         for batch in batches:
-            column = batch.column(1)
-            at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-            for k, g in enumerate(batch.column(0).to_pylist()):
+            for g, w in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if g != now:
                     if own is not None:
                         yield emit()
                     now, own, rnd, held, size = g, copy.deepcopy(shared.value), np.random.default_rng(g), [], 0
-                held.append(values[at[k] : at[k + 1]].astype(np.int64))
+                held.append(np.frombuffer(w, kind).astype(np.int64))
                 size += len(held[-1])
                 if size >= CHUNK:
                     step()
@@ -374,12 +427,10 @@ def train(texts: DataFrame, model: LogBilinear, tokens: int) -> LogBilinear:
                 total[s] = [total[s][0] + p, total[s][1] + n] if s in total else [p, n]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), *(pa.array([x[k].tobytes() for x in total.values()], pa.binary()) for k in (0, 1))], ["s", "p", "n"])
 
-    key = F.xxhash64("i", "t").alias("h")  # rows that repeat a text are dealt by their ids
-    numbers = texts.select(key, "t").mapInArrow(number, "h long, w array<int>").withColumn("g", F.pmod("h", F.lit(parts)).cast("int"))
-    numbers = common.cut(numbers)
+    numbers = numbers.select("h", "w", F.pmod("h", F.lit(parts)).cast("int").alias("g"))
     for rows, rate in ((numbers.where("g = 0"), FIRST), (numbers, RATE)):
         shared = spark.sparkContext.broadcast(model)
-        ordered = rows.repartition(parts, "g").sortWithinPartitions("g", "h", F.size("w"), "w").select("g", "w")
+        ordered = rows.repartition(parts, "g").sortWithinPartitions("g", "h", "w").select("g", "w")
         learnt = ordered.mapInArrow(functools.partial(learn, shared=shared, rate=rate), "s int, g int, p binary, n binary")
         found = sorted(learnt.repartition(SLICES, "s").sortWithinPartitions("s", "g").mapInArrow(average, "s int, p binary, n binary").collect())  # the model's size, whatever the input
         if found:
@@ -400,7 +451,7 @@ def scores(docs: DataFrame, learn: F.Column, id: str = "doc_id", text: str = "te
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id).cast("long").alias("i"), F.col(text).alias("t"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    training = rows.where("learn").select("i", "t")
+    training = rows.where("learn")
     if buckets is None:
         size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
         buckets = min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET)))
@@ -415,63 +466,91 @@ def scores(docs: DataFrame, learn: F.Column, id: str = "doc_id", text: str = "te
     chosen = np.arange(len(known) - (ends > 0))[:vocabulary]
     others = n_train - ends - int(often[chosen].sum())
     model = LogBilinear(known[chosen], np.r_[ends, others, often[chosen]])
-    if n_train:
-        model = train(training, model, n_train)
     order = np.argsort(known)
-    shared = spark.sparkContext.broadcast((model, known[order], often[order]))
+    table = Lookup(known[order]), np.log10(np.r_[often[order], 0] + 0.1), np.r_[model.classes(known[order]), 1].astype(model.kind)
+    shared = spark.sparkContext.broadcast(table)
+    kind = model.kind
     # a word of the class of others has its smoothed share of the class, one unseen word included
     mass = math.log10(others + 0.1 * (max(0, v_train - len(chosen) - (ends > 0)) + 1))
     norm = math.log10(n_train + 0.1 * (v_train + 1))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known, often = shared.value
-        logs = np.log10(np.r_[often, 0] + 0.1)
-        task, group, held = TaskContext.get().partitionId(), 0, []
-
-        def emit(held: list, group: int) -> pa.RecordBatch:
-            docs = [np.concatenate([x[k] for x in held]) for k in range(5)]
-            ids = pa.concat_arrays([x[5] for x in held])
-            at = np.r_[0, np.cumsum([len(x[0]) for x in held])]
-            h = np.concatenate([x[6] for x in held])
-            doc = np.concatenate([x[7] + a for x, a in zip(held, at, strict=False)])
-            times = np.concatenate([x[8] for x in held])
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and rows of the rare words of PACK slices for each bucket."""
+        find, logs, classes = shared.value
+        task, group, at, held = TaskContext.get().partitionId(), 0, 0, []
+
+        def emit() -> pa.RecordBatch:
+            h, doc, times = (np.concatenate([x[k] for x in held]) for k in range(3))
             by = np.argsort(h, kind="stable")
             h, doc, times = h[by], doc[by].astype(np.int32), times[by].astype(np.int32)
-            g = task << 32 | group
             parts = _packed(h, buckets)
-            m = 1 + len(parts)
-            cells = [
-                pa.array([-1] + [b for b, _ in parts], pa.int32()), pa.array([g] * m, pa.int64()), pa.array([None] + [h[s].tobytes() for _, s in parts], pa.binary()),
-                pa.array([None] + [doc[s].tobytes() for _, s in parts], pa.binary()), pa.array([None] + [times[s].tobytes() for _, s in parts], pa.binary()),
-                pa.array([[{"i": i, "n": int(a), "known": int(b), "rare": int(c), "base": float(d), "lm": float(e)} for i, a, b, c, d, e in zip(ids.to_pylist(), *docs, strict=True)]] + [None] * len(parts), _ROWS),
-            ]
-            return pa.RecordBatch.from_arrays(cells, ["b", "g", "h", "d", "c", "docs"])
+            packed = [pa.array([x[s].tobytes() for _, s in parts], pa.binary()) for x in (h, doc, times)]
+            return _batch(len(parts), b=pa.array([b for b, _ in parts], pa.int32()), g=pa.array([task << 32 | group] * len(parts), pa.int64()), h=packed[0], d=packed[1], c=packed[2])
 
         for batch in common.slices(batches):
             hashes, row = words(batch.column(1))
             n = batch.num_rows
-            near = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-            there = known[near] == hashes if len(known) else np.zeros(len(hashes), bool)
-            own = np.where(there, logs[near], 0.0)
-            classes = model.classes(hashes)
-            lm = model.log_probabilities(classes, row) / math.log(10)
-            lm += np.where(classes == 1, own - mass, 0.0)
-            rare = ~there
+            near = find(hashes)
+            own, w = logs.take(near), classes.take(near)  # the last is for words that aren't there
+            rare = near < 0
+            own[rare] = 0
+            if not ends:
+                w[hashes == _END] = 0
             # every pair of a text and a rare word once
-            pair = np.lexsort((hashes[rare], row[rare]))
-            h, d = hashes[rare][pair], row[rare][pair]
-            fresh = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.zeros(0, np.int64)
-            size = np.bincount(row, minlength=n)
-            held.append((size, np.bincount(row, there, n), np.bincount(row, rare, n), np.bincount(row, own, n) - size * norm, np.bincount(row, lm, n), batch.column(0), h[fresh], d[fresh], np.diff(np.r_[fresh, len(h)])))
+            h, d = hashes[rare], row[rare]
+            pair = np.lexsort((h, d))
+            h, d = h[pair], d[pair]
+            fresh = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])) if len(h) else np.zeros(0, np.int64)
+            size, missed = np.bincount(row, minlength=n), np.bincount(row, rare, n).astype(np.int64)
+            bound = np.zeros(n + 1, np.int32)
+            bound[1:] = np.cumsum(size * w.itemsize)
+            texts = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bound), pa.py_buffer(w)])
+            base, others = np.bincount(row, own, n) - size * norm, np.bincount(row, (own - mass) * (w == 1), n)
+            yield _batch(n, b=pa.array(np.full(n, -1, np.int32)), g=pa.array(np.full(n, task << 32 | group)), i=batch.column(0), learn=batch.column(2), k=batch.column(3), w=texts, at=pa.array(np.arange(at, at + n, dtype=np.int32)), known=pa.array(size - missed), base=pa.array(base), lm=pa.array(others))
+            held.append((h[fresh], d[fresh] + at, np.diff(fresh, append=len(h))))
+            at += n
             if len(held) == PACK:
-                yield emit(held, group)
-                held, group = [], group + 1
+                yield emit()
+                group, at, held = group + 1, 0, []
+        if held:
+            yield emit()
+
+    fields = {"b": pa.int32(), "g": pa.int64(), "h": pa.binary(), "d": pa.binary(), "c": pa.binary(), "i": pa.int64(), "learn": pa.bool_(), "k": pa.int64(), "w": pa.binary(), "at": pa.int32(), "known": pa.int64(), "base": pa.float64(), "lm": pa.float64()}
+
+    def _batch(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[f] if f in columns else pa.nulls(n, of) for f, of in fields.items()], list(fields))
+
+    key = F.xxhash64("i", "t").alias("k")  # rows that repeat a text are dealt by their ids
+    packs = common.cut(rows.select("i", "t", "learn", key).mapInArrow(number, "b int, g long, h binary, d binary, c binary, i long, learn boolean, k long, w binary, at int, known long, base double, lm double"))
+    if n_train:
+        model = train(packs.where("b < 0 AND learn").select(F.col("k").alias("h"), "w"), model, n_train)
+    shared_model = spark.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (g, docs) of texts that are in a pack."""
+        model, held, size = shared_model.value, [], 0
+
+        def emit() -> pa.RecordBatch:
+            rows = pa.concat_batches(held)
+            data, bound = common.flat(rows["w"])
+            n = np.diff(bound) // np.dtype(kind).itemsize
+            row = np.repeat(np.arange(len(n)), n)
+            lm = np.bincount(row, model.log_probabilities(np.frombuffer(data, kind).astype(np.int64), row), len(n)) / math.log(10)
+            g = rows["g"].to_numpy()
+            first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            docs = pa.StructArray.from_arrays([rows["i"], rows["at"], pa.array(n), rows["known"], rows["base"], pa.array(lm + rows["lm"].to_numpy())], ["i", "at", "n", "known", "base", "lm"])
+            return pa.RecordBatch.from_arrays([pa.array(g[first]), pa.ListArray.from_arrays(pa.array(np.r_[first, len(g)].astype(np.int32)), docs)], ["g", "docs"])
+
+        for batch in common.slices(batches, text=2, limit=SCORED * np.dtype(kind).itemsize):
+            if held and size + batch.column(2).nbytes > SCORED * np.dtype(kind).itemsize:
+                yield emit()
+                held, size = [], 0
+            held.append(batch)
+            size += batch.column(2).nbytes
         if held:
-            yield emit(held, group)
+            yield emit()
 
-    fields = [("i", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("rare", pa.int64()), ("base", pa.float64()), ("lm", pa.float64())]
-    _ROWS = pa.list_(pa.struct(fields))
-    packs = common.cut(rows.select("i", "t").mapInArrow(score, "b int, g long, h binary, d binary, c binary, docs array<struct<i:long,n:long,known:long,rare:long,base:double,lm:double>>"))
+    heads = packs.where("b < 0").select("g", "i", "w", "at", "known", "base", "lm").mapInArrow(score, "g long, docs array<struct<i:long,at:int,n:long,known:long,base:double,lm:double>>")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, h, logs, had = None, np.zeros(0, _U), np.zeros(0), np.zeros(0)
@@ -495,31 +574,37 @@ def scores(docs: DataFrame, learn: F.Column, id: str = "doc_id", text: str = "te
 
     stored = counts.select("b", F.lit(-1).cast("long").alias("g"), "h", F.lit(None).cast("binary").alias("d"), "c")
     dealt = packs.where("b >= 0").select("b", "g", "h", "d", "c").unionByName(stored).repartition(buckets, "b").sortWithinPartitions("b", "g")
-    sums = dealt.mapInArrow(look_up, "g long, d binary, s binary, k binary").select("g", "d", "s", "k", F.lit(None).cast(packs.schema["docs"].dataType).alias("docs"))
-    heads = packs.where("b < 0").select("g", F.lit(None).cast("binary").alias("d"), F.lit(None).cast("binary").alias("s"), F.lit(None).cast("binary").alias("k"), "docs")
+    sums = dealt.mapInArrow(look_up, "g long, d binary, s binary, k binary").select("g", "d", "s", "k", F.lit(None).cast(heads.schema["docs"].dataType).alias("docs"))
+    heads = heads.select("g", F.lit(None).cast("binary").alias("d"), F.lit(None).cast("binary").alias("s"), F.lit(None).cast("binary").alias("k"), "docs")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total, had, docs = None, None, None, None
+        now, docs, sums = None, [], []
 
         def emit() -> pa.RecordBatch:
-            base = np.array([x["base"] for x in docs]) + total
-            lm = np.array([x["lm"] for x in docs]) + total
-            cells = [pa.array([x["i"] for x in docs], pa.int64()), pa.array([x["n"] for x in docs], pa.int64()), pa.array(np.array([x["known"] for x in docs], np.int64) + had.astype(np.int64)), pa.array(base), pa.array(lm)]
+            rows = pa.concat_arrays([x.flatten() for x in docs])
+            at = rows.field("at").to_numpy()
+            total, had = np.zeros(at.max() + 1), np.zeros(at.max() + 1, np.int64)
+            for d, s, k in sums:
+                d = np.frombuffer(d, np.int32)
+                total[d] += np.frombuffer(s)
+                had[d] += np.frombuffer(k, np.int32)
+            total, had = total[at], had[at]
+            cells = [rows.field("i"), rows.field("n"), pa.array(rows.field("known").to_numpy() + had), pa.array(rows.field("base").to_numpy() + total), pa.array(rows.field("lm").to_numpy() + total)]
             return pa.RecordBatch.from_arrays(cells, ["i", "n_tokens", "n_known", "base_score", "score"])
 
         for batch in batches:
-            for g, d, s, k, own in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if g != now and docs is not None:
-                    yield emit()
-                if own is not None:  # a group's documents come before its sums
-                    now, docs, total, had = g, own, np.zeros(len(own)), np.zeros(len(own))
+            for k, (g, d, s, had) in enumerate(zip(*(x.to_pylist() for x in batch.columns[:4]), strict=True)):
+                if g != now:
+                    if docs:
+                        yield emit()
+                    now, docs, sums = g, [], []
+                if d is None:
+                    docs.append(batch.column(4).slice(k, 1))
                 else:
-                    d = np.frombuffer(d, np.int32)
-                    total[d] += np.frombuffer(s)
-                    had[d] += np.frombuffer(k, np.int32)
-        if docs is not None:
+                    sums.append((d, s, had))
+        if docs:
             yield emit()
 
-    joined = heads.unionByName(sums).repartition("g").sortWithinPartitions("g", F.col("docs").isNull()).select("g", "d", "s", "k", "docs")
+    joined = heads.unionByName(sums).repartition("g").sortWithinPartitions("g").select("g", "d", "s", "k", "docs")
     done = joined.mapInArrow(finish, "i long, n_tokens long, n_known long, base_score double, score double")
     return done.select(F.col("i").alias(id), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -432,3 +432,46 @@ def test_sums_of_rows_by_index():
             np.add.at(want, index, each)
             assert sorted(keys) == sorted(set(index.tolist())) and np.allclose(sums, want[keys], atol=1e-2)
             assert (count == np.bincount(index, minlength=top)[keys]).all()
+
+
+def test_texts_are_numbered_once_for_learning_and_scoring(spark):
+    """A text to learn from is read to count its words, to count texts, and to number its words."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.column(0).to_pylist().count(1))
+            yield batch
+
+    schema = "doc_id long, text string"
+    df = spark.createDataFrame([(k, "a b a c") for k in range(20)], schema).mapInArrow(seen, schema)
+    got = language_model.scores(df, F.col("doc_id") % 10 != 0, buckets=2).collect()
+    assert len(got) == 20 and read.value == 3
+
+
+def test_packs_of_many_slices(spark, monkeypatch):
+    """Texts get their own sums, however they are cut into slices, packs and parts that are scored."""
+    rnd = random.Random(8)
+    texts = [" ".join(f"w{min(int(rnd.expovariate(0.02)), 300)}" for _ in range(rnd.randint(0, 40))) for _ in range(300)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    run = lambda: {r.doc_id: r[1:] for r in language_model.scores(df, F.col("doc_id") % 10 != 0, frequent=20, buckets=3).collect()}
+    want = run()
+    monkeypatch.setattr(language_model, "PACK", 3)
+    monkeypatch.setattr(language_model, "SCORED", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = run()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got.keys() == want.keys() == set(range(302))
+    assert all(g[:3] == w[:3] and np.allclose(g[3:], w[3:], rtol=1e-5) for g, w in ((got[k], want[k]) for k in got))
+
+
+def test_hashes_are_looked_up():
+    rnd = np.random.default_rng(9)
+    for n in (0, 1, 2, 1000):
+        near = np.r_[np.arange(n, dtype=np.uint64), rnd.integers(0, 1 << 63, n, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(n, dtype=np.uint64)]
+        known = np.unique(near[rnd.random(len(near)) < 0.6])
+        asked = np.r_[near, rnd.integers(0, 1 << 63, 50, dtype=np.uint64), known, np.array([0, 2**64 - 1], np.uint64)]
+        want = {int(x): k for k, x in enumerate(known)}
+        assert language_model.Lookup(known)(asked).tolist() == [want.get(int(x), -1) for x in asked]
